@@ -10,6 +10,7 @@ the steps grow with the length. Decoding reads token bytes from one table by off
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -24,7 +25,7 @@ from .shared import table
 #: The pre-tokenizer of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a Python worker remembers, none longer than so many characters.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 40
+REMEMBERED, REMEMBERED_CHARS = 700_000, 40
 NEVER = 1 << 62
 
 
@@ -52,6 +53,7 @@ class Bpe:
             self.rank[self.id[a], self.id[b]] = (when, made)
             self.halves.setdefault(made, (self.id[a], self.id[b], when))
         self.text = {i: s for s, i in self.id.items()}
+        self.size = {i: len(s) for i, s in self.text.items()}
         self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self.compatible: dict[int, bool] = {}
         self.reach = {i for i in self.text if i not in self.halves or self._whole(i)}
@@ -119,28 +121,32 @@ class Bpe:
 
     def encode_piece(self, piece: str) -> list[int]:
         """The ids of one pre-token."""
-        s = piece.encode().decode("latin-1")
+        s = piece if piece.isascii() else piece.encode().decode("latin-1")
         n = len(s)
         longest = [0] * n
-        text, fits, shorter = self.text, self.fits, self.shorter
+        size, known, fits, shorter = self.size, self.compatible.get, self.fits, self.shorter
         for end, i in self.automaton.iter(s):  # ends ascend, so the last match from a position is its longest
-            longest[end - len(text[i]) + 1] = i
+            longest[end - size[i] + 1] = i
+        token = longest[0]
+        if size[token] == n:
+            return [token]
         out: list[int] = []
-        open_ = bytearray(b"\1" * (n + 1))
-        at, token = 0, longest[0]
+        closed = set()
+        at, last = 0, -1
         while True:
-            end = at + len(text[token])
-            if open_[end] and (not out or fits(out[-1], token)):
+            end = at + size[token]
+            if end not in closed and (last < 0 or (known(last << 20 | token) or fits(last, token))):
                 out.append(token)
                 if end == n:
                     return out
-                at, token = end, longest[end]
+                at, last, token = end, token, longest[end]
                 continue
             token = shorter[token]
             if token is None:
-                open_[at] = 0
+                closed.add(at)
                 token = out.pop()
-                at -= len(text[token])
+                at -= size[token]
+                last = out[-1] if out else -1
 
     def parts(self, text: str):
         """(part, whether it is a special token) of a text."""
@@ -162,7 +168,7 @@ class _Remembered(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        got = np.array(self.bpe.encode_piece(piece), dtype="<i4").tobytes()
+        got = array("i", self.bpe.encode_piece(piece)).tobytes()
         if len(self) < REMEMBERED and len(piece) <= REMEMBERED_CHARS:
             self[piece] = got
         return got

@@ -19,12 +19,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .shared import GROUP_BYTES, NULL_ID, cut, group_count, one_chunk, partitions, table, with_groups
+from .shared import GROUP_BYTES, NULL_ID, cut, group_count, id_key, one_chunk, partitions, table, with_groups
 
 WORDS = 5
 PERCENT = 80
@@ -296,7 +296,7 @@ def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, group_bytes: int = GROUP_BYTES, fragments: int = FRAGMENTS) -> DataFrame:
-    """One row per row of docs: key (the id), th (hash of the text), n_shingles, and component_id, the smallest id that links reach.
+    """One row per row of docs: key (the id), th (hash of the text), n_shingles, component_id, the smallest id that links reach, and root, a name of the component (null without n-grams).
 
     A-Z is lower-cased; a set holds the distinct n-grams of `words` words, or the whole sequence where there are fewer words. Null and
     empty texts have no n-grams, link with nothing, and are their own component. Two rows link when 100 * common >= percent * all.
@@ -337,10 +337,21 @@ def _with_component(sets: DataFrame, linked: DataFrame) -> DataFrame:
     low = F.min(F.when(F.col("key") != NULL_ID, F.col("key")))
     best = sets.where("n > 0").groupBy("cid").agg(low.alias("low")).join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     of_root = best.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = best.join(of_root, "root").select("cid", "component_id")
+    of_class = best.join(of_root, "root").select("cid", "component_id", "root")
     out = sets.join(of_class, "cid", "left")
     own = F.when(F.col("key") != NULL_ID, F.col("key"))
-    return out.select("key", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
+    return out.select("key", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the smallest (id, hash of text) stays, rows without n-grams all stay; of wholly equal rows one."""
+    found = near_duplicates(docs, id_col, text_col, **settings)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "th")).alias("r")).select("r.key", "r.th")
+    stay = first.union(found.where("root is null").select("key", "th").distinct())
+    rows = docs.withColumn("_key", id_key(id_col)).withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(stay.select(F.col("key").alias("_key"), F.col("th").alias("_th")), ["_key", "_th"], "left_semi")
+    once = F.row_number().over(Window.partitionBy("_key", "_th").orderBy("_key"))
+    return rows.withColumn("_once", once).where("_once = 1").select(*docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["_g", "_b", "bits"])
 
 
-def _remove(text_col: str, n: int, buckets: int, carried: list[str]):
+def _remove(text_col: str, n: int, buckets: int, carried: list[str], layout: bool):
     def cut_out(t: pa.Table, reply: pa.Table) -> pa.Table:
         w = _Windows(t, text_col, n, buckets)
         gone = w.repeated.copy()
@@ -123,13 +124,16 @@ def _remove(text_col: str, n: int, buckets: int, carried: list[str]):
         out = {c: one_chunk(t.column(c)) for c in carried if c != text_col}
         at = pa.array(w.place)
         out |= {"n_words": pa.array(np.diff(first)).take(at), "n_removed": pa.array(total[first[1:]] - total[first[:-1]]).take(at), "removed": spans.take(at), "kept_text": tn.joined(w.words, ~covered).take(at)}
+        if layout:
+            out["kept_text"] = pc.if_else(pc.equal(out["n_removed"], 0), one_chunk(t.column(text_col)).fill_null(""), out["kept_text"])
         return pa.table(out)
 
     return cut_out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """docs without text_col, and n_words, n_removed, removed (array of [from, to) in words, maximal) and kept_text (kept words joined by one space).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES, layout: bool = False) -> DataFrame:
+    """docs without text_col, and n_words, n_removed, removed (array of [from, to) in words, maximal) and kept_text (kept words joined by one space;
+    with layout a text that loses nothing stays as it is).
 
     A window is `window` consecutive words of one row; it goes if its words also start earlier: at a smaller id, or before in the
     same row. All windows are judged on the input. Null text has no words, and kept_text "". A null id comes before all others. Rows
@@ -148,7 +152,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reply = entries.repartitionById(buckets, F.col("_b")).mapInArrow(_count, _REPLY)
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carried if c != text_col] + ["n_words long, n_removed long, removed array<struct<from:long,to:long>>, kept_text string"])
-    return rows.groupBy("_g").cogroup(reply.groupBy("_g")).applyInArrow(_remove(text_col, window, buckets, carried), schema)
+    return rows.groupBy("_g").cogroup(reply.groupBy("_g")).applyInArrow(_remove(text_col, window, buckets, carried, layout), schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
