@@ -12,16 +12,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of the edges (long ids, nulls and loops ignored): label is the smallest node of its component.
 
     A round takes the smallest label among a node's neighbours and then that label's own label, so the rounds grow with the logarithm
-    of a component's diameter in practice. Only counts reach the driver.
+    of a component's diameter in practice. Only a flag reaches the driver; joins are by sort
+    and merge, as broadcasts round after round would fill the driver.
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).where("node != to")
     both = cut(pairs.union(pairs.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct())
     labels = cut(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
+        near = both.join(labels.withColumnRenamed("node", "to").hint("merge"), "to").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = cut(step.join(jump, "next").select("node", F.least("next", "far").alias("label"), F.col("label").alias("old")))
+        new = cut(step.join(jump.hint("merge"), "next").select("node", F.least("next", "far").alias("label"), F.col("label").alias("old")))
         moved = new.where("label != old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:

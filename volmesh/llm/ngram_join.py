@@ -6,7 +6,7 @@
    the smaller size). Buckets of the order count in how many classes each of these n-grams occurs; a group of documents sends an
    n-gram once, with its count. Ordered by that count, rarest first, a pair still shares one of the first (all - L + 1), and for text
    that is not a near copy these all occur once. So nearly all documents leave here, however many share a passage with them.
-3. What is left is linked through those rare n-grams, along a chain in order of size, into regions that no link can leave.
+3. What is left is linked through those rare n-grams, in runs of sizes that allow links, into regions that no link can leave.
 4. In each region the n-gram order is cut into fragments. Each fragment counts partial overlaps of pairs by itself, leaves out pairs
    that cannot reach the threshold even if all the rest agrees, and Spark sums the counts per pair.
    Regions of many documents aren't compared pair by pair: rounds of pivots are compared with all members, linked members merge, and
@@ -179,8 +179,8 @@ def _found(text_col, words, percent, buckets):
     return rare
 
 
-def _chain(percent: int):
-    """For one bucket: the documents of an n-gram in order of size, each linked to the next one if their sizes allow it."""
+def _runs(percent: int):
+    """For one bucket: the documents of an n-gram in order of size, cut where the next one is too large for a link; those of a run are linked to its smallest id."""
 
     def links(batches):
         got = [b for b in batches if b.num_rows]
@@ -191,7 +191,9 @@ def _chain(percent: int):
         by = np.lexsort((cid, size, gram))
         gram, cid, size = gram[by], cid[by], size[by].astype(np.int64)
         near = (gram[1:] == gram[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        pairs = np.unique(np.stack([cid[:-1][near], cid[1:][near]], axis=1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
+        run = np.concatenate([[0], np.cumsum(~near)]).astype(np.int64)[: len(gram)]
+        lowest = np.minimum.reduceat(cid, np.flatnonzero(np.concatenate([[True], ~near])[: len(gram)]))[run]
+        pairs = np.unique(np.stack([lowest, cid], axis=1)[lowest != cid], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return links
@@ -253,9 +255,9 @@ def _links(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: int
     """(a, b) of the pivots' links to members with another label. members: cid, region, label, block; pivots: cid, region, label, chunk."""
     blocks = members.select("region", "block").distinct()
     chunks = pivots.select("region", "chunk").distinct()
-    left = members.join(chunks, "region").select("cid", "region", "label", "block", "chunk", F.lit(False).alias("pivot"))
-    right = pivots.join(blocks, "region").select("cid", "region", "label", "block", "chunk", F.lit(True).alias("pivot"))
-    rows = left.union(right).join(parts, "cid")
+    left = members.join(chunks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(False).alias("pivot"))
+    right = pivots.join(blocks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(True).alias("pivot"))
+    rows = left.union(right).join(parts.hint("merge"), "cid")
     schema = "a long, b long, part long, sizes long"
     part = rows.groupBy("region", "block", "chunk", "v").applyInPandas(_overlaps(percent), schema)
     total = part.groupBy("a", "b", "sizes").agg(F.sum("part").alias("both"))
@@ -266,7 +268,7 @@ def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     """All links' components over classes, as edges. regions: node, label of the regions from step 3."""
     who = cut(regions.select(F.col("node").alias("cid"), F.col("label").alias("region")))
     count = who.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-    state = cut(who.join(count, "region").withColumn("label", F.col("cid")))
+    state = cut(who.join(count.hint("merge"), "region").withColumn("label", F.col("cid")))
     spread = F.xxhash64("cid")
     block = F.pmod(spread, F.ceil(F.col("members") / BLOCK)).cast("int")
     found = None
@@ -278,19 +280,19 @@ def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
         if round_:  # the later pivots come from outside the largest merged set
             sizes = big.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
             top = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
-            outside = big.join(top, "region").where("label != top")
+            outside = big.join(top.hint("merge"), "region").where("label != top")
         hashed = outside.select("cid", "region", "label", F.xxhash64("cid", F.lit(round_)).alias("h"), F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(PIVOTS)).alias("slot"))
         pivots = hashed.groupBy("region", "slot").agg(F.min_by(F.struct("cid", "label"), "h").alias("p")).select("p.cid", "region", "p.label", F.lit(0).alias("chunk"))
         links = cut(_links(parts, big.select("cid", "region", "label", block.alias("block")), pivots, percent))
         found = links if found is None else found.union(links)
         merged = components(found).withColumnRenamed("node", "cid").withColumnRenamed("label", "now")
-        state = cut(state.join(merged, "cid", "left").select("cid", "region", "members", F.coalesce("now", "cid").alias("label")))
+        state = cut(state.join(merged.hint("merge"), "cid", "left").select("cid", "region", "members", F.coalesce("now", "cid").alias("label")))
         big = state.where(f"members > {SMALL_REGION}")
     sizes = state.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
     top = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
-    pivots = state.join(top, "region").where("label != top").select("cid", "region", "label", block.alias("chunk"))
+    pivots = state.join(top.hint("merge"), "region").where("label != top").select("cid", "region", "label", block.alias("chunk"))
     open_ = pivots.select("region").distinct()
-    members = state.join(open_, "region", "left_semi").select("cid", "region", "label", block.alias("block"))
+    members = state.join(open_.hint("merge"), "region", "left_semi").select("cid", "region", "label", block.alias("block"))
     links = _links(parts, members, pivots, percent)
     return links if found is None else found.union(links)
 
@@ -325,8 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rare(t, r.filter(own), r.filter(pc.invert(own)))
 
     found = cut(rows.groupBy("_g").cogroup(told.groupBy("_g")).applyInArrow(split_reply, _FOUND))
-    chain = found.where("_b >= 0").repartitionById(buckets, F.col("_b")).mapInArrow(_chain(percent), "a long, b long")
-    regions = components(chain)
+    runs = found.where("_b >= 0").repartitionById(buckets, F.col("_b")).mapInArrow(_runs(percent), "a long, b long")
+    regions = components(runs)
     whole = found.where("_b < 0").select(F.col("own").alias("cid"), "n", "set")
     parts = cut(whole.join(regions.select(F.col("node").alias("cid")), "cid", "left_semi").mapInPandas(_parts(fragments), "cid long, n long, v int, part binary"))
     linked = components(_regions(parts, regions, percent)).withColumnRenamed("node", "cid").withColumnRenamed("label", "root")
