@@ -9,7 +9,7 @@
 3. What is left is linked through those rare n-grams, in runs of sizes that allow links, into regions that no link can leave.
 4. In each region the n-gram order is cut into fragments. Each fragment counts partial overlaps of pairs by itself, leaves out pairs
    that cannot reach the threshold even if all the rest agrees, and Spark sums the counts per pair.
-   Regions of many documents aren't compared pair by pair: rounds of pivots are compared with all members, linked members merge, and
+   Regions of many documents aren't compared pair by pair: some pivots are compared with all members, linked members merge, and
    the last round compares those outside the largest merged set with all members whose set differs.
 """
 
@@ -29,8 +29,8 @@ from .shared import GROUP_BYTES, NULL_ID, cut, group_count, id_key, one_chunk, p
 WORDS = 5
 PERCENT = 80
 FRAGMENTS = 4
-#: Regions of more members get rounds of so many pivots first. Members that one block of a fragment holds.
-SMALL_REGION, PIVOTS, BLOCK = 48, 16, 512
+#: Regions of more members get so many pivots first. Members that one block of a fragment holds.
+SMALL_REGION, PIVOTS, BLOCK = 64, 32, 512
 #: Counts are kept up to this; an n-gram in more classes is as good as one in so many.
 MOST = 255
 SETS = "key long, th long, n long, cid long"
@@ -273,21 +273,12 @@ def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     block = F.pmod(spread, F.ceil(F.col("members") / BLOCK)).cast("int")
     found = None
     big = state.where(f"members > {SMALL_REGION}")
-    for round_ in range(2):
-        if not big.limit(1).count():
-            break
-        outside = big
-        if round_:  # the later pivots come from outside the largest merged set
-            sizes = big.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
-            top = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
-            outside = big.join(top.hint("merge"), "region").where("label != top")
-        hashed = outside.select("cid", "region", "label", F.xxhash64("cid", F.lit(round_)).alias("h"), F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(PIVOTS)).alias("slot"))
+    if not big.isEmpty():
+        hashed = big.select("cid", "region", "label", F.xxhash64("cid").alias("h"), F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(PIVOTS)).alias("slot"))
         pivots = hashed.groupBy("region", "slot").agg(F.min_by(F.struct("cid", "label"), "h").alias("p")).select("p.cid", "region", "p.label", F.lit(0).alias("chunk"))
-        links = cut(_links(parts, big.select("cid", "region", "label", block.alias("block")), pivots, percent))
-        found = links if found is None else found.union(links)
+        found = cut(_links(parts, big.select("cid", "region", "label", block.alias("block")), pivots, percent))
         merged = components(found).withColumnRenamed("node", "cid").withColumnRenamed("label", "now")
         state = cut(state.join(merged.hint("merge"), "cid", "left").select("cid", "region", "members", F.coalesce("now", "cid").alias("label")))
-        big = state.where(f"members > {SMALL_REGION}")
     sizes = state.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
     top = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
     pivots = state.join(top.hint("merge"), "region").where("label != top").select("cid", "region", "label", block.alias("chunk"))
