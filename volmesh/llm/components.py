@@ -11,19 +11,17 @@ from .shared import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of the edges (long ids, nulls and loops ignored); the nodes of a component, and no others, share a label, which is one of them.
 
-    In a round each node points to its smallest neighbour, by a hash of the ids that is new each round, if that is smaller than itself; edges
-    then join what their ends point to, and those within one node vanish. A constant share of the nodes is left after a round on average, so rounds grow
-    with the logarithm of the largest component. Only a flag reaches the driver; joins are by sort and merge, as broadcasts round after round
-    would fill the driver.
+    In a round each node points to the smallest id within two steps, and edges then join what their ends point to; those within one
+    node vanish, so stars and groups of near copies take one round, and others shrink by a large factor. Only a flag reaches the driver;
+    joins are by sort and merge, as broadcasts round after round would fill the driver.
     """
     rest = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct())
     labels = None
-    round_ = 0
     while not rest.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(round_)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        ends = rest.select(F.explode(F.array(F.struct(F.col("a").alias("node"), order("b").alias("to")), F.struct(F.col("b").alias("node"), order("a").alias("to")))).alias("e")).select("e.*")
-        step = ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("to", order("node"))["id"].alias("next"))
-        step = cut(step)
+        both = rest.select(F.col("a").alias("node"), F.col("b").alias("to")).union(rest.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        near = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m"))
+        far = both.join(near.withColumnRenamed("node", "to").hint("merge"), "to").groupBy("node").agg(F.min("m").alias("next"))
+        step = cut(far.select("node", F.least("node", "next").alias("next")))
         hop = step.hint("merge")
         left = rest.join(hop.withColumnsRenamed({"node": "a", "next": "x"}), "a").join(hop.withColumnsRenamed({"node": "b", "next": "y"}), "b")
         rest = cut(left.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
@@ -31,5 +29,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = step.withColumnRenamed("next", "label")
         else:
             labels = labels.join(hop.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        round_ += 1
     return edges.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
