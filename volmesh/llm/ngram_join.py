@@ -7,8 +7,8 @@
    n-gram once, with its count. Ordered by that count, rarest first, a pair still shares one of the first (all - L + 1), and for text
    that is not a near copy these all occur once. So nearly all documents leave here, however many share a passage with them.
 3. What is left is linked through those rare n-grams, in runs of sizes that allow links, into regions that no link can leave.
-4. In each region the n-gram order is cut into fragments. Each fragment counts partial overlaps of pairs by itself, leaves out pairs
-   that cannot reach the threshold even if all the rest agrees, and Spark sums the counts per pair.
+4. In each region the n-gram order is cut into fragments. Each fragment counts partial overlaps of pairs by itself, a block of members
+   and a block of pivots at a time, and the counts are then summed per pair over the fragments.
    Regions of many documents aren't compared pair by pair: some pivots are compared with all members, linked members merge, and
    the last round compares those outside the largest merged set with all members whose set differs.
 """
@@ -30,7 +30,7 @@ WORDS = 5
 PERCENT = 80
 FRAGMENTS = 4
 #: Regions of more members get so many pivots first. Members that one block of a fragment holds.
-SMALL_REGION, PIVOTS, BLOCK = 64, 32, 512
+SMALL_REGION, PIVOTS, BLOCK = 64, 32, 256
 #: Counts are kept up to this; an n-gram in more classes is as good as one in so many.
 MOST = 255
 SETS = "key long, th long, n long, cid long"
@@ -215,40 +215,74 @@ def _parts(fragments: int):
     return cut_sets
 
 
-def _overlaps(percent: int):
-    """For one block of members and one of pivots, in one fragment: partial overlaps of the pairs that may still reach the threshold."""
-
-    def count(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["cid", "pivot"]).reset_index(drop=True)
-        parts = [np.frombuffer(s, "<u8") for s in t.part]
-        size = np.array([len(x) for x in parts])
-        gram = np.unique(np.concatenate(parts), return_inverse=True)[1] if len(parts) else np.zeros(0, int)
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        n, label, cid = t.n.to_numpy(), t.label.to_numpy(), t.cid.to_numpy()
-        is_pivot = t["pivot"].to_numpy()
-        members, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
-        own = np.concatenate([gram[bounds[m] : bounds[m + 1]] for m in members]) if len(members) else gram[:0]
-        skip = np.concatenate([[0], np.cumsum(size[members])])
-        mark = np.zeros(len(gram) + 1, dtype=np.int64)
-        a, b, c = [], [], []
-        for p in pivots:
-            mine = gram[bounds[p] : bounds[p + 1]]
-            mark[mine] = 1
+def _by_key(batches, keys: list[str]):
+    """(key, table) of every group, from batches in which equal keys follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = tuple(k[:, lo].tolist())
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+_COUNTS = "region long, block int, chunk int, v int, who binary, counts binary"
+
+
+def _overlaps(batches):
+    """For one block of members and one of pivots, in one fragment: the partial overlap of every pair, as a matrix; with the first fragment goes who they are."""
+    out = []
+    for (region, block, chunk, v), t in _by_key(batches, ["region", "block", "chunk", "v"]):
+        is_pivot = one_chunk(t.column("pivot")).to_numpy(zero_copy_only=False)
+        cid, n, label = (t.column(c).to_numpy() for c in ("cid", "n", "label"))
+        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in one_chunk(t.column("part"))]
+        members, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)  # both in order of cid
+        size = np.array([len(parts[m]) for m in members])
+        own = np.concatenate([parts[m] for m in members]) if len(members) else np.zeros(0, "<u8")
+        grams, own = np.unique(own, return_inverse=True)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        counts = np.zeros((len(pivots), len(members)), dtype="<u4")
+        for i, p in enumerate(pivots):
+            mark = np.zeros(len(grams) + 1, dtype=np.int64)
+            at = np.searchsorted(grams, parts[p])
+            hit = at < len(grams)
+            hit[hit] = grams[at[hit]] == parts[p][hit]
+            mark[at[hit]] = 1
             total = np.concatenate([[0], np.cumsum(mark[own])])
-            mark[mine] = 0
-            both = total[skip[1:]] - total[skip[:-1]]
-            need = -(-percent * (n[members] + n[p]) // (100 + percent))
-            rest = np.minimum(n[members] - size[members], n[p] - size[p])
-            ok = (label[members] != label[p]) & (both > 0) & (both + rest >= need)
-            a.append(np.full(int(ok.sum()), cid[p]))
-            b.append(cid[members[ok]])
-            c.append(np.stack([both[ok], n[members[ok]] + n[p]]))
-        if not a:
-            return pd.DataFrame({"a": [], "b": [], "part": [], "sizes": []}).astype("int64")
-        c = np.concatenate(c, axis=1)
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "part": c[0], "sizes": c[1]})
-
-    return count
+            counts[i] = total[edge[1:]] - total[edge[:-1]]
+        who = np.concatenate([[len(members)], *(x[y] for y in (members, pivots) for x in (cid, n, label))]).astype("<i8").tobytes() if v == 0 else None
+        out.append((region, block, chunk, v, who, counts.tobytes()))
+        if len(out) == 256:
+            yield from _table(out, _COUNTS).to_batches()
+            out = []
+    yield from _table(out, _COUNTS).to_batches()
+
+
+def _sums(percent: int):
+    """Sums the partial overlaps of each pair over the fragments, and gives the pairs that link and don't share a label yet."""
+
+    def links(batches):
+        for _, t in _by_key(batches, ["region", "block", "chunk"]):
+            who = np.frombuffer(next(x for x in t.column("who") if x.is_valid).as_buffer(), "<i8")
+            m = int(who[0])
+            p = (len(who) - 1) // 3 - m
+            cid, n, label = (who[1 + k * m : 1 + (k + 1) * m] for k in range(3))
+            cid_p, n_p, label_p = (who[1 + 3 * m + k * p : 1 + 3 * m + (k + 1) * p] for k in range(3))
+            both = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for c in t.column("counts").chunks for x in c).reshape(p, m)
+            every = n_p[:, None] + n[None, :] - both
+            i, j = np.nonzero((100 * both >= percent * every) & (label_p[:, None] != label[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(cid_p[i]), pa.array(cid[j])], names=["a", "b"])
+
+    return links
 
 
 def _links(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
@@ -257,11 +291,10 @@ def _links(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: int
     chunks = pivots.select("region", "chunk").distinct()
     left = members.join(chunks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(False).alias("pivot"))
     right = pivots.join(blocks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(True).alias("pivot"))
-    rows = left.union(right).join(parts.hint("merge"), "cid")
-    schema = "a long, b long, part long, sizes long"
-    part = rows.groupBy("region", "block", "chunk", "v").applyInPandas(_overlaps(percent), schema)
-    total = part.groupBy("a", "b", "sizes").agg(F.sum("part").alias("both"))
-    return total.where(f"100 * both >= {percent} * (sizes - both)").select("a", "b")
+    rows = left.union(right).join(parts.hint("merge"), "cid").select("region", "block", "chunk", "v", "pivot", "cid", "n", "label", "part")
+    place = ["region", "block", "chunk"]
+    counts = rows.repartition(*place, "v").sortWithinPartitions(*place, "v", "pivot", "cid").mapInArrow(_overlaps, _COUNTS)
+    return counts.repartition(*place).sortWithinPartitions(*place).mapInArrow(_sums(percent), "a long, b long")
 
 
 def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
