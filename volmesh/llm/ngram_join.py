@@ -73,12 +73,14 @@ def _prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets(words: int, text_col: str):
     def classes(batches):
-        for b in batches:
-            grams, first = shingles(b.column(text_col), words)
-            n = np.diff(first)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tn.mix(grams ^ tn.BASE))])
-            cid = tn.mix((total[first[1:]] - total[first[:-1]]) ^ (n.astype(np.uint64) * tn.BASE)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_th"), pa.array(n.astype(np.int64)), pa.array(cid)], names=["key", "th", "n", "cid"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):  # arrays over words are ten times the text
+                b = whole.slice(at, 1024)
+                grams, first = shingles(b.column(text_col), words)
+                n = np.diff(first)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tn.mix(grams ^ tn.BASE))])
+                cid = tn.mix((total[first[1:]] - total[first[:-1]]) ^ (n.astype(np.uint64) * tn.BASE)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_th"), pa.array(n.astype(np.int64)), pa.array(cid)], names=["key", "th", "n", "cid"])
 
     return classes
 
