@@ -14,7 +14,7 @@ from (select symbol, date, n, k, 400 * exp(sum((k - 200) / 10000.0) over (partit
 """
 #: Volatility indices by date, from lineitem.
 INDICES = """
-select cast(l_shipdate as date) as date, 10 + 200 * avg(l_discount) as vix, 12 + 180 * avg(l_tax) as vix9d, 14 + 120 * avg(l_tax) as vix3m, avg(l_discount) / 2 as irx
+select cast(l_shipdate as date) as date, round(10 + 200 * avg(l_discount), 6) as vix, round(12 + 180 * avg(l_tax), 6) as vix9d, round(14 + 120 * avg(l_tax), 6) as vix3m, round(avg(l_discount) / 2, 8) as irx
 from lineitem group by cast(l_shipdate as date)
 """
 #: Option prints, from events: calls and puts on a few strikes and expiries.
