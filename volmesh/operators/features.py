@@ -47,3 +47,19 @@ def forward_target(bars: DataFrame, horizon: int) -> DataFrame:
     ahead = w.rowsBetween(1, horizon)
     value = F.sqrt(252 * F.avg(F.col("ret") * F.col("ret")).over(ahead))
     return rows.select("symbol", "date", F.round(F.when(F.count("ret").over(ahead) == horizon, value), 6).alias("target"))
+
+
+def trend_measures(daily: DataFrame, k: float = 0.5) -> DataFrame:
+    """From daily features: 5 and 20-day returns, 5-day index change, efficiency of the 10 days before, a year's beta of index changes on returns (0 under 21 pairs), and a size tilt by the index rank."""
+    w = by_day("symbol")
+    rows = daily.withColumn("_dv", F.col("vix") - F.lag("vix").over(w))
+    total = lambda n: F.when(F.count("ret").over(w.rowsBetween(1 - n, 0)) == n, F.sum("ret").over(w.rowsBetween(1 - n, 0)))
+    ten, year = w.rowsBetween(-10, -1), w.rowsBetween(-251, 0)
+    path = F.sum(F.abs("ret")).over(ten)
+    both = F.when(F.col("_dv").isNotNull(), F.col("ret"))
+    pairs, spread = F.count(F.col("ret") * F.col("_dv")).over(year), F.var_samp(both).over(year)
+    beta = F.when((pairs < 21) | (spread == 0), 0.0).otherwise(F.covar_samp("_dv", "ret").over(year) / spread)
+    return rows.select(
+        "symbol", "date", F.round(total(5), 6).alias("ret5"), F.round(total(20), 6).alias("ret20"), F.round(F.col("vix") - F.lag("vix", 5).over(w), 5).alias("vix5"),
+        F.round(F.when((F.count("ret").over(ten) == 10) & (path > 0), F.abs(F.sum("ret").over(ten)) / path), 6).alias("efficiency"), F.round(beta, 4).alias("beta"), F.round(1 + k * (2 * F.col("vix_pct") - 1), 6).alias("tilt"),
+    )

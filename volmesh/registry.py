@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import asof, books, calendar, features
+from .plans import options, research
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -101,3 +102,6 @@ select book, date, (sum(d) over (partition by book order by date))::bigint as op
 select tier, bucket, count(*) as n, round(regr_intercept(half, mid), 6) as a, round(regr_slope(half, mid), 6) as b, round(quantile_cont(half, 0.5), 6) as median_half
 from (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) q) group by all""",
 }
+
+QUERIES |= {**options.QUERIES, **research.QUERIES}
+ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORACLES["forward_target"])}

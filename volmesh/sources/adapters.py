@@ -44,3 +44,15 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for t in names:
         sql = sql.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
     return spark.sql(sql, **names)
+#: Option prints on a moving forward with a parabolic smile (iv0), observed with a small error and a few outliers (iv).
+OPTIONS = """
+select *, 0.2 - 0.1 * k + 0.8 * k * k as iv0, 0.2 - 0.1 * k + 0.8 * k * k + (event_id % 7 - 3) / 1e3 + case when event_id % 53 = 0 then 5e-2 else 0e0 end as iv
+from (select event_id, ts, day, fwd, strike, dte, call, size, condition, ln(strike / fwd) as k, (dte + 5e-1) / 3.65e2 as years
+      from (select event_id, ts, cast(ts as date) as day, 600 + 8 * sin(event_id / 7e2) as fwd, cast(round(600 + 8 * sin(event_id / 7e2)) + (event_id * 7) % 41 - 20 as double) as strike,
+                   cast(7 + user_id % 4 * 14 as int) as dte, event_id % 2 = 0 as call, cast(user_id % 9 + 1 as int) as size, case event_type when 'purchase' then 209 when 'view' then 219 else 0 end as condition
+            from events e) a) b
+"""
+#: Candidates of a day with a score and a later label, from orders.
+CANDIDATES = """
+select cast(o_orderdate as date) as day, o_orderkey as name, cast(o_custkey * 7919 % 1009 as int) as score, o_totalprice as label from orders
+"""
