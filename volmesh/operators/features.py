@@ -60,6 +60,6 @@ def trend_measures(daily: DataFrame, k: float = 0.5) -> DataFrame:
     pairs, spread = F.count(F.col("ret") * F.col("_dv")).over(year), F.var_samp(both).over(year)
     beta = F.when((pairs < 21) | (spread == 0), 0.0).otherwise(F.covar_samp("_dv", "ret").over(year) / spread)
     return rows.select(
-        "symbol", "date", F.round(total(5), 6).alias("ret5"), F.round(total(20), 6).alias("ret20"), F.round(F.col("vix") - F.lag("vix", 5).over(w), 5).alias("vix5"),
+        "symbol", "date", F.round(total(5), 6).alias("ret5"), F.round(total(20), 6).alias("ret20"), F.round(F.col("vix") - F.lag("vix", 5).over(w), 6).alias("vix5"),
         F.round(F.when((F.count("ret").over(ten) == 10) & (path > 0), F.abs(F.sum("ret").over(ten)) / path), 6).alias("efficiency"), F.round(beta, 4).alias("beta"), F.round(1 + k * (2 * F.col("vix_pct") - 1), 6).alias("tilt"),
     )

@@ -76,8 +76,8 @@ def last_of_day(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def picks(candidates: DataFrame, day: str, score: str, name: str) -> DataFrame:
-    """By day: the candidate of the highest score (of equals, the first by name), its lead over the second, and the best in hindsight."""
+    """By day: the candidate of the highest score (of equals, the first by name), its lead over the second, the best in hindsight, the sum of labels and the number of candidates."""
     top = Window.partitionBy(day).orderBy(F.desc(score), name)
     rows = candidates.withColumn("_r", F.row_number().over(top)).where("_r <= 2").groupBy(day).agg(F.max(F.when(F.col("_r") == 1, F.col(name))).alias("pick"), (F.max(F.when(F.col("_r") == 1, F.col(score))) - F.max(F.when(F.col("_r") == 2, F.col(score)))).alias("lead"))
-    best = candidates.groupBy(day).agg(F.max("label").alias("best"), F.avg("label").alias("average"))
+    best = candidates.groupBy(day).agg(F.max("label").alias("best"), F.sum("label").alias("total"), F.count(F.lit(1)).alias("n"))
     return rows.join(best, day)

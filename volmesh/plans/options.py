@@ -65,7 +65,7 @@ def fitted_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = derived(spark, sf_dir, a.QUOTES)
     held = signals.half_spread(quotes, books.spread_fit(quotes, EDGES, TIERS), EDGES, TIERS, 0.02)
     buy = F.col("quote") % 2 == 0
-    return held.select("quote", F.round("fitted", 5).alias("fitted"), F.round(signals.fill_price(F.col("mid"), F.col("half"), buy, 2.0), 2).alias("fill"), signals.premium_size(F.col("mid"), 5000.0).alias("size"), F.round(signals.fee(F.col("dte"), 0.65, 1.0), 2).alias("fee"))
+    return held.select("quote", F.round("fitted", 10).alias("fitted"), F.round(signals.fill_price(F.col("mid"), F.col("half"), buy, 2.0), 2).alias("fill"), signals.premium_size(F.col("mid"), 5000.0).alias("size"), F.round(signals.fee(F.col("dte"), 0.65, 1.0), 2).alias("fee"))
 
 
 def print_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ f as (select q.*, quantile_cont(fwd, 0.5) over (partition by day order by ts, ev
 select day, dte, event_id, round(quantile_cont(fwd, 0.5) over w, 6) as forward from k window w as (partition by day order by ts, event_id rows 19 preceding) qualify count(*) over w >= 5""",
     "fitted_spread": f"""with q as (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) z),
 m as (select tier, bucket, round(regr_intercept(half, mid), 6) as a, round(regr_slope(half, mid), 6) as b from q group by all)
-select quote, round(greatest(0.02, a + b * mid), 5) as fitted, round(greatest(round_even((mid + case when quote % 2 = 0 then 1 else -1 end * 2 * half) / 0.01, 0) * 0.01, 0.01), 2) as fill, greatest(1, floor(5000 / (mid * 100))::int) as size, round(greatest(dte * 0.65, 1), 2)::double as fee
+select quote, round(greatest(0.02, a + b * mid), 10) as fitted, round(greatest(round_even((mid + case when quote % 2 = 0 then 1 else -1 end * 2 * half) / 0.01, 0) * 0.01, 0.01), 2) as fill, greatest(1, floor(5000 / (mid * 100))::int) as size, round(greatest(dte * 0.65, 1), 2)::double as fee
 from q left join m using (tier, bucket)""",
     "print_slots": """with e as (select time_bucket(interval 30 minutes, ts) as slot, value from events where value >= 5)
 select slot, count(*) as n, round(sum(value), 4) as total from e group by 1 having slot + interval 30 minutes <= (select max(ts) from events where value >= 5) - interval 1 hour""",

@@ -66,7 +66,7 @@ QUERIES = {f.__name__: f for f in (har_fit, forecast_losses, loss_gap, corrected
     "terciles": lambda s, d: reports.terciles(derived(s, d, a.TRIPS), "commission"),
     "stop_reentry": lambda s, d: reports.stop_reentry(derived(s, d, a.TRIPS)),
     "last_of_day": lambda s, d: reports.last_of_day(derived(s, d, a.TAPE).withColumn("day", F.to_date("ts")).select("day", "expiry_no", "ts", "event_id", "price"), ["day", "expiry_no"], ["ts", "event_id"]).select("day", "expiry_no", "event_id", "price"),
-    "picks": lambda s, d: reports.picks(derived(s, d, a.CANDIDATES), "day", "score", "name").withColumn("average", F.round("average", 4)),
+    "picks": lambda s, d: reports.picks(derived(s, d, a.CANDIDATES), "day", "score", "name").withColumn("total", F.round("total", 2)),
 }
 
 
@@ -93,7 +93,7 @@ select symbol, date, round(forecast * exp(coalesce(quantile_cont(e, 0.5) over (p
 q as (select symbol, date, case when premium > 0.05 then case when coalesce(term <= 1, false) then 'short' else 'flat' end when premium < -0.05 then 'long' else 'flat' end as signal from p)
 select symbol, date, signal, count(*) over w = 3 and count(*) filter (where signal = 'flat') over w = 3 as reset from q window w as (partition by symbol order by date rows 2 preceding)""",
         "trend_measures": f"""with f as ({daily}), g as (select *, vix - lag(vix) over w as dv from f window w as (partition by symbol order by date))
-select symbol, date, round(case when count(ret) over w5 = 5 then sum(ret) over w5 end, 6) as ret5, round(case when count(ret) over w20 = 20 then sum(ret) over w20 end, 6) as ret20, round(vix - lag(vix, 5) over w, 5) as vix5,
+select symbol, date, round(case when count(ret) over w5 = 5 then sum(ret) over w5 end, 6) as ret5, round(case when count(ret) over w20 = 20 then sum(ret) over w20 end, 6) as ret20, round(vix - lag(vix, 5) over w, 6) as vix5,
   round(case when count(ret) over w10 = 10 and sum(abs(ret)) over w10 > 0 then abs(sum(ret) over w10) / sum(abs(ret)) over w10 end, 6) as efficiency,
   round(case when count(ret * dv) over y < 21 or var_samp(ret) over y = 0 then 0 else covar_samp(dv, ret) over y / var_samp(ret) filter (where dv is not null) over y end, 4) as beta, round(1 + 0.5 * (2 * vix_pct - 1), 6) as tilt
 from g window w as (partition by symbol order by date), w5 as (partition by symbol order by date rows 4 preceding), w20 as (partition by symbol order by date rows 19 preceding), w10 as (partition by symbol order by date rows between 10 preceding and 1 preceding), y as (partition by symbol order by date rows 251 preceding)""",
@@ -113,5 +113,5 @@ select book, (commission > c1)::int + (commission > c2)::int as tercile, count(*
 select k.book, k.side, k.stops, coalesce(soon, 0) as soon from (select book, side, count(*) filter (where reason = 'stop') as stops from t group by 1, 2) k left join n using (book, side)""",
         "last_of_day": f"select ts::date as day, expiry_no, event_id, price from ({a.TAPE}) t qualify row_number() over (partition by ts::date, expiry_no order by ts desc, event_id desc) = 1",
         "picks": f"""with c as ({a.CANDIDATES}), r as (select *, row_number() over (partition by day order by score desc, name) as r from c)
-select day, max(name) filter (where r = 1) as pick, max(score) filter (where r = 1) - max(score) filter (where r = 2) as lead, max(label) as best, round(avg(label), 4) as average from r group by 1""",
+select day, max(name) filter (where r = 1) as pick, max(score) filter (where r = 1) - max(score) filter (where r = 2) as lead, max(label) as best, round(sum(label), 2) as total, count(*) as n from r group by 1""",
     }
