@@ -56,3 +56,14 @@ from (select event_id, ts, day, fwd, strike, dte, call, size, condition, ln(stri
 CANDIDATES = """
 select cast(o_orderdate as date) as day, o_orderkey as name, cast(o_custkey * 7919 % 1009 as int) as score, o_totalprice as label from orders
 """
+#: Hourly snapshots of quotes on the option prints: some without a bid, a delta or an implied volatility, some crossed.
+CHAIN = f"""
+select event_id, day, hour(ts) as hour, dte, strike, call, fwd, k, years, size, mid as last, case when event_id % 31 = 0 then null when call then 1 / (1 + exp(12 * k)) else 1 / (1 + exp(12 * k)) - 1 end as delta,
+       case when event_id % 5 = 0 or hour(ts) % 6 = 5 and event_id % 3 > 0 then null else iv0 end as iv, case when event_id % 17 = 0 then 0e0 when event_id % 23 = 0 then null else mid * 9.9e-1 - 2e-2 end as bid,
+       case when event_id % 29 = 0 then mid * 9.8e-1 - 3e-2 else mid * 1.01e0 + 2e-2 end as ask
+from (select *, greatest(case when call then fwd - strike else strike - fwd end, 0) + 4e-1 * fwd * iv0 * sqrt(years) * exp(-8 * k * k) as mid from ({OPTIONS}) o) p
+"""
+#: Quarterly dividends, from lineitem.
+DIVIDENDS = """
+select cast(date_trunc('quarter', l_shipdate) as date) as ex_date, round(avg(l_discount) * 20, 4) as amount from lineitem group by cast(date_trunc('quarter', l_shipdate) as date)
+"""
