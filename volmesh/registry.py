@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import asof, books, calendar, features
-from .plans import market, options, research
+from .plans import market, options, research, trades
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -103,5 +103,5 @@ select tier, bucket, count(*) as n, round(regr_intercept(half, mid), 6) as a, ro
 from (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) q) group by all""",
 }
 
-QUERIES |= {**options.QUERIES, **research.QUERIES, **market.QUERIES}
-ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORACLES["forward_target"]), **market.ORACLES}
+QUERIES |= {**options.QUERIES, **research.QUERIES, **market.QUERIES, **trades.QUERIES}
+ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORACLES["forward_target"]), **market.ORACLES, **trades.ORACLES}

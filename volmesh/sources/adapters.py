@@ -67,3 +67,9 @@ from (select *, greatest(case when call then fwd - strike else strike - fwd end,
 DIVIDENDS = """
 select cast(date_trunc('quarter', l_shipdate) as date) as ex_date, round(avg(l_discount) * 20, 4) as amount from lineitem group by cast(date_trunc('quarter', l_shipdate) as date)
 """
+#: Marks of contracts with one of four expiries.
+MARKS = f"""
+select event_id, ts, day, cast('2024-01-12' as date) + cast((dte - 7) / 2 as int) as expiry, strike, call, fwd, case when call then 1 / (1 + exp(12 * k)) else 1 / (1 + exp(12 * k)) - 1 end as delta,
+       greatest(case when call then fwd - strike else strike - fwd end, 0) + 4e-1 * fwd * iv0 * sqrt(years) * exp(-8 * k * k) as mid
+from ({OPTIONS}) o
+"""
