@@ -7,7 +7,7 @@ import pytest
 from volmesh import registry
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
 def canonical(df: pd.DataFrame) -> list[tuple]:

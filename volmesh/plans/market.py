@@ -95,7 +95,7 @@ def index_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = derived(spark, sf_dir, a.INDICES)
     long = i.select("date", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.when(F.col(c) > b, F.col(c)).alias("v")) for c, b in (("vix", 20), ("vix9d", 19), ("vix3m", 19))])).alias("_e")).select("date", "_e.*")
     wide = long.groupBy("date").pivot("name", ["vix", "vix3m", "vix9d"]).agg(F.max("v")).na.drop("all", subset=["vix", "vix3m", "vix9d"])
-    return wide.select("date", *[F.round(c, 5).alias(c) for c in ("vix", "vix3m", "vix9d")])
+    return wide.select("date", *[F.round(c, 6).alias(c) for c in ("vix", "vix3m", "vix9d")])
 
 
 def quote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,7 @@ select contract, day from s where isodow(day) < 6 except select contract, day fr
     "even_sample": f"""with d as (select distinct date from ({a.BARS}) b), l as (select list(date order by date) as x from d)
 select distinct x[floor(j * (len(x) - 1) / 49.0)::int + 1] as day from l, range(50) r(j)""",
     "replaced_log": f"select date, round(case when month(date) = 6 then case when day(date) > 1 then vix + 1 end else vix end, 4) as vix from ({a.INDICES}) i",
-    "index_pivot": f"select date, round(case when vix > 20 then vix end, 5) as vix, round(case when vix3m > 19 then vix3m end, 5) as vix3m, round(case when vix9d > 19 then vix9d end, 5) as vix9d from ({a.INDICES}) i where vix > 20 or vix3m > 19 or vix9d > 19",
+    "index_pivot": f"select date, round(case when vix > 20 then vix end, 6) as vix, round(case when vix3m > 19 then vix3m end, 6) as vix3m, round(case when vix9d > 19 then vix9d end, 6) as vix9d from ({a.INDICES}) i where vix > 20 or vix3m > 19 or vix9d > 19",
     "quote_quality": f"""with {_CLEAN}, g as (select day, hour from c group by all having avg((iv is not null)::int) >= 0.5)
 select event_id, round(mid, 6) as mid, round(ask - bid, 6) as width from c join g using (day, hour) where bid > 0 and ask > bid and delta is not null and dte between 7 and 45 and abs(ln(strike / fwd)) <= 0.025""",
     "recent_universe": f"""with s as (select distinct day, dte, strike, call from ({a.OPTIONS}) o where condition > 0), n as (select day, row_number() over (order by day) as i from (select distinct day from s) q), k as (select * from s join n using (day)),

@@ -68,7 +68,7 @@ def premium_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 def yearly_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net profit by book and year, reasons as columns."""
     wide = _trips(spark, sf_dir).groupBy("book", F.year("exit").alias("year")).pivot("reason", ["flat", "profit", "stop", "time"]).agg(F.sum(net())).na.fill(0.0)
-    return wide.select("book", "year", *[F.round(c, 2).alias(c) for c in ("flat", "profit", "stop", "time")])
+    return wide.select("book", "year", *[F.round(c, 4).alias(c) for c in ("flat", "profit", "stop", "time")])
 
 
 def entry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def gate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips by whether the day before their entry had an inverted term structure."""
     days = research._features(spark, sf_dir).select(F.col("symbol").alias("book"), F.col("date").alias("entry"), F.lag("term").over(Window.partitionBy("symbol").orderBy("date")).alias("_t"))
     rows = _trips(spark, sf_dir).join(days, ["book", "entry"], "left").withColumn("gated", F.coalesce(F.col("_t") > 1, F.lit(False)))
-    return rows.groupBy("book", "side", "gated").agg(F.count(F.lit(1)).alias("trips"), F.round(F.sum(net()), 2).alias("net"))
+    return rows.groupBy("book", "side", "gated").agg(F.count(F.lit(1)).alias("trips"), F.round(F.sum(net()), 4).alias("net"))
 
 
 def yearly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def share_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = reports.daily(_trips(spark, sf_dir)).withColumn("_late", F.dayofmonth("date") > 20)
     rows = scorecards.tail_split(days, ["book"], "pnl", "_late", 0.05)
-    return rows.select("book", "live", "n", "bad", *[F.round(c, 3).alias(c) for c in ("tail", "worst", "total")])
+    return rows.select("book", "live", "n", "bad", *[F.round(c, 4).alias(c) for c in ("tail", "worst", "total")])
 
 
 def signal_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +167,10 @@ y as (select year(date)::int as year, count(*) as days from s where isodow(date)
 union all select book, q, 'tiered', greatest(case when q <= 50 then q * 0.05 when q <= 100 then 2.5 + (q - 50) * 0.03 else 4 + (q - 100) * 0.02 end + q * 0.001, 0.35) from u) select book, plan, round(sum(fee), 3) as fees, round(quantile_cont(q, 0.5), 3) as median_units from p group by 1, 2""",
         "entry_weekdays": f"with {trips} select book, " + ", ".join(f"count(*) filter (where isodow(entry) = {i + 1}) as d{i}" for i in range(7)) + " from t group by 1",
         "premium_ratios": f"with {trips} select book, year(exit)::int as year, " + ", ".join(f"round(quantile_cont(pnl / commission, {int(n[1:]) / 100}), 4) as {n}" for n in ("q5", "q25", "q50", "q75", "q95")) + " from t group by 1, 2",
-        "yearly_reasons": f"with {trips} select book, year(exit)::int as year, " + ", ".join(f"round(coalesce(sum(pnl - commission) filter (where reason = '{r}'), 0), 2) as {r}" for r in ("flat", "profit", "stop", "time")) + " from t group by 1, 2",
+        "yearly_reasons": f"with {trips} select book, year(exit)::int as year, " + ", ".join(f"round(coalesce(sum(pnl - commission) filter (where reason = '{r}'), 0), 4) as {r}" for r in ("flat", "profit", "stop", "time")) + " from t group by 1, 2",
         "entry_state": f"with {trips}, f as ({daily}), s as ({signal}) select trade, signal, vix, vix_pct from t left join f on f.symbol = t.book and f.date = t.entry left join s on s.symbol = t.book and s.date = t.entry",
         "gate_split": f"""with {trips}, f as ({daily}), g as (select symbol, date, lag(term) over (partition by symbol order by date) as prior from f)
-select book, side, coalesce(prior > 1, false) as gated, count(*) as trips, round(sum(pnl - commission), 2) as net from t left join g on g.symbol = t.book and g.date = t.entry group by 1, 2, 3""",
+select book, side, coalesce(prior > 1, false) as gated, count(*) as trips, round(sum(pnl - commission), 4) as net from t left join g on g.symbol = t.book and g.date = t.entry group by 1, 2, 3""",
         "yearly_rates": f"""with {trips}, s as (select book, min(entry) as a, max(exit) as b, count(*) as n, sum(pnl - commission) as p, (max(exit) - min(entry)) / 365.25 as years from t group by 1),
 l as (select t.book, count(*) as n, sum(pnl - commission) as p, count(distinct exit) as d from t join s using (book) where s.b - t.exit < 90 group by 1)
 select s.book, round(years, 3)::double as years, round(s.n / years, 3) as trips_year, round(s.p / years, 3) as pnl_year, round(s.p / s.n, 3) as per_trade, round(l.n * 252 / l.d, 3) as live_trips, round(l.p * 252 / l.d, 3) as live_pnl from s join l using (book)""",
@@ -180,7 +180,7 @@ select book, year, count(*) as days, round(stddev_samp(pnl), 3) as deviation fro
 select call, day, round(coalesce(sum(gain) filter (where was), 0), 4) as held, round(coalesce(sum(gain) filter (where not was), 0), 4) as flat, round(sum(cost), 4) as cost from l group by 1, 2""",
         "tail_gate": f"""with {trips}, d as (select book, exit as date, sum(pnl - commission) as pnl from t group by all), b as (select *, 'all' as live from d union all select *, 'gated' from d where day(date) <= 20),
 r as (select *, row_number() over (partition by book, live order by pnl, date) as r, count(*) over (partition by book, live) as k, stddev_samp(pnl) over (partition by book, live) as s from b)
-select book, live, count(*) as n, count(*) filter (where pnl < -s) as bad, round(avg(pnl) filter (where r <= ceil(k * 0.05)), 3) as tail, round(min(pnl), 3) as worst, round(sum(pnl), 3) as total from r group by 1, 2""",
+select book, live, count(*) as n, count(*) filter (where pnl < -s) as bad, round(avg(pnl) filter (where r <= ceil(k * 0.05)), 4) as tail, round(min(pnl), 4) as worst, round(sum(pnl), 4) as total from r group by 1, 2""",
         "signal_directions": f"""with f as ({daily}), s as ({signal}), m as (select symbol, date, lead(vix) over (partition by symbol order by date) - vix as move from f), j as (select * from s join m using (symbol, date) where move is not null and signal is not null)
 select symbol, year(date)::int as year, count(*) as n, round(avg((signal = 'flat')::int), 6) as flat, round(avg((move < 0)::int) filter (where signal = 'short'), 6) as short_right, round(avg((move > 0)::int) filter (where signal = 'long'), 6) as long_right from j group by 1, 2""",
         "bias_bands": f"""with f as ({daily}), g as ({target}), j as (select * from f join g using (symbol, date) where target is not null and vix is not null)

@@ -50,7 +50,7 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compared_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matching.compare_books(derived(spark, sf_dir, a.TRIPS), "1-URGENT", "2-HIGH")
-    return rows.select("side", "entry", "n", "status", F.round(F.coalesce("pnl_a", F.lit(0.0)) - F.coalesce("pnl_b", F.lit(0.0)), 3).alias("gap"))
+    return rows.select("side", "entry", "n", "status", F.round(F.coalesce("pnl_a", F.lit(0.0)) - F.coalesce("pnl_b", F.lit(0.0)), 4).alias("gap"))
 
 
 def overlapping_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def overlapping_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marginal_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.marginal(reports.daily(derived(spark, sf_dir, a.TRIPS)), "1-URGENT", "5-LOW").withColumn("marginal", F.round("marginal", 3))
+    return matching.marginal(reports.daily(derived(spark, sf_dir, a.TRIPS)), "1-URGENT", "5-LOW").withColumn("marginal", F.round("marginal", 4))
 
 
 def position_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,9 @@ b as (select call, day, coalesce(open, 0) as open, sum(coalesce(r, 0)) over (par
 select o.trade, c.trade as close, (c.exit - o.entry)::int as days from o left join c using (book, side, entry, n)""",
     "repeated_keys": f"with {_TRIPS} select book, side, entry, count(*) as n from t group by all having count(*) > 1",
     "compared_books": f"""with {_TRIPS}, n as (select *, row_number() over (partition by book, side, entry order by trade)::int as n from t), x as (select * from n where book = '1-URGENT'), y as (select * from n where book = '2-HIGH')
-select side, entry, n, case when y.trade is null then 'first' when x.trade is null then 'second' when x.exit = y.exit and x.reason = y.reason then 'same' else 'changed' end as status, round(coalesce(x.pnl, 0) - coalesce(y.pnl, 0), 3) as gap from x full join y using (side, entry, n)""",
+select side, entry, n, case when y.trade is null then 'first' when x.trade is null then 'second' when x.exit = y.exit and x.reason = y.reason then 'same' else 'changed' end as status, round(coalesce(x.pnl, 0) - coalesce(y.pnl, 0), 4) as gap from x full join y using (side, entry, n)""",
     "overlapping_entries": f"with {_TRIPS} select book, count(*) as trips, count(*) filter (where exists (select 1 from t o where o.book = t.book and o.entry < t.entry and o.exit > t.entry)) as inside from t group by 1",
     "marginal_daily": f"""with {_TRIPS}, d as (select book, exit as date, sum(pnl - commission) as pnl from t group by all)
-select date, round(coalesce(x.pnl - y.pnl, 0), 3) as marginal from (select * from d where book = '1-URGENT') x full join (select * from d where book = '5-LOW') y using (date)""",
+select date, round(coalesce(x.pnl - y.pnl, 0), 4) as marginal from (select * from d where book = '1-URGENT') x full join (select * from d where book = '5-LOW') y using (date)""",
     "position_differences": f"""with {_TRIPS} select book, side, reason, count(*) as held, count(*) filter (where trade % 5 > 0) as recorded from t where entry <= date '1996-01-01' and exit > date '1996-01-01' group by all having count(*) filter (where trade % 5 = 0) > 0""",
 }

@@ -40,7 +40,7 @@ from orders join lineitem on l_orderkey = o_orderkey group by o_orderpriority, o
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the texts above; its tables are read from sf_dir."""
-    names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "events", "part") if f" {t} " in sql.replace("\n", " ") + " "}
+    names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "events", "part", "documents") if f" {t} " in sql.replace("\n", " ") + " "}
     for t in names:
         sql = sql.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
     return spark.sql(sql, **names)
@@ -73,3 +73,13 @@ select event_id, ts, day, cast('2024-01-12' as date) + cast((dte - 7) / 2 as int
        greatest(case when call then fwd - strike else strike - fwd end, 0) + 4e-1 * fwd * iv0 * sqrt(years) * exp(-8 * k * k) as mid
 from ({OPTIONS}) o
 """
+#: Trial runs with a configuration each, from orders.
+RUNS = """
+select o_orderkey as run, concat(o_orderpriority, '/', o_orderstatus) as name, cast(o_orderdate as date) as ran, cast(o_custkey % 7 as int) as config, cast(1 + o_orderkey % 2 as int) as multiple, o_totalprice as pnl from orders
+"""
+#: Cards as markdown text, from documents.
+CARDS = """
+select doc_id, concat('# ', source, ' study', chr(10), '| Owner | ', lang, ' |', chr(10), '| Status | ', case when doc_id % 3 = 0 then 'Done: kept' when doc_id % 3 = 1 then 'Open' else 'Done: dropped, see notes' end, ' |', chr(10),
+       '| Started | 2024-0', cast(1 + doc_id % 9 as int), '-11 |', chr(10), case when doc_id % 4 = 0 then '' else '## Verdict' end, chr(10)) as card
+from documents
+"""

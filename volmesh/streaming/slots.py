@@ -21,3 +21,25 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     folder = f"{top}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def paired_prints(calls: DataFrame, puts: DataFrame, keys: list[str], within: str, late: str) -> DataFrame:
+    """Each call with every put of the same keys that came at most `within` before it: a join of two streams whose state the watermarks bound. Which put is the latest is for the reader of the sink (max_by)."""
+    a = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    b = puts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ts").cast("timestamp").alias("put_ts"), F.col("price").alias("put")).withWatermark("put_ts", late)
+    on = F.expr(f"put_ts <= ts and put_ts >= ts - interval {within}")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return a.join(b, on).drop(*[f"_{k}" for k in keys])
+
+
+def overwrite_partitions(spark: SparkSession, stream: DataFrame, parts: list[str], name: str) -> DataFrame:
+    """Runs a stream over what its source has now into partitions that each batch replaces, so that a batch that runs twice leaves one copy; returns the table."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = f"{top}/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{folder}/rows")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
