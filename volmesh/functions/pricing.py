@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,17 +40,27 @@ def price(fwd: Column, strike: Column, years: Column, rate: Column, sigma: Colum
     return F.exp(-rate * years) * F.when(call, value).otherwise(value - fwd + strike)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: folds are not optimised for common parts."""
+    return F.transform(F.array(value), body)[0]
+
+
 def implied(value: Column, fwd: Column, strike: Column, years: Column, rate: Column, call: Column) -> Column:
     """Volatility by 60 halvings of [0.001, 5]; null for prices that no volatility in there gives, at or below intrinsic value, or at no time left."""
     at = lambda s: price(fwd, strike, years, rate, s, call)
     intrinsic = F.exp(-rate * years) * F.greatest(F.when(call, fwd - strike).otherwise(strike - fwd), F.lit(0.0))
+    goal = value * F.exp(rate * years) + F.when(call, 0.0).otherwise(fwd - strike)  # as an undiscounted call
+
+    def halve(fixed: Column, s: Column) -> Column:
+        def side(mid: Column) -> Column:
+            above = bound(mid * fixed.root, lambda sd: bound(fixed.m / sd + sd / 2, lambda d1: bound(d1 - sd, lambda d2: fixed.fwd * normal_cdf(d1) - fixed.strike * normal_cdf(d2) > fixed.goal)))
+            return F.when(above, F.struct(s.lo.alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), s.hi.alias("hi")))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s.lo + s.hi) / 2
-        above = at(mid) > value
-        return F.struct(F.when(above, s.lo).otherwise(mid).alias("lo"), F.when(above, mid).otherwise(s.hi).alias("hi"))
+        return bound((s.lo + s.hi) / 2, side)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi")), halve, lambda s: (s.lo + s.hi) / 2)
+    start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
+    fixed = F.struct(F.log(fwd / strike).alias("m"), F.sqrt(years).alias("root"), fwd.alias("fwd"), strike.alias("strike"), goal.alias("goal"))
+    found = bound(fixed, lambda f: F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, _: halve(f, s), lambda s: (s.lo + s.hi) / 2))
     return F.when((years > 0) & (value > intrinsic) & (value > at(F.lit(LOW))) & (value < at(F.lit(HIGH))), found)
 
 
