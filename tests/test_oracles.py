@@ -21,7 +21,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(one(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_equal(spark, name):
     c = duckdb.connect()
     for t in TABLES:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import asof, books, calendar, features
-from .plans import market, options, research, scores, studies, trades
+from .plans import desk, market, options, research, scores, studies, trades
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -103,7 +103,8 @@ select tier, bucket, count(*) as n, round(regr_intercept(half, mid), 6) as a, ro
 from (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) q) group by all""",
 }
 
-QUERIES |= {**options.QUERIES, **research.QUERIES, **market.QUERIES, **trades.QUERIES, **scores.QUERIES, **studies.QUERIES}
+QUERIES |= {**options.QUERIES, **research.QUERIES, **market.QUERIES, **trades.QUERIES, **scores.QUERIES, **studies.QUERIES, **desk.QUERIES}
 ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORACLES["forward_target"]), **market.ORACLES, **trades.ORACLES}
 ORACLES |= scores.oracles(ORACLES["book_metrics"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"])
 ORACLES |= studies.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["har_fit"])
+ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("round(realized, 3)", "realized").replace("round(open, 3)", "open").replace("round(realized + open, 3)", "realized + open"))
