@@ -54,6 +54,25 @@ def test_base_counts(docs, spark):
     assert quality_rules.quality_rules(docs.limit(0), docs.select("doc_id")).count() == 0
 
 
+def log_ratios(spark, rows, trusted):
+    """op1's log_ratio of each of rows (id, text), with the target counted on all rows whose id is in trusted; only the hash itself is Spark's."""
+    grams = lambda t: [x for w in [WORD.findall(t or "")] for x in [*[(a, None) for a in w], *zip(w, w[1:])]]
+    each = [grams(t) for _, t in rows]
+    hashed = spark.createDataFrame(sorted({g for x in each for g in x}, key=str) or [("", None)], "a string, b string")
+    bucket = {(r.a, r.b): r.h for r in hashed.selectExpr("a", "b", "pmod(if(b is null, xxhash64(a), xxhash64(a, b, 2)), 8192) as h").collect()}
+    raw = Counter(bucket[g] for x in each for g in x)
+    target = Counter(bucket[g] for x, (i, _) in zip(each, rows) if i in trusted for g in x)
+    value = {h: np.log((target[h] + 1) / (target.total() + 8192)) - np.log((raw[h] + 1) / (raw.total() + 8192)) if target else 0.0 for h in raw}
+    return [float(np.mean([value[bucket[g]] for g in x])) if x else 0.0 for x in each]
+
+
+def test_every_trusted_text_counts(spark):
+    rows = [(i, f"good g{i % 5} g{i % 7}" if i < 24_000 else f"bad b{i % 3}") for i in range(25_000)]
+    trusted = spark.range(-10, 24_000).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: r.log_ratio for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), trusted.union(trusted)).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(log_ratios(spark, rows, range(24_000)), abs=1e-9)
+
+
 def test_substring_dedup(docs):
     seen, want = set(), []
     order = sorted({(-1 if i is None else i, t) for i, t in texts()}, key=lambda x: x[0])

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .shared import table
 
 BUCKETS = 8192
-#: Trusted texts that the target is counted on, at most; the ones whose ids' hashes are smallest.
-TRUSTED_ROWS = 20_000
 #: Mean log ratio below which a text is rejected.
 THRESHOLD = -0.12
 SPACE = " \t\n\x0b\f\r"
@@ -74,11 +72,11 @@ def _pairs(rows: DataFrame, keep: list[str]) -> DataFrame:
     return each.select(*keep, one.alias("_one"), two.alias("_two"))
 
 
-def ratios(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRUSTED_ROWS) -> Column:
-    """log(target / raw) of every bucket, as an array constant. Raw counts are over all texts; without any trusted text all ratios are 0."""
-    ids = trusted_ids.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    # at most `rows` ids of 8 bytes go to the executors
-    known = docs.select(F.col(id_col).cast("long").alias("_id"), words(F.col(text_col)).alias("_words")).join(F.broadcast(ids.withColumn("_t", F.lit(1))), "_id", "left")
+def ratios(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """log(target / raw) of every bucket, as an array constant. Raw counts are over all texts, target counts over all trusted ones; without any trusted text all ratios are 0."""
+    ids = trusted_ids.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1))
+    # a merge join at every size: neither the ids nor their number decide how it runs
+    known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(ids.hint("merge"), "_id", "left").select("_t", words(F.col("_text")).alias("_words"))
     grams = _pairs(known, ["_t"]).select("_t", F.explode(F.array("_one", "_two")).alias("b")).where("b is not null")
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target"))
     every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "target")])
