@@ -147,6 +147,18 @@ def test_bpe_and_packing(docs):
         assert at <= 1024
 
 
+def test_packed_ids(spark):
+    t = Tokenizer.from_file(VOCABULARY)
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    rows = texts() + [(200 + i, x) for i, x in enumerate([*special, *[f"a {x}b\n{x}{x} c" for x in special], " " * 3000 + "x", "\n \t\r\n" * 500, "a" + "\u00a0\u2003" * 40 + "b", "naïve Привет नमस्ते 🙂👩‍👩‍👧 e\u0301", "I'll 'S 12345 $$$ ??!", "word " * 2500])]
+    rows = [(k, x) for k, (_, x) in enumerate(rows)]
+    got = {}
+    for r in sorted(packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), VOCABULARY, with_ids=True).collect(), key=lambda r: r.start):
+        assert r.start == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id] += r.ids
+    assert got == {k: [*t.encode(x or "", add_special_tokens=False).ids, 0] for k, x in rows}
+
+
 def test_patterns_use_every_length():
     r = random.Random(1)
     for _ in range(20):
