@@ -19,8 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .shared import table
+from .shared import fields, table
 
 #: The pre-tokenizer of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -234,27 +235,23 @@ def _decode(path: str, ids_col: str, carried: list[str]):
     return run
 
 
-def _fields(df: DataFrame, columns: list[str]) -> str:
-    kinds = dict(df.dtypes)
-    return "".join(f"`{c}` {kinds[c]}, " for c in columns)
-
-
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs without text_col, and ids (array<int>) of each whole text; with decoded also the text that the ids give.
 
     vocabulary: path of a byte-level BPE in the JSON of the tokenizers library, at the same place on each executor. Ids are those of that
     library without added special tokens; its special strings in a text become their ids. Null and empty texts have no ids (and give ""). Repeated
-    rows each get their row. Input columns named ids or decoded are replaced.
+    rows each get their row. An empty table gives an empty table; texts may be of any length. Input columns named ids or decoded are replaced; other names don't matter.
     """
     carried = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
-    out = _fields(docs, carried) + "ids array<int>" + (", decoded string" if decoded else "")
-    return docs.select(*carried, text_col).mapInArrow(_encode(vocabulary, text_col, carried, decoded), out)
+    out = fields(docs, carried).add("ids", ArrayType(IntegerType()))
+    out = out.add("decoded", "string") if decoded else out
+    return docs.select(*[F.col(f"`{c}`") for c in [*carried, text_col]]).mapInArrow(_encode(vocabulary, text_col, carried, decoded), out)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """rows without ids_col, and decoded: the text of the ids, special tokens included; null gives "". An input column named decoded is replaced."""
     carried = [c for c in rows.columns if c not in (ids_col, "decoded")]
-    return rows.select(*carried, F.col(ids_col)).mapInArrow(_decode(vocabulary, ids_col, carried), _fields(rows, carried) + "decoded string")
+    return rows.select(*[F.col(f"`{c}`") for c in [*carried, ids_col]]).mapInArrow(_decode(vocabulary, ids_col, carried), fields(rows, carried).add("decoded", "string"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

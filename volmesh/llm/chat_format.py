@@ -25,6 +25,8 @@ class Template:
     #: (state, role, next state); a role without a transition is out of order.
     turns: tuple[tuple[str, str, str], ...] = (("start", "system", "system"), ("start", "user", "user"), ("system", "user", "user"), ("user", "assistant", "assistant"), ("assistant", "user", "user"))
     final: tuple[str, ...] = ("assistant",)
+    #: Whether turns from the first one out of order on count for the loss as well.
+    loss_out_of_order: bool = True
 
 
 def escape(text: Column) -> Column:
@@ -51,11 +53,12 @@ def _next_state(t: Template, state: Column, role: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per conv_id of rows (conv_id, turn, role, text): conv_id, n_turns, valid, first_bad_turn, segments (text, loss) and formatted.
+    """One row per conv_id of rows (conv_id, turn, role, text): conv_id, n_turns, valid, first_bad_turn, segments (text, loss, in_order) and formatted.
 
     Turns are in order of turn; equal turns are in order of role, then text; a null turn comes first. Null roles and texts count as empty, and a null
     conv_id is a conversation of its own. valid: the roles follow the template's state machine to a final state; first_bad_turn is the place (from 0) of the
-    first role out of order, else null. Invalid conversations are formatted too. Repeated rows are turns. Other columns are ignored.
+    first role out of order, else null. Segments are emitted by the machine's verdict: in_order holds up to that turn, and a template may leave later ones out of the
+    loss. Invalid conversations are formatted too. Repeated rows are turns. An empty table gives an empty table; texts may be of any length. Other columns are ignored.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("_turns"))
@@ -68,15 +71,16 @@ def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
             F.coalesce(a["bad"], F.when(_next_state(template, a["s"], x["role"]) == "bad", a["i"])).alias("bad"),
         ),
     )
-    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    fine = lambda i: F.coalesce(i < F.col("_state.bad"), F.lit(True))
+    segment = lambda text, loss, i: F.struct(text.alias("text"), loss.alias("loss"), fine(i).alias("in_order"))
     no = F.lit(False)
     parts = F.flatten(
         F.transform(
             "_turns",
-            lambda x: F.array(
-                segment(F.concat(F.lit(template.begin), escape_role(x["role"]), F.lit(template.after_role)), no),
-                segment(escape(x["text"]), x["role"].isin(*template.loss_roles)),
-                segment(F.lit(template.end + template.after_turn), no),
+            lambda x, i: F.array(
+                segment(F.concat(F.lit(template.begin), escape_role(x["role"]), F.lit(template.after_role)), no, i),
+                segment(escape(x["text"]), x["role"].isin(*template.loss_roles) & (F.lit(template.loss_out_of_order) | fine(i)), i),
+                segment(F.lit(template.end + template.after_turn), no, i),
             ),
         )
     )
@@ -113,7 +117,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("_loss", F.array_join(loss, ""))
     turns = F.array_join(F.transform("_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        "conv_id", F.size("_read").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+        "conv_id", "valid", F.col("first_bad_turn").cast("long").alias("first_bad_turn"), F.size(F.filter("segments", lambda s: s["loss"] & s["in_order"])).cast("long").alias("loss_in_order"),
+        F.size("_read").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
 
 
@@ -122,11 +127,15 @@ ORACLE_SQL = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
 e as (select *, length(replace(replace(role, '&', '&amp;'), '<|', '&lt;|')) + 3 * (length(role) - length(replace(role, chr(10), '')))
-              + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 24 as chars from c)
-select conv_id, count(*)::bigint as n_turns,
+              + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 24 as chars,
+              row_number() over turns - 1 as place, coalesce(lag(role) over turns, 'start') as before, row_number() over (partition by conv_id order by turn desc nulls last, role desc, text desc) as from_end
+       from c window turns as (partition by conv_id order by turn nulls first, role, text)),
+b as (select conv_id, min(place) filter (where (before, role) not in (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) as bad from e group by conv_id)
+select e.conv_id, bool_and(bad is null) and max(role) filter (where from_end = 1) = 'assistant' as valid, max(bad)::bigint as first_bad_turn,
+  count(*) filter (where role = 'assistant' and (bad is null or place < bad))::bigint as loss_in_order,  count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(chars)::bigint as formatted_chars
-from e group by conv_id
+from e join b on e.conv_id is not distinct from b.conv_id group by e.conv_id
 """

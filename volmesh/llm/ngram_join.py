@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .shared import GROUP_BYTES, NULL_ID, cut, group_count, id_key, one_chunk, partitions, table, with_groups
+from .shared import GROUP_BYTES, NULL_ID, by_key, cut, dealt, group_count, id_key, one_chunk, partitions, table, text_hash, whole, with_groups
 
 WORDS = 5
 PERCENT = 80
@@ -133,11 +133,12 @@ def _entries(text_col, words, percent, buckets):
 
 
 def _count(batches):
-    """For one bucket: in how many classes each entry's n-gram occurs. A group whose entries all occur once gets no answer."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
+    """For each bucket in turn: in how many classes each entry's n-gram occurs. A group whose entries all occur once gets no answer."""
+    for _, t in by_key(batches, ["_b"]):
+        yield from _totals(t).to_batches()
+
+
+def _totals(t: pa.Table) -> pa.Table:
     gram = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for c in t.column("gram").chunks for x in c])
     count = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for c in t.column("count").chunks for x in c])
     by = np.argsort(gram, kind="stable")
@@ -149,7 +150,7 @@ def _count(batches):
     n = t.column("n").to_numpy()
     ends = np.cumsum(n)
     rows = [(int(g), int(b), x.tobytes()) for g, b, e, k in zip(t.column("_g").to_numpy(), t.column("_b").to_numpy(), ends, n) if (x := out[e - k : e]).max() > 1]
-    yield from _table(rows, _REPLY).to_batches()
+    return _table(rows, _REPLY)
 
 
 def _found(text_col, words, percent, buckets):
@@ -182,13 +183,13 @@ def _found(text_col, words, percent, buckets):
 
 
 def _runs(percent: int):
-    """For one bucket: the documents of an n-gram in order of size, cut where the next one is too large for a link; those of a run are linked to its smallest id."""
+    """For each bucket in turn: the documents of an n-gram in order of size, cut where the next one is too large for a link; those of a run are linked to its smallest id."""
 
     def links(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
+        for _, t in by_key(batches, ["_b"]):
+            yield of_bucket(t)
+
+    def of_bucket(t: pa.Table) -> pa.RecordBatch:
         gram, cid, size = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in t.column(name).chunks for x in c]) for name, kind in (("gram", "<u8"), ("cid", "<i8"), ("size", "<u4")))
         by = np.lexsort((cid, size, gram))
         gram, cid, size = gram[by], cid[by], size[by].astype(np.int64)
@@ -196,7 +197,7 @@ def _runs(percent: int):
         run = np.concatenate([[0], np.cumsum(~near)]).astype(np.int64)[: len(gram)]
         lowest = np.minimum.reduceat(cid, np.flatnonzero(np.concatenate([[True], ~near])[: len(gram)]))[run]
         pairs = np.unique(np.stack([lowest, cid], axis=1)[lowest != cid], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return links
 
@@ -217,33 +218,13 @@ def _parts(fragments: int):
     return cut_sets
 
 
-def _by_key(batches, keys: list[str]):
-    """(key, table) of every group, from batches in which equal keys follow each other."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = np.stack([b.column(c).to_numpy() for c in keys])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), b.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            key = tuple(k[:, lo].tolist())
-            if held and key != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
 _COUNTS = "region long, block int, chunk int, v int, who binary, counts binary"
 
 
 def _overlaps(batches):
     """For one block of members and one of pivots, in one fragment: the partial overlap of every pair, as a matrix; with the first fragment goes who they are."""
     out = []
-    for (region, block, chunk, v), t in _by_key(batches, ["region", "block", "chunk", "v"]):
+    for (region, block, chunk, v), t in by_key(batches, ["region", "block", "chunk", "v"]):
         is_pivot = one_chunk(t.column("pivot")).to_numpy(zero_copy_only=False)
         cid, n, label = (t.column(c).to_numpy() for c in ("cid", "n", "label"))
         parts = [np.frombuffer(x.as_buffer(), "<u8") for x in one_chunk(t.column("part"))]
@@ -273,7 +254,7 @@ def _sums(percent: int):
     """Sums the partial overlaps of each pair over the fragments, and gives the pairs that link and don't share a label yet."""
 
     def links(batches):
-        for _, t in _by_key(batches, ["region", "block", "chunk"]):
+        for _, t in by_key(batches, ["region", "block", "chunk"]):
             who = np.frombuffer(next(x for x in t.column("who") if x.is_valid).as_buffer(), "<i8")
             m = int(who[0])
             p = (len(who) - 1) // 3 - m
@@ -329,12 +310,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z is lower-cased; a set holds the distinct n-grams of `words` words, or the whole sequence where there are fewer words. Null and
     empty texts have no n-grams, link with nothing, and are their own component. Two rows link when 100 * common >= percent * all.
     Rows that share an id but not the text are told apart by th; wholly equal rows are one class. A null id counts only where a
-    component has no other (component_id is then null). n-grams and classes are told by 64-bit hashes.
+    component has no other (component_id is then null). An empty table gives an empty table; texts may be of any length, and one longer than group_bytes is a group
+    of its own. Other columns of docs are not read, whatever their names. n-grams and classes are told by 64-bit hashes.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     groups = group_count(slim, "text", group_bytes)
-    rows = with_groups(slim, groups).select("_g", "_key", "_th", "text")
+    rows = with_groups(slim, groups)
     sets = cut(rows.mapInArrow(_sets(words, "text"), SETS))
     g = F.pmod(F.xxhash64("key", "th"), F.lit(groups)).cast("int")
     reps = sets.where("n > 0").groupBy("cid").agg(F.min_by(F.struct("key", "th"), F.struct("key", "th")).alias("r")).select(F.col("r.key").alias("key"), F.col("r.th").alias("th"), "cid")
@@ -342,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(partitions(spark), groups // 4)
     args = ("text", words, percent, buckets)
     entries = rows.groupBy("_g").cogroup(reps.groupBy("_g")).applyInArrow(_entries(*args), _ENTRIES)
-    reply = entries.repartitionById(buckets, F.col("_b")).mapInArrow(_count, _REPLY)
+    reply = dealt(entries, buckets).mapInArrow(_count, _REPLY)
     # three inputs meet by group: the classes travel as rows of the reply, told by a null count
     told = reply.select("_g", "_b", "count", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("long").alias("cid"))
     told = told.unionByName(reps.select("_g", F.lit(-1).alias("_b"), F.lit(None).cast("binary").alias("count"), "key", "th", "cid"))
@@ -353,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rare(t, r.filter(own), r.filter(pc.invert(own)))
 
     found = cut(rows.groupBy("_g").cogroup(told.groupBy("_g")).applyInArrow(split_reply, _FOUND))
-    runs = found.where("_b >= 0").repartitionById(buckets, F.col("_b")).mapInArrow(_runs(percent), "a long, b long")
+    runs = dealt(found.where("_b >= 0"), buckets).mapInArrow(_runs(percent), "a long, b long")
     regions = components(runs)
     whole = found.where("_b < 0").select(F.col("own").alias("cid"), "n", "set")
     parts = cut(whole.join(regions.select(F.col("node").alias("cid")), "cid", "left_semi").mapInPandas(_parts(fragments), "cid long, n long, v int, part binary"))
@@ -372,14 +354,15 @@ def _with_component(sets: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest (id, hash of text) stays, rows without n-grams all stay; of wholly equal rows one."""
+    """The rows of docs without near copies: of each component the row with the smallest (id, hash of text) stays, rows without n-grams (null and empty texts) all
+    stay; of rows alike in id and text one. An empty table gives an empty table; columns come back as they are, whatever their names."""
     found = near_duplicates(docs, id_col, text_col, **settings)
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "th")).alias("r")).select("r.key", "r.th")
     stay = first.union(found.where("root is null").select("key", "th").distinct())
-    rows = docs.withColumn("_key", id_key(id_col)).withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(stay.select(F.col("key").alias("_key"), F.col("th").alias("_th")), ["_key", "_th"], "left_semi")
-    once = F.row_number().over(Window.partitionBy("_key", "_th").orderBy("_key"))
-    return rows.withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    rows = docs.select(id_key(id_col).alias("key"), text_hash(F.col(text_col)).alias("th"), whole(docs).alias("row"))
+    rows = rows.join(stay, ["key", "th"], "left_semi")
+    once = F.row_number().over(Window.partitionBy("key", "th").orderBy("key"))
+    return rows.withColumn("once", once).where("once = 1").select("row.*")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

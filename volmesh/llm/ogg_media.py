@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from .shared import table
+from .shared import fields, table
 
 SAMPLES, CHECKS = 1, 2  # serial numbers
 RATE, PACKET, PAD = 8000, 4000, 64
@@ -177,9 +178,9 @@ def feature(got: dict) -> str:
 
 def to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without text_col, and n_bytes (of the text in UTF-8) and media: the text's bytes, zero-padded, as an Ogg stream. Null counts as empty; equal texts
-    give equal media; repeated rows each get their row. Input columns of these names are replaced."""
+    give equal media; repeated rows each get their row. An empty table gives an empty table; texts may be of any length. Input columns of these names are replaced; other
+    names don't matter."""
     carried = [c for c in docs.columns if c not in (text_col, "n_bytes", "media")]
-    kinds = dict(docs.dtypes)
 
     def run(batches):
         for whole in batches:
@@ -188,13 +189,12 @@ def to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 raw = [(t or "").encode() for t in b.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_pydict({c: b.column(c) for c in carried} | {"n_bytes": pa.array(map(len, raw), pa.int64()), "media": pa.array(map(store, raw), pa.binary())})
 
-    return docs.select(*carried, text_col).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in carried) + "n_bytes long, media binary")
+    return docs.select(*[F.col(f"`{c}`") for c in [*carried, text_col]]).mapInArrow(run, fields(docs, carried).add("n_bytes", "long").add("media", "binary"))
 
 
 def read_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
     """rows, and payload (bytes read back), packet_ends (seconds) and feature. Null media gives nulls. Input columns of these names are replaced."""
     carried = [c for c in rows.columns if c not in ("payload", "packet_ends", "feature")]
-    kinds = dict(rows.dtypes)
 
     def run(batches):
         for whole in batches:
@@ -204,7 +204,7 @@ def read_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
                 pick = lambda f: [None if g is None else f(g) for g in got]  # noqa: B023, E731
                 yield pa.RecordBatch.from_pydict({c: b.column(c) for c in carried} | {"payload": pa.array(pick(lambda g: g["payload"]), pa.binary()), "packet_ends": pa.array(pick(lambda g: g["ends"]), pa.list_(pa.float64())), "feature": pa.array(pick(feature), pa.string())})
 
-    return rows.select(*carried).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in carried) + "payload binary, packet_ends array<double>, feature string")
+    return rows.select(*[F.col(f"`{c}`") for c in carried]).mapInArrow(run, fields(rows, carried).add("payload", "binary").add("packet_ends", ArrayType(DoubleType())).add("feature", "string"))
 
 
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

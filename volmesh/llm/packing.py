@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, byte_alphabet
+from .bpe import PATTERN, byte_alphabet, ids_of, loaded
 from .shared import cut, partitions, table
 
 SIZE = 1024
@@ -80,15 +80,22 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in spec.get("added_tokens", [])})
 
 
+def _ids(path: str, text: str) -> np.ndarray:
+    """The ids of a text. tiktoken's regex engine gives up on runs of several 100,000 white spaces; such texts go to the exact encoder of bpe.py."""
+    try:
+        return np.array(_encoder(path).encode(text, allowed_special="all"), dtype="<u4")
+    except ValueError:
+        return np.frombuffer(ids_of(text, *loaded(path)), dtype="<u4")
+
+
 def _pieces(path: str, size: int, end: int, with_ids: bool):
     def run(batches):
-        enc = _encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 rows = []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    ids = np.array([*enc.encode(text or "", allowed_special="all"), end], dtype="<u4")
+                    ids = np.append(_ids(path, text or ""), np.uint32(end))
                     for start in range(0, len(ids), size):
                         part = ids[start : start + size]
                         rows.append((doc, start, len(part), zlib.crc32(part), len(ids), part.astype(np.int32) if with_ids else None))
@@ -104,7 +111,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = 0, id_co
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded (and ids).
 
     A document is the ids of its text, then `end`; null and empty texts are that one id. Pieces are cut every `size` ids. Pieces of a sequence
-    lie without gaps from offset 0. padded is what the sequence fills: its own length if that is a power of two, else `size`. Repeated
+    lie without gaps from offset 0. An empty table gives an empty table; texts may be of any length. Other columns of docs are not read. padded is what the sequence fills: its own length if that is a power of two, else `size`. Repeated
     rows are packed once each; equal lengths are interchangeable, so which goes where follows the order in which pieces were written.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -123,7 +130,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = 0, id_co
     for length, lo, hi, seq, offset in rows:
         total.setdefault(seq, [0])[0] += length
     where = docs.sparkSession.createDataFrame([(*r, total[r[3]][0]) for r in rows], "length long, lo long, hi long, seq long, offset long, filled long")
-    out = ranked.join(where, (ranked["length"] == where["length"]) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).drop(where["length"])
+    # at most one row for each length of each pattern; there are fewer patterns than twice the lengths, of which there are `size`
+    out = ranked.join(F.broadcast(where) if len(rows) <= 64 * size else where, (ranked["length"] == where["length"]) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).drop(where["length"])
     power = F.expr("bit_count(filled) = 1")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("seq") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset", F.when(power, F.col("filled")).otherwise(size).alias("padded"), *(["ids"] if with_ids else []))
 

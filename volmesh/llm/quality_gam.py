@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import one_chunk, table
+from .shared import fields, one_chunk, table
 
 #: Labelled rows that a model is fitted on, at most; the ones whose ids' hashes are smallest.
 TRAINING_ROWS = 20_000
@@ -194,7 +194,8 @@ def fold(id_col: Column | str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> Model:
-    """The model of at most `rows` labelled texts whose fold is not 0. Of several labels of an id the largest counts; null labels and ids don't."""
+    """The model of at most `rows` labelled texts whose fold is not 0. Of several labels of an id the largest counts; null labels and ids don't. Null and
+    empty texts count as empty, rows that share an id as one (the smallest features), and without any row the model scores 0.5. Other columns are not read."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null").where(fold("_id") != 0)
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -202,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = slim.join(F.broadcast(known), "_id")
 
     def numbers(batches):
-        for b in batches:
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             x = features(b.column("_text"))
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
@@ -213,9 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, and score (0 to 1, for every text, null and empty ones too) and predicted (1 if score >= threshold). Input columns of these names are replaced."""
+    """docs, and score (0 to 1, for every text, null and empty ones too) and predicted (1 if score >= threshold). Input columns of these names are replaced; other
+    names don't matter. Repeated rows get equal scores, an empty table gives an empty table, and texts may be of any length."""
     carried = [c for c in docs.columns if c not in ("score", "predicted")]
-    kinds = dict(docs.dtypes)
 
     def run(batches):
         for whole in batches:
@@ -224,7 +225,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 s = model.score(features(one_chunk(b.column(text_col))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*carried, "score", "predicted"])
 
-    return docs.select(*carried).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in carried) + "score double, predicted int")
+    return docs.select(*[F.col(f"`{c}`") for c in carried]).mapInArrow(run, fields(docs, carried).add("score", "double").add("predicted", "integer"))
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

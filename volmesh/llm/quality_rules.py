@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, text_hash, whole
 
 BUCKETS = 8192
 #: Mean log ratio below which a text is rejected.
@@ -90,7 +90,8 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     """For each row of docs: the id, th (hash of the text), the counts of base_counts, log_ratio (mean over the text's n-grams; 0 without words) and kept.
 
     kept is false where base_failed, else log_ratio >= threshold. Null texts have no words. Repeated rows and rows that share an id each get
-    their own row; a null id is a row like others. trusted_ids: a column named as id_col; more columns and ids without text don't matter.
+    their own row; a null id is a row like others. An empty table gives an empty table. Texts may be of any length; those of 2**24 words or more take a slower sort.
+    Other columns of docs are not read. trusted_ids: a column named as id_col; more columns, repeated ids and ids without text don't matter.
     """
     ratio = ratios(docs, trusted_ids, id_col, text_col)
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -104,10 +105,10 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with their columns."""
-    good = quality_rules(docs, trusted_ids, id_col, text_col, threshold).where("kept").select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
-    mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(good, docs[id_col].eqNullSafe(F.col("_id")) & (mine == F.col("_th")), "left_semi")
+    """The rows of docs that quality_rules keeps, as they are, whatever their columns' names; repeated rows stay or go together. Null and empty texts go (too few words)."""
+    good = quality_rules(docs, trusted_ids, id_col, text_col, threshold).where("kept").select(F.col(id_col).alias("id"), "th").distinct()
+    rows = docs.select(F.col(id_col).alias("own_id"), text_hash(F.col(text_col)).alias("own_th"), whole(docs).alias("row"))
+    return rows.join(good, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left_semi").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one Python group holds.
 GROUP_BYTES = 8 << 20
+#: Shuffle partitions that buckets are dealt to, at most; beyond it a partition holds several buckets, one after another.
+MOST_PARTITIONS = 4096
 #: Stands for a null id where an id takes part in an order: before every other.
 NULL_ID = -(1 << 63)
 
@@ -19,14 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. A temporary folder serves only a local master, where there is one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark, "_volmesh_dir", None) or tempfile.mkdtemp(prefix="volmesh-")
         spark._volmesh_dir = at
     return at
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in any store that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder: lineage ends here and a lost executor costs nothing before it."""
     sc = df.sparkSession.sparkContext
@@ -45,17 +57,57 @@ def id_key(column: Column | str) -> Column:
     return F.coalesce(column.cast("long"), F.lit(NULL_ID))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def whole(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of a row as one struct, so that helper columns beside it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)])
+
+
+def fields(df: DataFrame, columns: list[str]) -> StructType:
+    return StructType([df.schema[c] for c in columns])
+
+
 def group_count(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> int:
     """How many groups of about group_bytes of text there are; at least one a shuffle partition."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(partitions(docs.sparkSession), -(-total // group_bytes))
 
 
-def with_groups(docs: DataFrame, groups: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with g (group), key and th: rows that share id and text share all three, so no group is hot unless rows repeat wholly."""
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    key = id_key(id_col)
-    return docs.select(F.pmod(F.xxhash64(key, th), F.lit(groups)).cast("int").alias("_g"), key.alias("_key"), th.alias("_th"), *[docs[c] for c in docs.columns])
+def with_groups(docs: DataFrame, groups: int, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """(_g, _key, _th, text, row): group, id, hash of the text, the text, and the carried columns as one struct. Rows that share id and text share the first three, so
+    no group is hot unless rows repeat wholly."""
+    th, key = text_hash(F.col(text_col)), id_key(id_col)
+    rest = [] if not carried else [whole(docs, carried).alias("row")]
+    return docs.select(F.pmod(F.xxhash64(key, th), F.lit(groups)).cast("int").alias("_g"), key.alias("_key"), th.alias("_th"), F.col(text_col).alias("text"), *rest)
+
+
+def dealt(rows: DataFrame, buckets: int, column: str = "_b", *order: str) -> DataFrame:
+    """rows by bucket: each bucket in one partition of at most MOST_PARTITIONS, there one after another (in the given order)."""
+    count = min(buckets, MOST_PARTITIONS)
+    return rows.repartitionById(count, F.pmod(F.col(column), F.lit(count))).sortWithinPartitions(column, *order)
+
+
+def by_key(batches, keys: list[str]):
+    """(key, table) of every group, from batches in which equal keys follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = tuple(k[:, lo].tolist())
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
 def one_chunk(column: pa.ChunkedArray | pa.Array) -> pa.Array:

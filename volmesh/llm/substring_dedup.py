@@ -14,9 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from . import textnum as tn
-from .shared import GROUP_BYTES, group_count, one_chunk, partitions, table, with_groups
+from .shared import GROUP_BYTES, by_key, dealt, group_count, one_chunk, partitions, table, with_groups
 
 WINDOW = 20
 
@@ -24,7 +25,7 @@ WINDOW = 20
 class _Windows:
     """The windows of one group: rows in order of (id, hash of text), repeated rows once."""
 
-    def __init__(self, t: pa.Table, text_col: str, n: int, buckets: int):
+    def __init__(self, t: pa.Table, n: int, buckets: int):
         key, th = (one_chunk(t.column(c)).to_numpy(zero_copy_only=False) for c in ("_key", "_th"))
         order = np.lexsort((th, key))
         same = np.zeros(len(order), dtype=bool)
@@ -33,10 +34,10 @@ class _Windows:
         self.place[order] = np.cumsum(~same) - 1
         self.rows = order[~same]
         self.key = key[self.rows]
-        self.words = tn.split(one_chunk(t.column(text_col)).take(pa.array(self.rows)))
+        self.words = tn.split(one_chunk(t.column("text")).take(pa.array(self.rows)))
         self.start, count = tn.runs(self.words.first, n)
         h = tn.rolling(tn.word_hashes(self.words), n)[self.start]
-        self.doc = np.repeat(np.arange(len(count)), count)
+        self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
         by = np.argsort(h, kind="stable")
         new = np.ones(len(by), dtype=bool)
         new[1:] = h[by][1:] != h[by][:-1]
@@ -54,9 +55,9 @@ _ENTRIES = "_b int, _g int, n int, doc_key binary, per_doc binary, hash binary"
 _REPLY = "_g int, _b int, bits binary"
 
 
-def _entries(text_col: str, n: int, buckets: int):
+def _entries(n: int, buckets: int):
     def send(t: pa.Table) -> pa.Table:
-        w = _Windows(t, text_col, n, buckets)
+        w = _Windows(t, n, buckets)
         g = t.column("_g")[0].as_py()
         rows = []
         for b in np.flatnonzero(np.diff(w.bounds)):
@@ -70,11 +71,12 @@ def _entries(text_col: str, n: int, buckets: int):
 
 
 def _count(batches):
-    """For one bucket: which entries have an equal one in an earlier document."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
+    """For each bucket in turn: which entries have an equal one in an earlier document."""
+    for _, t in by_key(batches, ["_b"]):
+        yield _earlier(t)
+
+
+def _earlier(t: pa.Table) -> pa.RecordBatch:
     n = t.column("n").to_numpy()
     h = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for c in t.column("hash").chunks for x in c])
     key = np.concatenate([np.repeat(np.frombuffer(k.as_buffer(), "<i8"), np.frombuffer(p.as_buffer(), "<u4")) for a, c in zip(t.column("doc_key").chunks, t.column("per_doc").chunks) for k, p in zip(a, c)])
@@ -92,12 +94,12 @@ def _count(batches):
     flag[by[later]] = True
     ends = np.cumsum(n)
     rows = [(int(gi), int(bi), np.packbits(f).tobytes()) for gi, bi, e, k in zip(t.column("_g").to_numpy(), t.column("_b").to_numpy(), ends, n) if (f := flag[e - k : e]).any()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["_g", "_b", "bits"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["_g", "_b", "bits"])
 
 
-def _remove(text_col: str, n: int, buckets: int, carried: list[str], layout: bool):
+def _remove(n: int, buckets: int, carried: bool, layout: bool):
     def cut_out(t: pa.Table, reply: pa.Table) -> pa.Table:
-        w = _Windows(t, text_col, n, buckets)
+        w = _Windows(t, n, buckets)
         gone = w.repeated.copy()
         for b, bits in zip(reply.column("_b").to_pylist(), reply.column("bits")):
             lo, hi = w.bounds[b], w.bounds[b + 1]
@@ -121,11 +123,11 @@ def _remove(text_col: str, n: int, buckets: int, carried: list[str], layout: boo
             pa.StructArray.from_arrays([pa.array((x - first[doc[lo]]).astype(np.int64)) for x in (lo, hi)], names=["from", "to"]),
         )
         total = np.concatenate([[0], np.cumsum(covered)])
-        out = {c: one_chunk(t.column(c)) for c in carried if c != text_col}
+        out = {"row": one_chunk(t.column("row"))} if carried else {}
         at = pa.array(w.place)
         out |= {"n_words": pa.array(np.diff(first)).take(at), "n_removed": pa.array(total[first[1:]] - total[first[:-1]]).take(at), "removed": spans.take(at), "kept_text": tn.joined(w.words, ~covered).take(at)}
         if layout:
-            out["kept_text"] = pc.if_else(pc.equal(out["n_removed"], 0), one_chunk(t.column(text_col)).fill_null(""), out["kept_text"])
+            out["kept_text"] = pc.if_else(pc.equal(out["n_removed"], 0), one_chunk(t.column("text")).fill_null(""), out["kept_text"])
         return pa.table(out)
 
     return cut_out
@@ -136,23 +138,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with layout a text that loses nothing stays as it is).
 
     A window is `window` consecutive words of one row; it goes if its words also start earlier: at a smaller id, or before in the
-    same row. All windows are judged on the input. Null text has no words, and kept_text "". A null id comes before all others. Rows
-    alike in id and text count as one document and get the same result; rows alike in id only are told apart by a hash of the text.
-    Input columns named like an output are replaced. Equal windows are told by 64-bit hashes: among N windows a wrong match has a
-    chance of about N*N / 2**65.
+    same row. All windows are judged on the input. Null and empty texts, and texts of fewer words, lose nothing; kept_text of a null is "". An empty table gives
+    an empty table. Texts may be of any length: one longer than group_bytes is a group of its own. A null id comes before all others. Rows
+    alike in id and text count as one document and get the same result; rows alike in id only are told apart by a hash of the text (ties
+    between them go by that hash). Input columns named like an output are replaced; other names don't matter. Equal windows are told by 64-bit
+    hashes: among N windows a wrong match has a chance of about N*N / 2**65.
     """
     groups = group_count(docs, text_col, group_bytes)
     buckets = max(partitions(docs.sparkSession), groups // 4)
-    new = ("n_words", "n_removed", "removed", "kept_text")
-    carried = [c for c in docs.columns if c not in new]
-    rows = with_groups(docs.select(*carried), groups, id_col, text_col)
-    keys = ["_g", "_key", "_th", text_col]
-    entries = rows.select(*keys) if len(carried) > 2 else rows
-    entries = entries.groupBy("_g").applyInArrow(_entries(text_col, window, buckets), _ENTRIES)
-    reply = entries.repartitionById(buckets, F.col("_b")).mapInArrow(_count, _REPLY)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carried if c != text_col] + ["n_words long, n_removed long, removed array<struct<from:long,to:long>>, kept_text string"])
-    return rows.groupBy("_g").cogroup(reply.groupBy("_g")).applyInArrow(_remove(text_col, window, buckets, carried, layout), schema)
+    carried = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "removed", "kept_text")]
+    rows = with_groups(docs, groups, id_col, text_col, carried)
+    # with nothing but the id carried, both passes read the same shuffle
+    entries = rows if carried in ([], [id_col]) else rows.drop("row")
+    entries = entries.groupBy("_g").applyInArrow(_entries(window, buckets), _ENTRIES)
+    reply = dealt(entries, buckets).mapInArrow(_count, _REPLY)
+    spans = ArrayType(StructType().add("from", LongType()).add("to", LongType()))
+    schema = StructType([rows.schema["row"]] if carried else []).add("n_words", LongType()).add("n_removed", LongType()).add("removed", spans).add("kept_text", StringType())
+    out = rows.groupBy("_g").cogroup(reply.groupBy("_g")).applyInArrow(_remove(window, buckets, bool(carried), layout), schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in carried], "n_words", "n_removed", "removed", "kept_text")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

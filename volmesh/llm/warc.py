@@ -40,16 +40,15 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def archive(records: list[bytes]) -> bytes:
-    """The records, each a frame, behind the dictionary that is built from them. Too few or too small records go without one."""
+    """The records, each a frame, behind the dictionary that is built from them. Where too few or too small records give no trained one, the bytes of records themselves serve."""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     sample = [r[:65536] for r in records[::step]]
     try:
-        trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, sample)) // 10)), sample, k=200, d=8)
-        head, packer = trained.as_bytes(), zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True, write_checksum=True)
-        front = struct.pack("<II", DICTIONARY_MAGIC, len(head)) + head
+        built = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, sample)) // 10)), sample, k=200, d=8)
     except zstandard.ZstdError:
-        front, packer = b"", zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=True)
-    return front + b"".join(map(packer.compress, records))
+        built = zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    head, packer = built.as_bytes(), zstandard.ZstdCompressor(level=LEVEL, dict_data=built, write_content_size=True, write_checksum=True)
+    return struct.pack("<II", DICTIONARY_MAGIC, len(head)) + head + b"".join(map(packer.compress, records))
 
 
 def _frame_end(data: memoryview, at: int) -> int:
@@ -122,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     Spark writes the table, so folder may be in any store that Spark reaches; files() copies archives out of it. Of records with equal payloads of
     REVISIT_BYTES or more the one with the largest page_id is the response; null ids are smaller than all others. Among rows alike in id and payload
-    one is the response. Null html is an empty payload. Other columns are ignored.
+    one is the response. Null and empty html are an empty payload, html may be of any length, and an empty table gives no archives. Other columns are ignored, whatever their names.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     marked = slim.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("_key", id_key("page_id"))
