@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one Python group holds.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 #: Shuffle partitions that buckets are dealt to, at most; beyond it a partition holds several buckets, one after another.
 MOST_PARTITIONS = 4096
 #: Stands for a null id where an id takes part in an order: before every other.
