@@ -148,9 +148,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(partitions(docs.sparkSession), groups // 4)
     carried = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "removed", "kept_text")]
     rows = with_groups(docs, groups, id_col, text_col, carried)
-    # with nothing but the id carried, both passes read the same shuffle
-    entries = rows if carried in ([], [id_col]) else rows.drop("row")
-    entries = entries.groupBy("_g").applyInArrow(_entries(window, buckets), _ENTRIES)
+    # both passes read the same shuffle of the rows
+    entries = rows.groupBy("_g").applyInArrow(_entries(window, buckets), _ENTRIES)
     reply = dealt(entries, buckets).mapInArrow(_count, _REPLY)
     spans = ArrayType(StructType().add("from", LongType()).add("to", LongType()))
     schema = StructType([rows.schema["row"]] if carried else []).add("n_words", LongType()).add("n_removed", LongType()).add("removed", spans).add("kept_text", StringType())
