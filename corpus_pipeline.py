@@ -12,11 +12,22 @@ from volmesh.llm import ngram_join, packing, quality_gam, quality_rules, substri
 from volmesh.llm.shared import remove, shared_dir, table, whole
 
 
+def _packed(docs: DataFrame, apart: list[str]) -> DataFrame:
+    """The columns apart, and all others as one struct, so that no name of theirs can clash."""
+    others = [c for c in docs.columns if c not in apart]
+    return docs.select(*apart, *([whole(docs, others).alias("row")] if others else []))
+
+
+def _in_order(out: DataFrame, docs: DataFrame, new: dict) -> DataFrame:
+    """The columns of docs: those of new, and the others from the struct."""
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model scores as good. Null and empty texts are scored like others; repeated rows stay or go together; an empty table stays
     empty; columns come back as they are, whatever their names; texts may be of any length."""
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
-    return quality_gam.score(docs.select(F.col("text"), whole(docs).alias("row")), model).where("predicted = 1").select("row.*")
+    return _in_order(quality_gam.score(_packed(docs, ["text"]), model).where("predicted = 1"), docs, {"text": F.col("text")})
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that start earlier in the corpus; text and n_chars follow, a null text becomes "", and rows alike in id and text get the same
     text; else as quality_classifier."""
-    rows = docs.select("doc_id", "text", whole(docs).alias("row"))
-    out = substring_dedup.remove_repeats(rows, layout=True)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    out = substring_dedup.remove_repeats(_packed(docs, ["doc_id", "text"]), layout=True)
+    return _in_order(out, docs, {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
