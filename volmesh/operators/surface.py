@@ -6,27 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def clean_window(tape: DataFrame, start: Column, end: Column, codes: list[int], least: float) -> DataFrame:
-    """Prints in (start, end] with an allowed condition code and at least the least price."""
-    return tape.where((F.col("ts") > start) & (F.col("ts") <= end) & F.col("condition").isin(codes) & (F.col("price") >= least))
-
-
 def rolling_median(column: str, w, rows: int, least: int) -> Column:
     frame = w.rowsBetween(1 - rows, 0)
     return F.when(F.count(column).over(frame) >= least, F.expr(f"percentile({column}, 0.5)").over(frame))
 
 
-def near_forward(pairs: DataFrame, need: int, rows: int = 20, off: float = 0.02) -> DataFrame:
-    """day, dte, ts, event_id, forward: of each day's nearest expiry with `need` pairs, the running median of its parity forwards; pairs
-    whose forward lies further than `off` from a first running median leave before the second, which needs five."""
-    counts = pairs.groupBy("day", "dte").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
-    near = counts.groupBy("day").agg(F.min("dte").alias("dte"))
-    w = Window.partitionBy("day").orderBy("ts", "event_id")
-    first = pairs.join(near, ["day", "dte"], "left_semi").withColumn("_m", rolling_median("fwd", w, rows, 1))
-    kept = first.where(F.abs(F.col("fwd") / F.col("_m") - 1) <= off)
-    return kept.select("day", "dte", "ts", "event_id", rolling_median("fwd", w, rows, 5).alias("forward")).where("forward is not null")
-
-
 def _parabola(rows: DataFrame, keys: list[str]) -> DataFrame:
     """a0, a1, a2 of the size-weighted parabola of iv in k for each group, from centred moments in one pass of sums."""
     w, k, v = F.col("size"), F.col("k"), F.col("iv")

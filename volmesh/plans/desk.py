@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pricing
 from ..operators import catalogue, chains, desk, features, paths, surface
 from ..sources import adapters as a
 from ..sources.adapters import derived
@@ -18,8 +17,7 @@ def chain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each print's contract valued on its smile: price, greeks, modelled quote."""
     rows = derived(spark, sf_dir, a.OPTIONS)
     rows = surface.smile_iv(rows, surface.smiles(rows, options.KEYS), options.KEYS).where("smile is not null")
-    args = [F.col("fwd"), F.col("strike"), F.col("years"), F.lit(options.RATE), F.col("smile"), F.col("call")]
-    rows = rows.withColumns({"mid": pricing.price(*args), **pricing.greeks(*args)})
+    rows = options._valued(rows, "smile").withColumnRenamed("price", "mid")
     half = F.greatest(F.lit(0.02), 0.004 + 0.02 * F.col("mid"))
     return rows.select("event_id", F.round("smile", 5).alias("iv"), *[F.round(c, 4).alias(c) for c in ("mid", "delta", "gamma", "vega", "theta")], F.round(F.greatest(F.col("mid") - half, F.lit(0.0)), 4).alias("bid"), F.round(F.col("mid") + half, 4).alias("ask"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import asof, books, signals, surface
+from ..operators import books, signals, surface
 from ..sources import adapters as a
 from ..sources.adapters import derived
 from ..streaming import slots
@@ -16,18 +16,24 @@ KEYS = ["day", "dte"]
 EDGES, TIERS = [7, 14, 30], [0.5, 0.75]
 
 
+def _valued(rows: DataFrame, sigma: str) -> DataFrame:
+    return pricing.valued(rows, F.col("fwd"), F.col("strike"), F.col("years"), RATE, F.col(sigma), F.col("call"))
+
+
 def option_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(spark, sf_dir, a.OPTIONS)
-    args = [F.col("fwd"), F.col("strike"), F.col("years"), F.lit(RATE), F.col("iv0"), F.col("call")]
+    rows = _valued(derived(spark, sf_dir, a.OPTIONS), "iv0")
     spot = F.col("fwd") * F.exp(-RATE * F.col("years"))
-    out = {"price": pricing.price(*args), **pricing.greeks(*args), "least": pricing.price_floor(*args[:4], spot, F.col("call"))}
-    return rows.select("event_id", *[F.round(v, 6).alias(k) for k, v in out.items()])
+    least = pricing.price_floor(F.col("fwd"), F.col("strike"), F.col("years"), F.lit(RATE), spot, F.col("call"))
+    return rows.select("event_id", *[F.round(c, 6).alias(c) for c in ("price", "delta", "gamma", "vega", "theta")], F.round(least, 6).alias("least"))
 
 
 def implied_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = [F.col("fwd"), F.col("strike"), F.col("years"), F.lit(RATE)]
-    rows = derived(spark, sf_dir, a.OPTIONS).withColumn("px", pricing.price(*args, F.col("iv0"), F.col("call")))
-    return rows.select("event_id", F.round(pricing.implied(F.col("px"), *args, F.col("call")), 4).alias("iv"))
+    """Of every print's price; some prices lie at intrinsic value or above what any volatility gives, and some contracts have no time left."""
+    rows, n = _valued(derived(spark, sf_dir, a.OPTIONS), "iv0"), F.col("event_id")
+    least = F.exp(-RATE * F.col("years")) * F.greatest(F.when(F.col("call"), F.col("fwd") - F.col("strike")).otherwise(F.col("strike") - F.col("fwd")), F.lit(0.0))
+    px = F.when(n % 41 == 0, least).when(n % 43 == 0, F.col("fwd") + F.col("strike")).otherwise(F.col("price"))
+    left = F.when(n % 47 == 0, 0.0).otherwise(F.col("years"))
+    return rows.select("event_id", F.round(pricing.implied(px, F.col("fwd"), F.col("strike"), left, F.lit(RATE), F.col("call")), 4).alias("iv"))
 
 
 def smile_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,25 +48,10 @@ def smile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("condition").agg(F.count("smile").alias("n"), F.round(F.expr("percentile(abs(iv - smile), 0.5)"), 5).alias("median_off"))
 
 
-def clean_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct contracts of a day with clean prints after 09:30."""
-    rows = derived(spark, sf_dir, a.OPTIONS).withColumn("price", F.col("size").cast("double"))
-    start = F.date_trunc("day", "ts") + F.expr("interval 570 minutes")
-    return surface.clean_window(rows, start, start + F.expr("interval 390 minutes"), [209, 219], 2.0).select("day", "dte", "strike", "call").distinct()
-
-
 def atm_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.atm_iv(derived(spark, sf_dir, a.OPTIONS), KEYS).select(*KEYS, "strike", F.round("atm", 6).alias("atm"))
 
 
-def near_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = derived(spark, sf_dir, a.TAPE).withColumnRenamed("expiry_no", "dte")
-    calls, puts = tape.where("right_ = 'C'").select("event_id", "ts", "dte", "strike", "price"), tape.where("right_ = 'P'").select("ts", "dte", "strike", F.col("price").alias("put"))
-    pairs = asof.asof_join(calls, puts, "ts", ["dte", "strike"], "put", "put").where("put is not null")
-    pairs = pairs.select(F.to_date("ts").alias("day"), "dte", "ts", "event_id", (F.col("strike") + F.col("price") - F.col("put")).alias("fwd"))
-    return surface.near_forward(pairs, 20).select("day", "dte", "event_id", F.round("forward", 6).alias("forward"))
-
-
 def fitted_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = derived(spark, sf_dir, a.QUOTES)
     held = signals.half_spread(quotes, books.spread_fit(quotes, EDGES, TIERS), EDGES, TIERS, 0.02)
@@ -75,7 +66,7 @@ def print_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (option_prices, implied_volatility, smile_fits, smile_errors, clean_contracts, atm_iv, near_forward, fitted_spread, print_slots)}
+QUERIES = {f.__name__: f for f in (option_prices, implied_volatility, smile_fits, smile_errors, atm_iv, fitted_spread, print_slots)}
 
 
 def _density(x: str) -> str:
@@ -83,10 +74,10 @@ def _density(x: str) -> str:
 
 
 def _cdf(x: str) -> str:
-    t, poly = f"(1 / (1 + {pricing.NORMAL_P} * abs({x})))", "0"
-    for c in reversed(pricing.NORMAL):
-        poly = f"(({poly} + {c}) * {t})"
-    return f"(case when {x} >= 0 then 1 - {_density(x)} * {poly} else {_density(x)} * {poly} end)"
+    """Another way than the operator's: the series of odd powers over double factorials, and 1 or 0 far out, where it no longer tells apart."""
+    double = "exp(lgamma(n + 1.5) - lgamma(1.5) + n * ln(2.0))"
+    series = f"list_sum(list_transform(range(150), lambda n: exp((2 * n + 1) * ln(greatest(abs({x}), 1e-300)) - ln({double}))))"
+    return f"(case when {x} > 8 then 1.0 when {x} < -8 then 0.0 else 0.5 + sign({x}) * {_density(x)} * {series} end)"
 
 
 def _parabola(source: str) -> str:
@@ -109,18 +100,12 @@ w as (select *, ln(fwd / strike) / sd + sd / 2 as d1, ln(fwd / strike) / sd - sd
 ORACLES = {
     "option_prices": f"""with {_GREEKS} select event_id, round(exp(-{RATE} * years) * (fwd * n1 - strike * n2 - put * (fwd - strike)), 6) as price, round(n1 - put, 6) as delta, round(p1 / (spot * sd), 6) as gamma,
   round(spot * p1 * sqrt(years) / 100, 6) as vega, round((-spot * p1 * iv0 / (2 * sqrt(years)) - bond * (n2 - put)) / 365, 6) as theta, round(greatest(exp(-{RATE} * years) * sign * (fwd - strike), sign * (spot - strike), 0), 6) as least from x""",
-    "implied_volatility": f"select event_id, round(iv0, 4) as iv from ({a.OPTIONS}) o",
+    "implied_volatility": f"select event_id, case when event_id % 41 > 0 and event_id % 43 > 0 and event_id % 47 > 0 then round(iv0, 4) end as iv from ({a.OPTIONS}) o",
     "smile_fits": f"with {_FITS} select day, dte, round(a0, 6) as a0, round(a1, 4) as a1, round(a2, 3) as a2, round(kmin, 6) as kmin, round(kmax, 6) as kmax, n from s",
     "smile_errors": f"""with {_FITS}, q as (select condition, abs(iv - (a0 + kc * (a1 + kc * a2))) as off from (select o.condition, o.iv, s.*, least(greatest(o.k, s.kmin), s.kmax) as kc from o left join s using (day, dte)) j)
 select condition, count(off) as n, round(quantile_cont(off, 0.5), 5) as median_off from q group by 1""",
-    "clean_contracts": f"select distinct day, dte, strike, call from ({a.OPTIONS}) o where ts::time > time '09:30' and ts::time <= time '16:00' and condition in (209, 219) and size >= 2",
     "atm_iv": f"""with o as ({a.OPTIONS}), m as (select *, quantile_cont(fwd, 0.5) over (partition by day, dte) as mid from o),
 b as (select day, dte, strike, row_number() over (partition by day, dte order by abs(strike - mid), strike) as r from m) select day, dte, strike, round(avg(iv), 6) as atm from o join (select day, dte, strike from b where r = 1) using (day, dte, strike) group by all""",
-    "near_forward": f"""with t as ({a.TAPE}), p as (select ts as pts, expiry_no, strike, max(price) as put from t where right_ = 'P' group by all),
-q as (select event_id, c.ts, c.ts::date as day, c.expiry_no as dte, c.strike + c.price - put as fwd from (select * from t where right_ = 'C') c asof join p on c.expiry_no = p.expiry_no and c.strike = p.strike and c.ts >= p.pts),
-n as (select day, min(dte) as dte from (select day, dte from q group by all having count(*) >= 20) g group by 1),
-f as (select q.*, quantile_cont(fwd, 0.5) over (partition by day order by ts, event_id rows 19 preceding) as m from q join n using (day, dte)), k as (select * from f where abs(fwd / m - 1) <= 0.02)
-select day, dte, event_id, round(quantile_cont(fwd, 0.5) over w, 6) as forward from k window w as (partition by day order by ts, event_id rows 19 preceding) qualify count(*) over w >= 5""",
     "fitted_spread": f"""with q as (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) z),
 m as (select tier, bucket, round(regr_intercept(half, mid), 6) as a, round(regr_slope(half, mid), 6) as b from q group by all)
 select quote, round(greatest(0.02, a + b * mid), 10) as fitted, round(greatest(round_even((mid + case when quote % 2 = 0 then 1 else -1 end * 2 * half) / 0.01, 0) * 0.01, 0.01), 2) as fill, greatest(1, floor(5000 / (mid * 100))::int) as size, round(greatest(dte * 0.65, 1), 2)::double as fee

@@ -54,35 +54,6 @@ def spread_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tier", "bucket", "n", *[F.round(c, 6).alias(c) for c in ("mean_half", "median_half", "mean_fitted", "median_error")])
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = derived(spark, sf_dir, a.TAPE).withColumnRenamed("expiry_no", "dte")
-    calls, puts = tape.where("right_ = 'C'").select("event_id", "ts", "dte", "strike", "price"), tape.where("right_ = 'P'").select("ts", "dte", "strike", F.col("price").alias("put"))
-    rows = asof.asof_join(calls, puts, "ts", ["dte", "strike"], "put", "put").where("put is not null")
-    return rows.select(F.to_date("ts").alias("day"), "dte", "ts", "event_id", (F.col("strike") + F.col("price") - F.col("put")).alias("fwd"))
-
-
-def forward_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forward of each print's expiry: the day's near forward times the expiry's own ratio to it (a running median of at least five), else 1 for the nearest expiry, else the carry; and the spot behind it."""
-    pairs = _pairs(spark, sf_dir)
-    near = surface.near_forward(pairs, 20)
-    first = near.groupBy("day").agg(F.min("dte").alias("_near"))
-    near = near.select("day", "ts", "forward")
-    w = Window.partitionBy("day", "dte").orderBy("ts", "event_id")
-    ratios = asof.asof_join(pairs, near, "ts", ["day"], "forward", "near").where("near is not null").withColumn("_r", F.col("fwd") / F.col("near"))
-    ratios = ratios.select("day", "dte", "ts", surface.rolling_median("_r", w, 20, 5).alias("ratio")).where("ratio is not null")
-    prints = derived(spark, sf_dir, a.TAPE).select(F.to_date("ts").alias("day"), F.col("expiry_no").alias("dte"), "ts", "event_id")
-    rows = asof.asof_join(asof.asof_join(prints, near, "ts", ["day"], "forward", "near"), ratios, "ts", ["day", "dte"], "ratio", "ratio").where("near is not null")
-    carry = F.exp(0.05 * (F.col("dte") - F.col("_near")) * 14 / 365)
-    factor = F.coalesce("ratio", F.when(F.col("dte") == F.col("_near"), F.lit(1.0)).otherwise(carry))
-    return rows.join(first, "day").select("event_id", F.round(F.col("near") * factor, 5).alias("forward"), F.round(F.col("near") * F.exp(-0.05 * F.col("_near") * 14 / 365), 5).alias("spot"))
-
-
-def parity_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last near forward of each day at or before 16:00."""
-    near = surface.near_forward(_pairs(spark, sf_dir), 20).where("hour(ts) < 16")
-    return reports.last_of_day(near, ["day"], ["ts", "event_id"]).select("day", "dte", "event_id", F.round("forward", 6).alias("close"))
-
-
 def smile_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smiles at three-hourly slots: `decide` from the six hours that end 15 minutes before the slot, `fill` from the three hours after it.
 
@@ -125,7 +96,7 @@ def card_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.team(card_fields(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (har_iterated, walk_forward, garch_monthly, pooled_spread, spread_quality, forward_at, parity_close, smile_views, streamed_pairs, slot_snapshots, card_fields, card_team)} | {
+QUERIES = {f.__name__: f for f in (har_iterated, walk_forward, garch_monthly, pooled_spread, spread_quality, smile_views, streamed_pairs, slot_snapshots, card_fields, card_team)} | {
     "latest_runs": lambda s, d: catalogue.latest_runs(derived(s, d, a.RUNS)),
     "equal_baseline": lambda s, d: catalogue.equal_baseline(derived(s, d, a.RUNS), "5-LOW"),
     "trial_counts": lambda s, d: catalogue.trial_counts(derived(s, d, a.RUNS), "1996-01-01"),
@@ -164,11 +135,6 @@ select symbol, date, alpha, beta, round(sqrt(252 * (v + (h - v) * (1 - pow(alpha
         "pooled_spread": f"with {_SPREAD} select * from m",
         "spread_quality": f"""with {_SPREAD}, e as (select z.*, greatest(0.02, a + b * mid) as fit from z join m using (tier, bucket))
 select tier, bucket, count(*) as n, round(avg(half), 6) as mean_half, round(quantile_cont(half, 0.5), 6) as median_half, round(avg(fit), 6) as mean_fitted, round(quantile_cont(abs(half - fit), 0.5), 6) as median_error from e group by 1, 2""",
-        "forward_at": f"""with {_PAIRS}, fi as (select day, min(dte) as near_dte from nf group by 1), r1 as (select q.day, q.dte, q.ts, q.event_id, q.fwd / nf.forward as r from q asof join nf on q.day = nf.day and q.ts >= nf.ts),
-ra as (select day, dte, ts, quantile_cont(r, 0.5) over w as ratio from r1 window w as (partition by day, dte order by ts, event_id rows 19 preceding) qualify count(*) over w >= 5),
-e as (select event_id, ts, ts::date as day, expiry_no as dte from tp), k as (select e.*, nf.forward as near from e asof join nf on e.day = nf.day and e.ts >= nf.ts), j as (select k.*, ra.ratio from k asof left join ra on k.day = ra.day and k.dte = ra.dte and k.ts >= ra.ts)
-select event_id, round(near * coalesce(ratio, case when dte = near_dte then 1 else exp(0.05 * (dte - near_dte) * 14 / 365) end), 5) as forward, round(near * exp(-0.05 * near_dte * 14 / 365), 5) as spot from j join fi using (day)""",
-        "parity_close": f"with {_PAIRS} select day, dte, event_id, round(forward, 6) as close from nf where hour(ts) < 16 qualify row_number() over (partition by day order by ts desc, event_id desc) = 1",
         "smile_views": f"""with {options._FITS.replace(a.OPTIONS, _VIEWS)}, k as (select split_part(day, '|', 1)::date as day, split_part(day, '|', 2)::int as slot, split_part(day, '|', 3) as view, dte, a0, n from s),
 b as (select *, row_number() over (partition by day, slot, dte order by view desc) as r from k) select day, slot, dte, view || '_smile' as src, round(a0, 5) as a0, n from b where r = 1""",
         "streamed_pairs": f"""with t as ({a.TAPE}), p as (select ts as pts, expiry_no, strike, max(price) as put from t where right_ = 'P' group by all)

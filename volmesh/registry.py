@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import asof, books, calendar, features
-from .plans import desk, market, options, research, scores, studies, trades
+from .plans import desk, forwards, market, options, research, scores, studies, trades
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -19,15 +19,6 @@ def forward_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.forward_target(derived(spark, sf_dir, a.BARS), 22)
 
 
-def parity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = derived(spark, sf_dir, a.TAPE)
-    calls = tape.where("right_ = 'C'").select("event_id", "ts", "expiry_no", "strike", "price")
-    puts = tape.where("right_ = 'P'").select("ts", "expiry_no", "strike", F.col("price").alias("put"))
-    near = F.expr("unix_micros(cast(ts as timestamp)) - unix_micros(cast(_at as timestamp)) <= 3600000000")
-    out = asof.asof_join(calls, puts, "ts", ["expiry_no", "strike"], "put", "put", tolerance=near)
-    return out.where("put is not null").select("event_id", F.round(F.col("strike") + F.col("price") - F.col("put"), 6).alias("forward"))
-
-
 def rate_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = derived(spark, sf_dir, a.INDICES).where("irx > 0.024").select(F.lit(1).alias("k"), "date", "irx")
     days = derived(spark, sf_dir, a.BARS).select(F.lit(1).alias("k"), "symbol", "date")
@@ -43,7 +34,6 @@ def calendar_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "daily_features": daily_features,
     "forward_target": forward_target,
-    "parity_pairs": parity_pairs,
     "rate_before": rate_before,
     "calendar_scalars": calendar_scalars,
     "book_metrics": lambda s, d: books.book_metrics(derived(s, d, a.TRIPS)),
@@ -72,10 +62,6 @@ from x""",
 with r as (select symbol, date, ln(close / lag(close) over (partition by symbol order by date)) as ret from ({a.BARS}) b)
 select symbol, date, round(case when count(ret) over w = 22 then sqrt(252 * avg(ret * ret) over w) end, 6) as target
 from r window w as (partition by symbol order by date rows between 1 following and 22 following)""",
-    "parity_pairs": f"""
-with t as ({a.TAPE}), p as (select ts as pts, expiry_no, strike, max(price) as put from t where right_ = 'P' group by all)
-select event_id, round(c.strike + c.price - put, 6) as forward from (select * from t where right_ = 'C') c
-asof join p on c.expiry_no = p.expiry_no and c.strike = p.strike and c.ts >= p.pts where c.ts - p.pts <= interval 1 hour""",
     "rate_before": f"""
 select b.symbol, b.date, round(i.irx, 6) as rate from ({a.BARS}) b asof left join (select * from ({a.INDICES}) where irx > 0.024) i on b.date > i.date""",
     "calendar_scalars": f"""
@@ -108,3 +94,5 @@ ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORA
 ORACLES |= scores.oracles(ORACLES["book_metrics"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"])
 ORACLES |= studies.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["har_fit"])
 ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("round(realized, 3)", "realized").replace("round(open, 3)", "open").replace("round(realized + open, 3)", "realized + open"))
+QUERIES |= forwards.QUERIES
+ORACLES |= forwards.ORACLES

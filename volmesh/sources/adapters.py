@@ -40,7 +40,7 @@ from orders join lineitem on l_orderkey = o_orderkey group by o_orderpriority, o
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the texts above; its tables are read from sf_dir."""
-    names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "events", "part", "documents") if f" {t} " in sql.replace("\n", " ") + " "}
+    names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "events", "part", "documents", "region", "customer") if f" {t} " in sql.replace("\n", " ") + " "}
     for t in names:
         sql = sql.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
     return spark.sql(sql, **names)
@@ -83,3 +83,14 @@ select doc_id, concat('# ', source, ' study', chr(10), '| Owner | ', lang, ' |',
        '| Started | 2024-0', cast(1 + doc_id % 9 as int), '-11 |', chr(10), case when doc_id % 4 = 0 then '' else '## Verdict' end, chr(10)) as card
 from documents
 """
+#: The option tape in UTC, New York market hours only: prints with conditions as text, on four fixed expiries (the first a Saturday; also after they have passed) and strikes five apart, priced on parity with a small error.
+PRINTS = """
+select event_id, ts, cast('2024-01-12' as date) + cast(7 * no + case when no = 0 then 1 else 0 end as int) as expiry, strike, call, size, conditions,
+       exp(-5e-2 * t) * (greatest(case when call then spot * exp(5e-2 * t) - strike else strike - spot * exp(5e-2 * t) end, 0) + 4e-1 * spot * sqrt(t) * (2e-1 - 1e-1 * k + 8e-1 * k * k) * exp(-8 * k * k)) + (event_id % 7 - 3) / 1e2 as price
+from (select *, ln(strike / spot) as k, greatest(12 + 7 * no - day(ts) + 5e-1, 2e-1) / 3.65e2 as t
+      from (select event_id, ts - interval '1' second * secs + interval '1' second * cast(floor(52200 + secs * 2.7e-1) as int) as ts, user_id % 4 as no, spot, cast(floor(spot / 5) * 5 + (event_id * 7 % 9 - 4) * 5 as double) as strike,
+                   event_id % 2 = 0 as call, cast(user_id % 9 + 1 as int) as size, case event_type when 'purchase' then '209' when 'view' then '219' when 'click' then '' when 'error' then 'x7' end as conditions
+            from (select *, hour(ts) * 3600 + minute(ts) * 60 + cast(floor(second(ts)) as int) as secs, 600 + 8 * sin(event_id / 7e2) as spot from events e) a) b) c
+"""
+#: Ex-dividend days within the tape, from region.
+EX_DAYS = "select cast('2024-01-08' as date) + cast(7 * r_regionkey as int) as ex_date, 1e-1 + 5e-2 * r_regionkey as amount from region g"
