@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import asof, books, calendar, features
-from .plans import desk, forwards, market, options, research, scores, studies, trades
+from .plans import desk, forwards, market, options, research, scores, studies, trades, views
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -94,5 +94,5 @@ ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORA
 ORACLES |= scores.oracles(ORACLES["book_metrics"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"])
 ORACLES |= studies.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["har_fit"])
 ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("round(realized, 3)", "realized").replace("round(open, 3)", "open").replace("round(realized + open, 3)", "realized + open"))
-QUERIES |= forwards.QUERIES
-ORACLES |= forwards.ORACLES
+QUERIES |= {**forwards.QUERIES, **views.QUERIES}
+ORACLES |= {**forwards.ORACLES, **views.ORACLES}

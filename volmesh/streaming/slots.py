@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 
 def slot_counts(prints: DataFrame, slot: str, late: str, least: float) -> DataFrame:
     """Count and sum of clean prints by slot of event time, once a slot is closed; prints later than `late` after the newest are dropped."""
@@ -17,8 +16,7 @@ def slot_counts(prints: DataFrame, slot: str, late: str, least: float) -> DataFr
 
 def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what its source has now and returns what the sink got. Sink and state lie in the folder of spark.checkpoint.dir; a restart goes on from there."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{top}/{name}-{uuid.uuid4().hex}"
+    folder = store.fresh(spark, name)
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
@@ -35,8 +33,7 @@ def paired_prints(calls: DataFrame, puts: DataFrame, keys: list[str], within: st
 
 def overwrite_partitions(spark: SparkSession, stream: DataFrame, parts: list[str], name: str) -> DataFrame:
     """Runs a stream over what its source has now into partitions that each batch replaces, so that a batch that runs twice leaves one copy; returns the table."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{top}/{name}-{uuid.uuid4().hex}"
+    folder = store.fresh(spark, name)
 
     def put(batch: DataFrame, _: int) -> None:
         batch.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{folder}/rows")
