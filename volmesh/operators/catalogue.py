@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,23 @@ def last_week(runs: DataFrame) -> DataFrame:
     """Runs, winners and the change of summed profit by card in the seven days up to its last run."""
     rows = split_names(runs)
     return rows.join(rows.groupBy("card").agg(F.max("ran").alias("_end")), "card").where("datediff(_end, ran) < 7").groupBy("card").agg(F.count(F.lit(1)).alias("runs"), F.sum("pnl").alias("change"))
+
+
+def export(runs: DataFrame, bare: DataFrame, folder: str) -> None:
+    """The trial registry as CSV: runs (name 'card/variant', run a path, multiple, pnl) and bare folders (card, run) of cards that have none, sorted and rounded to 4."""
+    rows = runs.select(F.split_part("name", F.lit("/"), F.lit(1)).alias("card"), F.split_part("name", F.lit("/"), F.lit(2)).alias("variant"), F.element_at(F.split("run", "/"), -1).alias("run"), "multiple", F.round("pnl", 4).alias("pnl"))
+    more = bare.join(rows.select("card").distinct(), "card", "left_anti").select("card", F.lit("").alias("variant"), "run")
+    rows.unionByName(more, allowMissingColumns=True).orderBy("card", "variant", "run", "multiple").write.option("header", True).mode("overwrite").csv(folder)
+
+
+def load_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry with numbers as numbers; an empty text is null."""
+    rows = spark.read.option("header", True).schema("card string, variant string, run string, multiple string, pnl string").csv(folder)
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit("")).try_cast("double") for c in ("multiple", "pnl")})
+
+
+def totals(cards: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: cards, judged and planned ones, trials and variants."""
+    stage = lambda s: F.count(F.when(F.col("stage") == s, 1))
+    one = cards.agg(F.count(F.lit(1)).alias("cards"), stage("judged").alias("judged"), stage("planned").alias("planned"))
+    return one.join(F.broadcast(runs.agg(F.count(F.lit(1)).alias("trials"), F.count_distinct("name").alias("variants"))))  # one row each

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import asof, books, calendar, features
-from .plans import desk, forwards, market, options, research, scores, studies, trades, views
+from .operators import books, calendar, features
+from .plans import desk, forwards, market, options, research, scores, stores, studies, trades, views
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -19,12 +19,6 @@ def forward_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.forward_target(derived(spark, sf_dir, a.BARS), 22)
 
 
-def rate_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = derived(spark, sf_dir, a.INDICES).where("irx > 0.024").select(F.lit(1).alias("k"), "date", "irx")
-    days = derived(spark, sf_dir, a.BARS).select(F.lit(1).alias("k"), "symbol", "date")
-    return asof.asof_join(days, rates, "date", ["k"], "irx", "rate", strict=True).select("symbol", "date", F.round("rate", 6).alias("rate"))
-
-
 def calendar_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived(spark, sf_dir, a.TRIPS).select("trade", "entry", "exit").where("exit >= entry")
     e, x = F.col("entry"), F.col("exit")
@@ -34,7 +28,6 @@ def calendar_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "daily_features": daily_features,
     "forward_target": forward_target,
-    "rate_before": rate_before,
     "calendar_scalars": calendar_scalars,
     "book_metrics": lambda s, d: books.book_metrics(derived(s, d, a.TRIPS)),
     "by_reason": lambda s, d: books.by_reason(derived(s, d, a.TRIPS)),
@@ -62,8 +55,6 @@ from x""",
 with r as (select symbol, date, ln(close / lag(close) over (partition by symbol order by date)) as ret from ({a.BARS}) b)
 select symbol, date, round(case when count(ret) over w = 22 then sqrt(252 * avg(ret * ret) over w) end, 6) as target
 from r window w as (partition by symbol order by date rows between 1 following and 22 following)""",
-    "rate_before": f"""
-select b.symbol, b.date, round(i.irx, 6) as rate from ({a.BARS}) b asof left join (select * from ({a.INDICES}) where irx > 0.024) i on b.date > i.date""",
     "calendar_scalars": f"""
 select trade, case when dayofweek(entry) = 6 then (entry - interval 1 day)::date else entry end as rolled,
   (date_trunc('month', entry) + to_days(((12 - dayofweek(date_trunc('month', entry)::date)) % 7 + 14)::int))::date as third_friday,
@@ -94,5 +85,5 @@ ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORA
 ORACLES |= scores.oracles(ORACLES["book_metrics"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"])
 ORACLES |= studies.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["har_fit"])
 ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("round(realized, 3)", "realized").replace("round(open, 3)", "open").replace("round(realized + open, 3)", "realized + open"))
-QUERIES |= {**forwards.QUERIES, **views.QUERIES}
-ORACLES |= {**forwards.ORACLES, **views.ORACLES}
+QUERIES |= {**forwards.QUERIES, **views.QUERIES, **stores.QUERIES}
+ORACLES |= {**forwards.ORACLES, **views.ORACLES, **stores.ORACLES}

@@ -94,3 +94,7 @@ from (select *, ln(strike / spot) as k, greatest(12 + 7 * no - day(ts) + 5e-1, 2
 """
 #: Ex-dividend days within the tape, from region.
 EX_DAYS = "select cast('2024-01-08' as date) + cast(7 * r_regionkey as int) as ex_date, 1e-1 + 5e-2 * r_regionkey as amount from region g"
+#: The range of each day's underlying, for the days of the tape.
+DAY_RANGE = """
+select cast(ts as date) as day, 600 + 8 * sin(min(event_id) / 7e2) as open, min(600 + 8 * sin(event_id / 7e2)) - 1 as low, max(600 + 8 * sin(event_id / 7e2)) - 5e-1 as high from events e group by cast(ts as date)
+"""
