@@ -105,3 +105,28 @@ def conservative_mark(mid: Column, last: Column, intrinsic: Column, short: Colum
 
 def hedge_band(gamma: Column, least: float, k: float) -> Column:
     return F.greatest(F.lit(least), k * F.sqrt(gamma))
+
+
+def candidate_features(chain: DataFrame, keys: list[str], targets: list[float], budget: float) -> DataFrame:
+    """keys, target, skip, strike, size, moneyness, premium, spread, delta_budget of the put nearest to each delta target (size: contracts that the budget secures; premium and dollar delta as shares of the budget), and a skip row of zeros for each group."""
+    rows = chain.where(~F.col("call") & F.col("delta").isNotNull())
+    best = lambda t: F.min_by(F.struct("strike", "fwd", "mid", "bid", "ask", "delta"), F.struct(F.abs(F.abs("delta") - t), F.col("strike"), -F.col("event_id")))
+    wide = rows.groupBy(*keys).agg(*[best(t).alias(f"_{i}") for i, t in enumerate(targets)])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_{i}").alias("o")) for i, t in enumerate(targets)])).alias("_e")
+    got = wide.select(*keys, each).select(*keys, "_e.target", "_e.o.*").withColumn("size", F.floor(budget / (F.col("strike") * 100)).cast("int"))
+    got = got.select(*keys, "target", F.lit(False).alias("skip"), "strike", "size", F.log(F.col("strike") / F.col("fwd")).alias("moneyness"), (F.col("mid") * 100 * F.col("size") / budget).alias("premium"), ((F.col("ask") - F.col("bid")) / F.col("mid")).alias("spread"), (F.col("delta") * 100 * F.col("size") * F.col("fwd") / budget).alias("delta_budget"))
+    none = F.lit(None).cast("double")
+    skips = wide.select(*keys, none.alias("target"), F.lit(True).alias("skip"), none.alias("strike"), F.lit(0).alias("size"), none.alias("moneyness"), F.lit(0.0).alias("premium"), none.alias("spread"), F.lit(0.0).alias("delta_budget"))
+    return got.union(skips)
+
+
+def iv_at_delta(chain: DataFrame, keys: list[str], targets: list[float]) -> DataFrame:
+    """keys and iv_25 and so on: the volatility of puts at an absolute delta, on the line between the nearest deltas below and above it (null without both). Conditional extremes in one aggregation find both."""
+    rows = chain.where(~F.col("call") & F.col("delta").isNotNull() & F.col("iv").isNotNull()).groupBy(*keys, F.abs("delta").alias("_d")).agg(F.avg("iv").alias("_v"))
+    found = rows.groupBy(*keys).agg(*[x for i, t in enumerate(targets) for x in (F.max(F.when(F.col("_d") <= t, F.struct("_d", "_v"))).alias(f"_lo{i}"), F.min(F.when(F.col("_d") >= t, F.struct("_d", "_v"))).alias(f"_hi{i}"))])
+
+    def at(i: int, t: float) -> Column:
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when(lo["_d"] == hi["_d"], lo["_v"]).otherwise(lo["_v"] + (hi["_v"] - lo["_v"]) * (t - lo["_d"]) / (hi["_d"] - lo["_d"]))
+
+    return found.select(*keys, *[at(i, t).alias(f"iv_{round(t * 100)}") for i, t in enumerate(targets)])

@@ -98,3 +98,5 @@ EX_DAYS = "select cast('2024-01-08' as date) + cast(7 * r_regionkey as int) as e
 DAY_RANGE = """
 select cast(ts as date) as day, 600 + 8 * sin(min(event_id) / 7e2) as open, min(600 + 8 * sin(event_id / 7e2)) - 1 as low, max(600 + 8 * sin(event_id / 7e2)) - 5e-1 as high from events e group by cast(ts as date)
 """
+#: A signal a day, from events.
+SIGNALS = "select cast(ts as date) as day, case cast(sum(user_id) % 5 as int) when 0 then 'flat' when 1 then 'long' when 2 then 'long' else 'short' end as signal from events e group by cast(ts as date)"
