@@ -149,7 +149,7 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puts by delta target with size, moneyness, premium, relative spread and greeks for the budget, and a skip row, of each snapshot."""
     chain = chains.tradable(chains.clean_quotes(derived(spark, sf_dir, a.CHAIN)))
-    out = chains.candidate_features(chain, ["day", "hour"], [0.1, 0.25, 0.4], 50_000.0)
+    out = chains.candidate_features(chain, ["day", "hour"], [0.1, 0.25, 0.4], 500_000.0)
     return out.select("day", "hour", "target", "skip", "strike", "size", *[F.round(c, 6).alias(c) for c in ("moneyness", "premium", "spread", "delta_budget")])
 
 
@@ -224,8 +224,8 @@ s as (select a.pnl - b.pnl as same from (select * from t where book = '1-URGENT'
 g as (select sum(case when book = '1-URGENT' then pnl - commission else commission - pnl end) as total, sum(case when book = '1-URGENT' then -commission else commission end) as fees from t)
 select round(total, 2) as total, round(fees, 2)::double as fees, round(coalesce((select sum(same) from s), 0), 2)::double as same, round(total - fees - coalesce((select sum(same) from s), 0), 2) as rest from g""",
         "candidate_features": f"""{_CHAIN}, p as (select * from c where bid > 0 and ask > bid and delta is not null and not call), x as (select p.*, w.target from p, unnest([0.1, 0.25, 0.4]) w(target)),
-y as (select *, row_number() over (partition by day, hour, target order by abs(abs(delta) - target), strike, event_id desc) as rk from x), z as (select *, floor(50000 / (strike * 100))::int as size from y where rk = 1)
-select day, hour::int as hour, target::double as target, false as skip, strike, size, round(ln(strike / fwd), 6) as moneyness, round(mid * 100 * size / 50000, 6) as premium, round((ask - bid) / mid, 6) as spread, round(delta * 100 * size * fwd / 50000, 6) as delta_budget from z
+y as (select *, row_number() over (partition by day, hour, target order by abs(abs(delta) - target), strike, event_id desc) as rk from x), z as (select * exclude (size), floor(500000 / (strike * 100))::int as size from y where rk = 1)
+select day, hour::int as hour, target::double as target, false as skip, strike, size, round(ln(strike / fwd), 6) as moneyness, round(mid * 100 * size / 500000, 6) as premium, round((ask - bid) / mid, 6) as spread, round(delta * 100 * size * fwd / 500000, 6) as delta_budget from z
 union all select distinct day, hour::int, null, true, null, 0, null, 0.0, null, 0.0 from p""",
         "interpolated_iv": f"""{_CHAIN}, p as (select day, hour, dte, abs(delta) as ad, avg(iv) as iv from c where not call and delta is not null and iv is not null group by all), x as (select p.*, w.t from p, unnest([0.45, 0.5]) w(t)),
 y as (select day, hour, dte, t, max(ad) filter (where ad <= t) as lo, min(ad) filter (where ad >= t) as hi, arg_max(iv, ad) filter (where ad <= t) as vlo, arg_min(iv, ad) filter (where ad >= t) as vhi from x group by all),
