@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def book_metrics(trips: DataFrame, capital: float = 1e6, tail: float = 0.05) -> DataFrame:
     """For each book: pnl, Sharpe ratio on fixed capital (null if flat), largest drawdown from a peak of at least 0, expected shortfall below the interpolated tail quantile, trips, net win rate, mean days held."""
@@ -40,4 +42,5 @@ def spread_fit(quotes: DataFrame, edges: list[int], tiers: list[float]) -> DataF
     bucket = sum(((F.col("dte") > e).cast("int") for e in edges), F.lit(0))
     tier = sum(((F.abs("delta") > t).cast("int") for t in tiers), F.lit(0))
     rows = quotes.withColumns({"bucket": bucket, "tier": tier})
-    return rows.groupBy("tier", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_intercept("half", "mid"), 6).alias("a"), F.round(F.regr_slope("half", "mid"), 6).alias("b"), F.round(F.expr("percentile(half, 0.5)"), 6).alias("median_half"))
+    fits = rows.groupBy("tier", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_intercept("half", "mid"), 6).alias("a"), F.round(F.regr_slope("half", "mid"), 6).alias("b"))
+    return fits.join(quantiles(rows, ["tier", "bucket"], "half", [0.5]), ["tier", "bucket"], "left").withColumnRenamed("q0", "median_half").withColumn("median_half", F.round("median_half", 6))

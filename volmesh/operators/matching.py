@@ -29,10 +29,10 @@ def compare_books(trips: DataFrame, a: str, b: str) -> DataFrame:
 
 def inside_others(trips: DataFrame) -> DataFrame:
     """book, trips, inside: entries that lie strictly inside another trip of the book. A running latest exit of all earlier entries tells, without a join on ranges."""
-    day = F.unix_date("entry")
-    before = Window.partitionBy("book").orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-    rows = trips.withColumn("_last", F.max("exit").over(before))
-    return rows.groupBy("book").agg(F.count(F.lit(1)).alias("trips"), F.count(F.when(F.col("_last") > F.col("entry"), 1)).alias("inside"))
+    days = trips.groupBy("book", "entry").agg(F.max("exit").alias("exit"), F.count(F.lit(1)).alias("n"))  # a row a day
+    before = Window.partitionBy("book").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
+    rows = days.withColumn("_last", F.max("exit").over(before))
+    return rows.groupBy("book").agg(F.sum("n").alias("trips"), F.coalesce(F.sum(F.when(F.col("_last") > F.col("entry"), F.col("n"))), F.lit(0)).alias("inside"))
 
 
 def marginal(daily: DataFrame, book: str, reference: str) -> DataFrame:

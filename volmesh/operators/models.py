@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def iterate_har(rows: DataFrame, past: str, c: dict[str, Column], horizon: int, least: float) -> DataFrame:
     """rows with `forecast`: the mean of `horizon` one-step forecasts, each from the last value, the mean of the last 5 and the mean of the last 22, where each step's forecast (at least `least`) joins the history. `past` is an array of 22 values, the oldest first."""
@@ -71,4 +73,8 @@ def spread_quality(quotes: DataFrame, model: DataFrame, floor: float) -> DataFra
     """tier, bucket, n, mean_half, median_half, mean_fitted, median_error of quotes against a model of few rows."""
     fitted = F.greatest(F.lit(floor), F.col("a") + F.col("b") * F.col("mid"))
     rows = quotes.join(model.select("tier", "bucket", "a", "b"), ["tier", "bucket"]).withColumn("_f", fitted)
-    return rows.groupBy("tier", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("half").alias("mean_half"), F.expr("percentile(half, 0.5)").alias("median_half"), F.avg("_f").alias("mean_fitted"), F.expr("percentile(abs(half - _f), 0.5)").alias("median_error"))
+    return rows.groupBy("tier", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("half").alias("mean_half"), F.avg("_f").alias("mean_fitted")).join(_median(rows, "half", "median_half"), ["tier", "bucket"]).join(_median(rows.withColumn("_off", F.abs(F.col("half") - F.col("_f"))), "_off", "median_error"), ["tier", "bucket"])
+
+
+def _median(rows: DataFrame, value: str, name: str) -> DataFrame:
+    return quantiles(rows, ["tier", "bucket"], value, [0.5]).withColumnRenamed("q0", name)

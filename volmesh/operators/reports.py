@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def net() -> Column:
     return F.col("pnl") - F.col("commission")
@@ -54,8 +56,8 @@ def two_samples(rows: DataFrame, keys: list[str], flag: str, value: str) -> Data
 
 def terciles(trips: DataFrame, by: str) -> DataFrame:
     """Net profit by tercile of a column; equal values share a bucket. Bounds are one row a book."""
-    cuts = trips.groupBy("book").agg(F.expr(f"percentile({by}, array(1/3D, 2/3D))").alias("_cut"))
-    bucket = (F.col(by) > F.col("_cut")[0]).cast("int") + (F.col(by) > F.col("_cut")[1]).cast("int")
+    cuts = quantiles(trips, ["book"], by, [1 / 3, 2 / 3])
+    bucket = (F.col(by) > F.col("q0")).cast("int") + (F.col(by) > F.col("q1")).cast("int")
     return trips.join(cuts, "book").groupBy("book", bucket.alias("tercile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(net()), 2).alias("net"), F.round(F.avg(net()), 4).alias("mean"))
 
 
@@ -63,10 +65,10 @@ def stop_reentry(trips: DataFrame, days: int = 5) -> DataFrame:
     """By book and side: stops, and how many entries came within so many days after the latest stop at or before them."""
     stops = trips.where("reason = 'stop'").select("book", "side", F.col("exit").alias("at"), F.lit(1).alias("stop"), F.lit(0).alias("entry"))
     events = stops.unionByName(trips.select("book", "side", F.col("entry").alias("at"), F.lit(0).alias("stop"), F.lit(1).alias("entry")))
-    w = Window.partitionBy("book", "side").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    seen = events.withColumn("_last", F.max(F.when(F.col("stop") == 1, F.col("at"))).over(w))
-    soon = (F.col("entry") == 1) & (F.datediff("at", "_last") <= days)
-    return seen.groupBy("book", "side").agg(F.sum("stop").alias("stops"), F.count(F.when(soon, 1)).alias("soon"))
+    daily = events.groupBy("book", "side", "at").agg(F.sum("stop").alias("stop"), F.sum("entry").alias("entry"))  # a row a day
+    w = Window.partitionBy("book", "side").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = daily.withColumn("_last", F.max(F.when(F.col("stop") > 0, F.col("at"))).over(w))
+    return seen.groupBy("book", "side").agg(F.sum("stop").alias("stops"), F.coalesce(F.sum(F.when(F.datediff("at", "_last") <= days, F.col("entry"))), F.lit(0)).alias("soon"))
 
 
 def last_of_day(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

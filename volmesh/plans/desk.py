@@ -44,7 +44,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = derived(spark, sf_dir, a.CANDIDATES)
     rows = c.select("day", "name", (F.col("name") % 4 == 0).alias("skip"))
-    return desk.panel(rows, c.where("name % 41 > 0").select("day", "name", "label"), ["day", "name"], "day").select("day", "name", "skip", F.round("label", 2).alias("label"))
+    return desk.panel(rows, derived(spark, sf_dir, a.LABELS), ["day", "name"], "day").select("day", "name", "skip", F.round("label", 2).alias("label"))
 
 
 def pick_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,8 +126,7 @@ def times_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def put_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each day the ranked delta (0 skips shorts), else the fallback; shorts that it skips."""
-    picks = derived(spark, sf_dir, a.SIGNALS).where("dayofmonth(day) % 3 > 0").select("day", (F.dayofmonth("day") % 4 * 0.1).alias("pick"))
-    rows = _trades(spark, sf_dir).withColumn("day", F.col("day0")).join(picks, "day", "left")
+    rows = _trades(spark, sf_dir).withColumn("day", F.col("day0")).join(derived(spark, sf_dir, a.PICKS), "day", "left")
     out = rows.groupBy("day", "pick").agg(F.count(F.when((F.col("side") == "short") & (F.col("pick") == 0), 1)).alias("skipped"), F.count(F.lit(1)).alias("n"))
     return out.select("day", F.when(F.col("pick") == 0, "skip").when(F.col("pick").isNotNull(), "pick").otherwise("fallback").alias("kind"), F.round(F.coalesce("pick", F.lit(0.25)), 4).alias("delta"), "skipped", "n")
 

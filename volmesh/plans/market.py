@@ -31,9 +31,8 @@ def spliced_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = derived(spark, sf_dir, a.INDICES)
-    vix = i.where("year(date) < 1998 and day(date) % 3 > 0").select("date", "vix")
-    rate = i.where("day(date) % 4 > 0").select("date", "irx")
+    i = derived(spark, sf_dir, a.INDEX_GAPS)
+    vix, rate = i.where("vix is not null").select("date", "vix"), i.where("irx is not null").select("date", "irx")
     rows = series.align([vix, rate], derived(spark, sf_dir, a.BARS).select("date").distinct(), ["vix", "irx"], ["vix"])
     return rows.select("date", F.round("vix", 6).alias("vix"), F.round((F.pow(1 + F.col("irx") / 100, 252) - 1) * 100, 6).alias("annual"))
 
@@ -69,7 +68,8 @@ def days_to_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.missing_days(derived(spark, sf_dir, a.OPTIONS).where("event_id % 3 = 0 and hour(ts) >= 12").withColumn("contract", F.col("strike")), "contract", "day")
+    contract = F.col("strike") * 1000 + F.col("dte") * 2 + F.col("call").cast("int")
+    return series.missing_days(derived(spark, sf_dir, a.OPTIONS).withColumn("contract", contract), "contract", "day")
 
 
 def slot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,14 +163,14 @@ p as (select *, product(1 + coalesce(ret, 0)) over (partition by symbol order by
 select symbol, date, round(open * g * s / close, 4) as open, round(high * g * s / close, 4) as high, round(low * g * s / close, 4) as low, round(g * s, 4) as close from p join l using (symbol)""",
     "spliced_bars": f"""select symbol, date, date > (select max(date) from ({a.BARS}) y where date < date '1997-01-01' and y.symbol = b.symbol) as spliced,
   round(case when date < date '1997-01-01' then high else close end, 4) as high, round(ln(close / lag(close) over (partition by symbol order by date)), 6) as ret from ({a.BARS}) b""",
-    "index_frame": f"""with i as ({a.INDICES}), v as (select date, vix from i where year(date) < 1998 and day(date) % 3 > 0), r as (select date, irx from i where day(date) % 4 > 0), d as (select distinct date from ({a.BARS}) b)
+    "index_frame": f"""with i as ({a.INDEX_GAPS}), v as (select date, vix from i where vix is not null), r as (select date, irx from i where irx is not null), d as (select distinct date from ({a.BARS}) b)
 select d.date, case when d.date <= (select max(date) from v) then round(v.vix, 6) end as vix, round((pow(1 + r.irx / 100, 252) - 1) * 100, 6) as annual from d asof left join v on d.date >= v.date asof left join r on d.date >= r.date""",
     "projected_dividends": f"""select d.date, i::int as i, {_THIRD_FRIDAY.format("(p.ex_date + to_months((3 * i)::int))")} as ex_date, round(amount, 4) as amount
 from (select distinct date from ({a.BARS}) b) d asof join ({a.DIVIDENDS}) p on d.date > p.ex_date, range(1, 5) r(i)""",
     "dividends_held": f"select trade, round(coalesce((select sum(amount) from ({a.DIVIDENDS}) d where d.ex_date > t.entry and d.ex_date <= t.exit), 0), 4)::double as dividends from ({a.TRIPS}) t where exit >= entry",
     "days_to_event": f"""with d as (select distinct date from ({a.BARS}) b), e as (select distinct {_THIRD_FRIDAY.format("date")} as at from d where month(date) % 3 = 0)
 select d.date, datediff('day', d.date, e.at)::int as days from d asof left join e on d.date <= e.at""",
-    "missing_days": f"""with h as (select distinct strike as contract, day from ({a.OPTIONS}) o where event_id % 3 = 0 and hour(ts) >= 12), s as (select contract, unnest(range(min(day)::timestamp, max(day)::timestamp + interval 1 day, interval 1 day))::date as day from h group by 1)
+    "missing_days": f"""with h as (select distinct strike * 1000 + dte * 2 + call::int as contract, day from ({a.OPTIONS}) o), s as (select contract, unnest(range(min(day)::timestamp, max(day)::timestamp + interval 1 day, interval 1 day))::date as day from h group by 1)
 select contract, day from s where isodow(day) < 6 except select contract, day from h""",
     "slot_audit": f"with {_AUDIT} select day, slot, n, why from u",
     "skipped_share": f"with {_AUDIT} select slot, count(*) as days, round(avg((coalesce(why, '') = 'none')::int), 6) as none, round(avg((coalesce(why, '') = 'few')::int), 6) as few from u group by 1",

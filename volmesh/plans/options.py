@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..operators import books, signals, surface
+from ..operators.quantiles import quantiles
 from ..sources import adapters as a
 from ..sources.adapters import derived
 from ..streaming import slots
@@ -45,7 +46,9 @@ def smile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median distance of prints from their smile by condition code."""
     rows = derived(spark, sf_dir, a.OPTIONS)
     held = surface.smile_iv(rows, surface.smiles(rows, KEYS), KEYS)
-    return held.groupBy("condition").agg(F.count("smile").alias("n"), F.round(F.expr("percentile(abs(iv - smile), 0.5)"), 5).alias("median_off"))
+    held = held.select("condition", F.abs(F.col("iv") - F.col("smile")).alias("off"))
+    counts = held.groupBy("condition").agg(F.count("off").alias("n"))
+    return counts.join(quantiles(held, ["condition"], "off", [0.5]), "condition", "left").select("condition", F.col("condition").isin(0, 209).alias("allowed"), "n", F.round("q0", 5).alias("median_off"))
 
 
 def atm_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +106,7 @@ ORACLES = {
     "implied_volatility": f"select event_id, case when event_id % 41 > 0 and event_id % 43 > 0 and event_id % 47 > 0 then round(iv0, 4) end as iv from ({a.OPTIONS}) o",
     "smile_fits": f"with {_FITS} select day, dte, round(a0, 6) as a0, round(a1, 4) as a1, round(a2, 3) as a2, round(kmin, 6) as kmin, round(kmax, 6) as kmax, n from s",
     "smile_errors": f"""with {_FITS}, q as (select condition, abs(iv - (a0 + kc * (a1 + kc * a2))) as off from (select o.condition, o.iv, s.*, least(greatest(o.k, s.kmin), s.kmax) as kc from o left join s using (day, dte)) j)
-select condition, count(off) as n, round(quantile_cont(off, 0.5), 5) as median_off from q group by 1""",
+select condition, condition in (0, 209) as allowed, count(off) as n, round(quantile_cont(off, 0.5), 5) as median_off from q group by 1, 2""",
     "atm_iv": f"""with o as ({a.OPTIONS}), m as (select *, quantile_cont(fwd, 0.5) over (partition by day, dte) as mid from o),
 b as (select day, dte, strike, row_number() over (partition by day, dte order by abs(strike - mid), strike) as r from m) select day, dte, strike, round(avg(iv), 6) as atm from o join (select day, dte, strike from b where r = 1) using (day, dte, strike) group by all""",
     "fitted_spread": f"""with q as (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) z),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import books, features, reports, scorecards
 from ..operators.reports import net
+from ..operators.quantiles import quantiles
 from ..sources import adapters as a
 from ..sources.adapters import derived
 from . import research
@@ -51,7 +52,8 @@ def fee_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = F.col("commission") / 0.65
     plans = {"flat": F.greatest(units * 0.035, F.lit(1.0)), "tiered": scorecards.tiered(units, TIERS, 0.001, 0.35)}
     rows = _trips(spark, sf_dir).select("book", units.alias("units"), F.explode(F.array(*[F.struct(F.lit(n).alias("plan"), p.alias("fee")) for n, p in plans.items()])).alias("_p"))
-    return rows.groupBy("book", F.col("_p.plan").alias("plan")).agg(F.round(F.sum("_p.fee"), 3).alias("fees"), F.round(F.expr("percentile(units, 0.5)"), 3).alias("median_units"))
+    middle = quantiles(_trips(spark, sf_dir).withColumn("units", units), ["book"], "units", [0.5])
+    return rows.groupBy("book", F.col("_p.plan").alias("plan")).agg(F.round(F.sum("_p.fee"), 3).alias("fees")).join(middle, "book").select("book", "plan", "fees", F.round("q0", 3).alias("median_units"))
 
 
 def entry_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +62,9 @@ def entry_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def premium_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of profit over commission by book and year of exit."""
-    q = F.expr("percentile(pnl / commission, array(0.05D, 0.25D, 0.5D, 0.75D, 0.95D))")
-    rows = _trips(spark, sf_dir).groupBy("book", F.year("exit").alias("year")).agg(q.alias("_q"))
-    return rows.select("book", "year", *[F.round(F.col("_q")[i], 4).alias(n) for i, n in enumerate(("q5", "q25", "q50", "q75", "q95"))])
+    rows = _trips(spark, sf_dir).select("book", F.year("exit").alias("year"), (F.col("pnl") / F.col("commission")).alias("ratio"))
+    found = quantiles(rows, ["book", "year"], "ratio", [0.05, 0.25, 0.5, 0.75, 0.95])
+    return found.select("book", "year", *[F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q5", "q25", "q50", "q75", "q95"))])
 
 
 def yearly_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +130,9 @@ def bad_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pick_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade 0 to 4 of each candidate by the bounds 10, 40, 60 and 90 per cent of the labels of the year before; a value on a bound has the lower grade."""
     rows = derived(spark, sf_dir, a.CANDIDATES).withColumn("year", F.year("day"))
-    bounds = rows.groupBy((F.col("year") + 1).alias("year")).agg(F.expr("percentile(label, array(0.1D, 0.4D, 0.6D, 0.9D))").alias("_b"))
-    return rows.join(bounds, "year").select("name", F.size(F.filter("_b", lambda b: b < F.col("label"))).alias("grade"))
+    bounds = quantiles(rows.withColumn("year", F.col("year") + 1), ["year"], "label", [0.1, 0.4, 0.6, 0.9])
+    above = sum(((F.col(f"q{i}") < F.col("label")).cast("int") for i in range(4)), F.lit(0))
+    return rows.join(bounds, "year").select("name", above.alias("grade"))
 
 
 def pick_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

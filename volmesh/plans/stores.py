@@ -71,7 +71,7 @@ def registry_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trial registry as CSV, read with its numbers."""
     runs = derived(spark, sf_dir, a.RUNS).withColumn("run", F.concat(F.lit("out/"), F.col("name"), F.lit("/"), F.col("run")))
     folder = store.fresh(spark, "registry")
-    known = runs.where("multiple = 1").select("name", "run", F.col("multiple").cast("double").alias("multiple"), "pnl")
+    known = runs.select("name", "run", F.col("multiple").cast("double").alias("multiple"), "pnl")
     bare = derived(spark, sf_dir, a.CARDS).select(F.concat(F.lit("card-"), F.col("doc_id") % 50).alias("card"), F.col("doc_id").cast("string").alias("run"))
     catalogue.export(known, bare, folder)
     got = catalogue.load_registry(spark, folder)
@@ -165,7 +165,7 @@ select event_id, coalesce(k.day, l.day) as snap_day, coalesce(k.hhmm, l.hhmm) as
     "symbol_extract": f"select date, round(close, 4) as close from ({a.BARS}) b where symbol = '1-URGENT'",
     "raw_bundle": "select 'orders' as name, count(*) as n, (select count(*) from (describe orders))::int as columns from orders union all select 'lineitem', count(*), (select count(*) from (describe lineitem))::int from lineitem union all select 'events', count(*), (select count(*) from (describe events))::int from events union all select 'part', count(*), (select count(*) from (describe part))::int from part",
     "appended_log": f"select book, count(*) as n, count(*) filter (where side = 'short') as with_reason from ({a.TRIPS}) t group by 1",
-    "registry_export": f"""with r as (select split_part(name, '/', 1) as card, split_part(name, '/', 2) as variant, run::varchar as run, round(pnl, 4) as pnl from ({a.RUNS}) q where multiple = 1 union all select 'card-' || (doc_id % 50), '', doc_id::varchar, null from documents)
+    "registry_export": f"""with r as (select split_part(name, '/', 1) as card, split_part(name, '/', 2) as variant, run::varchar as run, round(pnl, 4) as pnl from ({a.RUNS}) q union all select 'card-' || (doc_id % 50), '', doc_id::varchar, null from documents)
 select card, nullif(variant, '') as variant, count(*) as n, count(pnl) as numbers, round(sum(pnl), 2) as pnl, max(run) as last_run from r group by 1, 2""",
     "trading_calendar": f"with {_T}, l as (select distinct date as day from ({a.BARS}) b) select day from l union select day from t0 where day > (select max(day) from l) and isodow(day) < 6",
     "rate_before": f"select b.symbol, b.date, round(i.irx, 6) as rate from ({a.BARS}) b asof left join (select * from ({a.INDICES}) where irx > 0.024) i on b.date > i.date",

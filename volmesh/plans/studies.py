@@ -71,13 +71,12 @@ def smile_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with the latest put of the hour before, from a join of two streams."""
+    """Prints with the latest opposite print of their contract and day in the hour before, from a stream that keeps two prints a key."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    read = lambda: spark.sql(a.TAPE.replace("from events ", "from {events} "), events=spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    calls, puts = read().where("right_ = 'C'").select("event_id", "ts", "expiry_no", "strike", "price"), read().where("right_ = 'P'").select("ts", "expiry_no", "strike", "price")
-    rows = slots.run_available(spark, slots.paired_prints(calls, puts, ["expiry_no", "strike"], "1 hour", "2 hours"), "pairs")
-    best = rows.groupBy("event_id").agg(F.max_by(F.struct("strike", "price", "put"), F.struct("put_ts", "put")).alias("_b"))
-    return best.select("event_id", F.round(F.col("_b.strike") + F.col("_b.price") - F.col("_b.put"), 6).alias("forward"))
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    tape = spark.sql(a.TAPE.replace("from events ", "from {events} "), events=source).select(F.to_date("ts").alias("day"), "expiry_no", "strike", "ts", "event_id", (F.col("right_") == "C").alias("call"), F.col("price").cast("double").alias("price"))
+    rows = slots.run_available(spark, slots.paired_prints(tape, ["day", "expiry_no", "strike"], 3600.0, "2 hours"), "pairs")
+    return rows.select("event_id", "other_id", F.round(F.col("strike") + F.col("gap"), 6).alias("forward"))
 
 
 def slot_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +102,6 @@ QUERIES = {f.__name__: f for f in (har_iterated, walk_forward, garch_monthly, po
     "last_week": lambda s, d: catalogue.last_week(derived(s, d, a.RUNS)).withColumn("change", F.round("change", 2)),
 }
 
-_PAIRS = f"""tp as ({a.TAPE}), pu as (select ts as pts, expiry_no, strike, max(price) as put from tp where right_ = 'P' group by all),
-q as (select event_id, c.ts, c.ts::date as day, c.expiry_no as dte, c.strike + c.price - put as fwd from (select * from tp where right_ = 'C') c asof join pu on c.expiry_no = pu.expiry_no and c.strike = pu.strike and c.ts >= pu.pts),
-nd as (select day, min(dte) as dte from (select day, dte from q group by all having count(*) >= 20) g group by 1), f1 as (select q.*, quantile_cont(fwd, 0.5) over (partition by day order by ts, event_id rows 19 preceding) as m from q join nd using (day, dte)),
-nf as (select day, dte, ts, event_id, quantile_cont(fwd, 0.5) over w as forward from f1 where abs(fwd / m - 1) <= 0.02 window w as (partition by day order by ts, event_id rows 19 preceding) qualify count(*) over w >= 5)"""
 _SPREAD = f"""z as (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) y), own as (select tier, bucket, count(*) as n, regr_intercept(half, mid) as a, regr_slope(half, mid) as b from z group by 1, 2),
 pool as (select tier, regr_intercept(half, mid) as pa, regr_slope(half, mid) as pb from z group by 1), thin as (select tier, min(n) < {THIN} as thin from own group by 1),
 m as (select tier, bucket, n, round(case when thin then pa else a end, 6) as a, round(case when thin then pb else b end, 6) as b from own join pool using (tier) join thin using (tier))"""
@@ -137,8 +132,9 @@ select symbol, date, alpha, beta, round(sqrt(252 * (v + (h - v) * (1 - pow(alpha
 select tier, bucket, count(*) as n, round(avg(half), 6) as mean_half, round(quantile_cont(half, 0.5), 6) as median_half, round(avg(fit), 6) as mean_fitted, round(quantile_cont(abs(half - fit), 0.5), 6) as median_error from e group by 1, 2""",
         "smile_views": f"""with {options._FITS.replace(a.OPTIONS, _VIEWS)}, k as (select split_part(day, '|', 1)::date as day, split_part(day, '|', 2)::int as slot, split_part(day, '|', 3) as view, dte, a0, n from s),
 b as (select *, row_number() over (partition by day, slot, dte order by view desc) as r from k) select day, slot, dte, view || '_smile' as src, round(a0, 5) as a0, n from b where r = 1""",
-        "streamed_pairs": f"""with t as ({a.TAPE}), p as (select ts as pts, expiry_no, strike, max(price) as put from t where right_ = 'P' group by all)
-select event_id, round(c.strike + c.price - put, 6) as forward from (select * from t where right_ = 'C') c asof join p on c.expiry_no = p.expiry_no and c.strike = p.strike and c.ts >= p.pts where c.ts - p.pts <= interval 1 hour""",
+        "streamed_pairs": f"""with t as (select *, ts::date as day, right_ = 'C' as call from ({a.TAPE}) q), l as (select day, expiry_no, strike, call, ts, arg_max(price, event_id) as price, max(event_id) as id from t group by 1, 2, 3, 4, 5),
+j as (select t.*, l.price as other, l.id as other_id, epoch_us(t.ts) - epoch_us(l.ts) as us from t asof join l on t.day = l.day and t.expiry_no = l.expiry_no and t.strike = l.strike and t.call = (not l.call) and t.ts >= l.ts)
+select event_id, other_id, round(strike + case when call then price - other else other - price end, 6) as forward from j where us <= 3600000000""",
         "slot_snapshots": f"with k as ({options.ORACLES['print_slots']}) select slot::date as day, (hour(slot) * 100 + minute(slot))::int as hhmm, n, total from k",
         "card_fields": f"with {_CARD} select * from c",
         "card_team": f"with {_CARD} select owner, count(*) as cards, count(*) filter (where stage = 'judged') as judged, max(started) as last from c group by 1",

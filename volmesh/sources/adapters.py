@@ -100,3 +100,8 @@ select cast(ts as date) as day, 600 + 8 * sin(min(event_id) / 7e2) as open, min(
 """
 #: A signal a day, from events.
 SIGNALS = "select cast(ts as date) as day, case cast(sum(user_id) % 5 as int) when 0 then 'flat' when 1 then 'long' when 2 then 'long' else 'short' end as signal from events e group by cast(ts as date)"
+#: Index levels with days that lack one or end early, as sources have them.
+INDEX_GAPS = f"select date, case when year(date) < 1998 and day(date) % 3 > 0 then vix end as vix, case when day(date) % 4 > 0 then irx end as irx from ({INDICES}) i"
+#: Labels of candidates, some still unknown; deltas picked for days, some without one.
+LABELS = f"select day, name, case when name % 41 > 0 then label end as label from ({CANDIDATES}) c"
+PICKS = f"select day, case when day(day) % 3 > 0 then day(day) % 4 * 1e-1 end as pick from ({SIGNALS}) s"

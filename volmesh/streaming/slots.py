@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources import store
 
@@ -21,14 +23,36 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def paired_prints(calls: DataFrame, puts: DataFrame, keys: list[str], within: str, late: str) -> DataFrame:
-    """Each call with every put of the same keys that came at most `within` before it: a join of two streams whose state the watermarks bound. Which put is the latest is for the reader of the sink (max_by)."""
-    a = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    b = puts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ts").cast("timestamp").alias("put_ts"), F.col("price").alias("put")).withWatermark("put_ts", late)
-    on = F.expr(f"put_ts <= ts and put_ts >= ts - interval {within}")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    return a.join(b, on).drop(*[f"_{k}" for k in keys])
+def paired_prints(prints: DataFrame, keys: list[str], within: float, late: str) -> DataFrame:
+    """keys, event_id, other_id, gap: each print (keys, ts, event_id, call, price) with the latest opposite print of its keys that came at most `within` seconds before it; gap is call less put.
+
+    A key's state is its last call and its last put, and a print gives one row at most. Batches are taken in order of time; a print that comes after a later one of its key was
+    taken meets what is known by then, if that is not later than itself. A key that is silent for as long as the watermark allows is forgotten."""
+    out = StructType([prints.schema[k] for k in keys]).add("event_id", "long").add("other_id", "long").add("gap", "double")
+    state_schema = "c_us long, c_id long, c_price double, p_us long, p_id long, p_price double"
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = list(state.get) if state.exists else [None] * 6
+        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        made = []
+        for us, instant in rows.groupby("us", sort=True):  # prints of one instant meet each other
+            for r in instant.itertuples():
+                at = 0 if r.call else 3
+                if last[at] is None or last[at] <= us:
+                    last[at : at + 3] = [int(us), int(r.event_id), float(r.price)]
+            for r in instant.itertuples():
+                at = 3 if r.call else 0
+                if last[at] is not None and 0 <= us - last[at] <= within * 1e6:
+                    made.append((*key, r.event_id, last[at + 1], r.price - last[at + 2] if r.call else last[at + 2] - r.price))
+        state.update(tuple(last))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["us"].max() // 1000)) + int(within * 1000))
+        yield pd.DataFrame(made, columns=[f.name for f in out])
+
+    timed = prints.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy(*keys).applyInPandasWithState(step, out, state_schema, "append", "EventTimeTimeout")
 
 
 def overwrite_partitions(spark: SparkSession, stream: DataFrame, parts: list[str], name: str) -> DataFrame:
