@@ -17,7 +17,7 @@ def full(column: Column, w, n: int) -> Column:
 
 
 def daily_features(bars: DataFrame, indices: DataFrame) -> DataFrame:
-    """symbol, date, ret, bad, rv, rv_d, rv_w, rv_m, above50, vix, term, vix_pct. Indices are carried forward to days without them; a rank needs 252 days."""
+    """symbol, date, ret, bad, rv, rv_d, rv_w, rv_m, above50, above200, vix, term, vix_pct, irx. Indices are carried forward to days without them; a rank needs 252 days."""
     w = by_day("symbol")
     span = F.log(F.col("high") / F.col("low"))
     before = w.rowsBetween(-22, -1)
@@ -26,16 +26,17 @@ def daily_features(bars: DataFrame, indices: DataFrame) -> DataFrame:
     rows = rows.withColumn("bad", F.coalesce(F.col("_hl") > 20 * usual, F.lit(False)))
     gk = 0.5 * F.col("_hl") * F.col("_hl") - 0.38629436111989061 * F.pow(F.log(F.col("close") / F.col("open")), 2)
     rows = rows.withColumn("rv", F.when(F.col("bad"), F.col("ret") * F.col("ret")).otherwise(gk))
-    rows = rows.withColumns({"rv_d": F.col("rv"), "rv_w": full(F.col("rv"), w, 5), "rv_m": full(F.col("rv"), w, 22), "_ma": full(F.col("close"), w, 50)})
-    rows = rows.join(indices.select("date", "vix", "vix3m"), "date", "left")
+    rows = rows.withColumns({"rv_d": F.col("rv"), "rv_w": full(F.col("rv"), w, 5), "rv_m": full(F.col("rv"), w, 22), "_ma": full(F.col("close"), w, 50), "_ma200": full(F.col("close"), w, 200)})
+    rows = rows.join(indices.select("date", "vix", "vix3m", "irx"), "date", "left")
     carried = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(carried) for c in ("vix", "vix3m")})
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(carried) for c in ("vix", "vix3m", "irx")})
     year = w.rowsBetween(-251, 0)
     rows = rows.withColumn("_year", F.collect_list("vix").over(year))
     rank = (F.size(F.filter("_year", lambda x: x < F.col("vix"))) + (F.size(F.filter("_year", lambda x: x == F.col("vix"))) + 1) / 2) / 252
     r6 = lambda c: F.round(c, 6)
     return rows.select(
         "symbol", "date", r6(F.col("ret")).alias("ret"), "bad", *[r6(F.col(c) * 1e4).alias(c) for c in ("rv", "rv_d", "rv_w", "rv_m")], F.when(F.col("_ma").isNotNull(), F.col("close") > F.col("_ma")).alias("above50"),
+        F.when(F.col("_ma200").isNotNull(), F.col("close") > F.col("_ma200")).alias("above200"), r6(F.col("irx")).alias("irx"),
         r6(F.col("vix")).alias("vix"), r6(F.col("vix") / F.col("vix3m")).alias("term"), r6(F.when(F.size("_year") == 252, rank)).alias("vix_pct"),
     )
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .reports import daily, net
 
 
-def variants(trips: DataFrame, base: dict[str, float], table: dict[str, dict[str, float]], multiples: list[float]) -> DataFrame:
-    """A copy of each trip for each variant and cost multiple, with the variant's parameters (its own, else the base) as columns. Variants are a few literals, so a row grows into a fixed number of rows."""
+def variants(trips: DataFrame, base: dict[str, float], table: dict[str, dict[str, float]], multiples: list[float], pinned: tuple[str, ...] = ()) -> DataFrame:
+    """A copy of each trip for each variant and cost multiple, with the variant's parameters (its own, else the base) as columns. Variants are a few literals, so a row grows into a fixed number of rows.
+    A variant that overrides a pinned parameter (data window, hold-out) is an error."""
+    if wrong := pinned_conflicts(table, list(pinned)):
+        raise ValueError(f"variants may not override {', '.join(pinned)}: {', '.join(wrong)}")
     rows = [F.struct(F.lit(n).alias("variant"), F.lit(float(m)).alias("multiple"), *[F.lit(float(over.get(k, v))).alias(k) for k, v in base.items()]) for n, over in table.items() for m in multiples]
     return trips.select("*", F.explode(F.array(*rows)).alias("_v")).select(*trips.columns, "_v.*")
 

@@ -33,12 +33,15 @@ def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By snapshot: the expiry nearest to 30 days, its iv at the money, the premium over a forecast of 19%, and the signal; none without an iv."""
+    """By snapshot and forecaster: the expiry nearest to 30 days, its iv at the money, the premium over the last forecast, and the signal; none without an iv. There are five forecasters, one constant list."""
     chain = chains.clean_quotes(derived(spark, sf_dir, a.CHAIN))
     expiry = chains.pick_expiry(chain, market.SNAP, 10, 60, 30)
     atm = surface.atm_iv(chain.join(expiry, [*market.SNAP, "dte"], "left_semi"), [*market.SNAP, "dte"]).where("atm is not null")
-    premium = F.col("atm") - 0.19
-    return atm.select("day", "hour", "dte", "strike", F.round("atm", 6).alias("atm"), F.when(premium > 0.012, "short").when(premium < 0.008, "long").otherwise("flat").alias("signal"))
+    last = studies.har_iterated(spark, sf_dir).groupBy("symbol").agg(F.max_by("vol", "date").alias("vol"))
+    every = last.agg(F.collect_list(F.struct("symbol", "vol"))).scalar()
+    atm = atm.withColumn("_f", every).select("*", F.explode("_f").alias("_x"))
+    premium = F.round(F.col("atm") - F.col("_x.vol"), 6)
+    return atm.select("day", "hour", F.col("_x.symbol").alias("forecaster"), "dte", "strike", F.round("atm", 6).alias("atm"), premium.alias("premium"), F.when(premium > 0.012, "short").when(premium < 0.008, "long").otherwise("flat").alias("signal"))
 
 
 def label_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +107,7 @@ def _lad() -> str:
     return f"with z as (select *, (dte > 7)::int + (dte > 14)::int + (dte > 30)::int as bucket, (abs(delta) > 0.5)::int + (abs(delta) > 0.75)::int as tier from ({a.QUOTES}) y), " + ", ".join(steps) + f" select tier, bucket, round(a, 5) as a, round(b, 5) as b from l{PASSES}"
 
 
-def oracles(views: str, days: str) -> dict[str, str]:
+def oracles(views: str, days: str, har: str) -> dict[str, str]:
     """SQL of the queries above, on the SQL of smile views."""
     greeks = options._GREEKS.replace(f"o as ({a.OPTIONS})", "oo as (select j.* replace (a0 + kc * (a1 + kc * a2) as iv0) from (select o.*, s.a0, s.a1, s.a2, least(greatest(o.k, s.kmin), s.kmax) as kc from o join s using (day, dte)) j)").replace("as sign from o)", "as sign from oo)")
     return {
@@ -116,8 +119,9 @@ select event_id, round(iv0, 5) as iv, round(mid, 4) as mid, round(n1 - put, 4) a
         "margins": f"""with {market._CLEAN} select event_id, round(100 * (mid + greatest(0.2 * fwd - greatest(case when call then strike - fwd else fwd - strike end, 0), 0.1 * case when call then fwd else strike end)), 4) as margin,
   case when iv - 0.18 > 0.03 then 0.0 when iv - 0.18 > 0.02 then 0.5 else 1.0 end::double as ratio from c where mid is not null""",
         "decisions": f"""with {market._CLEAN}, x as (select distinct day, hour, dte from c where dte between 10 and 60), y as (select * from x qualify row_number() over (partition by day, hour order by abs(dte - 30), dte) = 1), m as (select c.*, quantile_cont(fwd, 0.5) over (partition by day, hour) as spot from c join y using (day, hour, dte)),
-b as (select day, hour, dte, strike from (select *, row_number() over (partition by day, hour order by abs(strike - spot), strike) as r from m) z where r = 1), g as (select day, hour, dte, strike, avg(iv) as atm from m join b using (day, hour, dte, strike) group by all)
-select day, hour::int as hour, dte, strike, round(atm, 6) as atm, case when atm - 0.19 > 0.012 then 'short' when atm - 0.19 < 0.008 then 'long' else 'flat' end as signal from g where atm is not null""",
+b as (select day, hour, dte, strike from (select *, row_number() over (partition by day, hour order by abs(strike - spot), strike) as r from m) z where r = 1), g as (select day, hour, dte, strike, avg(iv) as atm from m join b using (day, hour, dte, strike) group by all),
+hf as (select symbol, arg_max(vol, date) as vol from ({har}) h group by 1), gp as (select g.*, symbol, round(atm - vol, 6) as premium from g, hf where atm is not null)
+select day, hour::int as hour, symbol as forecaster, dte, strike, round(atm, 6) as atm, premium, case when premium > 0.012 then 'short' when premium < 0.008 then 'long' else 'flat' end as signal from gp""",
         "label_panel": f"""with c as (select *, name % 4 = 0 as skip from ({a.CANDIDATES}) q), w as (select day from c group by 1 having bool_and(skip or name % 41 > 0)) select day, name, skip, case when skip then 0 else round(label, 2) end::double as label from c join w using (day)""",
         "pick_mix": f"""with p as (select * from ({a.CANDIDATES}) q qualify row_number() over (partition by day order by score desc, name) = 1), g as (select year(day)::int as year, name % 8 as kind, count(*) as n from p group by 1, 2) select year, kind, n, round(n / sum(n) over (partition by year), 6)::double as share from g""",
         "delta_profit": f"with {trades._PATH}, l as (select *, sign * 100 * delta * (lead(fwd) over (partition by entry order by ts) - fwd) as gain from p) select entry, round(coalesce(sum(gain), 0), 4) as delta_pnl, count(*) as marks from l group by 1",

@@ -15,6 +15,8 @@ from . import research
 BASE = {"stop": 1e9, "cost": 1.0}
 VARIANTS = {"plain": {}, "tight": {"stop": 2000.0}, "cheap": {"cost": 0.5}}
 MULTIPLES = [1.0, 2.0]
+#: What no variant may override.
+PINNED = ("start", "end", "holdout_start")
 BARS = [("pnl", "higher", 0.0), ("deviation", "less_severe", 0.0), ("worst", "not_below", 100.0), ("pnl", "within", 0.5), ("trips", "above", 100.0), ("deviation", "at_most", 4000.0)]
 STOPS = [500.0, 1000.0, 2000.0, 4000.0, 8000.0]
 TIERS = [(0.0, 0.05), (50.0, 0.03), (100.0, 0.02)]
@@ -25,7 +27,7 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scorecards.variants(_trips(spark, sf_dir), BASE, VARIANTS, MULTIPLES)
+    rows = scorecards.variants(_trips(spark, sf_dir), BASE, VARIANTS, MULTIPLES, PINNED)
     return rows.withColumns({"pnl": F.greatest(F.col("pnl"), -F.col("stop")), "commission": F.col("commission") * F.col("cost") * F.col("multiple")})
 
 

@@ -40,7 +40,7 @@ def book_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = derived(spark, sf_dir, a.TRIPS)
-    closes = trips.where("exit < date'1998-06-01'").select(*KEYS, "trade", F.col("trade").alias("close"), "exit")
+    closes = trips.where("exit < date'2001-06-01'").select(*KEYS, "trade", F.col("trade").alias("close"), "exit")
     return matching.match_orders(trips.select(*KEYS, "trade"), closes, KEYS, "trade").select("trade", "close", F.datediff("exit", "entry").alias("days"))
 
 
@@ -88,7 +88,7 @@ s as (select expiry, strike, call, i, entry, exit_day as free, true as taken fro
 select entry, taken from s""",
     "book_days": f"""with {_EXITS}, o as (select p.call, p.day, p.entry, arg_max(p.pnl, p.ts) as o from p join x using (entry) where p.day < x.exit_day group by 1, 2, 3), h as (select call, day, sum(o) as open from o group by 1, 2), r as (select call, exit_day as day, sum(pnl) as r from x group by 1, 2),
 b as (select call, day, coalesce(open, 0) as open, sum(coalesce(r, 0)) over (partition by call order by day) as realized from h full join r using (call, day)) select call, day, round(realized, 3) as realized, round(open, 3) as open, round(realized + open, 3) as total from b""",
-    "matched_orders": f"""with {_TRIPS}, o as (select *, row_number() over (partition by book, side, entry order by trade) as n from t), c as (select *, row_number() over (partition by book, side, entry order by trade) as n from t where exit < date '1998-06-01')
+    "matched_orders": f"""with {_TRIPS}, o as (select *, row_number() over (partition by book, side, entry order by trade) as n from t), c as (select *, row_number() over (partition by book, side, entry order by trade) as n from t where exit < date '2001-06-01')
 select o.trade, c.trade as close, (c.exit - o.entry)::int as days from o left join c using (book, side, entry, n)""",
     "repeated_keys": f"with {_TRIPS} select book, side, entry, count(*) as n from t group by all having count(*) > 1",
     "compared_books": f"""with {_TRIPS}, n as (select *, row_number() over (partition by book, side, entry order by trade)::int as n from t), x as (select * from n where book = '1-URGENT'), y as (select * from n where book = '2-HIGH')

@@ -43,12 +43,12 @@ s as (select *, coalesce(hl > 20 * case when count(hl) over p >= 5 then quantile
       from r window p as (partition by symbol order by date rows between 22 preceding and 1 preceding)),
 t as (select *, case when bad then ret * ret else 0.5 * hl * hl - 0.38629436111989061 * pow(ln(close / open), 2) end as rv from s),
 u as (select t.*, case when count(rv) over w5 = 5 then avg(rv) over w5 end as w5, case when count(rv) over w22 = 22 then avg(rv) over w22 end as w22,
-             case when count(close) over w50 = 50 then avg(close) over w50 end as ma, i.vix as v0, i.vix3m as v3
-      from t left join i using (date) window w5 as (partition by symbol order by date rows 4 preceding), w22 as (partition by symbol order by date rows 21 preceding), w50 as (partition by symbol order by date rows 49 preceding)),
-v as (select *, last_value(v0 ignore nulls) over w as vx, last_value(v3 ignore nulls) over w as vx3 from u window w as (partition by symbol order by date rows unbounded preceding)),
+             case when count(close) over w50 = 50 then avg(close) over w50 end as ma, case when count(close) over w200 = 200 then avg(close) over w200 end as ma200, i.vix as v0, i.vix3m as v3, i.irx as rf
+      from t left join i using (date) window w5 as (partition by symbol order by date rows 4 preceding), w22 as (partition by symbol order by date rows 21 preceding), w50 as (partition by symbol order by date rows 49 preceding), w200 as (partition by symbol order by date rows 199 preceding)),
+v as (select *, last_value(v0 ignore nulls) over w as vx, last_value(v3 ignore nulls) over w as vx3, last_value(rf ignore nulls) over w as irx0 from u window w as (partition by symbol order by date rows unbounded preceding)),
 x as (select *, list(vx) filter (where vx is not null) over (partition by symbol order by date rows 251 preceding) as yr from v)
 select symbol, date, round(ret, 6) as ret, bad, round(rv * 1e4, 6) as rv, round(rv * 1e4, 6) as rv_d, round(w5 * 1e4, 6) as rv_w, round(w22 * 1e4, 6) as rv_m,
-  case when ma is not null then close > ma end as above50, round(vx, 6) as vix, round(vx / vx3, 6) as term,
+  case when ma is not null then close > ma end as above50, case when ma200 is not null then close > ma200 end as above200, round(irx0, 6) as irx, round(vx, 6) as vix, round(vx / vx3, 6) as term,
   round(case when len(yr) = 252 then (len(list_filter(yr, lambda q: q < vx)) + (len(list_filter(yr, lambda q: q = vx)) + 1) / 2) / 252 end, 6) as vix_pct
 from x""",
     "forward_target": f"""
@@ -84,6 +84,6 @@ QUERIES |= {**options.QUERIES, **research.QUERIES, **market.QUERIES, **trades.QU
 ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORACLES["forward_target"]), **market.ORACLES, **trades.ORACLES}
 ORACLES |= scores.oracles(ORACLES["book_metrics"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"])
 ORACLES |= studies.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["har_fit"])
-ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("round(realized, 3)", "realized").replace("round(open, 3)", "open").replace("round(realized + open, 3)", "realized + open"))
+ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("round(realized, 3)", "realized").replace("round(open, 3)", "open").replace("round(realized + open, 3)", "realized + open"), ORACLES["har_iterated"])
 QUERIES |= {**forwards.QUERIES, **views.QUERIES, **stores.QUERIES, **life.QUERIES}
 ORACLES |= {**forwards.ORACLES, **views.ORACLES, **stores.ORACLES, **life.oracles(ORACLES["book_metrics"], ORACLES["trend_measures"])}
