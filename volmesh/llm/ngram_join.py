@@ -270,8 +270,8 @@ def _sums(percent: int):
 
 def _links(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pivots' links to members with another label. members: cid, region, label, block; pivots: cid, region, label, chunk."""
-    blocks = members.select("region", "block").distinct()
-    chunks = pivots.select("region", "chunk").distinct()
+    blocks = cut(members.select("region", "block").distinct())
+    chunks = cut(pivots.select("region", "chunk").distinct())
     left = members.join(chunks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(False).alias("pivot"))
     right = pivots.join(blocks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(True).alias("pivot"))
     rows = left.union(right).join(parts.hint("merge"), "cid").select("region", "block", "chunk", "v", "pivot", "cid", "n", "label", "part")
@@ -283,7 +283,8 @@ def _links(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: int
 def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     """All links' components over classes, as edges. regions: node, label of the regions from step 3."""
     who = cut(regions.select(F.col("node").alias("cid"), F.col("label").alias("region")))
-    count = who.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+    # small sides of joins by region are written first: a join of two plain shuffles is one whose hot keys Spark splits at run time
+    count = cut(who.groupBy("region").agg(F.count(F.lit(1)).alias("members")))
     state = cut(who.join(count.hint("merge"), "region").withColumn("label", F.col("cid")))
     spread = F.xxhash64("cid")
     block = F.pmod(spread, F.ceil(F.col("members") / BLOCK)).cast("int")
@@ -291,15 +292,15 @@ def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     big = state.where(f"members > {SMALL_REGION}")
     if not big.isEmpty():
         hashed = big.select("cid", "region", "label", F.xxhash64("cid").alias("h"), F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(PIVOTS)).alias("slot"))
-        pivots = hashed.groupBy("region", "slot").agg(F.min_by(F.struct("cid", "label"), "h").alias("p")).select("p.cid", "region", "p.label", F.lit(0).alias("chunk"))
+        pivots = cut(hashed.groupBy("region", "slot").agg(F.min_by(F.struct("cid", "label"), "h").alias("p")).select("p.cid", "region", "p.label", F.lit(0).alias("chunk")))
         found = cut(_links(parts, big.select("cid", "region", "label", block.alias("block")), pivots, percent))
         merged = components(found).withColumnRenamed("node", "cid").withColumnRenamed("label", "now")
         state = cut(state.join(merged.hint("merge"), "cid", "left").select("cid", "region", "members", F.coalesce("now", "cid").alias("label")))
     sizes = state.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
-    top = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
-    pivots = state.join(top.hint("merge"), "region").where("label != top").select("cid", "region", "label", block.alias("chunk"))
-    open_ = pivots.select("region").distinct()
-    members = state.join(open_.hint("merge"), "region", "left_semi").select("cid", "region", "label", block.alias("block"))
+    top = cut(sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top")))
+    pivots = cut(state.join(top.hint("merge"), "region").where("label != top").select("cid", "region", "label", block.alias("chunk")))
+    open_ = cut(pivots.select("region").distinct())
+    members = cut(state.join(open_.hint("merge"), "region", "left_semi").select("cid", "region", "label", block.alias("block")))
     links = _links(parts, members, pivots, percent)
     return links if found is None else found.union(links)
 
@@ -346,7 +347,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _with_component(sets: DataFrame, linked: DataFrame) -> DataFrame:
     low = F.min(F.when(F.col("key") != NULL_ID, F.col("key")))
     best = sets.where("n > 0").groupBy("cid").agg(low.alias("low")).join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    of_root = best.groupBy("root").agg(F.min("low").alias("component_id"))
+    best = cut(best)
+    of_root = cut(best.groupBy("root").agg(F.min("low").alias("component_id")))
     of_class = best.join(of_root, "root").select("cid", "component_id", "root")
     out = sets.join(of_class, "cid", "left")
     own = F.when(F.col("key") != NULL_ID, F.col("key"))
