@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..operators import forwards
 from ..sources import adapters as a
+from ..sources import store
 from ..sources.adapters import derived
 
 #: Rate; seconds that a pair's prints may lie apart; pairs of the near expiry; condition codes that count; least price; open, close and start of the close's window in minutes.
@@ -45,8 +46,8 @@ def near_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forward_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forward of each clean print's expiry, and the spot, at its time."""
-    ex, prs = derived(spark, sf_dir, a.EX_DAYS), _pairs(spark, sf_dir)
-    near = forwards.near_forward(prs, ["day"], NEED)
+    ex, prs = derived(spark, sf_dir, a.EX_DAYS), store.settle(_pairs(spark, sf_dir))
+    near = store.settle(forwards.near_forward(prs, ["day"], NEED))
     rows = session(tape(spark, sf_dir)).select("day", "ts", "expiry", "event_id")
     out = forwards.forward_at(rows, near, forwards.ratios(prs, near, ["day"], RATE, ex), ["day"], RATE, ex)
     return forwards.with_spot(out, RATE, ex).select("event_id", F.round("forward", 5).alias("forward"), F.round("spot", 5).alias("spot"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +40,17 @@ def paired_prints(prints: DataFrame, keys: list[str], within: float, late: str)
             return
         last = list(state.get) if state.exists else [None] * 6
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        made = []
-        for us, instant in rows.groupby("us", sort=True):  # prints of one instant meet each other
-            for r in instant.itertuples():
-                at = 0 if r.call else 3
+        made, prints_ = [], list(zip(*(rows[c].tolist() for c in ("us", "event_id", "call", "price"))))
+        for us, instant in groupby(prints_, key=itemgetter(0)):  # prints of one instant meet each other
+            instant = list(instant)
+            for _, event, call, price in instant:
+                at = 0 if call else 3
                 if last[at] is None or last[at] <= us:
-                    last[at : at + 3] = [int(us), int(r.event_id), float(r.price)]
-            for r in instant.itertuples():
-                at = 3 if r.call else 0
+                    last[at : at + 3] = [us, event, price]
+            for _, event, call, price in instant:
+                at = 3 if call else 0
                 if last[at] is not None and 0 <= us - last[at] <= within * 1e6:
-                    made.append((*key, r.event_id, last[at + 1], r.price - last[at + 2] if r.call else last[at + 2] - r.price))
+                    made.append((*key, event, last[at + 1], price - last[at + 2] if call else last[at + 2] - price))
         state.update(tuple(last))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["us"].max() // 1000)) + int(within * 1000))
         yield pd.DataFrame(made, columns=[f.name for f in out])
