@@ -19,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while not rest.isEmpty():
         both = rest.select(F.col("a").alias("node"), F.col("b").alias("to")).union(rest.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        near = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m"))
+        near = cut(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m")))  # written, so that the join below is one whose hot nodes Spark splits
         far = both.join(near.withColumnRenamed("node", "to").hint("merge"), "to").groupBy("node").agg(F.min("m").alias("next"))
         step = cut(far.select("node", F.least("node", "next").alias("next")))
         hop = step.hint("merge")
