@@ -1,6 +1,8 @@
 """Small cases of the library's operators: nulls, ties, repeated and empty rows, order of arrival, pruning."""
 
 import datetime as dt
+import os
+import shutil
 
 import numpy as np
 import pytest
@@ -67,12 +69,12 @@ def test_stream_pairs_by_state(spark, tmp_path):
     schema = "k string, ts timestamp_ntz, event_id long, call boolean, price double"
     for part, some in enumerate((rows[:3], rows[3:])):  # two batches of one stream
         spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{part}")
-    import shutil
-
     (tmp_path / "all").mkdir()
     for part in range(2):
         for f in (tmp_path / f"in{part}").glob("*.parquet"):
-            shutil.copy(f, tmp_path / "all" / f"{part}-{f.name}")
+            to = tmp_path / "all" / f"{part}-{f.name}"
+            shutil.copy(f, to)
+            os.utime(to, (1_700_000_000 + 60 * part,) * 2)  # files come in order of their time
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
     got = slots.run_available(spark, slots.paired_prints(source, ["k"], 3600.0, "2 hours"), "pairs").collect()
     assert sorted((r.event_id, r.other_id, r.gap) for r in got) == [(1, 2, 1.0), (2, 1, 1.0), (3, 1, 0.5)]
