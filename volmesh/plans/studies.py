@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, catalogue, features, models, reports, surface
+from ..operators import catalogue, features, models, surface
 from ..sources import adapters as a
 from ..sources.adapters import derived
 from ..streaming import slots
