@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import books, calendar, features
-from .plans import desk, forwards, life, market, options, research, scores, stores, studies, trades, views
+from .plans import desk, forwards, life, market, options, periods, research, scores, stores, studies, trades, views
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -85,5 +85,6 @@ ORACLES |= {**options.ORACLES, **research.oracles(ORACLES["daily_features"], ORA
 ORACLES |= scores.oracles(ORACLES["book_metrics"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"])
 ORACLES |= studies.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["har_fit"])
 ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("round(realized, 3)", "realized").replace("round(open, 3)", "open").replace("round(realized + open, 3)", "realized + open"), ORACLES["har_iterated"])
-QUERIES |= {**forwards.QUERIES, **views.QUERIES, **stores.QUERIES, **life.QUERIES}
+QUERIES |= {**forwards.QUERIES, **views.QUERIES, **stores.QUERIES, **life.QUERIES, **periods.QUERIES}
 ORACLES |= {**forwards.ORACLES, **views.ORACLES, **stores.ORACLES, **life.oracles(ORACLES["book_metrics"], ORACLES["trend_measures"])}
+ORACLES |= periods.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"], ORACLES["trend_measures"])

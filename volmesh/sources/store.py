@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.series import publishable
+
 
 def shared(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the context's checkpoint folder; a temporary folder serves only a local master, where there is one machine."""
@@ -103,3 +105,11 @@ def append(rows: DataFrame, folder: str) -> None:
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     """An append-only log with the columns of all its writers."""
     return spark.read.option("mergeSchema", True).parquet(folder)
+
+
+def publish(rows: DataFrame, columns: list[str], folder: str) -> DataFrame:
+    """Those of the columns that the rows have as JSON lines: floating ones rounded to 4, what is not finite null, nulls written. Returned as a reader sees them, days as text; a table without rows has its columns."""
+    tidy = publishable(rows.select(*[c for c in columns if c in rows.columns]))
+    tidy.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+    kinds = [f"`{f.name}` {'string' if f.dataType.typeName() in ('date', 'timestamp', 'timestamp_ntz') else f.dataType.simpleString()}" for f in tidy.schema.fields]
+    return rows.sparkSession.read.schema(", ".join(kinds)).json(folder)
