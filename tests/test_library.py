@@ -156,3 +156,70 @@ def test_iv_between_deltas(spark):
     rows = [(1, False, -0.2, 0.3), (1, False, -0.4, 0.2), (1, True, 0.25, 9.0), (2, False, -0.25, 0.5), (3, False, None, 0.5)]
     got = {r.k: r.iv_25 for r in chains.iv_at_delta(spark.createDataFrame(rows, "k int, call boolean, delta double, iv double"), ["k"], [0.25]).collect()}
     assert got == {1: pytest.approx(0.275), 2: 0.5}
+
+
+def test_least_squares(spark):
+    """Five regressors against numpy; a group whose regressor never moves has no coefficients; rows with nulls don't count."""
+    import numpy as np
+
+    from volmesh.operators import forecasts
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 5)) * [1, 10, 0.1, 1, 3] + [5, 0, 0, -2, 1]
+    x[:, 3] += 0.9 * x[:, 0]
+    y = 2 + x @ [1.0, -0.5, 3.0, 0.2, 0.0] + rng.normal(size=200)
+    names = [f"x{i}" for i in range(5)]
+    rows = [("a", *map(float, r), float(v)) for r, v in zip(x, y)] + [("a", *[None] * 5, 1.0)] + [("b", *[1.0] * 5, float(i)) for i in range(4)]
+    got = {r["k"]: r for r in forecasts.ols(spark.createDataFrame(rows, "k string, " + ", ".join(f"{n} double" for n in names) + ", y double"), ["k"], "y", names).collect()}
+    want = np.linalg.lstsq(np.column_stack([np.ones(200), x]), y, rcond=None)[0]
+    assert got["a"]["n"] == 200 and np.allclose([got["a"]["intercept"], *[got["a"][f"b_{n}"] for n in names]], want, atol=1e-9)
+    assert got["b"]["n"] == 4 and got["b"]["b_x0"] is None
+
+
+def test_periods(spark):
+    """Open and half-open ends, a day on a bound, overlaps, no date; verdicts with too few events, none at all, and an unknown metric; tails of a single day; months without rows; windows with entries alone."""
+    from datetime import date as d
+
+    from pyspark.sql import functions as F
+
+    from volmesh.operators import periods, scorecards
+
+    rows = spark.createDataFrame([(1, d(2020, 1, 1)), (2, d(2020, 6, 1)), (3, None)], "k int, day date")
+    got = periods.in_periods(rows, [("all", None, None), ("a", None, "2020-06-01"), ("b", "2020-06-01", None)], "day")
+    assert sorted((r["k"], r["period"]) for r in got.collect()) == [(1, "a"), (1, "all"), (2, "all"), (2, "b")]
+
+    table = spark.createDataFrame([("ref", "a", 1.0), ("x", "a", 2.0), ("y", "a", None), ("z", "a", 0.5), ("x", "b", 9.0)], "book string, period string, pnl double").withColumn("one", F.lit(1))
+    checks = periods.period_checks(table, ["one"], "book", "ref", [("pnl", "higher", 0.0, "a"), ("pnl", "above", 0.0, "b")], scorecards.RULES)
+    assert {(r["book"], r["period"], r["ok"]) for r in checks.collect()} == {("x", "a", True), ("y", "a", False), ("z", "a", False)}
+    events = spark.createDataFrame([("x", 5), ("y", 5)], "book string, n long")
+    assert {(r["book"], r["n"], r["verdict"]) for r in periods.verdicts(checks, ["book"], events, 5).collect()} == {("x", 5, "passed"), ("y", 5, "failed"), ("z", 0, "inconclusive")}
+
+    trips = spark.createDataFrame([("p", d(2020, 1, 6), d(2020, 1, 8), -5.0, 1.0), ("p", d(2020, 1, 7), d(2020, 1, 8), 2.0, 1.0), ("q", d(2020, 1, 6), d(2020, 3, 2), 4.0, 2.0)], "book string, entry date, exit date, pnl double, commission double")
+    tails = {r["book"]: r for r in periods.tails(trips, F.col("commission")).collect()}
+    assert (tails["p"]["trough"], tails["p"]["q5"], tails["p"]["shortfall"], tails["q"]["most"], tails["q"]["trough"]) == (d(2020, 1, 8), -5.0, -5.0, 2.0, d(2020, 3, 2))
+    sums = {r["book"]: r for r in periods.window_sums(trips, [("jan", "2020-01-01", "2020-02-01")], F.col("commission")).collect()}
+    assert (sums["q"]["entries"], sums["q"]["net"], sums["q"]["daily"]) == (1, 2.0, 0.0) and (sums["p"]["entries"], sums["p"]["daily"]) == (2, -5.0)
+    months = periods.missing_months(trips, ["book"], "exit").collect()
+    assert sorted((r["book"], r["month"]) for r in months) == [("p", d(2020, 2, 1)), ("p", d(2020, 3, 1)), ("q", d(2020, 1, 1)), ("q", d(2020, 2, 1))]
+    assert periods.missing_months(trips.where("false"), ["book"], "exit").count() == 0 and periods.tails(trips.where("false"), F.col("commission")).count() == 0
+
+
+def test_choices(spark):
+    """Ties of scores go to the first name and unknown labels count 0; a calendar needs both ends at its strike; JSON keeps nulls and has its columns without rows."""
+    import tempfile
+    from datetime import date as d
+
+    from volmesh.operators import periods
+    from volmesh.sources import store
+
+    c = spark.createDataFrame([(d(2020, 1, 1), 2, 10, 5.0), (d(2020, 1, 1), 1, 10, None), (d(2020, 1, 1), 3, 4, 9.0)], "day date, name int, score int, label double")
+    assert {(r["book"], r["mean"], r["n"]) for r in periods.pick_books(c, "day", "score", "name", 5.0).collect()} == {("picked", 0.0, 1), ("fixed", 9.0, 1), ("hindsight", 9.0, 1)}
+
+    chain = spark.createDataFrame([(1, 7, 600.0, True, 3.0, 1), (1, 7, 600.0, True, 4.0, 2), (1, 49, 600.0, True, 9.0, 3), (1, 49, 605.0, True, 8.0, 4), (2, 7, 600.0, True, 3.0, 5), (1, 49, 600.0, True, None, 6)], "day int, dte int, strike double, call boolean, mid double, event_id int")
+    (one,) = periods.calendar_prices(chain, ["day"]).collect()
+    assert (one["strike"], one["near"], one["far"], one["net"], one["closing"]) == (600.0, 7, 49, -5.0, 5.0)
+
+    rows = spark.createDataFrame([(1, float("nan"), d(2020, 1, 1)), (2, 0.123456, None)], "k int, v double, day date")
+    got = store.publish(rows, ["k", "v", "day", "absent"], tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/j").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, None, "2020-01-01"), (2, 0.1235, None)]
+    assert store.publish(rows.where("false"), ["k", "v"], tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/j").columns == ["k", "v"]

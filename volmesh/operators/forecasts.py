@@ -6,29 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _without(rows: DataFrame, keys: list[str], columns: list[str], by: str) -> DataFrame:
-    """columns less what `by` explains of them: residuals of a straight line for each group."""
-    w = Window.partitionBy(*keys)
-    line = lambda c: F.col(c) - (F.regr_intercept(c, by).over(w) + F.regr_slope(c, by).over(w) * F.col(by))
-    return rows.withColumns({c: line(c) for c in columns})
-
-
 def ols(rows: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
-    """keys, n, intercept, and a coefficient b_x for each x: least squares for each group, by partialling out one regressor after another.
+    """keys, n, intercept, and a coefficient b_x for each x: least squares for each group.
 
-    The group's rows go through one shuffle; each step is a window over the same partitioning. Rows with a null anywhere leave first.
+    One aggregation (map-side sums) finds means and covariances; elimination then works on one row a group. Rows with a null anywhere leave first; a regressor without variance of its own makes the group's coefficients null.
     """
-    rows = rows.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select(*keys, y, *xs)
-    out = None
-    for x in xs:
-        part = rows.select(*keys, *[F.col(c).alias(f"_{c}") for c in [y, *xs]])
-        others = [c for c in xs if c != x]
-        for i, other in enumerate(others):
-            part = _without(part, keys, [f"_{c}" for c in [y, x, *others[i + 1 :]]], f"_{other}")
-        slope = part.groupBy(*keys).agg(F.regr_slope(f"_{y}", f"_{x}").alias(f"b_{x}"))
-        out = slope if out is None else out.join(slope, keys)
-    means = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_{c}") for c in [y, *xs]])
-    return out.join(means, keys).withColumn("intercept", F.col(f"_{y}") - sum((F.col(f"b_{x}") * F.col(f"_{x}") for x in xs), F.lit(0.0))).select(*keys, "n", "intercept", *[f"b_{x}" for x in xs])
+    rows = rows.where(" and ".join(f"{c} is not null" for c in [y, *xs]))
+    pairs = [(p, q) for i, p in enumerate(xs) for q in [*xs[i:], y]]
+    means = [f"_{c}" for c in [y, *xs]]
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_{c}") for c in [y, *xs]], *[F.covar_pop(p, q).alias(f"_{p}_{q}") for p, q in pairs])
+    at = lambda p, q: F.col(f"_{p}_{q}")
+    out = out.select(*keys, "n", *means, *[at(*((p, q) if (p, q) in pairs else (q, p))).alias(f"_{p}_{q}") for p in xs for q in [*xs, y]])
+    for i, x in enumerate(xs):
+        left = [*xs[i + 1 :], y]
+        out = out.select(*keys, "n", *means, *[at(p, q) for p in xs for q in [x, *left] if p != x], *[F.try_divide(at(x, q), at(x, x)).alias(f"_{x}_{q}") for q in left])
+        out = out.select(*keys, "n", *means, *[(at(p, q) - at(p, x) * at(x, q) if p != x else at(p, q)).alias(f"_{p}_{q}") for p in xs for q in left])
+    fit = F.col(f"_{y}") - sum((at(x, y) * F.col(f"_{x}") for x in xs), F.lit(0.0))
+    return out.select(*keys, "n", fit.alias("intercept"), *[at(x, y).alias(f"b_{x}") for x in xs])
 
 
 def qlike(actual: Column, forecast: Column) -> Column:
