@@ -29,3 +29,16 @@ def test_boosted_order_on_separable_rows(spark):
 def test_boosted_ranks_keeps_every_trade(spark):
     got = registry.QUERIES["boosted_ranks"](spark, SF)
     assert got.count() == registry.QUERIES["trade_exits"](spark, SF).count() and got.where("predicted is null").isEmpty()
+
+
+def test_gain_goes_to_the_feature_that_explains(spark):
+    rows = derived(spark, SF, a.CANDIDATES).select((F.col("name") % 2 == 0).alias("window"), (F.col("name") % 10).cast("double").alias("x"), (F.col("score") % 7).cast("double").alias("z"), F.lit(1.0).alias("c"))
+    rows = rows.withColumn("y", F.when(F.col("x") < 9, F.col("x") * 10 + F.col("z") / 10))
+    got = {r["feature"]: r["share"] for r in desk.gain_shares(rows, ["x", "z", "c"], "y", "window").collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["x"] > got["z"] and got["c"] == 0
+    assert desk.gain_shares(rows.where("false"), ["x", "z", "c"], "y", "window").count() == 0
+
+
+def test_gain_shares_of_trades(spark):
+    got = registry.QUERIES["gain_shares"](spark, SF).collect()
+    assert len(got) == 4 and abs(sum(r["share"] for r in got) - 1) < 1e-5

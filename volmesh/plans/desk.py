@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue, chains, desk, features, paths, surface
 from ..sources import adapters as a
+from ..sources import store
 from ..sources.adapters import derived
 from . import market, options, research, studies, trades
 
@@ -96,7 +97,13 @@ def boosted_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.trees(rows, ["strike", "right", "sign", "mid0"], "score", F.col("day0") < F.to_date(F.lit("2024-01-10")), False).select("entry", "day0", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (chain_table, lad_spread, margins, decisions, label_panel, pick_mix, delta_profit, live_book, day_snapshots, source_share, card_timeline, embargoed, forest_forecast, boosted_ranks)}
+def gain_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the features in the gain of trees learned on the closed trades of each half of the days. No SQL: trees."""
+    rows = trades._closed(spark, sf_dir).select((F.dayofmonth("day0") > 15).alias("window"), "strike", F.col("call").cast("double").alias("right"), F.col("sign").cast("double").alias("sign"), "mid0", "score")
+    return desk.gain_shares(store.settle(rows), ["strike", "right", "sign", "mid0"], "score", "window").withColumn("share", F.round("share", 6))
+
+
+QUERIES = {f.__name__: f for f in (chain_table, lad_spread, margins, decisions, label_panel, pick_mix, delta_profit, live_book, day_snapshots, source_share, card_timeline, embargoed, forest_forecast, boosted_ranks, gain_shares)}
 
 
 def _lad() -> str:
