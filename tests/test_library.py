@@ -223,3 +223,16 @@ def test_choices(spark):
     got = store.publish(rows, ["k", "v", "day", "absent"], tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/j").orderBy("k").collect()
     assert [tuple(r) for r in got] == [(1, None, "2020-01-01"), (2, 0.1235, None)]
     assert store.publish(rows.where("false"), ["k", "v"], tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/j").columns == ["k", "v"]
+
+
+def test_closes_without_keys(spark):
+    """Closes by key first; those without one go by position to the opens left; repeated keys by position; nothing left is null."""
+    from datetime import date as d
+
+    from volmesh.operators import matching
+
+    opens = spark.createDataFrame([("p", d(2020, 1, 3), 1), ("p", d(2020, 1, 3), 2), ("p", d(2020, 1, 2), 3), ("q", d(2020, 1, 2), 4), ("p", d(2020, 1, 5), 5), (None, None, 6)], "book string, entry date, trade int")
+    closes = spark.createDataFrame([("p", d(2020, 1, 3), 21, d(2020, 1, 9)), ("p", None, 23, d(2020, 1, 8)), ("p", None, 22, d(2020, 1, 7))], "book string, entry date, trade int, exit date")
+    got = matching.match_with_old(opens, closes, ["book", "entry"], ["book"], "entry", "exit", "trade")
+    assert {(r["trade"], r["close"]) for r in got.collect()} == {(1, 21), (3, 22), (2, 23), (5, None), (4, None), (6, None)}
+    assert {r["close"] for r in matching.match_with_old(opens, closes.where("false"), ["book", "entry"], ["book"], "entry", "exit", "trade").collect()} == {None}

@@ -12,6 +12,27 @@ def match_orders(opens: DataFrame, closes: DataFrame, keys: list[str], order: st
     return opens.withColumn("_n", place).join(closes.withColumn("_n", place).drop(order), [*keys, "_n"], "left").drop("_n")
 
 
+def placed(rows: DataFrame, group: list[str], day: str, order: str) -> DataFrame:
+    """rows with `_n`, their position in the group by day and order. Days are counted first, so that a window over rows holds one day of a group, and one over days a row a day. A row of an unknown group or day stays, without a position."""
+    counts = rows.groupBy(*group, day).agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*group).orderBy(day)) - F.col("_c")).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(*group, day).orderBy(order))
+    return rows.withColumn("_i", inside).join(before, [*group, day], "left").withColumn("_n", F.col("_before") + F.col("_i")).drop("_before", "_i")
+
+
+def match_with_old(opens: DataFrame, closes: DataFrame, keys: list[str], group: list[str], day: str, end: str, order: str) -> DataFrame:
+    """opens (order, group, keys, day) with the `close` (its order) and end of their close: by keys and position among equal keys; closes that lack a key, as old logs wrote them, go by position in their group to the opens left. Null without one."""
+    known = [F.col(k).isNotNull() for k in keys]
+    whole = known[0]
+    for k in known[1:]:
+        whole = whole & k
+    named = closes.select(*closes.columns, F.col(order).alias("close"))
+    first = match_orders(opens, named.where(whole).select(*keys, order, "close", end), keys, order)
+    left = placed(first.where("close is null").drop("close", end), group, day, order)
+    old = placed(named.where(~whole), group, end, order).select(*group, "_n", "close", end)
+    return first.where("close is not null").unionByName(left.join(old, [*group, "_n"], "left").drop("_n"))
+
+
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of more than one row: what a one-to-one merge must not have."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

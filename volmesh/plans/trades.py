@@ -44,6 +44,14 @@ def matched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_orders(trips.select(*KEYS, "trade"), closes, KEYS, "trade").select("trade", "close", F.datediff("exit", "entry").alias("days"))
 
 
+def matched_with_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and closes of which every ninth lacks its time of entry, as old logs do."""
+    trips = derived(spark, sf_dir, a.TRIPS)
+    closes = trips.select("book", "side", F.when(F.col("trade") % 9 > 0, F.col("entry")).alias("entry"), "trade", "exit")
+    out = matching.match_with_old(trips.select(*KEYS, "trade"), closes, KEYS, ["book"], "entry", "exit", "trade")
+    return out.select("trade", "close", F.datediff("exit", "entry").alias("days"))
+
+
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.repeated_keys(derived(spark, sf_dir, a.TRIPS), KEYS)
 
@@ -67,7 +75,7 @@ def position_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.differences(held, held.where("trade % 5 > 0"), ["book", "side", "reason"])
 
 
-QUERIES = {f.__name__: f for f in (trade_exits, hedge_paths, taken_trades, book_days, matched_orders, repeated_keys, compared_books, overlapping_entries, marginal_daily, position_differences)}
+QUERIES = {f.__name__: f for f in (trade_exits, hedge_paths, taken_trades, book_days, matched_orders, matched_with_old, repeated_keys, compared_books, overlapping_entries, marginal_daily, position_differences)}
 
 _PATH = f"""m as ({a.MARKS}), e as (select event_id as entry, expiry, strike, call, day as day0, ts as ts0, mid as mid0, case when event_id % 3 = 0 then 1 else -1 end as sign from m where hour(ts) < 12 and day <= expiry qualify row_number() over (partition by day, expiry, strike, call order by ts, event_id) = 1),
 p as (select e.*, m.event_id, m.ts, m.day, m.fwd, m.delta, sign * (m.mid - mid0) * 100 as pnl from e join m using (expiry, strike, call) where m.ts > ts0 and m.day <= e.expiry and m.day - day0 <= {HOLD})"""
@@ -90,6 +98,9 @@ select entry, taken from s""",
 b as (select call, day, coalesce(open, 0) as open, sum(coalesce(r, 0)) over (partition by call order by day) as realized from h full join r using (call, day)) select call, day, round(realized, 3) as realized, round(open, 3) as open, round(realized + open, 3) as total from b""",
     "matched_orders": f"""with {_TRIPS}, o as (select *, row_number() over (partition by book, side, entry order by trade) as n from t), c as (select *, row_number() over (partition by book, side, entry order by trade) as n from t where exit < date '2001-06-01')
 select o.trade, c.trade as close, (c.exit - o.entry)::int as days from o left join c using (book, side, entry, n)""",
+    "matched_with_old": f"""with {_TRIPS}, o as (select *, row_number() over (partition by book, side, entry order by trade) as n from t), c as (select *, row_number() over (partition by book, side, entry order by trade) as n from t where trade % 9 > 0),
+k as (select o.trade, o.book, o.entry, c.trade as close, c.exit as e from o left join c on c.book = o.book and c.side = o.side and c.entry = o.entry and c.n = o.n), u as (select *, row_number() over (partition by book order by entry, trade) as i from k where close is null), z as (select *, row_number() over (partition by book order by exit, trade) as i from t where trade % 9 = 0)
+select trade, close, (e - entry)::int as days from k where close is not null union all select u.trade, z.trade, (z.exit - u.entry)::int from u left join z on z.book = u.book and z.i = u.i""",
     "repeated_keys": f"with {_TRIPS} select book, side, entry, count(*) as n from t group by all having count(*) > 1",
     "compared_books": f"""with {_TRIPS}, n as (select *, row_number() over (partition by book, side, entry order by trade)::int as n from t), x as (select * from n where book = '1-URGENT'), y as (select * from n where book = '2-HIGH')
 select side, entry, n, case when y.trade is null then 'first' when x.trade is null then 'second' when x.exit = y.exit and x.reason = y.reason then 'same' else 'changed' end as status, round(coalesce(x.pnl, 0) - coalesce(y.pnl, 0), 4) as gap from x full join y using (side, entry, n)""",
