@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, ngram_join, ogg_media, packing, quality_gam, quality_rules, sharding, substring_dedup, warc
+from . import bpe, chat_format, ngram_join, ogg_media, packing, quality_gam, quality_rules, sharding, substring_dedup, suffix_repeats, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_ogg_media": ogg_media.op8_ogg_media,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op12_suffix_repeats": suffix_repeats.op12_suffix_repeats,
 }
 ORACLES = {
     "op2_warc": warc.ORACLE_SQL,
     "op3_chat_format": chat_format.ORACLE_SQL,
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_suffix_repeats": suffix_repeats.ORACLE_SQL,
 }
