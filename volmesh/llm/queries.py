@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, ngram_join, ogg_media, packing, quality_gam, quality_rules, sharding, substring_dedup, suffix_repeats, warc
+from . import bpe, chat_format, chat_repair, ngram_join, ogg_media, packing, quality_gam, quality_rules, sharding, substring_dedup, suffix_repeats, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ogg_media": ogg_media.op8_ogg_media,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op11_chat_repair": chat_repair.op11_chat_repair,
     "op12_suffix_repeats": suffix_repeats.op12_suffix_repeats,
 }
 ORACLES = {
@@ -22,5 +23,6 @@ ORACLES = {
     "op3_chat_format": chat_format.ORACLE_SQL,
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_chat_repair": chat_repair.op11_chat_repair,
     "op12_suffix_repeats": suffix_repeats.ORACLE_SQL,
 }

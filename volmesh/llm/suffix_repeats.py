@@ -310,7 +310,8 @@ def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rows in DuckDB.
 ORACLE_SQL = r"""
 with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as s from t, unnest(range(0, length(h) // 2 - 199)) as u(i)),
+c as (select doc_id, p, substr(h, 2 * p + 1, 2 * 1199) as h from t, unnest(range(0, length(h) // 2, 1000)) as u(p)),
+w as (select doc_id, p + i as i, md5(substr(h, 2 * i + 1, 400)) as s from c, unnest(range(0, least(1000, length(h) // 2 - 199))) as u(i)),
 f as (select doc_id, i from (select doc_id, i, count(*) over (partition by s) as n from w) where n > 1),
 b as (select *, case when i > lag(i) over (partition by doc_id order by i) + 200 then 1 else 0 end as new from f),
 r as (select doc_id, min(i) as lo, max(i) + 200 as hi from (select *, sum(new) over (partition by doc_id order by i) as k from b) group by doc_id, k),
