@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, chat_repair, ngram_join, ogg_media, packing, quality_gam, quality_rules, sharding, substring_dedup, suffix_repeats, warc
+from . import bpe, chat_format, chat_repair, ngram_join, ogg_media, packing, prefix_trie, quality_gam, quality_rules, sharding, substring_dedup, suffix_repeats, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_chat_repair": chat_repair.op11_chat_repair,
     "op12_suffix_repeats": suffix_repeats.op12_suffix_repeats,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op2_warc": warc.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_chat_repair": chat_repair.op11_chat_repair,
     "op12_suffix_repeats": suffix_repeats.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
