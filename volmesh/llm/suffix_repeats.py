@@ -272,26 +272,29 @@ def remove_repeated_bytes(docs: DataFrame, text_col: str = "text", length: int =
     """
     spark = docs.sparkSession
     folder, name = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}", f"suffix_{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{what}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{what}")
+
     texts = docs.select(*_keys(text_col), F.coalesce(text_col, F.lit("")).alias("text")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.any_value("text").alias("text"))
     # in buckets by key, so that the two joins below bring their rows to the texts and no text is shuffled again
     texts.write.bucketBy(partitions(spark), "k1", "k2").format("parquet").option("path", f"{folder}/texts").saveAsTable(name)
     texts = spark.table(name)
-    texts.select("k1", "k2", "text").mapInArrow(_send(length, gram), "k1 long, k2 long, g long, x long, at long").write.parquet(f"{folder}/stretches")
-    every = spark.read.schema("k1 long, k2 long, g long, x long, at long").parquet(f"{folder}/stretches")
-    again = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("several")).where("n > 1").drop("n")
-    every.join(again, "g").write.parquet(f"{folder}/again")
-    places = spark.read.schema("g long, k1 long, k2 long, x long, at long, several boolean").parquet(f"{folder}/again")
-    kinds = places.groupBy("g", "x").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "at")).alias("one"), F.any_value("several").alias("several"))
+    every = kept(texts.select("k1", "k2", "text").mapInArrow(_send(length, gram), "k1 long, k2 long, g long, x long, at long"), "stretches")
+    # the small side of each join is written before it, so that Spark can split a gram or stretch with very many places
+    again = kept(every.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("several")).where("n > 1").drop("n"), "again")
+    places = kept(every.join(again, "g"), "places")
+    kinds = kept(places.groupBy("g", "x").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "at")).alias("one"), F.any_value("several").alias("several")), "kinds")
     asked = kinds.where("several").select("g", "x", "one.*")
-    asked = asked.join(asked.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "g")
+    asked = asked.join(kept(asked.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "counts"), "g")
     body = F.expr(f"substring(cast(text as binary), cast(shiftright(at, {SIZE_BITS}) as int) + 1, cast(at & {(1 << SIZE_BITS) - 1} as int))")
     stretch = asked.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).select("g", "x", "m", body.alias("body"))
     few = stretch.where(F.col("m") <= hot).drop("m").repartition("g").sortWithinPartitions("g", "x").mapInArrow(_compare(length), "g long, x long, lo long, hi long")
-    few.unionByName(_counted(stretch.where(F.col("m") > hot), length)).write.parquet(f"{folder}/covered")
-    covered = spark.read.schema("g long, x long, lo long, hi long").parquet(f"{folder}/covered")
+    covered = kept(few.unionByName(_counted(stretch.where(F.col("m") > hot), length)), "covered")
     size = F.col("at").bitwiseAND((1 << SIZE_BITS) - 1)
     whole_ = F.col("times") > 1
-    known = kinds.select("g", "x", "times").join(covered, ["g", "x"], "left").where(whole_ | F.col("hi").isNotNull())
+    known = kept(kinds.select("g", "x", "times").join(covered, ["g", "x"], "left").where(whole_ | F.col("hi").isNotNull()), "known")
     start = F.shiftright("at", SIZE_BITS)
     span = F.shiftleft(start + F.when(whole_, 0).otherwise(F.col("lo")), 32) + start + F.when(whole_, size).otherwise(F.col("hi"))
     spans = places.select("g", "x", "k1", "k2", "at").join(known, ["g", "x"]).groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
