@@ -1,44 +1,160 @@
-"""Learned trees have no SQL: held-out error, order and repeatability. The returns of the test tables hold nothing to learn, so the forest is only held to be near the mean there."""
+"""Learned trees: gradients, histograms and gates against plain Python, early stopping, and order on held-out days."""
 
+import math
+import random
+from collections import defaultdict
+
+import pytest
 from pyspark.sql import functions as F
 
 from volmesh import registry
-from volmesh.operators import desk
+from volmesh.operators import trees
+from volmesh.operators.trees import SCALE, Growth
 from volmesh.sources import adapters as a
 from volmesh.sources.adapters import derived
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_forest_error_is_not_far_above_that_of_the_mean(spark):
-    rows = registry.QUERIES["forest_forecast"](spark, SF).where("date >= '1997-02-01' and target is not null")
-    mean = registry.QUERIES["forest_forecast"](spark, SF).where("date < '1996-12-01'").agg(F.avg("target")).first()[0]
-    r = rows.agg(F.avg(F.pow(F.col("target") - F.col("predicted"), 2)).alias("model"), F.avg(F.pow(F.col("target") - mean, 2)).alias("mean"), F.count(F.lit(1)).alias("n")).first()
-    assert r.n > 1000 and r.model < 1.2 * r.mean
+def whole(x):
+    return math.floor(x * SCALE + 0.5)
+
+
+def days(n, seed, size=6):
+    """Candidates whose grade rises with x1 and, more so, with x2, which is the same for all of a day; name 0 is a skip."""
+    r = random.Random(seed)
+    rows = []
+    for d in range(n):
+        level = r.choice((0, 2))
+        for k in range(size):
+            x = r.random()
+            rows.append((1, d, k, int(k == 0), level + int(1.9 * x + r.uniform(0, 0.3)) if k else 0, d % 4 == 0, x if k else -1.0, float(level)))
+    return rows
+
+
+SCHEMA = "e int, day int, name long, skip int, grade int, early boolean, x1 double, x2 double"
 
 
-def test_boosted_order_on_separable_rows(spark):
-    rows = derived(spark, SF, a.CANDIDATES).select("day", "name", (F.col("name") % 10).cast("double").alias("x"), (F.col("score") % 7).cast("double").alias("z"))
+def test_gradients_of_pairs_with_the_top(spark):
+    r = random.Random(1)
+    rows = [(e, d, k, int(k == 0), r.randint(0, 4), r.choice([0.0, 0.25, -0.5, 1.5])) for e in (1, 2) for d in range(30) for k in range(r.randint(1, 7))]
+    got = {(x.e, x.day, x.name): (x.g, x.h, x.first) for x in trees.lambdas(spark.createDataFrame(rows, "e int, day int, name long, skip int, grade int, s double")).collect()}
+    by = defaultdict(list)
+    for row in rows:
+        by[row[:2]].append(row)
+    for key, members in by.items():
+        top = max(members, key=lambda m: (m[5], -m[3], -m[2]))
+        ideal = max(2.0 ** m[4] - 1 for m in members)
+        total_g = total_h = 0
+        for m in members:
+            if m is top:
+                continue
+            g = h = 0
+            if m[4] != top[4]:
+                high, low = (m, top) if m[4] > top[4] else (top, m)
+                p, w = 1 / (1 + math.exp(high[5] - low[5])), abs(2.0 ** m[4] - 2.0 ** top[4]) / ideal
+                g, h = (1 if m is high else -1) * whole(p * w), whole(p * (1 - p) * w)
+            assert got[(*key, m[2])] == (g, h, False)
+            total_g, total_h = total_g - g, total_h + h
+        assert got[(*key, top[2])] == (total_g, total_h, True)
+
+
+def test_one_split_is_the_best_one(spark):
+    r = random.Random(2)
+    rows = [(0, r.randint(-50, 50) * SCALE, SCALE, [r.randint(0, 3), r.randint(0, 5)]) for _ in range(200)]
+    growth = Growth(depth=1, least=15, damping=2.0, rate=0.5)
+    nodes = trees.grow(spark.createDataFrame(rows, "e int, g long, h long, _b array<int>"), growth, [[10.0, 20.0, 30.0], [1.0, 2.0, 3.0, 4.0, 5.0]], 0)
+    best = None
+    score = lambda part: float(sum(x[1] for x in part)) ** 2 / (sum(x[2] for x in part) + 2.0 * SCALE)
+    for f, top in ((0, 3), (1, 5)):
+        for b in range(top):
+            left, right = [x for x in rows if x[3][f] <= b], [x for x in rows if x[3][f] > b]
+            if min(len(left), len(right)) >= 15 and (best is None or score(left) + score(right) > best[0]):
+                best = (score(left) + score(right), f, b, left, right)
+    root, low, high = sorted(nodes, key=lambda n: n.node)
+    assert (root.feature, root.bin) == best[1:3] and root.gain == pytest.approx(best[0] - score(rows))
+    assert [low.value, high.value] == pytest.approx([0.5 * sum(x[1] for x in p) / (sum(x[2] for x in p) + 2.0 * SCALE) for p in best[3:]])
+
+
+def test_boosted_order_on_separable_rows_and_the_node_table(spark):
+    rows = derived(spark, SF, a.CANDIDATES).select("day", "name", (F.col("name") % 10).cast("double").alias("x"), (F.col("score") % 7).cast("double").alias("z"), F.lit(None).cast("double").alias("none"))
     rows = rows.withColumn("y", F.floor(F.col("x") / 2) * 10 + F.col("z"))
     early = F.col("day") < F.to_date(F.lit("1998-01-01"))
-    one, two = (desk.trees(rows, ["x", "z"], "y", early, False).where(~early) for _ in range(2))
-    assert one.stat.corr("y", "predicted") > 0.98
-    assert one.select("name", "predicted").exceptAll(two.select("name", "predicted")).isEmpty()
+    nodes, _ = trees.regress(rows, ["x", "z", "none"], "y", early, 12, Growth(depth=3, rate=0.5))
+    again = trees.from_table(trees.to_table(spark, nodes))
+    assert sorted(again, key=str) == sorted(nodes, key=str)
+    out = rows.where(~early).withColumns({"p": trees.walk(nodes, ["x", "z", "none"]), "q": trees.walk(again, ["x", "z", "none"])})
+    assert out.stat.corr("y", "p") > 0.98 and out.where("p != q").isEmpty()
+    share = trees.gains(nodes, ["x", "z", "none"])
+    assert sum(share.values()) == pytest.approx(1) and share["x"] > share["z"] and share["none"] == 0
+    assert trees.regress(rows.where("false"), ["x"], "y", early, 2, Growth())[0] == [] and trees.walk([], ["x"]) is not None
+
+
+def test_forest_error_is_not_far_above_that_of_the_mean(spark):
+    rows = registry.QUERIES["forest_forecast"](spark, SF)
+    mean = rows.where("date < '1996-12-01'").agg(F.avg("target")).first()[0]
+    r = rows.where("date >= '1997-02-01' and target is not null").agg(F.avg(F.pow(F.col("target") - F.col("predicted"), 2)).alias("model"), F.avg(F.pow(F.col("target") - mean, 2)).alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    assert r.n > 1000 and r.model < 1.2 * r.mean  # the returns of the test tables hold nothing to learn
+
+
+def share_of_best(spark, rows, score):
+    """Mean share of the day's best gain in first place."""
+    scored = trees.lambdas(rows.withColumn("s", score))
+    return scored.where("first and ideal > 0").agg(F.avg(F.col("gain") / F.col("ideal"))).first()[0]
+
+
+def test_ranker_orders_held_out_days_better_than_a_pointwise_model(spark):
+    """A pointwise model spends its few splits on what differs between days; within a day that tells nothing."""
+    learn, held = (spark.createDataFrame(days(n, seed), SCHEMA) for n, seed in ((400, 1), (300, 2)))
+    growth = Growth(depth=1, least=20, damping=1.0, rate=0.3)
+    nodes, rounds, _ = trees.rank_fit(learn, ["x1", "x2"], 3, 4, growth)
+    listwise = share_of_best(spark, held, trees.walk(nodes, ["x1", "x2"], "e"))
+    point, _ = trees.regress(learn, ["x1", "x2"], "grade", ~F.col("early"), rounds[1], growth)
+    assert listwise > 0.7 > share_of_best(spark, held, trees.walk(point, ["x1", "x2"]))
+
+
+def test_early_stopping(spark):
+    noise = [(1, d, k, 0, random.Random(d * 10 + k).randint(0, 4), d % 2 == 0, random.Random(k * 999 + d).random(), 0.0) for d in range(120) for k in range(5)]
+    rows = spark.createDataFrame(noise, SCHEMA)
+    nodes, rounds, bounds = trees.rank_fit(rows, ["x1", "x2"], 6, 2, Growth(depth=1, least=10, damping=1.0))
+    assert max(n.tree for n in nodes) + 1 == rounds[1] <= 6
+    full, _, _ = trees.rank_fit(rows, ["x1", "x2"], rounds[1], 99, Growth(depth=1, least=10, damping=1.0))
+    share = lambda t: share_of_best(spark, rows.where("early"), trees.walk([n for n in full if n.tree < t], ["x1", "x2"], "e"))
+    shares = [share(t) for t in range(1, rounds[1] + 1)]
+    assert shares[-1] == max(shares) and shares.index(max(shares)) == len(shares) - 1
+
+
+def test_gate(spark):
+    r = random.Random(3)
+    rows = [(e, int(r.random() < 0.2), r.choice([None, r.uniform(-50, 60)]), r.choice([0.0, 0.5, r.random()])) for e in range(3) for _ in range(70)]
+    got = {x.e: (x.tau, x.traded, x.ratio) for x in trees.confidence_gate(spark.createDataFrame(rows, "e int, top_skip int, top_pnl double, gap double"), ["e"]).collect()}
+    import numpy as np
+
+    for e in range(3):
+        mine = [x for x in rows if x[0] == e]
+        gap = np.array([x[3] for x in mine])
+        grid = [0.0, *np.quantile(gap, np.arange(0.1, 1.0, 0.1))]
 
+        def ratio(t):
+            x = np.array([0.0 if s or g < t else p or 0.0 for _, s, p, g in mine])
+            return x.mean() / (math.sqrt(np.mean(np.minimum(x, 0) ** 2)) + 1e-8)
 
-def test_boosted_ranks_keeps_every_trade(spark):
-    got = registry.QUERIES["boosted_ranks"](spark, SF)
-    assert got.count() == registry.QUERIES["trade_exits"](spark, SF).count() and got.where("predicted is null").isEmpty()
+        best = max(grid, key=lambda t: (round(ratio(t), 9), -t))
+        assert got[e][0] == pytest.approx(best) and got[e][2] == pytest.approx(ratio(best)) and got[e][1] == sum(not s and g >= best for _, s, _, g in mine)
 
 
-def test_gain_goes_to_the_feature_that_explains(spark):
-    rows = derived(spark, SF, a.CANDIDATES).select((F.col("name") % 2 == 0).alias("window"), (F.col("name") % 10).cast("double").alias("x"), (F.col("score") % 7).cast("double").alias("z"), F.lit(1.0).alias("c"))
-    rows = rows.withColumn("y", F.when(F.col("x") < 9, F.col("x") * 10 + F.col("z") / 10))
-    got = {r["feature"]: r["share"] for r in desk.gain_shares(rows, ["x", "z", "c"], "y", "window").collect()}
-    assert abs(sum(got.values()) - 1) < 1e-9 and got["x"] > got["z"] and got["c"] == 0
-    assert desk.gain_shares(rows.where("false"), ["x", "z", "c"], "y", "window").count() == 0
+def test_picks_use_days_closed_before_their_window(spark):
+    """Labels from the first window's test on are poisoned: its picks stay."""
+    from volmesh.plans import ranking
 
+    def picks(poison):
+        sql = a.PANEL
+        try:
+            if poison:
+                a.PANEL = f"select day, name, skip, x1, x2, x3, x4, case when day >= date '1997-01-01' and skip = 0 then -1e3 * pnl else pnl end as pnl, close from ({sql}) v"
+            return sorted(tuple(x) for x in ranking.rank_picks(spark, SF).where("e = 1997").collect())
+        finally:
+            a.PANEL = sql
 
-def test_gain_shares_of_trades(spark):
-    got = registry.QUERIES["gain_shares"](spark, SF).collect()
-    assert len(got) == 4 and abs(sum(r["share"] for r in got) - 1) < 1e-5
+    clean = picks(False)
+    assert len(clean) > 300 and any(x[2] for x in clean) and picks(True) == clean

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pricing
+
 
 def clean_quotes(chain: DataFrame) -> DataFrame:
     """Prices that are not positive become null; `mid` is the middle of bid and ask, else the last price."""
@@ -92,10 +94,29 @@ def surface_features(chain: DataFrame, keys: list[str], least: int = 5) -> DataF
     return iv.join(means, keys)
 
 
-def stress_quantity(n0: Column, loss: Column, gap: Column, budget: float) -> Column:
-    """The most contracts n in 1..n0 whose crash loss and unhedged gap fit the budget, 0 if none: n * loss + gap * n * (n + 1) / 2 <= budget."""
-    fits = F.filter(F.sequence(F.lit(1), n0), lambda n: n * loss + gap * n * (n + 1) / 2 <= budget)
-    return F.coalesce(F.array_max(fits), F.lit(0))
+def stress_quantity(rows: DataFrame, name: str, budget: float, least: float, k: float) -> DataFrame:
+    """rows (net, delta, gamma, move) with `name`: the most contracts n whose crash loss and unhedged gap fit the budget, 0 if none: n * net + min(band, n * delta) * move <= budget, with band = max(least, k * sqrt(n * gamma)), delta and
+    gamma for 100. Without a loss (net <= 0) nothing is sold.
+
+    The cost grows with n, and is under the budget if it is with either side of the minimum; each side is solved for n, the band's root as a quadratic in sqrt(n). The whole number is then checked, as
+    roots are rounded. Steps are columns, so that each is computed once."""
+    net, move, delta, gamma = F.col("net"), F.col("move"), F.abs("delta") * 100, F.col("_gamma")
+    rows = rows.withColumn("_gamma", F.abs("gamma") * 100).withColumn("_c", F.col("move") * k * F.sqrt("_gamma"))
+    rows = rows.withColumn("_root", (F.sqrt(F.col("_c") * F.col("_c") + 4 * net * budget) - F.col("_c")) / (2 * net))
+    rows = rows.withColumn("_n", F.floor(F.greatest(budget / (net + move * delta), F.least((budget - move * least) / net, F.col("_root") * F.col("_root")))))
+    cost = lambda n: n * net + F.least(F.greatest(F.lit(least), k * F.sqrt(n * gamma)), n * delta) * move
+    rows = rows.withColumns({"_this": cost(F.col("_n")) <= budget, "_more": cost(F.col("_n") + 1) <= budget})
+    n = F.greatest(F.when(F.col("_more"), F.col("_n") + 1).when(F.col("_this"), F.col("_n")).otherwise(F.col("_n") - 1), F.lit(0))
+    return rows.withColumn(name, F.when(net > 0, n).otherwise(0).cast("int")).drop("_gamma", "_c", "_root", "_n", "_this", "_more")
+
+
+def stressed(chain: DataFrame, rate: float, drop: float, vol: float, mult: float) -> DataFrame:
+    """Quotes with a volatility, their greeks, spot, `move` (what a crash of `drop` takes off the spot) and `net`: what a sold put loses in it after its hedge, for 100, at the higher of `vol` and `mult` times its volatility, undiscounted."""
+    rows = pricing.valued(chain.where("iv is not null"), F.col("fwd"), F.col("strike"), F.col("years"), rate, F.col("iv"), F.col("call")).withColumnRenamed("price", "value")
+    rows = rows.withColumn("spot", F.col("fwd") * F.exp(-rate * F.col("years"))).withColumn("move", drop * F.col("spot"))
+    keep = {c: f"_{c}" for c in ("delta", "gamma", "vega", "theta")}
+    rows = pricing.valued(rows.withColumnsRenamed(keep), F.col("spot") - F.col("move"), F.col("strike"), F.col("years"), 0.0, F.greatest(F.lit(vol), mult * F.col("iv")), F.col("call")).drop(*keep)
+    return rows.withColumnsRenamed({v: k for k, v in keep.items()}).withColumn("net", (F.col("price") - F.col("mid")) * 100 - F.abs("delta") * 100 * F.col("move")).drop("price")
 
 
 def conservative_mark(mid: Column, last: Column, intrinsic: Column, short: Column) -> Column:
@@ -107,17 +128,25 @@ def hedge_band(gamma: Column, least: float, k: float) -> Column:
     return F.greatest(F.lit(least), k * F.sqrt(gamma))
 
 
-def candidate_features(chain: DataFrame, keys: list[str], targets: list[float], budget: float) -> DataFrame:
-    """keys, target, skip, strike, size, moneyness, premium, spread, delta_budget of the put nearest to each delta target (size: contracts that the budget secures; premium and dollar delta as shares of the budget), and a skip row of zeros for each group."""
-    rows = chain.where(~F.col("call") & F.col("delta").isNotNull())
-    best = lambda t: F.min_by(F.struct("strike", "fwd", "mid", "bid", "ask", "delta"), F.struct(F.abs(F.abs("delta") - t), F.col("strike"), -F.col("event_id")))
-    wide = rows.groupBy(*keys).agg(*[best(t).alias(f"_{i}") for i, t in enumerate(targets)])
+def candidate_features(chain: DataFrame, keys: list[str], targets: list[float], budget: float, least: float, k: float) -> DataFrame:
+    """keys, target, skip, strike, size, iv, iv_rel (against the volatility at the money), moneyness, premium, spread and the credit, vega, theta and gamma of the position as shares of the budget, of the put nearest to each delta target in
+    a stressed chain, and a skip row for each group. Size is what the crash budget bears."""
+    puts = chain.where(~F.col("call") & F.col("delta").isNotNull())
+    cols = ["strike", "spot", "mid", "bid", "ask", "iv", "delta", "gamma", "vega", "theta", "net", "move"]
+    best = lambda t: F.min_by(F.struct(*cols), F.struct(F.abs(F.abs("delta") - t), F.col("strike"), -F.col("event_id")))
+    wide = puts.groupBy(*keys).agg(F.min_by("iv", F.struct(F.abs(F.log(F.col("strike") / F.col("fwd"))), F.col("strike"), F.col("event_id"))).alias("_atm"), *[best(t).alias(f"_{i}") for i, t in enumerate(targets)])
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_{i}").alias("o")) for i, t in enumerate(targets)])).alias("_e")
-    got = wide.select(*keys, each).select(*keys, "_e.target", "_e.o.*").withColumn("size", F.floor(budget / (F.col("strike") * 100)).cast("int"))
-    got = got.select(*keys, "target", F.lit(False).alias("skip"), "strike", "size", F.log(F.col("strike") / F.col("fwd")).alias("moneyness"), (F.col("mid") * 100 * F.col("size") / budget).alias("premium"), ((F.col("ask") - F.col("bid")) / F.col("mid")).alias("spread"), (F.col("delta") * 100 * F.col("size") * F.col("fwd") / budget).alias("delta_budget"))
+    got = wide.select(*keys, "_atm", each).select(*keys, "_atm", "_e.target", "_e.o.*")
+    got = stress_quantity(got, "size", budget, least, k)
+    share = lambda c: F.col("size") * c / budget
+    out = {
+        "strike": F.col("strike"), "size": F.col("size"), "iv": F.col("iv"), "iv_rel": F.col("iv") - F.col("_atm"), "moneyness": F.log(F.col("strike") / F.col("spot")), "premium": F.col("mid") / F.col("spot"),
+        "spread": F.when(F.col("mid") > 0, (F.col("ask") - F.col("bid")) / F.col("mid")), "credit_budget": share(F.col("mid") * 100), "vega_budget": share(F.col("vega") * 100), "theta_budget": share(F.col("theta") * 100),
+        "gamma_budget": share(F.abs("gamma") * F.col("spot") * F.col("spot")),
+    }
     none = F.lit(None).cast("double")
-    skips = wide.select(*keys, none.alias("target"), F.lit(True).alias("skip"), none.alias("strike"), F.lit(0).alias("size"), none.alias("moneyness"), F.lit(0.0).alias("premium"), none.alias("spread"), F.lit(0.0).alias("delta_budget"))
-    return got.union(skips)
+    skips = wide.select(*keys, none.alias("target"), F.lit(True).alias("skip"), *[(F.lit(None).cast("int") if n == "size" else none).alias(n) for n in out])
+    return got.select(*keys, "target", F.lit(False).alias("skip"), *[c.alias(n) for n, c in out.items()]).union(skips)
 
 
 def iv_at_delta(chain: DataFrame, keys: list[str], targets: list[float]) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Tables of a desk: margins, hedge ratios, robust spread fits, panels of candidates, live books, learned trees."""
+"""Tables of a desk: margins, hedge ratios, robust spread fits, panels of candidates, live books."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,25 +73,3 @@ def embargo(trips: DataFrame, bound: str, days: int) -> DataFrame:
     """trips that enter before a hold-out and not within `days` of it, with those still open at the bound marked to close there."""
     end = F.to_date(F.lit(bound))
     return trips.where(F.col("entry") < F.date_sub(end, days)).withColumns({"forced": F.col("exit") > end, "exit": F.least("exit", end)})
-
-
-def trees(rows: DataFrame, xs: list[str], y: str, train: Column, forest: bool, seed: int = 0) -> DataFrame:
-    """rows with `predicted` of a forest of 300 trees (leaves of 20 rows at least), or of 40 boosted trees, learned from the rows for which train holds. Spark's trees are other trees than those of other libraries."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    known = VectorAssembler(inputCols=xs, outputCol="_x").transform(reduce(lambda d, c: d.where(F.col(c).isNotNull()), xs, rows))
-    kind = RandomForestRegressor(numTrees=300, minInstancesPerNode=20, featuresCol="_x", labelCol=y, predictionCol="predicted", seed=seed) if forest else GBTRegressor(maxIter=40, maxDepth=3, featuresCol="_x", labelCol=y, predictionCol="predicted", seed=seed)
-    return kind.fit(known.where(train & F.col(y).isNotNull())).transform(known).drop("_x")
-
-
-def gain_shares(rows: DataFrame, xs: list[str], y: str, window: str, seed: int = 0) -> DataFrame:
-    """feature, share: the mean over windows (values of a column) of each feature's share of the gain of 40 boosted trees learned on the window's rows. Windows are few and listed by the driver; rows with an unknown feature or label stay out."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    known = VectorAssembler(inputCols=xs, outputCol="_x").transform(reduce(lambda d, c: d.where(F.col(c).isNotNull()), [*xs, y], rows))
-    windows = [r[0] for r in known.select(window).distinct().orderBy(window).collect()]
-    grown = [GBTRegressor(maxIter=40, maxDepth=3, featuresCol="_x", labelCol=y, seed=seed).fit(known.where(F.col(window) == w)).featureImportances for w in windows]
-    shares = [(x, float(sum(g[i] for g in grown) / len(grown))) for i, x in enumerate(xs)] if grown else []
-    return rows.sparkSession.createDataFrame(shares, "feature string, share double")

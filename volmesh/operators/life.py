@@ -132,19 +132,19 @@ def structure_exits(rows: DataFrame, days: DataFrame, rules: Rules) -> DataFrame
 
 
 def stop_flags(trades: DataFrame, ends: DataFrame, days: DataFrame, rules: Rules) -> DataFrame:
-    """entry, cooling, waiting: the latest stop of the same side on a day before the entry is less than cool_days weekdays ago; no other signal has come since.
-
-    Stops and signals are reduced to a row a day and side first, and running maxima over these rows tell."""
-    stops = ends.where("reason = 'stop'").select("side", F.col("exit_day").alias("day")).distinct().withColumn("stop", F.col("day"))
-    other = days.select("day", "signal").join(F.broadcast(days.sparkSession.createDataFrame([("long",), ("short",)], "side string")), F.col("signal") != F.col("side")).select("side", "day", F.col("day").alias("away"))
-    every = trades.select("side", F.col("day0").alias("day")).distinct().join(stops, ["side", "day"], "full_outer").join(other, ["side", "day"], "full_outer")
-    w = Window.partitionBy("side").orderBy("day")
-    until = lambda n: w.rowsBetween(Window.unboundedPreceding, n)
-    state = every.select("side", F.col("day").alias("day0"), F.max("stop").over(until(-1)).alias("stop"), F.max("away").over(until(0)).alias("away"))
-    rows = trades.join(state, ["side", "day0"])
-    cooling = F.coalesce(calendar.weekdays_between(F.col("stop"), F.col("day0")) < rules.cool_days, F.lit(False))
-    waiting = F.col("stop").isNotNull() & F.coalesce(F.col("away") <= F.col("stop"), F.lit(True))
-    return rows.select("entry", "stop", cooling.alias("cooling"), waiting.alias("waiting"))
+    """entry, stop, cooling, waiting: the latest stop of either side on a day before the entry (of one day's, that of the later entry); whether it was of the entry's side less than cool_days weekdays ago, and whether it
+    was of that side and every signal since, its own day's included, has been the same side.
+
+    Stops and signals are reduced to a row a day first, and running maxima over these rows tell."""
+    stops = ends.where("reason = 'stop'").groupBy(F.col("exit_day").alias("day")).agg(F.max(F.struct(F.col("exit_day").alias("at"), "entry", "side")).alias("_s"))
+    every = trades.select(F.col("day0").alias("day")).distinct().join(stops, "day", "full_outer").join(days.select("day", "signal"), "day", "full_outer")
+    until = lambda n: Window.orderBy("day").rowsBetween(Window.unboundedPreceding, n)  # noqa: E731  a row a day
+    away = [F.max(F.when(F.col("signal") != s, F.col("day"))).over(until(0)).alias(f"_{s}") for s in ("long", "short")]
+    rows = trades.join(every.select(F.col("day").alias("day0"), F.max("_s").over(until(-1)).alias("_s"), *away), "day0")
+    same = F.col("_s.side") == F.col("side")
+    cooling = same & (calendar.weekdays_between(F.col("_s.at"), F.col("day0")) < rules.cool_days)
+    waiting = same & F.coalesce(F.when(F.col("side") == "long", F.col("_long")).otherwise(F.col("_short")) < F.col("_s.at"), F.lit(True))
+    return rows.select("entry", F.col("_s.at").alias("stop"), *[F.coalesce(c, F.lit(False)).alias(n) for c, n in ((cooling, "cooling"), (waiting, "waiting"))])
 
 
 def allotted(rows: DataFrame, book: list[str]) -> DataFrame:

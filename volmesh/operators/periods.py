@@ -61,8 +61,8 @@ def window_sums(trips: DataFrame, windows: list[Period], units: Column) -> DataF
 
 
 def fees_by_period(orders: DataFrame, periods: list[Period], date: str, units: str, plans: dict[str, Column], small: float) -> DataFrame:
-    """book, period, orders, under, a column for each plan: orders, the share of them under `small` units, and what they would have cost by each plan."""
-    costs = [F.sum(c).alias(n) for n, c in plans.items()]
+    """book, period, orders, under, a column for each plan: orders, the share of them under `small` units, and what they would have cost by each plan, in hundredths of a cent and summed as decimals, so that the order of orders doesn't matter."""
+    costs = [F.sum(F.round(c, 4).cast("decimal(20,4)")).cast("double").alias(n) for n, c in plans.items()]
     return in_periods(orders, periods, date).groupBy("book", "period").agg(F.count(F.lit(1)).alias("orders"), F.avg((F.abs(units) < small).cast("double")).alias("under"), *costs)
 
 

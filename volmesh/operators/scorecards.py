@@ -48,9 +48,15 @@ def checks(table: DataFrame, keys: list[str], book: str, reference: str, bars: l
 
 
 def exposure(trips: DataFrame) -> DataFrame:
-    """book, year, held, days: days between a year's first and last on which a trip of at most 60 days was open, of all weekdays of the calendar of trips."""
-    short = trips.where("datediff(exit, entry) between 0 and 60")
-    held = short.select("book", F.explode(F.sequence("entry", "exit")).alias("date")).where(F.weekday("date") < 5).groupBy("book", F.year("date").alias("year")).agg(F.countDistinct("date").alias("held"))
+    """book, year, held, days, share: weekdays on which a trip was open (its first and last day included), of all weekdays between the first entry and the last exit of all books. Trips that end before they begin hold nothing.
+
+    A trip is a step up on its first day and one down after its last; between two days with steps the number of open trips stands still, so no trip is spread over its days."""
+    fine = trips.where("exit >= entry")
+    steps = fine.select("book", F.explode(F.array(F.struct(F.col("entry").alias("date"), F.lit(1).alias("_s")), F.struct(F.date_add("exit", 1).alias("date"), F.lit(-1).alias("_s")))).alias("_e"))
+    daily = steps.select("book", "_e.*").groupBy("book", "date").agg(F.sum("_s").alias("_s"))
+    w = Window.partitionBy("book").orderBy("date")  # a row a day
+    spans = daily.select("book", "date", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_open"), F.lead("date").over(w).alias("_next")).where("_open > 0")
+    held = spans.select("book", F.explode(F.sequence("date", F.date_sub("_next", 1))).alias("date")).where(F.weekday("date") < 5).groupBy("book", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("held"))
     span = trips.agg(F.min("entry").alias("a"), F.max("exit").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date")).where(F.weekday("date") < 5).groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("days"))
     return held.join(span, "year").select("book", "year", "held", "days", F.round(F.col("held") / F.col("days"), 6).alias("share"))
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, chains, desk, features, paths, surface
+from ..operators import catalogue, chains, desk, paths, surface
 from ..sources import adapters as a
-from ..sources import store
 from ..sources.adapters import derived
-from . import market, options, research, studies, trades
+from . import market, options, studies, trades
 
 PASSES = 6
 
@@ -85,25 +84,7 @@ def embargoed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.embargo(derived(spark, sf_dir, a.TRIPS), "1997-01-01", 60).select("trade", "entry", "exit", "forced")
 
 
-def forest_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts by a forest that learned before 1997. No SQL: trees."""
-    rows = research._features(spark, sf_dir).join(features.forward_target(derived(spark, sf_dir, a.BARS), 22), ["symbol", "date"])
-    return desk.trees(rows, ["rv_d", "rv_w", "rv_m", "vix", "term"], "target", F.col("date") < F.to_date(F.lit("1996-12-01")), True).select("symbol", "date", "target", "predicted")
-
-
-def boosted_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of each closed trade's score by boosted trees that learned from the first half of the days: pointwise, as Spark has no listwise ranker. No SQL: trees."""
-    rows = trades._closed(spark, sf_dir).select("entry", "day0", "strike", F.col("call").cast("double").alias("right"), F.col("sign").cast("double").alias("sign"), "mid0", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return desk.trees(rows, ["strike", "right", "sign", "mid0"], "score", F.col("day0") < F.to_date(F.lit("2024-01-10")), False).select("entry", "day0", "score", "predicted")
-
-
-def gain_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the features in the gain of trees learned on the closed trades of each half of the days. No SQL: trees."""
-    rows = trades._closed(spark, sf_dir).select((F.dayofmonth("day0") > 15).alias("window"), "strike", F.col("call").cast("double").alias("right"), F.col("sign").cast("double").alias("sign"), "mid0", "score")
-    return desk.gain_shares(store.settle(rows), ["strike", "right", "sign", "mid0"], "score", "window").withColumn("share", F.round("share", 6))
-
-
-QUERIES = {f.__name__: f for f in (chain_table, lad_spread, margins, decisions, label_panel, pick_mix, delta_profit, live_book, day_snapshots, source_share, card_timeline, embargoed, forest_forecast, boosted_ranks, gain_shares)}
+QUERIES = {f.__name__: f for f in (chain_table, lad_spread, margins, decisions, label_panel, pick_mix, delta_profit, live_book, day_snapshots, source_share, card_timeline, embargoed)}
 
 
 def _lad() -> str:

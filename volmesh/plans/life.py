@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import books, chains, features, life
+from ..operators.quantiles import quantiles
 from ..sources import adapters as a
 from ..sources import store
 from ..sources.adapters import derived
+from . import market, options
 
 RULES = life.Rules()
 
@@ -77,6 +79,14 @@ def stop_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return life.stop_flags(trades, ends, _days(spark, sf_dir), RULES)
 
 
+def premium_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of closed trades' net profit over the premium at entry, by side and year of exit."""
+    trades, _, ends = _all(spark, sf_dir)
+    rows = ends.join(trades.select("entry", "mid0"), "entry").select("side", F.year("exit_day").alias("year"), (F.col("pnl_net") / (F.col("mid0") * 100)).alias("ratio"))
+    found = quantiles(rows, ["side", "year"], "ratio", [0.05, 0.25, 0.5, 0.75, 0.95])
+    return found.select("side", "year", *[F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q5", "q25", "q50", "q75", "q95"))])
+
+
 def hedge_allotment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's hedge order of a side's book over its open trades; 7 orphan shares a book are split as well."""
     rows = _all(spark, sf_dir)[1].where("open and delta is not null").withColumns({"target": -F.col("sign") * 100 * F.col("delta"), "held": F.floor(F.col("mid0")).cast("double"), "orphans": F.lit(7.0)})
@@ -146,10 +156,10 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Puts by delta target with size, moneyness, premium, relative spread and greeks for the budget, and a skip row, of each snapshot."""
-    chain = chains.tradable(chains.clean_quotes(derived(spark, sf_dir, a.CHAIN)))
-    out = chains.candidate_features(chain, ["day", "hour"], [0.1, 0.25, 0.4], 500_000.0)
-    return out.select("day", "hour", "target", "skip", "strike", "size", *[F.round(c, 6).alias(c) for c in ("moneyness", "premium", "spread", "delta_budget")])
+    """Puts by delta target with size by the crash budget, volatility, premium, spread and greeks for the budget, and a skip row, of each snapshot."""
+    chain = market._stressed(spark, sf_dir, two_sided=True)
+    out = chains.candidate_features(chain, ["day", "hour"], [0.1, 0.25, 0.4], market.BUDGET, market.LEAST, market.WIDTH)
+    return out.select("day", "hour", "target", "skip", "strike", "size", *[F.round(c, 5).alias(c) for c in out.columns[6:]])
 
 
 def interpolated_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +168,7 @@ def interpolated_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("day", "hour", "dte", F.round("iv_45", 6).alias("iv45"), F.round("iv_50", 6).alias("iv50"), F.round(F.col("iv_45") - F.col("iv_50"), 6).alias("skew"))
 
 
-QUERIES = {f.__name__: f for f in (closed_trades, gap_days, event_shares, structure_exits, stop_flags, hedge_allotment, book_equity, side_legs, shares_per_contract, open_snapshot, shadow_summary, times_of_day, put_picks, vega_hedge, bridge, candidate_features, interpolated_iv)}
+QUERIES = {f.__name__: f for f in (closed_trades, gap_days, event_shares, structure_exits, stop_flags, premium_ratios, hedge_allotment, book_equity, side_legs, shares_per_contract, open_snapshot, shadow_summary, times_of_day, put_picks, vega_hedge, bridge, candidate_features, interpolated_iv)}
 
 
 @lru_cache
@@ -196,9 +206,10 @@ def oracles(metrics: str, trend: str) -> dict[str, str]:
         "gap_days": f"{c}, g as (select day, unnest([case when reason is not null and not fillable then 'no_fill' end, case when mark is null then 'no_mark' end, case when delta is null then 'no_delta' end]) as event from ju where live) select day, event, count(*) as n from g where event is not null group by 1, 2",
         "event_shares": f"{c} select *, round(no_fill / scheduled, 6) as no_fill_share, round(no_mark / scheduled, 6) as no_mark_share, round(no_delta / scheduled, 6) as no_delta_share from (select count(*) as scheduled, count(*) filter (where reason is not null and not fillable) as no_fill, count(*) filter (where mark is null) as no_mark, count(*) filter (where delta is null) as no_delta from ju where live) z",
         "structure_exits": f"{c} select grp, reason, day as exit_day, round(pnl, 3) as pnl from us where live and closes",
-        "stop_flags": f"""{c}, z as (select en.entry, side, day0, max(exit_day) as stop from en left join (select side as s, exit_day from cl where reason = 'stop') x on x.s = en.side and exit_day < day0 group by 1, 2, 3),
-y as (select z.*, max(sg.day) as away from z left join sg on sg.signal <> z.side and sg.day <= day0 group by all)
-select entry, stop, coalesce(len(list_filter(range(stop::timestamp, day0::timestamp, interval 1 day), lambda q: isodow(q) < 6)) < {RULES.cool_days}, false) as cooling, stop is not null and coalesce(away <= stop, true) as waiting from y""",
+        "stop_flags": f"""{c}, z as (select en.entry, side, day0, exit_day as stop, ls from en left join (select side as ls, exit_day, entry as le from cl where reason = 'stop') x on exit_day < day0 qualify row_number() over (partition by en.entry order by exit_day desc nulls last, le desc) = 1)
+select entry, stop, coalesce(ls = side and len(list_filter(range(stop::timestamp, day0::timestamp, interval 1 day), lambda q: isodow(q) < 6)) < {RULES.cool_days}, false) as cooling,
+  coalesce(ls = side and not exists (select 1 from sg where sg.day >= stop and sg.day <= day0 and sg.signal <> side), false) as waiting from z""",
+        "premium_ratios": f"{c}, q as (select cl.side, year(exit_day)::int as year, pnl_net / (en.mid0 * 100) as ratio from cl join en using (entry)) select side, year, " + ", ".join(f"round(quantile_cont(ratio, {int(n[1:]) / 100}), 4) as {n}" for n in ("q5", "q25", "q50", "q75", "q95")) + " from q group by 1, 2",
         "hedge_allotment": f"""{c}, g as (select side, day, entry, -sign * 100 * delta as target, -sign * 100 * delta - floor(mid0) as gap from ju where live and delta is not null),
 h as (select *, count(*) over b as n, sum(gap) over b as total, sum(abs(target)) over b as weight, row_number() over (partition by side, day order by abs(gap) desc, entry) as k from g window b as (partition by side, day))
 select side, day, entry, round(case when n = 1 then round_even(total, 0) when k = 1 then gap + round_even(total, 0) - total else gap end, 4) as part, round(case when weight > 0 then 7 * abs(target) / weight else 7.0 / n end, 4) as split from h""",
@@ -222,10 +233,13 @@ select entry, beta, round(-0.5 * fwd0 * 0.01 * exp(-8 * pow(ln(strike / fwd0), 2
 s as (select a.pnl - b.pnl as same from (select * from t where book = '1-URGENT') a join (select * from t where book = '2-HIGH') b using (side, entry, n) where a.exit = b.exit and a.reason = b.reason),
 g as (select sum(case when book = '1-URGENT' then pnl - commission else commission - pnl end) as total, sum(case when book = '1-URGENT' then -commission else commission end) as fees from t)
 select round(total, 2) as total, round(fees, 2)::double as fees, round(coalesce((select sum(same) from s), 0), 2)::double as same, round(total - fees - coalesce((select sum(same) from s), 0), 2) as rest from g""",
-        "candidate_features": f"""{_CHAIN}, p as (select * from c where bid > 0 and ask > bid and delta is not null and not call), x as (select p.*, w.target from p, unnest([0.1, 0.25, 0.4]) w(target)),
-y as (select *, row_number() over (partition by day, hour, target order by abs(abs(delta) - target), strike, event_id desc) as rk from x), z as (select * exclude (size), floor(500000 / (strike * 100))::int as size from y where rk = 1)
-select day, hour::int as hour, target::double as target, false as skip, strike, size, round(ln(strike / fwd), 6) as moneyness, round(mid * 100 * size / 500000, 6) as premium, round((ask - bid) / mid, 6) as spread, round(delta * 100 * size * fwd / 500000, 6) as delta_budget from z
-union all select distinct day, hour::int, null, true, null, 0, null, 0.0, null, 0.0 from p""",
+        "candidate_features": f"""with {market._CLEAN.replace("c as (select", "cc as (select")}, c as (select * from cc where bid > 0 and ask > bid and delta is not null), {market._STRESS}, p as (select * from cs where not call),
+x as (select p.*, w.target from p, unnest([0.1, 0.25, 0.4]) w(target)), am as (select day, hour, iv as atm from p qualify row_number() over (partition by day, hour order by abs(ln(strike / fwd)), strike, event_id) = 1),
+y as (select * from x qualify row_number() over (partition by day, hour, target order by abs(abs(delta) - target), strike, event_id desc) = 1),
+z as (select y.* exclude (size), atm, case when net > 0 then coalesce(list_max(list_filter(range(1, greatest(floor({market.BUDGET} / nullif(net, 0)), 0)::bigint + 1), lambda n: n * net + least(greatest({market.LEAST}, {market.WIDTH} * sqrt(n * gamma * 100)), n * abs(delta) * 100) * move <= {market.BUDGET})), 0) else 0 end as size from y join am using (day, hour))
+select day, hour::int as hour, target::double as target, false as skip, strike, size::int as size, round(iv, 5) as iv, round(iv - atm, 5) as iv_rel, round(ln(strike / spot), 5) as moneyness, round(mid / spot, 5) as premium, round((ask - bid) / mid, 5) as spread, round(size * mid * 100 / {market.BUDGET}, 5) as credit_budget,
+  round(size * vega * 100 / {market.BUDGET}, 5) as vega_budget, round(size * theta * 100 / {market.BUDGET}, 5) as theta_budget, round(size * gamma * spot * spot / {market.BUDGET}, 5) as gamma_budget from z
+union all select distinct day, hour::int, null, true, null, null, null, null, null, null, null, null, null, null, null from p""",
         "interpolated_iv": f"""{_CHAIN}, p as (select day, hour, dte, abs(delta) as ad, avg(iv) as iv from c where not call and delta is not null and iv is not null group by all), x as (select p.*, w.t from p, unnest([0.45, 0.5]) w(t)),
 y as (select day, hour, dte, t, max(ad) filter (where ad <= t) as lo, min(ad) filter (where ad >= t) as hi, arg_max(iv, ad) filter (where ad <= t) as vlo, arg_min(iv, ad) filter (where ad >= t) as vhi from x group by all),
 z as (select *, case when hi = lo then vlo else vlo + (vhi - vlo) * (t - lo) / (hi - lo) end as iv from y)

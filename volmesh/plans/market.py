@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar, chains, series
 from ..sources import adapters as a
+from ..sources import store
 from ..sources.adapters import derived
+from . import options
 
 CONTRACT = ["dte", "strike", "call"]
 SNAP = ["day", "hour"]
@@ -128,15 +130,22 @@ def surface_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.surface_features(_chain(spark, sf_dir), ["day"]).select("day", "dte", *[F.round(c, 6).alias(c) for c in ("iv25", "iv10", "skew", "wing", "slope")])
 
 
+#: Crash budget, drop of the spot, volatility in a crash at least and as a multiple, hedge band at least and for a root of gamma.
+BUDGET, DROP, SHOCK, TIMES, LEAST, WIDTH = 87_500.0, 0.2, 0.6, 1.5, 25.0, 40.0
+
+
+def _stressed(spark: SparkSession, sf_dir: str, two_sided: bool = False) -> DataFrame:
+    """Written before and after, as one plan of all these steps is more code than Java compiles."""
+    return store.settle(chains.stressed(store.settle(chains.tradable(_chain(spark, sf_dir)) if two_sided else _chain(spark, sf_dir)).where("mid > 0"), options.RATE, DROP, SHOCK, TIMES))
+
+
 def stress_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Put contracts by premium budget, cut to what a crash budget bears; hedge band; conservative mark."""
-    rows = _chain(spark, sf_dir).where("not call and mid > 0")
-    n0 = F.greatest(F.lit(1), F.least(F.lit(200), F.floor(20000 / (F.col("mid") * 100)).cast("int")))
+    """Puts that a crash budget bears with and without the hedge's band; the band of one contract; conservative mark."""
+    rows = _stressed(spark, sf_dir).where("not call and delta is not null")
     inner = F.greatest(F.col("strike") - F.col("fwd"), F.lit(0.0))
-    crash = F.greatest(F.col("strike") - F.col("fwd") * 0.9, F.lit(0.0)) * 100 + 50
-    band = chains.hedge_band(F.abs("delta") / F.col("fwd") * 100, 0.25, 2.0)
     mark = chains.conservative_mark(F.when(F.col("event_id") % 4 > 0, F.col("mid")), F.col("last") * 0.9, inner, F.col("event_id") % 3 == 0)
-    return rows.select("event_id", n0.alias("most"), chains.stress_quantity(n0, crash, F.col("dte") * 1.5, 150000.0).alias("fit"), F.round(band, 6).alias("band"), F.round(mark, 6).alias("mark"))
+    rows = chains.stress_quantity(chains.stress_quantity(rows, "fit", BUDGET, LEAST, WIDTH), "unhedged", BUDGET, 1e12, 0.0)
+    return rows.select("event_id", "fit", "unhedged", F.round(chains.hedge_band(F.col("gamma") * 100, LEAST, WIDTH), 6).alias("band"), F.round(mark, 6).alias("mark"))
 
 
 QUERIES = {f.__name__: f for f in (adjusted_bars, spliced_bars, index_frame, projected_dividends, dividends_held, days_to_event, missing_days, slot_audit, skipped_share, even_sample, replaced_log, index_pivot, quote_quality, recent_universe, chosen_contract, delta_strikes, structure_prices, surface_features, stress_sizes)}
@@ -154,6 +163,11 @@ def _nearest(keys: str, targets: list[tuple[str, float]], where: str) -> str:
  from c join (values {values}) v(call, target) on c.call = v.call where delta is not null and {where}) z where r = 1)"""
 
 
+_STRESS = f"""sa as (select *, fwd * exp(-{options.RATE} * years) as spot, iv * sqrt(years) as sd, greatest({SHOCK}, {TIMES} * iv) * sqrt(years) as sc from c where iv is not null and mid > 0),
+sb as (select * exclude (delta), ln(fwd / strike) / sd + sd / 2 as d1, spot * (1 - {DROP}) as low, ln(spot * (1 - {DROP}) / strike) / sc + sc / 2 as c1 from sa),
+sk as (select *, {options._cdf("d1")} as n1, {options._cdf("d1 - sd")} as n2, {options._density("d1")} as p1, {options._cdf("c1")} as m1, {options._cdf("c1 - sc")} as m2, case when call then 0 else 1 end as put from sb),
+cs as (select *, n1 - put as delta, p1 / (spot * sd) as gamma, spot * p1 * sqrt(years) / 100 as vega, (-spot * p1 * iv / (2 * sqrt(years)) - {options.RATE} * strike * exp(-{options.RATE} * years) * (n2 - put)) / 365 as theta, spot - low as move,
+  (low * m1 - strike * m2 - put * (low - strike) - mid) * 100 - abs(n1 - put) * 100 * (spot - low) as net from sk)"""
 _LEGS = sorted({(str(c).lower(), t) for legs in chains.STRUCTURES.values() for c, t, _ in legs})
 _TABLE = ", ".join(f"('{n}', {c}, {t}::double, {r})" for n, legs in chains.STRUCTURES.items() for c, t, r in legs)
 
@@ -192,7 +206,8 @@ select k.day, k.hour::int as hour, t.structure, count(*)::int as legs, round(cas
 n as {_nearest('day', [('false', 0.5), ('false', 0.25), ('false', 0.1)], 'iv is not null and dte = (select min(q.dte) from c q where q.day = c.day and q.dte >= 5)')},
 p as (select day, dte, max(iv) filter (where target = 0.25) as i25, max(iv) filter (where target = 0.1) as i10, max(iv) filter (where target = 0.5) as i50 from n group by 1, 2)
 select day, dte, round(i25, 6) as iv25, round(i10, 6) as iv10, round(i25 - i50, 6) as skew, round(i10 - i25, 6) as wing, round(slope, 6) as slope from p join w using (day)""",
-    "stress_sizes": f"""with {_CLEAN}, s as (select *, greatest(1, least(200, floor(20000 / (mid * 100))::int)) as most, greatest(strike - fwd * 0.9, 0) * 100 + 50 as crash, greatest(strike - fwd, 0) as inner_ from c where not call and mid > 0)
-select event_id, most, coalesce(list_max(list_filter(range(1, most + 1), lambda n: n * crash + dte * 1.5 * n * (n + 1) / 2 <= 150000)), 0)::int as fit, round(greatest(0.25, 2 * sqrt(abs(delta) / fwd * 100)), 6) as band,
-  round(case when event_id % 4 > 0 then mid when event_id % 3 = 0 then greatest(last * 0.9, inner_) else least(last * 0.9, inner_) end, 6) as mark from s""",
+    "stress_sizes": f"""with {_CLEAN}, {_STRESS}, st as (select *, list_filter(range(1, greatest(floor({BUDGET} / nullif(net, 0)), 0)::bigint + 1), lambda n: n * net + least(greatest({LEAST}, {WIDTH} * sqrt(n * gamma * 100)), n * abs(delta) * 100) * move <= {BUDGET}) as hs,
+  list_filter(range(1, greatest(floor({BUDGET} / nullif(net, 0)), 0)::bigint + 1), lambda n: n * net + n * abs(delta) * 100 * move <= {BUDGET}) as us from cs where not call and delta is not null)
+select event_id, case when net > 0 then coalesce(list_max(hs), 0) else 0 end::int as fit, case when net > 0 then coalesce(list_max(us), 0) else 0 end::int as unhedged, round(greatest({LEAST}, {WIDTH} * sqrt(gamma * 100)), 6) as band,
+  round(case when event_id % 4 > 0 then mid when event_id % 3 = 0 then greatest(last * 0.9, greatest(strike - fwd, 0)) else least(last * 0.9, greatest(strike - fwd, 0)) end, 6) as mark from st""",
 }

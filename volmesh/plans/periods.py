@@ -64,7 +64,7 @@ def fee_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("units")
     plans = {"fixed": F.greatest(u * 0.005, F.lit(1.0)), "tiered": F.greatest(u * 0.0035, F.lit(0.35)) + u * 0.001}
     out = periods.fees_by_period(derived(spark, sf_dir, a.TRIPS).withColumn("units", _units()), PERIODS, "entry", "units", plans, SMALL)
-    return out.select("book", "period", "orders", F.round("under", 6).alias("under"), F.round("fixed", 3).alias("fixed"), F.round("tiered", 3).alias("tiered"))
+    return out.select("book", "period", "orders", F.round("under", 6).alias("under"), "fixed", "tiered")
 
 
 def weekday_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ q as (select book, quantile_cont(pnl, 0.05) as q5 from d group by 1), w as (sele
 select book, trough, round(any_value(q5), 3) as q5, round(avg(pnl) filter (where pnl <= q5), 3) as shortfall, round(any_value(most), 3)::double as most from d join q using (book) join w using (book) join (select book, max(units) as most from t group by 1) m using (book) group by 1, 2""",
         "crash_windows": f"""with {trips}, sp(period, lo, hi) as (values {spans(CRASHES)}), o as (select book, period, count(*) as entries, sum(units) as units, max(units) as most, sum(net) as net from t join sp on entry >= lo and entry < hi group by 1, 2), b as (select book, period, sum(net) as daily from t join sp on exit >= lo and exit < hi group by 1, 2)
 select book, period, coalesce(entries, 0) as entries, round(coalesce(units, 0), 3)::double as units, round(coalesce(most, 0), 3)::double as most, round(coalesce(net, 0), 3)::double as net, round(coalesce(daily, 0), 3)::double as daily from o full join b using (book, period)""",
-        "fee_periods": f"""with {trips}, {span} select book, period, count(*) as orders, round(avg((units < {SMALL})::int), 6) as under, round(sum(greatest(units * 0.005, 1)), 3)::double as fixed, round(sum(greatest(units * 0.0035, 0.35) + units * 0.001), 3)::double as tiered from t join sp on entry >= lo and entry < hi group by 1, 2""",
+        "fee_periods": f"""with {trips}, {span} select book, period, count(*) as orders, round(avg((units < {SMALL})::int), 6) as under, sum(round(greatest(units * 0.005, 1), 4)::decimal(20, 4))::double as fixed, sum(round(greatest(units * 0.0035, 0.35) + units * 0.001, 4)::decimal(20, 4))::double as tiered from t join sp on entry >= lo and entry < hi group by 1, 2""",
         "weekday_trips": f"with {trips} select book, (isodow(entry) - 1)::int as weekday, count(*) as trips, round(avg(net), 4) as per_trip from t group by 1, 2",
         "signal_years": f"with s as ({signal}) select symbol, year(date)::int as year, count(*) as days, count(*) filter (where signal = 'short') as short, count(*) filter (where signal = 'long') as long, count(*) filter (where signal = 'flat') as flat from s group by 1, 2",
         "trip_mechanics": f"""{c} select cl.side, cl.reason, count(*) as n, round(quantile_cont(expiry - day0, 0.5), 2)::double as entry_dte, round(quantile_cont(expiry - exit_day, 0.5), 2)::double as exit_dte, round(quantile_cont(exit_day - day0, 0.5), 2)::double as held from cl join en using (entry) group by 1, 2""",

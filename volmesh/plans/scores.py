@@ -62,13 +62,6 @@ def entry_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecards.weekdays(_trips(spark, sf_dir)).withColumnsRenamed({str(i): f"d{i}" for i in range(7)})
 
 
-def premium_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantiles of profit over commission by book and year of exit."""
-    rows = _trips(spark, sf_dir).select("book", F.year("exit").alias("year"), (F.col("pnl") / F.col("commission")).alias("ratio"))
-    found = quantiles(rows, ["book", "year"], "ratio", [0.05, 0.25, 0.5, 0.75, 0.95])
-    return found.select("book", "year", *[F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q5", "q25", "q50", "q75", "q95"))])
-
-
 def yearly_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net profit by book and year, reasons as columns."""
     wide = _trips(spark, sf_dir).groupBy("book", F.year("exit").alias("year")).pivot("reason", ["flat", "profit", "stop", "time"]).agg(F.sum(net())).na.fill(0.0)
@@ -137,18 +130,7 @@ def pick_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(bounds, "year").select("name", above.alias("grade"))
 
 
-def pick_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By year: of the thresholds 0, 100, ..., 900 on a pick's lead the one with the highest mean over downside deviation of the picked labels (less their year's mean), ties to the smaller."""
-    c = derived(spark, sf_dir, a.CANDIDATES)
-    top = reports.picks(c, "day", "score", "name").select("day", F.coalesce("lead", F.lit(0)).alias("lead"), F.col("pick").alias("name")).join(c.select("day", "name", "label"), ["day", "name"]).withColumn("year", F.year("day"))
-    rows = top.withColumn("x", F.col("label") - F.avg("label").over(Window.partitionBy("year")))
-    steps = F.explode(F.filter(F.array(*[F.lit(t) for t in range(0, 1000, 100)]), lambda t: t <= F.col("lead")))
-    down = F.sqrt(F.avg(F.pow(F.least(F.col("x"), F.lit(0.0)), 2)))
-    g = rows.withColumn("tau", steps).groupBy("year", "tau").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x") / F.when(down > 0, down), 6).alias("ratio"))
-    return g.where("n >= 5 and ratio is not null").groupBy("year").agg(F.max_by(F.struct("tau", "n", "ratio"), F.struct(F.col("ratio"), -F.col("tau"))).alias("_b")).select("year", "_b.*")
-
-
-QUERIES = {f.__name__: f for f in (variant_metrics, pass_bars, stop_curve, exposure, fee_plans, entry_weekdays, premium_ratios, yearly_reasons, entry_state, gate_split, yearly_rates, profit_volatility, share_attribution, tail_gate, signal_directions, bias_bands, bad_ranges, pick_grades, pick_gate)}
+QUERIES = {f.__name__: f for f in (variant_metrics, pass_bars, stop_curve, exposure, fee_plans, entry_weekdays, yearly_reasons, entry_state, gate_split, yearly_rates, profit_volatility, share_attribution, tail_gate, signal_directions, bias_bands, bad_ranges, pick_grades)}
 
 
 def oracles(metrics: str, daily: str, target: str, signal: str) -> dict[str, str]:
@@ -166,12 +148,11 @@ def oracles(metrics: str, daily: str, target: str, signal: str) -> dict[str, str
 select *, bool_and(ok) over (partition by book, multiple, variant) as verdict from c""",
         "stop_curve": f"""with {trips}, g as (select book, stop, sum(case when pnl - commission < -stop then -stop - 1.5e6 / stop else pnl - commission end) as pnl from t cross join (values {stops}) s(stop) group by 1, 2),
 r as (select *, row_number() over (partition by book order by pnl desc, stop) as r from g) select book, stop as best, stop > 500 and stop < 8000 as interior from r where r = 1""",
-        "exposure": f"""with {trips}, h as (select distinct book, unnest(range(entry::timestamp, exit::timestamp + interval 1 day, interval 1 day))::date as date from t where exit - entry between 0 and 60), s as (select unnest(range(min(entry)::timestamp, max(exit)::timestamp + interval 1 day, interval 1 day))::date as date from t),
-y as (select year(date)::int as year, count(*) as days from s where isodow(date) < 6 group by 1), k as (select book, year(date)::int as year, count(*) as held from h where isodow(date) < 6 group by 1, 2) select book, year, held, days, round(held / days, 6) as share from k join y using (year)""",
+        "exposure": f"""with {trips}, s as (select unnest(range(min(entry)::timestamp, max(exit)::timestamp + interval 1 day, interval 1 day))::date as date from t), y as (select year(date)::int as year, count(*) as days from s where isodow(date) < 6 group by 1),
+h as (select distinct book, date from s join t on t.entry <= s.date and t.exit >= s.date where isodow(date) < 6), k as (select book, year(date)::int as year, count(*) as held from h group by 1, 2) select book, year, held, days, round(held / days, 6) as share from k join y using (year)""",
         "fee_plans": f"""with {trips}, u as (select book, commission / 0.65 as q from t), p as (select book, q, 'flat' as plan, greatest(q * 0.035, 1) as fee from u
 union all select book, q, 'tiered', greatest(case when q <= 50 then q * 0.05 when q <= 100 then 2.5 + (q - 50) * 0.03 else 4 + (q - 100) * 0.02 end + q * 0.001, 0.35) from u) select book, plan, round(sum(fee), 3) as fees, round(quantile_cont(q, 0.5), 3) as median_units from p group by 1, 2""",
         "entry_weekdays": f"with {trips} select book, " + ", ".join(f"count(*) filter (where isodow(entry) = {i + 1}) as d{i}" for i in range(7)) + " from t group by 1",
-        "premium_ratios": f"with {trips} select book, year(exit)::int as year, " + ", ".join(f"round(quantile_cont(pnl / commission, {int(n[1:]) / 100}), 4) as {n}" for n in ("q5", "q25", "q50", "q75", "q95")) + " from t group by 1, 2",
         "yearly_reasons": f"with {trips} select book, year(exit)::int as year, " + ", ".join(f"round(coalesce(sum(pnl - commission) filter (where reason = '{r}'), 0), 4) as {r}" for r in ("flat", "profit", "stop", "time")) + " from t group by 1, 2",
         "entry_state": f"with {trips}, f as ({daily}), s as ({signal}) select trade, signal, vix, vix_pct from t left join f on f.symbol = t.book and f.date = t.entry left join s on s.symbol = t.book and s.date = t.entry",
         "gate_split": f"""with {trips}, f as ({daily}), g as (select symbol, date, lag(term) over (partition by symbol order by date) as prior from f)
@@ -193,7 +174,4 @@ select symbol, case when vix <= 18 then 'to 18' when vix <= 20 then 'to 20' when
         "bad_ranges": f"with f as ({daily}) select f.symbol, f.date, round(ln(high / low), 6) as range, ret from f join ({a.BARS}) b on b.symbol = f.symbol and b.date = f.date where bad",
         "pick_grades": f"""with c as (select *, year(day) as year from ({a.CANDIDATES}) q), b as (select year + 1 as year, quantile_cont(label, 0.1) as b1, quantile_cont(label, 0.4) as b2, quantile_cont(label, 0.6) as b3, quantile_cont(label, 0.9) as b4 from c group by 1)
 select name, ((label > b1)::int + (label > b2)::int + (label > b3)::int + (label > b4)::int)::int as grade from c join b using (year)""",
-        "pick_gate": f"""with c as (select *, year(day)::int as year, row_number() over (partition by day order by score desc, name) as r, score - coalesce(lead(score) over (partition by day order by score desc, name), score) as gap from ({a.CANDIDATES}) q),
-x as (select year, gap, label - avg(label) over (partition by year) as x from c where r = 1), g as (select year, (tau * 100)::int as tau, count(*) as n, round(avg(x) / nullif(sqrt(avg(pow(least(x, 0), 2))), 0), 6) as ratio from x join range(10) s(tau) on tau * 100 <= gap group by 1, 2)
-select year, tau, n, ratio from g where n >= 5 and ratio is not null qualify row_number() over (partition by year order by ratio desc, tau) = 1""",
     }

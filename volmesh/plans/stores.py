@@ -84,7 +84,7 @@ def trading_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last rate strictly before each bar's day: as-of over distinct days (a row a day), then by equal day."""
-    rates = derived(spark, sf_dir, a.INDICES).where("irx > 0.024").select(F.lit(1).alias("k"), "date", "irx")
+    rates = derived(spark, sf_dir, a.INDEX_GAPS).where("irx is not null").select(F.lit(1).alias("k"), "date", "irx")
     bars = derived(spark, sf_dir, a.BARS).select("symbol", "date")
     known = asof.asof_join(bars.select(F.lit(1).alias("k"), "date").distinct(), rates, "date", ["k"], "irx", "rate", strict=True)
     return bars.join(known, "date").select("symbol", "date", F.round("rate", 6).alias("rate"))
@@ -168,7 +168,7 @@ select event_id, coalesce(k.day, l.day) as snap_day, coalesce(k.hhmm, l.hhmm) as
     "registry_export": f"""with r as (select split_part(name, '/', 1) as card, split_part(name, '/', 2) as variant, run::varchar as run, round(pnl, 4) as pnl from ({a.RUNS}) q union all select 'card-' || (doc_id % 50), '', doc_id::varchar, null from documents)
 select card, nullif(variant, '') as variant, count(*) as n, count(pnl) as numbers, round(sum(pnl), 2) as pnl, max(run) as last_run from r group by 1, 2""",
     "trading_calendar": f"with {_T}, l as (select distinct date as day from ({a.BARS}) b) select day from l union select day from t0 where day > (select max(day) from l) and isodow(day) < 6",
-    "rate_before": f"select b.symbol, b.date, round(i.irx, 6) as rate from ({a.BARS}) b asof left join (select * from ({a.INDICES}) where irx > 0.024) i on b.date > i.date",
+    "rate_before": f"select b.symbol, b.date, round(i.irx, 6) as rate from ({a.BARS}) b asof left join (select * from ({a.INDEX_GAPS}) where irx is not null) i on b.date > i.date",
     "weekday_entries": f"select book, count(*) as n from ({a.TRIPS}) t where isodow(entry) in (1, 3, 5) group by 1",
     "live_universe": f"with {_NEAR} select distinct day, expiry, strike, w.r as \"right\" from t join ds using (day), unnest(['C', 'P']) w(r) where expiry - day between 3 and 40 and isodow(expiry) = 5 and abs(strike / spot - 1) <= 0.03",
     "friday_expiry": f"with {_CLEAN}, {_FRIDAY} select * from fe",

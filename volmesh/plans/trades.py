@@ -40,7 +40,7 @@ def book_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = derived(spark, sf_dir, a.TRIPS)
-    closes = trips.where("exit < date'2001-06-01'").select(*KEYS, "trade", F.col("trade").alias("close"), "exit")
+    closes = derived(spark, sf_dir, a.CLOSES).where("exit is not null").select(*KEYS, "trade", F.col("trade").alias("close"), "exit")
     return matching.match_orders(trips.select(*KEYS, "trade"), closes, KEYS, "trade").select("trade", "close", F.datediff("exit", "entry").alias("days"))
 
 
@@ -70,33 +70,33 @@ def marginal_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trips open at the start of 1996 against a record without every fifth."""
-    held = derived(spark, sf_dir, a.TRIPS).where("entry <= date'1996-01-01' and exit > date'1996-01-01'")
-    return matching.differences(held, held.where("trade % 5 > 0"), ["book", "side", "reason"])
+    """Trips open at the start of 1996 against a broker's record."""
+    held = derived(spark, sf_dir, a.RECORDED).where("entry <= date'1996-01-01' and exit > date'1996-01-01'")
+    return matching.differences(held, held.where("recorded"), ["book", "side", "reason"])
 
 
 QUERIES = {f.__name__: f for f in (trade_exits, hedge_paths, taken_trades, book_days, matched_orders, matched_with_old, repeated_keys, compared_books, overlapping_entries, marginal_daily, position_differences)}
 
 _PATH = f"""m as ({a.MARKS}), e as (select event_id as entry, expiry, strike, call, day as day0, ts as ts0, mid as mid0, case when event_id % 3 = 0 then 1 else -1 end as sign from m where hour(ts) < 12 and day <= expiry qualify row_number() over (partition by day, expiry, strike, call order by ts, event_id) = 1),
 p as (select e.*, m.event_id, m.ts, m.day, m.fwd, m.delta, sign * (m.mid - mid0) * 100 as pnl from e join m using (expiry, strike, call) where m.ts > ts0 and m.day <= e.expiry and m.day - day0 <= {HOLD})"""
-_EXITS = f"""{_PATH}, w as (select *, case when day - day0 >= {HOLD} then 'time' when pnl <= -{STOP} * mid0 * 100 then 'stop' when pnl >= {TAKE} * mid0 * 100 then 'profit' end as why, least(pnl - lag(pnl, 1, 0) over (partition by entry order by ts), 0) as fall from p),
+EXITS = f"""{_PATH}, w as (select *, case when day - day0 >= {HOLD} then 'time' when pnl <= -{STOP} * mid0 * 100 then 'stop' when pnl >= {TAKE} * mid0 * 100 then 'profit' end as why, least(pnl - lag(pnl, 1, 0) over (partition by entry order by ts), 0) as fall from p),
 f as (select entry, min(ts) as at from w where why is not null group by 1), u as (select w.* from w left join f using (entry) where f.at is null or w.ts <= f.at),
 x as (select entry, any_value(call) as call, any_value(expiry) as expiry, any_value(strike) as strike, any_value(day0) as day0, coalesce(arg_max(coalesce(why, 'end'), ts), 'end') as reason, arg_max(event_id, ts) as exit_id, arg_max(day, ts) as exit_day, arg_max(pnl, ts) as pnl, sqrt(sum(fall * fall)) as downside from u group by 1)"""
 _TRIPS = f"t as ({a.TRIPS})"
 
 ORACLES = {
-    "trade_exits": f"with {_EXITS} select entry, reason, exit_id, round(pnl, 4) as pnl, round(downside, 4) as downside, round(case when downside > 0 then pnl / downside end, 4) as score from x",
+    "trade_exits": f"with {EXITS} select entry, reason, exit_id, round(pnl, 4) as pnl, round(downside, 4) as downside, round(case when downside > 0 then pnl / downside end, 4) as score from x",
     "hedge_paths": f"""with recursive {_PATH}, q as materialized (select entry, row_number() over (partition by entry order by ts) as i, round_even(-sign * 100 * delta, 0) as goal, fwd from p),
 s as (select entry, i, (abs(goal) >= {BAND})::int as moves, case when abs(goal) >= {BAND} then goal else 0 end::double as shares, fwd, 0::double as gain from q where i = 1
  union all select q.entry, q.i, s.moves + (abs(q.goal - s.shares) >= {BAND})::int, case when abs(q.goal - s.shares) >= {BAND} then q.goal else s.shares end, q.fwd, s.gain + s.shares * (q.fwd - s.fwd) from s join q on q.entry = s.entry and q.i = s.i + 1)
 select entry, arg_max(moves, i) as moves, arg_max(shares, i) as shares, round(arg_max(gain, i), 4) as hedge_pnl from s group by 1""",
-    "taken_trades": f"""with recursive {_EXITS}, n as materialized (select *, row_number() over (partition by expiry, strike, call order by day0, entry) as i from x),
+    "taken_trades": f"""with recursive {EXITS}, n as materialized (select *, row_number() over (partition by expiry, strike, call order by day0, entry) as i from x),
 s as (select expiry, strike, call, i, entry, exit_day as free, true as taken from n where i = 1
  union all select n.expiry, n.strike, n.call, n.i, n.entry, case when n.day0 > s.free then n.exit_day else s.free end, n.day0 > s.free from s join n on n.expiry = s.expiry and n.strike = s.strike and n.call = s.call and n.i = s.i + 1)
 select entry, taken from s""",
-    "book_days": f"""with {_EXITS}, o as (select p.call, p.day, p.entry, arg_max(p.pnl, p.ts) as o from p join x using (entry) where p.day < x.exit_day group by 1, 2, 3), h as (select call, day, sum(o) as open from o group by 1, 2), r as (select call, exit_day as day, sum(pnl) as r from x group by 1, 2),
+    "book_days": f"""with {EXITS}, o as (select p.call, p.day, p.entry, arg_max(p.pnl, p.ts) as o from p join x using (entry) where p.day < x.exit_day group by 1, 2, 3), h as (select call, day, sum(o) as open from o group by 1, 2), r as (select call, exit_day as day, sum(pnl) as r from x group by 1, 2),
 b as (select call, day, coalesce(open, 0) as open, sum(coalesce(r, 0)) over (partition by call order by day) as realized from h full join r using (call, day)) select call, day, round(realized, 3) as realized, round(open, 3) as open, round(realized + open, 3) as total from b""",
-    "matched_orders": f"""with {_TRIPS}, o as (select *, row_number() over (partition by book, side, entry order by trade) as n from t), c as (select *, row_number() over (partition by book, side, entry order by trade) as n from t where exit < date '2001-06-01')
+    "matched_orders": f"""with {_TRIPS}, o as (select *, row_number() over (partition by book, side, entry order by trade) as n from t), c as (select *, row_number() over (partition by book, side, entry order by trade) as n from ({a.CLOSES}) t where exit is not null)
 select o.trade, c.trade as close, (c.exit - o.entry)::int as days from o left join c using (book, side, entry, n)""",
     "matched_with_old": f"""with {_TRIPS}, o as (select *, row_number() over (partition by book, side, entry order by trade) as n from t), c as (select *, row_number() over (partition by book, side, entry order by trade) as n from t where trade % 9 > 0),
 k as (select o.trade, o.book, o.entry, c.trade as close, c.exit as e from o left join c on c.book = o.book and c.side = o.side and c.entry = o.entry and c.n = o.n), u as (select *, row_number() over (partition by book order by entry, trade) as i from k where close is null), z as (select *, row_number() over (partition by book order by exit, trade) as i from t where trade % 9 = 0)

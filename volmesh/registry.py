@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import books, calendar, features
-from .plans import desk, forwards, life, market, options, periods, research, scores, stores, studies, trades, views
+from .plans import desk, forwards, life, market, options, periods, ranking, research, scores, stores, studies, trades, views
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -88,3 +88,5 @@ ORACLES |= desk.oracles(ORACLES["smile_views"], ORACLES["book_days"].replace("ro
 QUERIES |= {**forwards.QUERIES, **views.QUERIES, **stores.QUERIES, **life.QUERIES, **periods.QUERIES}
 ORACLES |= {**forwards.ORACLES, **views.ORACLES, **stores.ORACLES, **life.oracles(ORACLES["book_metrics"], ORACLES["trend_measures"])}
 ORACLES |= periods.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"], ORACLES["trend_measures"])
+QUERIES |= ranking.QUERIES
+ORACLES |= ranking.oracles(trades.EXITS, ORACLES["daily_features"], ORACLES["forward_target"])

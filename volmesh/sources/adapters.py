@@ -105,3 +105,14 @@ INDEX_GAPS = f"select date, case when year(date) < 1998 and day(date) % 3 > 0 th
 #: Labels of candidates, some still unknown; deltas picked for days, some without one.
 LABELS = f"select day, name, case when name % 41 > 0 then label end as label from ({CANDIDATES}) c"
 PICKS = f"select day, case when day(day) % 3 > 0 then day(day) % 4 * 1e-1 end as pick from ({SIGNALS}) s"
+#: Candidates of a day with features, profit and the day on which it is known (some never are), and a skip for each day; from orders.
+PANEL = """
+select cast(o_orderdate as date) as day, o_orderkey as name, 0 as skip, cast(o_custkey * 37 % 101 as double) as x1, cast(o_orderkey * 13 % 89 as double) as x2, cast(substr(o_orderpriority, 1, 1) as double) as x3, cast(month(o_orderdate) as double) as x4,
+       case when o_orderkey % 41 > 0 then (o_custkey * 37 % 101 - 50) * 2e1 + case when o_orderpriority like '1%' then (o_orderkey * 13 % 89 - 44) * 3e1 else 0e0 end + (o_totalprice - 2.5e5) / 4e2 end as pnl,
+       cast(o_orderdate as date) + cast(o_orderkey % 30 as int) as close
+from orders o
+union all select distinct cast(o_orderdate as date), cast(0 as bigint), 1, -1e0, -1e0, -1e0, cast(month(o_orderdate) as double), 0e0, cast(o_orderdate as date) from orders p
+"""
+#: Closes of trips, some never reported (without a day), and trips with whether a broker's record has them.
+CLOSES = f"select book, side, entry, trade, case when trade % 23 > 0 then exit end as exit from ({TRIPS}) t"
+RECORDED = f"select *, trade % 5 > 0 as recorded from ({TRIPS}) t"
