@@ -43,11 +43,15 @@ def near_expiry(prs: DataFrame, keys: list[str], need: int) -> DataFrame:
 
 
 def near_forward(prs: DataFrame, keys: list[str], need: int, least: int = LEAST) -> DataFrame:
-    """keys, near, ts, event_id, call, fnear: running medians of 20 over the near expiry's pairs, after those whose strike is more than 2 % off a first running median have left."""
+    """keys, near, ts, event_id, call, fnear of the near expiry's pairs. A day's pairs of one expiry are ordered in one task; the test tape aside, that is the prints of one expiry and day."""
+    return medians(prs.join(near_expiry(prs, keys, need), keys).where("expiry = near"), [*keys, "near"], least)
+
+
+def medians(rows: DataFrame, keys: list[str], least: int | Column) -> DataFrame:
+    """keys, ts, event_id, call, fnear: running medians of 20 over pairs of one expiry, after those whose strike is more than 2 % off a first running median have left."""
     w = Window.partitionBy(*keys).orderBy("ts", "call", "event_id")
-    rows = prs.join(near_expiry(prs, keys, need), keys).where("expiry = near").withColumn("_rough", rolling_median("fwd", w, ROWS, 1))
-    rows = rows.where(F.abs(F.col("strike") / F.col("_rough") - 1) <= BAND)
-    return rows.select(*keys, "near", "ts", "event_id", "call", rolling_median("fwd", w, ROWS, least).alias("fnear")).where("fnear is not null")
+    rows = rows.withColumn("_rough", rolling_median("fwd", w, ROWS, 1)).where(F.abs(F.col("strike") / F.col("_rough") - 1) <= BAND)
+    return rows.select(*keys, "ts", "event_id", "call", rolling_median("fwd", w, ROWS, least).alias("fnear")).where("fnear is not null")
 
 
 def with_dividends(rows: DataFrame, dividends: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rolling_median(column: str, w, rows: int, least: int) -> Column:
+def rolling_median(column: str, w, rows: int, least: int | Column) -> Column:
     frame = w.rowsBetween(1 - rows, 0)
     return F.when(F.count(column).over(frame) >= least, F.expr(f"percentile({column}, 0.5)").over(frame))
 
 
 def _parabola(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """a0, a1, a2 of the size-weighted parabola of iv in k for each group, from centred moments in one pass of sums."""
+    """a0, a1, a2 of the size-weighted parabola of iv in k for each group, from sums of powers in one pass."""
     w, k, v = F.col("size"), F.col("k"), F.col("iv")
     s = rows.groupBy(*keys).agg(
         *[F.sum(w * F.pow(k, p)).alias(f"s{p}") for p in range(5)], *[F.sum(w * v * F.pow(k, p)).alias(f"t{p}") for p in range(3)],

@@ -1,81 +1,96 @@
-"""Day-grid views of a tape: chains at slots as a desk would decide on them, and as it would fill right after.
+"""Day-grid views of a tape: chains at slots as a desk would decide on them, and as it would fill right after, with a log of the slots that were skipped.
 
-A print is sent to the views of the slots that it counts for (a fixed grid, so the fan-out is fixed), and all slots of all days are built in one
-job: every group is a day, slot, view, expiry and strike.
+A decision sees a day's prints from the open to its cutoff, so all decisions of a day (and the long fill views) see beginnings of one series. Pairs, running
+medians and ratios are therefore computed once for a day and near expiry, and a slot takes their last values by its cutoff. Only the short fill windows
+have series of their own; a print lies in as many of them as overlap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, pricing
 from ..sources import store
 from . import forwards, surface
+from .chains import recent_universe
 
 KEYS = ["day", "slot"]
 VIEW = [*KEYS, "view"]
+#: A series of pairs: a day's (span 0) or a short window's (span is its slot), with the near expiry that it was made for.
+SPAN, SERIES = ["day", "span"], ["day", "span", "base"]
 
 
-def spread_views(tape: DataFrame, grid: list[int], open_: int, lag: int, window: int) -> DataFrame:
-    """tape with slot (minutes after midnight) and view: 'decide' for prints from the open to `lag` before the slot, 'short' for those in the `window` minutes after it, 'long' for all from the open to the window's end."""
-    slot = F.explode(F.array(*[F.lit(g) for g in grid])).alias("slot")
-    rows = tape.select("*", (clock.seconds(F.col("ts"), clock.at(F.col("day"), 0)) / 60).alias("_m"), slot)
-    view = F.array_compact(F.array(F.when(F.col("_m") <= F.col("slot") - lag, "decide"), F.when((F.col("_m") > F.col("slot")) & (F.col("_m") <= F.col("slot") + window), "short"), F.when(F.col("_m") <= F.col("slot") + window, "long")))
-    return rows.where((F.col("_m") > open_) & (F.col("_m") <= F.col("slot") + window)).select("*", F.explode(view).alias("view"))
+def minutes(tape: DataFrame) -> DataFrame:
+    """tape with _m, the minutes after midnight."""
+    return tape.withColumn("_m", clock.seconds(F.col("ts"), clock.at(F.col("day"), 0)) / 60)
 
 
-def view_forwards(views: DataFrame, rate: float, within: float, need: int, few: int, dividends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Near forwards and ratios of all views; the short view is content with `few` pairs."""
-    prs = store.settle(forwards.pairs(views, VIEW, rate, within))
-    wanted = F.when(F.col("view") == "short", few).otherwise(need)
-    least = F.when(F.col("view") == "short", min(few, forwards.LEAST)).otherwise(min(need, forwards.LEAST))
-    near = store.settle(forwards.near_forward(prs, VIEW, wanted, least))
-    return near, forwards.ratios(prs, near, VIEW, rate, dividends, least)
+def spans(tape: DataFrame, grid: list[int], window: int) -> DataFrame:
+    """Prints of the day's series and of the short windows (slot, slot + window] that hold them."""
+    inside = F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: (F.col("_m") > g) & (F.col("_m") <= g + window))
+    return tape.select("*", F.explode(F.concat(F.array(F.lit(0)), inside)).alias("span"))
 
 
-def chosen(near: DataFrame, ratio: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same with the fill view: the short one where it has a forward, else the long one."""
-    has = near.where("view = 'short'").select(*KEYS).distinct().withColumn("_s", F.lit(True))
+def cutoff(day: Column, slot: Column, view: Column, lag: int, window: int) -> Column:
+    return clock.at(day, F.when(view == "decide", slot - lag).otherwise(slot + window))
 
-    def pick(rows: DataFrame) -> DataFrame:
-        got = rows.join(has, KEYS, "left")
-        keep = (F.col("view") == "decide") | ((F.col("view") == "short") & F.col("_s")) | ((F.col("view") == "long") & F.col("_s").isNull())
-        return got.where(keep).withColumn("view", F.when(F.col("view") == "decide", "decide").otherwise("fill")).drop("_s")
 
-    return pick(near), pick(ratio)
+def near_views(prs: DataFrame, medians: DataFrame, grid: list[int], lag: int, window: int, need: int, few: int) -> DataFrame:
+    """VIEW, span, base: the series and near expiry of each slot's decide and fill view that has a forward. The near expiry is the first with `need` pairs by the cutoff; a fill takes the short window's series where `few` pairs give it
+    a forward, else the day's by the window's end."""
+    ends = {("decide", g): g - lag for g in grid} | {("long", g): g + window for g in grid}
+    by = prs.where("expiry >= day")
+    counts = by.where("span = 0").groupBy("day", "expiry").agg(*[F.count(F.when(F.col("_m") <= m, 1)).alias(f"{v}_{g}") for (v, g), m in ends.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("slot"), F.lit(v).alias("view"), F.lit(m).alias("_end"), F.col(f"{v}_{g}").alias("_n")) for (v, g), m in ends.items()])).alias("_e")
+    whole = counts.select("day", "expiry", each).select("day", "expiry", "_e.*").where(F.col("_n") >= need).groupBy(*VIEW, "_end").agg(F.min("expiry").alias("base")).withColumn("span", F.lit(0))
+    short = by.where("span > 0").groupBy("day", "span", "expiry").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= few).groupBy("day", "span").agg(F.min("expiry").alias("base"))
+    short = short.select("day", F.col("span").alias("slot"), F.lit("short").alias("view"), (F.col("span") + window).alias("_end"), "base", "span")
+    begun = minutes(medians).groupBy(*SERIES).agg(F.min("_m").alias("_from"))
+    found = whole.select(*short.columns).unionByName(short).join(begun, SERIES).where("_from <= _end").select(*VIEW, "span", "base")
+    best = F.max_by(F.struct("span", "base"), F.when(F.col("view") == "short", 1).otherwise(0))
+    return found.withColumn("_v", F.when(F.col("view") == "decide", "decide").otherwise("fill")).groupBy(*KEYS, "_v").agg(best.alias("_b")).select(*KEYS, F.col("_v").alias("view"), "_b.*")
 
 
-def cutoff(day: Column, slot: Column, view: Column, lag: int, window: int) -> Column:
-    return clock.at(day, F.when(view == "decide", slot - lag).otherwise(slot + window))
+def series(prs: DataFrame, need: int, few: int) -> DataFrame:
+    """SERIES, near, ts, event_id, call, fnear: running medians of each span's pairs by expiry, as if it were the near one."""
+    least = F.when(F.col("span") > 0, min(few, forwards.LEAST)).otherwise(min(need, forwards.LEAST))
+    rows = prs.where("expiry >= day").withColumn("base", F.col("expiry"))
+    return forwards.medians(rows, SERIES, least).withColumn("near", F.col("base"))
 
 
-def candidates(views: DataFrame, tape: DataFrame, contract: list[str], days: int = 5) -> DataFrame:
+def candidates(tape: DataFrame, contract: list[str], grid: list[int], lag: int, days: int = 5) -> DataFrame:
     """KEYS and contract: those printed today before the decide cutoff, and those printed on any of the `days` days with prints before."""
-    from .chains import recent_universe
-
-    today = views.where("view = 'decide'").select(*KEYS, *contract).distinct()
-    past = recent_universe(tape.select("day", *contract), contract, days).where("recent").select("day", *contract)
-    return today.union(past.join(views.select(*KEYS).distinct(), "day").select(*KEYS, *contract)).distinct()
+    past = recent_universe(tape.select("day", *contract), contract, days).where("recent").select("day", *contract, F.lit(0.0).alias("_m"))
+    first = tape.select("day", *contract, "_m").unionByName(past).groupBy("day", *contract).agg(F.min("_m").alias("_m"))
+    return first.select("day", *contract, F.explode(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: F.col("_m") <= g - lag)).alias("slot"))
 
 
-def listed(cand: DataFrame, near: DataFrame, ratio: DataFrame, rate: float, dividends: DataFrame, lag: int, window: int, low: int, high: int, reach: float) -> DataFrame:
-    """VIEW, contract, ts, dte, forward, spot, k: candidates within days to expiry and distance from the forward at the view's cutoff."""
-    rows = cand.withColumn("dte", F.datediff("expiry", "day")).where(F.col("dte").between(low, high)).select("*", F.explode(F.array(F.lit("decide"), F.lit("fill"))).alias("view"))
+def listed(cand: DataFrame, chosen: DataFrame, near: DataFrame, ratio: DataFrame, rate: float, dividends: DataFrame, lag: int, window: int, low: int, high: int, reach: float) -> DataFrame:
+    """VIEW, contract, dte, forward, spot, k: candidates within days to expiry and distance from the forward at the view's cutoff."""
+    rows = cand.withColumn("dte", F.datediff("expiry", "day")).where(F.col("dte").between(low, high)).join(chosen, KEYS)
     rows = rows.withColumn("ts", cutoff(F.col("day"), F.col("slot"), F.col("view"), lag, window))
     # a forward for each view and expiry, then back to its contracts
-    at = forwards.forward_at(rows.select(*VIEW, "ts", "expiry").distinct(), near, ratio, VIEW, rate, dividends)
+    at = forwards.forward_at(rows.select(*VIEW, *SERIES[1:], "ts", "expiry").distinct(), near, ratio, SERIES, rate, dividends)
     at = forwards.with_spot(at, rate, dividends).select(*VIEW, "expiry", "forward", "spot")
-    out = rows.join(at, [*VIEW, "expiry"]).withColumn("k", F.log(F.col("strike") / F.col("forward")))
+    out = rows.select(*VIEW, "dte", *[c for c in cand.columns if c not in KEYS]).join(at, [*VIEW, "expiry"]).withColumn("k", F.log(F.col("strike") / F.col("forward")))
     return out.where(F.abs("k") <= reach)
 
 
-def view_smiles(prints: DataFrame, near: DataFrame, ratio: DataFrame, rate: float, dividends: DataFrame, **gates) -> DataFrame:
-    """Smiles by view and expiry of prints (VIEW, ts, expiry, strike, call, size, price) at the forward of each print's own time."""
-    rows = forwards.forward_at(prints, near, ratio, VIEW, rate, dividends)
+def view_smiles(prints: DataFrame, chosen: DataFrame, near: DataFrame, ratio: DataFrame, rate: float, dividends: DataFrame, lag: int, window: int, lookback: int, **gates) -> DataFrame:
+    """Smiles by view and expiry, of the prints of the lookback before a decide cutoff and of those in a fill window, at the forward of each print's own time. A print's volatility is found once for each series
+    that a view takes it from."""
+    used = chosen.select(*SERIES).distinct()
+    rows = forwards.forward_at(prints.join(used, SPAN), near, ratio, SERIES, rate, dividends)
     years = clock.years(F.col("ts"), F.col("expiry"))
     rows = store.settle(rows.withColumn("iv", pricing.implied(F.col("price"), F.col("forward"), F.col("strike"), years, F.lit(rate), F.col("call"))).withColumn("k", F.log(F.col("strike") / F.col("forward"))))
-    return surface.smiles(rows, [*VIEW, "expiry"], **gates)
+    decide = (F.col("view") == "decide") & (F.col("_m") > F.col("slot") - lag - lookback) & (F.col("_m") <= F.col("slot") - lag)
+    fill = (F.col("view") == "fill") & (F.col("_m") > F.col("slot")) & (F.col("_m") <= F.col("slot") + window)
+    views = chosen.groupBy(*SERIES).agg(F.collect_list(F.struct("slot", "view")).alias("_views"))  # two a slot at most
+    seen = rows.join(views, SERIES).select(*rows.columns, F.explode("_views").alias("_w")).select(*rows.columns, "_w.*").where(decide | fill)
+    return surface.smiles(seen, [*VIEW, "expiry"], **gates)
 
 
 def with_source(fits: DataFrame) -> DataFrame:
@@ -86,10 +101,36 @@ def with_source(fits: DataFrame) -> DataFrame:
 
 
 def chain(contracts: DataFrame, fits: DataFrame, rate: float, asof: Column) -> DataFrame:
-    """contracts with a smile: iv, mid (at least the price floor) and greeks, at the slot's time to expiry."""
+    """contracts with iv, mid (at least the price floor) and greeks of their smile, at the slot's time to expiry. Of slots without a decide smile nothing is left; a fill row without any smile stays, with a null src and no values."""
+    rows = contracts.join(fits, [*VIEW, "expiry"], "left").where("view = 'fill' or src is not null")
+    open_ = rows.where("view = 'decide'").select(*KEYS).distinct()
     k = F.least(F.greatest(F.col("k"), F.col("kmin")), F.col("kmax"))
-    rows = contracts.join(fits, [*VIEW, "expiry"]).withColumn("iv", surface.smile_at(k, F.col("a0"), F.col("a1"), F.col("a2")))
-    rows = rows.withColumn("years", clock.years(asof, F.col("expiry")))
+    rows = rows.join(open_, KEYS, "left_semi").withColumn("iv", surface.smile_at(k, F.col("a0"), F.col("a1"), F.col("a2"))).withColumn("years", clock.years(asof, F.col("expiry")))
     rows = pricing.valued(rows, F.col("forward"), F.col("strike"), F.col("years"), rate, F.col("iv"), F.col("call"))
     floor = pricing.price_floor(F.col("forward"), F.col("strike"), F.col("years"), F.lit(rate), F.col("spot"), F.col("call"))
-    return rows.withColumn("mid", F.greatest("price", floor)).drop("price", "a0", "a1", "a2", "kmin", "kmax", "n")
+    return rows.withColumn("mid", F.when(F.col("src").isNotNull(), F.greatest("price", floor))).drop("price", "a0", "a1", "a2", "kmin", "kmax", "n")
+
+
+def skip_log(tape: DataFrame, built: DataFrame, chosen: DataFrame, grid: list[int], after: int) -> DataFrame:
+    """day, slot, why of each slot of each day, from the tape's first to `after` days past its last, that has no decide chain: no_trades (the day has no prints), no parity forward, no smile."""
+    days = tape.agg(F.min("day").alias("a"), F.max("day").alias("z")).select(F.explode(F.sequence("a", F.date_add("z", after))).alias("day"))
+    every = days.select("day", F.explode(F.array(*[F.lit(g) for g in grid])).alias("slot"))
+    flags = [tape.select("day").distinct().withColumn("_traded", F.lit(True)), chosen.where("view = 'decide'").select(*KEYS).withColumn("_forward", F.lit(True)), built.where("view = 'decide'").select(*KEYS).distinct().withColumn("_built", F.lit(True))]
+    rows = reduce(lambda d, f: d.join(f, [c for c in f.columns if c in KEYS], "left"), flags, every).where("_built is null")
+    return rows.select(*KEYS, F.when(F.col("_traded").isNull(), "no_trades").when(F.col("_forward").isNull(), "no parity forward").otherwise("no smile").alias("why"))
+
+
+def build(tape: DataFrame, prints: DataFrame, contract: list[str], grid: list[int], rate: float, within: float, dividends: DataFrame, lag: int, window: int, lookback: int, need: int, few: int, low: int, high: int, reach: float, after: int) -> tuple[DataFrame, DataFrame]:
+    """(chain, log) of the clean prints of a tape (prints): every slot of every day is in the chain's decide rows or in the log, once."""
+    rows = store.settle(spans(minutes(prints), grid, window))
+    prs = store.settle(minutes(forwards.pairs(rows.drop("_m"), SPAN, rate, within)))
+    near = store.settle(series(prs, need, few))
+    chosen = store.settle(near_views(prs, near, grid, lag, window, need, few))
+    used = near.join(chosen.select(*SERIES).distinct(), SERIES, "left_semi")
+    least = F.when(F.col("span") > 0, min(few, forwards.LEAST)).otherwise(min(need, forwards.LEAST))
+    ratio = store.settle(forwards.ratios(prs.drop("_m").join(chosen.select(*SERIES).distinct(), SPAN), used, SERIES, rate, dividends, least))
+    cand = candidates(rows.where("span = 0"), contract, grid, lag)
+    contracts = listed(cand, chosen, used, ratio, rate, dividends, lag, window, low, high, reach)
+    fits = with_source(store.settle(view_smiles(rows, chosen, used, ratio, rate, dividends, lag, window, lookback)))
+    built = store.settle(chain(contracts, fits, rate, cutoff(F.col("day"), F.col("slot"), F.lit("decide"), 0, 0)))
+    return built, skip_log(tape, built, chosen, grid, after)
