@@ -13,15 +13,29 @@ from ..sources.adapters import derived
 
 #: Rate; seconds that a pair's prints may lie apart; pairs of the near expiry; condition codes that count; least price; open, close and start of the close's window in minutes.
 RATE, WITHIN, NEED, CODES, LEAST = 0.05, 3600.0, 20, [0, 209], 0.05
+#: A scan's bounds, in UTC.
+WEEK = ("2024-01-08 00:00:00", "2024-01-15 00:00:00")
 OPEN, CLOSE, LATE = 9 * 60 + 30, 16 * 60, 15 * 60 + 45
 
 
-def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All prints with their day in New York and a numeric condition."""
     rows = derived(spark, sf_dir, a.PRINTS)
     return rows.withColumns({"day": clock.eastern_day(F.col("ts")), "condition": clock.condition_code(F.col("conditions"))})
 
 
+def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored tape: filters on price, condition and time reach its scan."""
+    return spark.read.parquet(store.stored_tape(spark, sf_dir, lambda: _prints(spark, sf_dir))).drop("month")
+
+
+def scanned_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of the stored tape: its month's files, the week's rows, four columns."""
+    tape(spark, sf_dir)
+    rows = store.scan_day(spark, store.stored_tape(spark, sf_dir, lambda: _prints(spark, sf_dir)), *WEEK, ["event_id", "ts", "condition", "price"])
+    return rows.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "condition", F.round("price", 4).alias("price"))
+
+
 def session(rows: DataFrame, start: int = OPEN, end: int = CLOSE) -> DataFrame:
     return forwards.clean(rows, clock.at(F.col("day"), start), clock.at(F.col("day"), end), CODES, LEAST)
 
@@ -65,7 +79,7 @@ def clean_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(tape(spark, sf_dir)).select("day", "expiry", "strike", "call").distinct()
 
 
-QUERIES = {f.__name__: f for f in (eastern_tape, clean_contracts, parity_pairs, near_forward, forward_at, parity_close)}
+QUERIES = {f.__name__: f for f in (scanned_prints, eastern_tape, clean_contracts, parity_pairs, near_forward, forward_at, parity_close)}
 
 
 def years(ts: str, expiry: str) -> str:
@@ -126,6 +140,7 @@ _SPOT = f"fnear * exp(-{RATE} * {years('ts', 'near')}) - coalesce(list_sum(list_
 _SESSION = f"{TAPE}, {clean('09:30', '16:00')}, {pairs_sql('day')}"
 
 ORACLES = {
+    "scanned_prints": f"with {TAPE} select event_id, epoch_us(ts) as us, condition, round(price, 4) as price from t0 where ts >= timestamp '{WEEK[0]}' and ts < timestamp '{WEEK[1]}'",
     "eastern_tape": f"with {TAPE} select event_id, day, (hour(wall) * 100 + minute(wall))::int as hhmm, condition, round({years('ts', 'expiry')}, 9) as years from t0",
     "clean_contracts": f"with {TAPE}, {clean('09:30', '16:00')} select distinct day, expiry, strike, call from t",
     "parity_pairs": f"with {_SESSION} select event_id, day, expiry, round(fwd, 6) as forward from q",

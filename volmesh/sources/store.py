@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,8 +47,18 @@ def extract(rows: DataFrame, keep: Column, columns: list[str], order: list[str],
 
 
 def save_tape(rows: DataFrame, folder: str, ts: str = "ts") -> None:
-    """A tape in partitions of months."""
-    rows.withColumn("month", F.date_format(ts, "yyyy-MM")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(folder)
+    """A tape in partitions of months; a month is as many files as its size asks for."""
+    rows.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(folder)
+
+
+def stored_tape(spark: SparkSession, source: str, build: Callable[[], DataFrame]) -> str:
+    """The folder of a source's tape: written by the session's first use of it, scanned by all."""
+    tapes = spark.__dict__.setdefault("_volmesh_tapes", {})
+    if source not in tapes:
+        folder = fresh(spark, "tape")
+        save_tape(build(), folder)
+        tapes[source] = folder
+    return tapes[source]
 
 
 def scan_day(spark: SparkSession, folder: str, start: str, end: str, columns: list[str]) -> DataFrame:
@@ -59,7 +70,7 @@ def scan_day(spark: SparkSession, folder: str, start: str, end: str, columns: li
 
 def save_snapshots(rows: DataFrame, folder: str) -> None:
     """Rows with day and hhmm, as partitions of those; days and slots that are written again are replaced, others stay."""
-    rows.repartition("day", "hhmm").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hhmm").parquet(folder)
+    rows.hint("rebalance", "day", "hhmm").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hhmm").parquet(folder)
 
 
 def snapshots(spark: SparkSession, folders: list[str]) -> DataFrame:
