@@ -147,6 +147,22 @@ def stop_flags(trades: DataFrame, ends: DataFrame, days: DataFrame, rules: Rules
     return rows.select("entry", F.col("_s.at").alias("stop"), *[F.coalesce(c, F.lit(False)).alias(n) for c, n in ((cooling, "cooling"), (waiting, "waiting"))])
 
 
+#: Why a trade is not entered, in the order in which the reasons are asked.
+BLOCKS = ("cooloff", "reset_wait", "gate", "weekday", "pick_skip")
+
+
+def entry_decisions(trades: DataFrame, flags: DataFrame, ratios: DataFrame, picks: DataFrame, gate: float, off: list[int]) -> DataFrame:
+    """entry, side, why: the first reason against an entry, null if it is taken. A stop of its side cools off; one that no other signal has followed waits; a short is gated by a term ratio of the day before at or over `gate`; weekdays in
+    `off` (0 is Monday) have no entries; a day picked as null has no short. ratios (day, ratio) and picks (day, pick) are a row a day."""
+    w = Window.orderBy("day")  # a row a day
+    before = ratios.select("day", F.lag("ratio").over(w).alias("_ratio"))
+    rows = trades.select("entry", "side", F.col("day0").alias("day")).join(flags.select("entry", "cooling", "waiting"), "entry").join(before, "day", "left").join(picks.select("day", "pick", F.lit(True).alias("_picked")), "day", "left")
+    short = F.col("side") == "short"
+    tests = [F.col("cooling"), F.col("waiting"), short & (F.col("_ratio") >= gate), F.weekday("day").isin(off), short & F.col("_picked") & F.col("pick").isNull()]
+    why = F.coalesce(*[F.when(t, n) for t, n in zip(tests, BLOCKS)])
+    return rows.select("entry", "side", "day", why.alias("why"))
+
+
 def allotted(rows: DataFrame, book: list[str]) -> DataFrame:
     """rows (entry, target, held) with part, their share of the book's order: each takes its gap, the largest (then the first entry) also what rounding leaves; and split, orphan shares by weight of the targets."""
     w = Window.partitionBy(*book)

@@ -15,6 +15,13 @@ def entries(marks: DataFrame, before: int) -> DataFrame:
     return first.where(F.col("day") <= F.col("expiry")).select(F.col("_m.event_id").alias("entry"), *CONTRACT, F.col("day").alias("day0"), F.col("_m.ts").alias("ts0"), F.col("_m.mid").alias("mid0"), sign.alias("sign"))
 
 
+def slot_marks(marks: DataFrame, minutes: int) -> DataFrame:
+    """The last mark of each contract, day and slot of so many minutes: what a desk that acts once a slot sees. A path over these has at most as many rows as its days have slots."""
+    slot = F.floor((F.hour("ts") * 60 + F.minute("ts")) / minutes)
+    rest = [c for c in marks.columns if c not in ("day", *CONTRACT)]
+    return marks.groupBy("day", *CONTRACT, slot.alias("_slot")).agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("_m")).select("day", *CONTRACT, *[f"_m.{c}" for c in rest])
+
+
 def path(opened: DataFrame, marks: DataFrame, hold: int) -> DataFrame:
     """opened with each later mark of its contract up to `hold` days and to expiry, and `pnl` for one contract of 100.
 
@@ -47,7 +54,7 @@ def exits(rows: DataFrame, hold: int, stop: float, take: float) -> DataFrame:
 
 
 def hedged(rows: DataFrame, band: float) -> DataFrame:
-    """entry, moves, shares, hedge_pnl: shares follow -sign * 100 * delta, but only when the gap reaches the band; a fold over the path in order of time."""
+    """entry, moves, shares, hedge_pnl: shares follow -sign * 100 * delta, but only when the gap reaches the band; a fold over the path in order of time. Rows are marks by slot, so a trade's list is no longer than its days have slots."""
     target = F.bround(-F.col("sign") * 100 * F.col("delta")).cast("double")
     paths = rows.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", target.alias("goal"), "fwd"))).alias("_p"))
     start = F.struct(F.lit(0).alias("moves"), F.lit(0.0).alias("shares"), F.lit(None).cast("double").alias("spot"), F.lit(0.0).alias("gain"))
@@ -62,20 +69,36 @@ def hedged(rows: DataFrame, band: float) -> DataFrame:
     return paths.select("entry", F.aggregate("_p", start, step).alias("_s")).select("entry", "_s.moves", "_s.shares", F.col("_s.gain").alias("hedge_pnl"))
 
 
-def one_at_a_time(trips: DataFrame) -> DataFrame:
-    """entry, taken: of each contract's trips those that begin after the one taken before has ended. A contract has a trip a day of its life at most, so its list is short.
+def busy_periods(trips: DataFrame, book: list[str], key: str, start: str, end: str, places: int) -> DataFrame:
+    """trips that could be taken, with `period`: within a book a new one begins where every trip before has ended. Of the trips that begin on one day only the first `places` (by key) can be taken, so a book has at most as many
+    rows as days times places, however many candidates there are."""
+    first = Window.partitionBy(*book, start).orderBy(key)
+    rows = trips.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= places).drop("_i")
+    w = Window.partitionBy(*book).orderBy(start, key)
+    until = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_new", F.coalesce((F.col(start) > until).cast("int"), F.lit(1))).withColumn("period", F.sum("_new").over(w)).drop("_new")
 
-    Whatever a trip changes about a later one besides its time (costs carried over) is not modelled.
-    """
-    lists = trips.groupBy(*CONTRACT).agg(F.array_sort(F.collect_list(F.struct("day0", "entry", "exit_day"))).alias("_t"))
-    start = F.struct(F.lit(None).cast("date").alias("free"), F.array().cast("array<bigint>").alias("kept"))
+
+def taken(trips: DataFrame, book: list[str], key: str, places: int, start: str = "day0", end: str = "exit_day", side: str | None = None) -> DataFrame:
+    """trips with `taken`: in order of start, then key, a trip is taken if fewer than `places` taken trips of its book are still open (a trip is open to its last day) and, with `side`, all of them have its side.
+
+    The book is cut at instants at which no candidate is open, and each busy period is decided by itself, by a fold whose state is the ends and side of what is open. Trips must end on or after their start. Whatever a trip
+    changes about a later one besides its time is not modelled."""
+    busy = busy_periods(trips, [*book, *([side] if side else [])], key, start, end, places)
+    if side:  # each side has its own first trips of a day; periods are those of both sides together
+        busy = busy_periods(busy.drop("period"), book, key, start, end, 2 * places)
+    row = F.struct(F.col(start).alias("s"), F.col(key).alias("k"), F.col(end).alias("e"), (F.col(side) if side else F.lit("")).alias("side"))
+    lists = busy.groupBy(*book, "period").agg(F.array_sort(F.collect_list(row)).alias("_t"))
+    kind = busy.schema[end].dataType.simpleString()
+    begin = F.struct(F.array().cast(f"array<{kind}>").alias("open"), F.lit("").alias("side"), F.array().cast(f"array<{busy.schema[key].dataType.simpleString()}>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
-        ok = s["free"].isNull() | (x["day0"] > s["free"])
-        return F.struct(F.when(ok, x["exit_day"]).otherwise(s["free"]).alias("free"), F.when(ok, F.concat(s["kept"], F.array(x["entry"]))).otherwise(s["kept"]).alias("kept"))
+        live = F.filter(s["open"], lambda e: e >= x["s"])
+        ok = (F.size(live) < places) & ((F.size(live) == 0) | (s["side"] == x["side"]))
+        return F.struct(F.when(ok, F.concat(live, F.array(x["e"]))).otherwise(live).alias("open"), F.when(ok, x["side"]).otherwise(s["side"]).alias("side"), F.when(ok, F.concat(s["kept"], F.array(x["k"]))).otherwise(s["kept"]).alias("kept"))
 
-    done = lists.select("_t", F.aggregate("_t", start, step)["kept"].alias("_k"))
-    return done.select(F.explode("_t").alias("_e"), "_k").select("_e.entry", F.array_contains("_k", F.col("_e.entry")).alias("taken"))
+    kept = lists.select(F.explode(F.aggregate("_t", begin, step)["kept"]).alias(key)).withColumn("taken", F.lit(True))
+    return trips.join(kept, key, "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
 def book_days(rows: DataFrame, closed: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from ..sources import store
 from ..sources.adapters import derived
 from . import market, options
 
+#: Term ratio that gates shorts, and weekdays without entries.
+GATE, OFF = 1.008, [3]
 RULES = life.Rules()
 
 
@@ -79,6 +81,15 @@ def stop_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return life.stop_flags(trades, ends, _days(spark, sf_dir), RULES)
 
 
+def entry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate entry with the reason that blocks it."""
+    trades, _, ends = _all(spark, sf_dir)
+    days = _days(spark, sf_dir)
+    ratios = derived(spark, sf_dir, a.DAY_RANGE).select("day", (F.col("high") / F.col("low")).alias("ratio"))
+    flags = life.stop_flags(trades, ends, days, RULES)
+    return life.entry_decisions(trades, flags, ratios, derived(spark, sf_dir, a.PICKS), GATE, OFF)
+
+
 def premium_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of closed trades' net profit over the premium at entry, by side and year of exit."""
     trades, _, ends = _all(spark, sf_dir)
@@ -168,7 +179,7 @@ def interpolated_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("day", "hour", "dte", F.round("iv_45", 6).alias("iv45"), F.round("iv_50", 6).alias("iv50"), F.round(F.col("iv_45") - F.col("iv_50"), 6).alias("skew"))
 
 
-QUERIES = {f.__name__: f for f in (closed_trades, gap_days, event_shares, structure_exits, stop_flags, premium_ratios, hedge_allotment, book_equity, side_legs, shares_per_contract, open_snapshot, shadow_summary, times_of_day, put_picks, vega_hedge, bridge, candidate_features, interpolated_iv)}
+QUERIES = {f.__name__: f for f in (closed_trades, gap_days, event_shares, structure_exits, stop_flags, entry_log, premium_ratios, hedge_allotment, book_equity, side_legs, shares_per_contract, open_snapshot, shadow_summary, times_of_day, put_picks, vega_hedge, bridge, candidate_features, interpolated_iv)}
 
 
 @lru_cache
@@ -209,6 +220,10 @@ def oracles(metrics: str, trend: str) -> dict[str, str]:
         "stop_flags": f"""{c}, z as (select en.entry, side, day0, exit_day as stop, ls from en left join (select side as ls, exit_day, entry as le from cl where reason = 'stop') x on exit_day < day0 qualify row_number() over (partition by en.entry order by exit_day desc nulls last, le desc) = 1)
 select entry, stop, coalesce(ls = side and len(list_filter(range(stop::timestamp, day0::timestamp, interval 1 day), lambda q: isodow(q) < 6)) < {RULES.cool_days}, false) as cooling,
   coalesce(ls = side and not exists (select 1 from sg where sg.day >= stop and sg.day <= day0 and sg.signal <> side), false) as waiting from z""",
+        "entry_log": f"""{c}, z as (select en.entry, side, day0, exit_day as stop, ls from en left join (select side as ls, exit_day, entry as le from cl where reason = 'stop') x on exit_day < day0 qualify row_number() over (partition by en.entry order by exit_day desc nulls last, le desc) = 1), sf as (select entry, side, day0, stop, coalesce(ls = side and len(list_filter(range(stop::timestamp, day0::timestamp, interval 1 day), lambda q: isodow(q) < 6)) < {RULES.cool_days}, false) as cooling,
+  coalesce(ls = side and not exists (select 1 from sg where sg.day >= stop and sg.day <= day0 and sg.signal <> side), false) as waiting from z), dr as (select day, lag(high / low) over (order by day) as ratio from ({a.DAY_RANGE}) q), pk as ({a.PICKS})
+select entry, side, day0 as day, case when cooling then 'cooloff' when waiting then 'reset_wait' when side = 'short' and ratio >= {GATE} then 'gate' when isodow(day0) - 1 in ({', '.join(map(str, OFF))}) then 'weekday' when side = 'short' and pk.day is not null and pick is null then 'pick_skip' end as why
+from sf left join dr on dr.day = day0 left join pk on pk.day = day0""",
         "premium_ratios": f"{c}, q as (select cl.side, year(exit_day)::int as year, pnl_net / (en.mid0 * 100) as ratio from cl join en using (entry)) select side, year, " + ", ".join(f"round(quantile_cont(ratio, {int(n[1:]) / 100}), 4) as {n}" for n in ("q5", "q25", "q50", "q75", "q95")) + " from q group by 1, 2",
         "hedge_allotment": f"""{c}, g as (select side, day, entry, -sign * 100 * delta as target, -sign * 100 * delta - floor(mid0) as gap from ju where live and delta is not null),
 h as (select *, count(*) over b as n, sum(gap) over b as total, sum(abs(target)) over b as weight, row_number() over (partition by side, day order by abs(gap) desc, entry) as k from g window b as (partition by side, day))

@@ -51,10 +51,15 @@ def save_tape(rows: DataFrame, folder: str, ts: str = "ts") -> None:
     rows.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(folder)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stored_tape(spark: SparkSession, source: str, build: Callable[[], DataFrame]) -> str:
     """The folder of a source's tape: written by the session's first use of it, scanned by all."""
     tapes = spark.__dict__.setdefault("_volmesh_tapes", {})
-    if source not in tapes:
+    if source not in tapes or not exists(spark, f"{tapes[source]}/_SUCCESS"):
         folder = fresh(spark, "tape")
         save_tape(build(), folder)
         tapes[source] = folder
