@@ -20,6 +20,19 @@ def team(fields: DataFrame) -> DataFrame:
     return fields.groupBy("owner").agg(F.count(F.lit(1)).alias("cards"), F.count(F.when(F.col("stage") == "judged", 1)).alias("judged"), F.max("started").alias("last"))
 
 
+def work_logs(files: DataFrame, today: str) -> DataFrame:
+    """owner, entries, last of log files (owner, stem, text): each heading `## yyyy-mm-dd` is an entry, a file without any is one, dated by its name (a month and a day: the latest such day up to `today`) if that tells; blank files are none."""
+    heads = F.regexp_extract_all("text", F.lit(r"(?m)^## (\d{4}-\d{2}-\d{2})"), F.lit(1))
+    year, month, day = int(today[:4]), F.regexp_extract("stem", r"([A-Z][a-z]+)[ _-](\d{1,2})", 1), F.regexp_extract("stem", r"([A-Z][a-z]+)[ _-](\d{1,2})", 2)
+    named = lambda y: F.expr("try_to_timestamp(_d, 'yyyy MMMM d')") if y is None else F.concat_ws(" ", F.lit(str(y)), month, day)
+    rows = files.where(F.regexp_replace("text", r"\s", "") != "").withColumn("_heads", heads)
+    for i, y in enumerate((year, year - 1)):
+        rows = rows.withColumn("_d", named(y)).withColumn(f"_n{i}", F.to_date(named(None)))
+    name = F.when(F.col("_n0") <= F.to_date(F.lit(today)), F.col("_n0")).when(F.col("_n0").isNotNull(), F.col("_n1"))
+    last = F.coalesce(F.array_max("_heads"), name.cast("string"))
+    return rows.groupBy("owner").agg(F.sum(F.greatest(F.size("_heads"), F.lit(1))).cast("long").alias("entries"), F.max(last).alias("last"))
+
+
 def split_names(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"card": F.split("name", "/")[0], "variant": F.element_at(F.split("name", "/"), -1)})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +42,19 @@ def walk_forward(rows: DataFrame, keys: list[str], y: str, a: str, b: str, month
 GRID = [(x, y) for x in (0.04, 0.08, 0.12, 0.16) for y in (0.78, 0.82, 0.86, 0.9) if x + y < 0.99]
 
 
+def garch_windows(returns: DataFrame, length: int) -> DataFrame:
+    """symbol, date, _x, _v: on the first day of each month the last `length` returns and their variance around zero."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    rows = returns.where("ret is not null").withColumns({"_x": F.collect_list("ret").over(w.rowsBetween(1 - length, 0)), "_first": F.coalesce(F.trunc("date", "MM") != F.trunc(F.lag("date").over(w), "MM"), F.lit(True))})
+    return rows.where(F.col("_first") & (F.size("_x") == length)).select("symbol", "date", "_x", (F.aggregate("_x", F.lit(0.0), lambda s, x: s + x * x) / length).alias("_v"))
+
+
 def garch_monthly(returns: DataFrame, length: int, horizon: int) -> DataFrame:
     """symbol, date, alpha, beta, vol: on the first day of each month, of the grid the GARCH(1,1) with the highest likelihood of the last `length` returns, at the variance of that window, and its mean variance over the horizon, annualised.
 
-    A grid stands for the optimiser: the parameters are the nearest of the grid, not the optimum. Points of the grid are rows, so fits run side by side; a window is an array of fixed length.
+    Points of the grid are rows, so fits run side by side; a window is an array of fixed length. garch_fit finds the optimum; this is what it starts from.
     """
-    w = Window.partitionBy("symbol").orderBy("date")
-    rows = returns.where("ret is not null").withColumns({"_x": F.collect_list("ret").over(w.rowsBetween(1 - length, 0)), "_first": F.coalesce(F.trunc("date", "MM") != F.trunc(F.lag("date").over(w), "MM"), F.lit(True))})
-    rows = rows.where(F.col("_first") & (F.size("_x") == length)).select("symbol", "date", "_x", (F.aggregate("_x", F.lit(0.0), lambda s, x: s + x * x) / length).alias("_v"))
-    rows = rows.select("*", F.explode(F.array(*[F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("beta")) for x, y in GRID])).alias("_g")).select("symbol", "date", "_x", "_v", "_g.*")
+    rows = garch_windows(returns, length).select("*", F.explode(F.array(*[F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("beta")) for x, y in GRID])).alias("_g")).select("symbol", "date", "_x", "_v", "_g.*")
     alpha, beta, v = F.col("alpha"), F.col("beta"), F.col("_v")
 
     def step(s: Column, x: Column) -> Column:
@@ -61,6 +67,80 @@ def garch_monthly(returns: DataFrame, length: int, horizon: int) -> DataFrame:
     return best.select("symbol", "date", F.col("_b.alpha").alias("alpha"), F.col("_b.beta").alias("beta"), F.sqrt(252 * mean).alias("vol"))
 
 
+def _likelihood(theta: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(minus the log-likelihood, variance after the last return) of windows x (a row each) at theta (a row each): log omega over v, log odds of alpha + beta, log odds of alpha's part of it."""
+    theta = np.clip(theta, -40, 40)
+    p = 0.9999 / (1 + np.exp(-theta[:, 1]))
+    alpha = p / (1 + np.exp(-theta[:, 2]))
+    omega, beta = v * np.exp(theta[:, 0]), p - alpha
+    h, total = v.copy(), np.zeros(len(v))
+    for r in x.T:
+        total += np.log(h) + r * r / h
+        h = omega + alpha * r * r + beta * h
+    return 0.5 * total, h
+
+
+def maximise(x: np.ndarray, v: np.ndarray, most: int = 600, near: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(omega, alpha, beta of each window, log-likelihoods, next variances): a simplex search of every window at once, from the best point of the grid, until all have converged. A step moves each window's worst corner by reflection, expansion or
+    contraction, or shrinks its simplex; windows that stand still are left out."""
+    n = len(v)
+    odds = lambda q: np.log(q / (1 - q))
+    grid = [np.tile([np.log(1 - a - b), odds((a + b) / 0.9999), odds(a / (a + b))], (n, 1)) for a, b in GRID]
+    scores = np.array([_likelihood(g, x, v)[0] for g in grid])
+    start = np.array(grid)[scores.argmin(0), np.arange(n)]
+    corner = np.stack([start, *[start + d for d in 0.5 * np.eye(3)]], 1)  # windows x 4 x 3
+    value = np.stack([_likelihood(corner[:, i], x, v)[0] for i in range(4)], 1)
+    live = np.arange(n)
+    for _ in range(most):
+        order = np.argsort(value[live], 1)
+        c, f, r, s = np.take_along_axis(corner[live], order[:, :, None], 1), np.take_along_axis(value[live], order, 1), x[live], v[live]
+        centre, worst = c[:, :3].mean(1), c[:, 3]
+        at = lambda k: centre + k * (centre - worst)
+        tries = {k: (at(k), _likelihood(at(k), r, s)[0]) for k in (1.0, 2.0, 0.5, -0.5)}
+        one = tries[1.0][1]
+        kind = np.where(one < f[:, 0], np.where(tries[2.0][1] < one, 2.0, 1.0), np.where(one < f[:, 2], 1.0, np.where(one < f[:, 3], 0.5, -0.5)))
+        best_c, best_f = worst.copy(), f[:, 3].copy()
+        for k, (where, score) in tries.items():
+            mine = kind == k
+            best_c[mine], best_f[mine] = where[mine], score[mine]
+        shrink = best_f >= f[:, 3]
+        c[:, 3], f[:, 3] = np.where(shrink[:, None], worst, best_c), np.where(shrink, f[:, 3], best_f)
+        if shrink.any():
+            c[shrink, 1:] = c[shrink, :1] + 0.5 * (c[shrink, 1:] - c[shrink, :1])
+            for i in (1, 2, 3):
+                f[shrink, i] = _likelihood(c[shrink, i], r[shrink], s[shrink])[0]
+        corner[live], value[live] = c, f
+        live = live[(np.ptp(f, 1) > near) | (np.ptp(c, 1).max(1) > 1e-5)]
+        if not len(live):
+            break
+    theta = np.clip(corner[np.arange(n), value.argmin(1)], -40, 40)
+    low, h = _likelihood(theta, x, v)
+    p = 0.9999 / (1 + np.exp(-theta[:, 1]))
+    alpha = p / (1 + np.exp(-theta[:, 2]))
+    return np.stack([v * np.exp(theta[:, 0]), alpha, p - alpha], 1), -low, h
+
+
+def garch_fit(windows: DataFrame, horizon: int) -> DataFrame:
+    """symbol, date, omega, alpha, beta, likelihood, vol of windows (garch_windows): the GARCH(1,1) of the highest likelihood, from the window's variance on, and its mean variance over the horizon, annualised. An Arrow batch of windows is one array, and all
+    of its searches go on side by side. A window of zeros has no parameters."""
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                x, v = np.stack(f["_x"].to_list()).astype(float), f["_v"].to_numpy(float)
+                found, low, h = np.full((len(f), 3), np.nan), np.full(len(f), np.nan), np.full(len(f), np.nan)
+                fine = v > 0
+                if fine.any():
+                    found[fine], low[fine], h[fine] = maximise(x[fine], v[fine])
+                yield pd.DataFrame({"symbol": f["symbol"], "date": f["date"], "omega": found[:, 0], "alpha": found[:, 1], "beta": found[:, 2], "likelihood": low, "_h": h})
+
+    fits = windows.select("symbol", "date", "_x", "_v").mapInPandas(run, "symbol string, date date, omega double, alpha double, beta double, likelihood double, _h double")
+    p = F.col("alpha") + F.col("beta")
+    long = F.col("omega") / (1 - p)
+    mean = long + (F.col("_h") - long) * (1 - F.pow(p, horizon)) / (horizon * (1 - p))
+    return fits.select("symbol", "date", "omega", "alpha", "beta", "likelihood", F.sqrt(252 * mean).alias("vol"))
+
+
 def pooled_spread(quotes: DataFrame, least: int) -> DataFrame:
     """tier, bucket, n, a, b: half-spread on mid by tier and bucket; a tier of which a bucket has under `least` quotes has one line for all its buckets. Both fits come from one pass and one small table."""
     fits = quotes.groupingSets([["tier", "bucket"], ["tier"]], "tier", "bucket").agg(F.grouping("bucket").alias("_all"), F.count(F.lit(1)).alias("n"), F.regr_intercept("half", "mid").alias("a"), F.regr_slope("half", "mid").alias("b"))

@@ -10,7 +10,7 @@ from ..sources import adapters as a
 from ..sources.adapters import derived
 from . import market, options, studies, trades
 
-PASSES = 6
+PASSES = 50
 
 
 def chain_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import catalogue, features, models, surface
 from ..sources import adapters as a
 from ..sources.adapters import derived
+from ..sources import store
 from ..streaming import slots
-from . import options, research
+from . import forwards, options, research
 
 LENGTH, HORIZON, THIN = 120, 22, 60
+TODAY = "2024-06-15"
+#: The day grid: slots, how stale a decision's prints are, the smile's lookback and the fill window, in minutes (wider than in production, as the test tape is thin).
+GRID, LAG, LOOKBACK, WINDOW = [615 + 30 * i for i in range(12)], 15, 240, 60
 
 
 def har_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +83,20 @@ def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "other_id", F.round(F.col("strike") + F.col("gap"), 6).alias("forward"))
 
 
+def view_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prints that the decide and fill views of the day grid see, by slot, view and contract, from a stream of the stored tape."""
+    source = spark.readStream.schema(forwards.tape(spark, sf_dir).schema).parquet(store.stored_tape(spark, sf_dir, lambda: forwards._prints(spark, sf_dir)))
+    rows = slots.view_prints(forwards.session(source), LAG, LOOKBACK, WINDOW, GRID)
+    return rows.select("day", "slot", "view", "expiry", "strike", "call", "n", "size", F.round("last", 4).alias("last"))
+
+
+def garch_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of the highest likelihood on the first day of each month. No SQL: an optimiser; tests hold it against simulated series, a finer search and the grid."""
+    rows = models.garch_windows(research._features(spark, sf_dir).select("symbol", "date", "ret"), LENGTH)
+    out = models.garch_fit(rows, HORIZON)
+    return out.select("symbol", "date", *[F.round(c, 5).alias(c) for c in ("alpha", "beta", "vol", "likelihood")])
+
+
 def slot_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots as a table by day and time of day that batches overwrite."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -91,11 +109,15 @@ def card_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.card_fields(derived(spark, sf_dir, a.CARDS), "card").drop("card")
 
 
+def work_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.work_logs(derived(spark, sf_dir, a.LOGS), TODAY)
+
+
 def card_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.team(card_fields(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (har_iterated, walk_forward, garch_monthly, pooled_spread, spread_quality, smile_views, streamed_pairs, slot_snapshots, card_fields, card_team)} | {
+QUERIES = {f.__name__: f for f in (har_iterated, walk_forward, garch_monthly, pooled_spread, spread_quality, smile_views, streamed_pairs, slot_snapshots, view_prints, card_fields, work_logs, card_team, garch_fits)} | {
     "latest_runs": lambda s, d: catalogue.latest_runs(derived(s, d, a.RUNS)),
     "equal_baseline": lambda s, d: catalogue.equal_baseline(derived(s, d, a.RUNS), "5-LOW"),
     "trial_counts": lambda s, d: catalogue.trial_counts(derived(s, d, a.RUNS), "1996-01-01"),
@@ -137,6 +159,10 @@ j as (select t.*, l.price as other, l.id as other_id, epoch_us(t.ts) - epoch_us(
 select event_id, other_id, round(strike + case when call then price - other else other - price end, 6) as forward from j where us <= 3600000000""",
         "slot_snapshots": f"with k as ({options.ORACLES['print_slots']}) select slot::date as day, (hour(slot) * 100 + minute(slot))::int as hhmm, n, total from k",
         "card_fields": f"with {_CARD} select * from c",
+        "work_logs": f"""with l as (select *, regexp_extract_all(text, '(?m)^## ([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) as heads, try_strptime('2024 ' || regexp_extract(stem, '([A-Z][a-z]+)[ _-]([0-9]+)', 1) || ' ' || regexp_extract(stem, '([A-Z][a-z]+)[ _-]([0-9]+)', 2), '%Y %B %d')::date as named from ({a.LOGS}) q where trim(text, chr(10) || ' ') <> '')
+select owner, sum(greatest(len(heads), 1))::bigint as entries, max(coalesce(list_max(heads), case when named <= date '{TODAY}' then named::varchar when named is not null then (named - interval 1 year)::date::varchar end)) as last from l group by 1""",
+        "view_prints": f"""with {forwards.TAPE}, {forwards.clean("09:30", "16:00")}, g as (select t.*, s as slot, (epoch_us(wall) - epoch_us(day::timestamp)) / 6e7 as m from t, unnest({GRID}) u(s)), v as (select *, 'decide' as view from g where m > slot - {LAG + LOOKBACK} and m <= slot - {LAG} union all select *, 'fill' from g where m > slot and m <= slot + {WINDOW})
+select day, slot::int as slot, view, expiry, strike, call, count(*) as n, sum(size)::bigint as size, round(arg_max(price, (ts, event_id)), 4) as last from v where (day + to_minutes((slot + case view when 'decide' then -{LAG} else {WINDOW} end)::bigint)) at time zone 'America/New_York' at time zone 'UTC' <= (select max(ts) from t) - interval 2 hour group by all""",
         "card_team": f"with {_CARD} select owner, count(*) as cards, count(*) filter (where stage = 'judged') as judged, max(started) as last from c group by 1",
         "latest_runs": f"select name, multiple, run, ran, config, pnl from ({a.RUNS}) r qualify row_number() over (partition by name, multiple order by ran desc, run desc) = 1",
         "equal_baseline": f"""with r as ({a.RUNS}), l as (select * from r qualify row_number() over (partition by name, multiple order by ran desc, run desc) = 1), b as (select * from r where name like '5-LOW%' qualify row_number() over (partition by config, multiple order by ran, run) = 1)

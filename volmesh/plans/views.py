@@ -13,7 +13,7 @@ from ..sources.adapters import derived
 from . import forwards, options, studies
 
 #: Slots from 10:15 to 15:45. Minutes: how stale a decision's prints are, the fill window, the smile's lookback (wider than in production, as the test tape is thin). Pairs of a forward, and of one in the fill window.
-GRID, LAG, WINDOW, LOOKBACK, NEED, FEW = [615 + 30 * i for i in range(12)], 15, 60, 240, 10, 3
+GRID, LAG, WINDOW, LOOKBACK, NEED, FEW = studies.GRID, studies.LAG, studies.WINDOW, studies.LOOKBACK, 10, 3
 CONTRACT = ["expiry", "strike", "call"]
 LOW_DTE, HIGH_DTE, REACH = 1, 60, 0.5
 #: Days of the grid after the tape's last; reasons for a skip and their columns.

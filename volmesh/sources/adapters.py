@@ -116,3 +116,9 @@ union all select distinct cast(o_orderdate as date), cast(0 as bigint), 1, -1e0,
 #: Closes of trips, some never reported (without a day), and trips with whether a broker's record has them.
 CLOSES = f"select book, side, entry, trade, case when trade % 23 > 0 then exit end as exit from ({TRIPS}) t"
 RECORDED = f"select *, trade % 5 > 0 as recorded from ({TRIPS}) t"
+#: Log files of people, from documents: some blank, some without dated headings but with a month and a day in their name.
+LOGS = """
+select lang as owner, case doc_id % 3 when 0 then concat('log March ', cast(1 + doc_id % 28 as int)) when 1 then concat('December-', cast(1 + doc_id % 31 as int)) else 'notes' end as stem,
+       case doc_id % 5 when 0 then chr(10) when 1 then concat('done', chr(10), '### 2024-01-01', chr(10)) else concat('## 2023-0', cast(1 + doc_id % 9 as int), '-11', chr(10), 'text ## 2025-01-01', chr(10), case when doc_id % 2 = 0 then concat('## 2024-01-', cast(10 + doc_id % 20 as int), ' more') else '' end) end as text
+from documents
+"""
