@@ -29,7 +29,7 @@ def test_equal(spark, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), c.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     for g, w in zip(canonical(got), canonical(want)):
-        assert all(a == b or (isinstance(a, float) and abs(float(a) - float(b)) <= 2e-5 * max(1, abs(a))) or (a is not None and b is not None and isinstance(b, (int, float)) and float(a) == float(b)) for a, b in zip(g, w)), (g, w)
+        assert all(a == b or (isinstance(a, float) and abs(float(a) - float(b)) <= 1e-9 * max(1, abs(a))) or (a is not None and b is not None and isinstance(b, (int, float)) and float(a) == float(b)) for a, b in zip(g, w)), (g, w)
 
 
 def test_entry(spark):

@@ -100,14 +100,15 @@ def stress_quantity(rows: DataFrame, name: str, budget: float, least: float, k:
 
     The cost grows with n, and is under the budget if it is with either side of the minimum; each side is solved for n, the band's root as a quadratic in sqrt(n). The whole number is then checked, as
     roots are rounded. Steps are columns, so that each is computed once."""
-    net, move, delta, gamma = F.col("net"), F.col("move"), F.abs("delta") * 100, F.col("_gamma")
+    loss, move, delta, gamma = F.col("net"), F.col("move"), F.abs("delta") * 100, F.col("_gamma")
+    net = F.when(loss > 0, loss)
     rows = rows.withColumn("_gamma", F.abs("gamma") * 100).withColumn("_c", F.col("move") * k * F.sqrt("_gamma"))
     rows = rows.withColumn("_root", (F.sqrt(F.col("_c") * F.col("_c") + 4 * net * budget) - F.col("_c")) / (2 * net))
     rows = rows.withColumn("_n", F.floor(F.greatest(budget / (net + move * delta), F.least((budget - move * least) / net, F.col("_root") * F.col("_root")))))
     cost = lambda n: n * net + F.least(F.greatest(F.lit(least), k * F.sqrt(n * gamma)), n * delta) * move
     rows = rows.withColumns({"_this": cost(F.col("_n")) <= budget, "_more": cost(F.col("_n") + 1) <= budget})
     n = F.greatest(F.when(F.col("_more"), F.col("_n") + 1).when(F.col("_this"), F.col("_n")).otherwise(F.col("_n") - 1), F.lit(0))
-    return rows.withColumn(name, F.when(net > 0, n).otherwise(0).cast("int")).drop("_gamma", "_c", "_root", "_n", "_this", "_more")
+    return rows.withColumn(name, F.when(loss > 0, n).otherwise(0).cast("int")).drop("_gamma", "_c", "_root", "_n", "_this", "_more")
 
 
 def stressed(chain: DataFrame, rate: float, drop: float, vol: float, mult: float) -> DataFrame:
