@@ -192,3 +192,36 @@ def test_view_stream_takes_files_out_of_order(spark, tmp_path):
                 if fits and day == date(2024, 1, 8):
                     want.setdefault((g, view, strike, call), []).append((ts, i, price, size))
     assert got == {k: (len(v), sum(x[3] for x in v), max(v)[2]) for k, v in want.items()}
+
+
+def test_trips_after_stops(spark):
+    from volmesh.operators import trips
+
+    r = random.Random(9)
+    rows = [(i, b, r.choice(["long", "short"]), days(s), days(s + r.randint(0, 6)), r.choice(["stop", "time", "profit"]), 1.0) for b in "xy" for i, s in [(1000 * (b == "y") + k, r.randint(0, 60)) for k in range(40)]]
+    df = spark.createDataFrame(rows, "entry long, book string, side string, day0 date, exit_day date, reason string, pnl_net double")
+    got = {x.entry: (x.reentry, x.after_stop) for x in trips.after_stops(df, ["book"], 3).collect()}
+    weekdays = lambda s, e: sum((s + timedelta(i)).weekday() < 5 for i in range((e - s).days))
+    for b in "xy":
+        mine = sorted((x for x in rows if x[1] == b), key=lambda x: (x[4], x[0]))
+        stops = [x[4] for x in mine if x[5] == "stop"]
+        for before, x in zip([None, *mine], mine):
+            assert got[x[0]] == (bool(before) and before[5] == "stop" and before[2] == x[2], any(s <= x[3] and weekdays(s, x[3]) <= 3 for s in stops))
+    log = spark.createDataFrame([("x", days(1), "cooloff"), ("x", days(1), "reset_wait"), ("x", days(2), "gate")], "book string, day date, why string")
+    assert {x.book: x.blocked_days for x in trips.stop_stats(df, log, ["book"], 3).collect()} == {"x": 1, "y": 0}
+
+
+def test_windows_and_models_are_checked(spark, tmp_path):
+    bounds = ("2014-06-01", "2024-12-31", "2023-01-01")
+    desk.check_window("2015-01-01", "2022-12-31", *bounds)
+    desk.check_window("2015-01-01", "2024-12-31", *bounds, final=True)
+    for start, end in (("2014-05-31", "2020-01-01"), ("2015-01-01", "2025-01-01"), ("2015-01-01", "2023-01-01"), ("2020-01-02", "2020-01-01")):
+        with pytest.raises(ValueError, match="refused"):
+            desk.check_window(start, end, *bounds)
+    fit = spark.createDataFrame([(0, 1, 0.1, 0.2)], "tier int, bucket int, a double, b double")
+    models.save_model(fit, {"floor": 0.02, "method": "x"}, str(tmp_path / "m"))
+    rows, meta = models.load_model(spark, str(tmp_path / "m"))
+    assert rows.collect() == fit.collect() and meta == {"floor": "0.02", "method": "x"}
+    models.save_model(fit.limit(0), {"floor": 1}, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        models.load_model(spark, str(tmp_path / "none"))

@@ -55,6 +55,12 @@ def trial_counts(runs: DataFrame, until: str) -> DataFrame:
     return rows.groupBy("card").agg(F.countDistinct("variant").alias("variants"), F.count(F.lit(1)).alias("trials"), F.count(F.when(F.col("ran") > F.to_date(F.lit(until)), 1)).alias("late"))
 
 
+def holdout_used(runs: DataFrame, start: str) -> DataFrame:
+    """card, runs, first, used: runs of each card on the hold-out (from `start` on), the first of them, and whether there is any."""
+    late = F.col("ran") >= F.to_date(F.lit(start))
+    return split_names(runs).groupBy("card").agg(F.count(F.when(late, 1)).alias("runs"), F.min(F.when(late, F.col("ran"))).alias("first"), F.bool_or(late).alias("used"))
+
+
 def last_week(runs: DataFrame) -> DataFrame:
     """Runs, winners and the change of summed profit by card in the seven days up to its last run."""
     rows = split_names(runs)

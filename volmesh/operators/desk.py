@@ -87,6 +87,13 @@ def timeline(cards: DataFrame, planned: DataFrame, key: str) -> DataFrame:
     return cards.select(key, "started", F.lit("card").alias("kind")).unionByName(planned.join(cards.select(key), key, "left_anti").select(key, "started", F.lit("planned").alias("kind")))
 
 
+def check_window(start: str, end: str, first: str, last: str, holdout: str, final: bool = False) -> None:
+    """Refuses a window of days (ISO text) that begins before the first day of data, ends after the last, reaches the hold-out in other than the final run, or is empty."""
+    for wrong, why in ((start < first, f"start {start} is before the first day of data ({first})"), (end > last, f"end {end} is after the last day of data ({last})"), (end >= holdout and not final, f"end {end} reaches the hold-out (from {holdout})"), (start > end, f"start {start} is after end {end}")):
+        if wrong:
+            raise ValueError(f"{why}; refused")
+
+
 def embargo(trips: DataFrame, bound: str, days: int) -> DataFrame:
     """trips that enter before a hold-out and not within `days` of it, with those still open at the bound marked to close there."""
     end = F.to_date(F.lit(bound))

@@ -51,3 +51,10 @@ def bias_corrected(forecasts: DataFrame, keys: list[str], horizon: int = 22, yea
     frame = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(horizon + years), -(horizon + 1))
     rows = forecasts.withColumn("_e", F.log(F.col("target") / F.col("forecast")))
     return rows.withColumn("corrected", F.col("forecast") * F.exp(F.coalesce(F.expr("percentile(_e, 0.5)").over(frame), F.lit(0.0)))).drop("_e")
+
+
+def rescored(days: DataFrame, fit: DataFrame, keys: list[str], xs: list[str], lowest: float) -> DataFrame:
+    """days with vol: a fit (ols, of variances in 1e-4) scored on any later day without fitting again, annualised, at least `lowest`. Days with an unknown regressor leave."""
+    known = days.where(" and ".join(f"{x} is not null" for x in xs)).join(fit.select(*keys, "intercept", *[f"b_{x}" for x in xs]), keys)
+    var = sum((F.col(f"b_{x}") * F.col(x) for x in xs), F.col("intercept")) / 1e4
+    return known.withColumn("vol", F.sqrt(252 * F.greatest(var, F.lit(lowest * lowest / 252)))).drop("intercept", *[f"b_{x}" for x in xs])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
@@ -141,6 +141,20 @@ def garch_fit(windows: DataFrame, horizon: int) -> DataFrame:
     return fits.select("symbol", "date", "omega", "alpha", "beta", "likelihood", F.sqrt(252 * mean).alias("vol"))
 
 
+def save_model(fit: DataFrame, meta: dict, folder: str) -> None:
+    """A model of a row a key, with what is known of it as a whole (one value each) as columns, as a table."""
+    fit.withColumn("_meta", F.create_map(*[F.lit(str(x)) for k, v in meta.items() for x in (k, v)])).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
+    """(the rows, what is known of the whole) of a stored model; an empty one is an error."""
+    rows = spark.read.parquet(folder)
+    first = rows.select("_meta").first()
+    if first is None:
+        raise ValueError(f"no model in {folder}")
+    return rows.drop("_meta"), dict(first[0])
+
+
 def pooled_spread(quotes: DataFrame, least: int) -> DataFrame:
     """tier, bucket, n, a, b: half-spread on mid by tier and bucket; a tier of which a bucket has under `least` quotes has one line for all its buckets. Both fits come from one pass and one small table."""
     fits = quotes.groupingSets([["tier", "bucket"], ["tier"]], "tier", "bucket").agg(F.grouping("bucket").alias("_all"), F.count(F.lit(1)).alias("n"), F.regr_intercept("half", "mid").alias("a"), F.regr_slope("half", "mid").alias("b"))

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def normal_bars(raw: DataFrame, names: dict[str, str], date: str) -> DataFrame:
+    """A vendor's bars under the library's names, with a date; rows that lack a price or the volume leave."""
+    return raw.withColumnsRenamed({**names, date: "date"}).withColumn("date", F.to_date("date")).na.drop(subset=list(names.values()))
+
+
 def total_return(bars: DataFrame, ret: str) -> DataFrame:
     """symbol, date, open, high, low, close with dividends reinvested: the path of `ret`, scaled so that the last close stays."""
     w = Window.partitionBy("symbol").orderBy("date")

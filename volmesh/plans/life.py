@@ -183,7 +183,7 @@ QUERIES = {f.__name__: f for f in (closed_trades, gap_days, event_shares, struct
 
 
 @lru_cache
-def _ctes() -> str:
+def _ctes(multiple: float = 1.0) -> str:
     r = RULES
     reason = f"""coalesce(case when crash then case when len(list_filter(range(day0::timestamp, day::timestamp, interval 1 day), lambda z: isodow(z) < 6)) >= {r.crash_days} then 'crash_time' end
  when expiry - day <= {r.exit_dte} then 'time' when pnl <= -(case when side = 'short' then {r.short_stop} else {r.long_stop} end) * mid0 * 100 then 'stop' when side = 'short' and pnl >= {r.short_take} * mid0 * 100 then 'profit'
@@ -201,7 +201,7 @@ en as (select event_id as entry, m.day as day0, expiry, strike, call, mid as mid
   from (select * from mk where hour(ts) < 12 qualify row_number() over (partition by day, expiry, strike, call order by ts, event_id) = 1) m join sg on sg.day = m.day where signal <> 'flat' and m.day < date '{r.no_entry}'),
 {path.format("pa", "en").replace("from enx)", "from pa1)")}, {judge.format("ju", "pa")},
 sp as (select day, coalesce(arg_max(fwd, (ts, event_id)) filter (where fillable), arg_max(fwd, (ts, event_id))) as spot from mk group by 1),
-dn as (select entry, side, sign, mid0, reason, day as exit_day, greatest(round_even((mid + case when sign < 0 then 1 else -1 end * greatest(0.02, 0.01 * mid)) / 0.01, 0) * 0.01, 0.01) as price, hedge_pnl, 1.0 as commission, 'fill_smile' as src, 0.0 as shares_left, 0.0 as spot from ju where live and closes),
+dn as (select entry, side, sign, mid0, reason, day as exit_day, greatest(round_even((mid + case when sign < 0 then 1 else -1 end * {multiple} * greatest(0.02, 0.01 * mid)) / 0.01, 0) * 0.01, 0.01) as price, hedge_pnl, 1.0 as commission, 'fill_smile' as src, 0.0 as shares_left, 0.0 as spot from ju where live and closes),
 tl as (select entry, arg_max(shares, day) as shares, arg_max(fwd, day) as fwd, arg_max(hedge_pnl, day) as hedge_pnl from ju group by 1),
 gn as (select en.entry, side, sign, mid0, 'expired' as reason, expiry as exit_day, greatest(case when call then spot - strike else strike - spot end, 0) as price, coalesce(tl.hedge_pnl, 0) + coalesce(tl.shares, -sign * 100 * delta0) * (spot - coalesce(tl.fwd, fwd0)) as hedge_pnl, 0.0 as commission, 'expiry' as src, coalesce(tl.shares, -sign * 100 * delta0) as shares_left, spot
   from en join sp on sp.day = en.expiry left join tl using (entry) where en.entry not in (select entry from dn)),

@@ -183,19 +183,23 @@ def week_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (variant_periods, period_bars, period_verdicts, tail_dates, crash_windows, fee_periods, weekday_trips, signal_years, trip_mechanics, pick_entries, entry_quotes, forecast_periods, calm_bias_years, forecast_verdicts, harx_fit, pick_books, missing_months, calendar_prices, session_quotes, published_chain, week_activity)}
 
 
-def _harx() -> str:
-    """Least squares by elimination on covariances: a step a regressor."""
-    names = [*HARX, "y"]
-    cov = ", ".join(f"covar_pop({p}, {q}) as m_{p}_{q}" for p in HARX for q in names)
-    steps, last = [], "m0"
-    for k, p in enumerate(HARX):
-        cells = ", ".join(f"m_{i}_{j}" if i == p else f"m_{i}_{j} - m_{i}_{p} * m_{p}_{j} / m_{p}_{p} as m_{i}_{j}" for i in HARX for j in names)
-        steps.append(f"m{k + 1} as (select symbol, n, {', '.join(f'a_{x}' for x in names)}, {cells} from {last})")
-        last = f"m{k + 1}"
-    b = {x: f"m_{x}_y / m_{x}_{x}" for x in HARX}
+def elimination(xs: list[str], name: str = "m", where: str = "date < date '1996-12-01'") -> str:
+    """CTE {name}_f of intercept and coefficients by symbol: least squares of y in x by elimination on covariances, a step a regressor."""
+    names = [*xs, "y"]
+    cov = ", ".join(f"covar_pop({p}, {q}) as m_{p}_{q}" for p in xs for q in names)
+    steps, last = [], f"{name}0"
+    for k, p in enumerate(xs):
+        cells = ", ".join(f"m_{i}_{j}" if i == p else f"m_{i}_{j} - m_{i}_{p} * m_{p}_{j} / m_{p}_{p} as m_{i}_{j}" for i in xs for j in names)
+        steps.append(f"{name}{k + 1} as (select symbol, n, {', '.join(f'a_{x}' for x in names)}, {cells} from {last})")
+        last = f"{name}{k + 1}"
+    b = {x: f"m_{x}_y / m_{x}_{x}" for x in xs}
     known = " and ".join(f"{x} is not null" for x in names)
-    return f"""m0 as (select symbol, count(*) as n, {', '.join(f'avg({x}) as a_{x}' for x in names)}, {cov} from x where {known} group by 1), {', '.join(steps)}
-select symbol, n, round(a_y - {' - '.join(f'{b[x]} * a_{x}' for x in HARX)}, 4) as intercept, {', '.join(f'round({b[x]}, 4) as b_{x}' for x in HARX)} from {last}"""
+    return f"""{name}0 as (select symbol, count(*) as n, {', '.join(f'avg({x}) as a_{x}' for x in names)}, {cov} from x where {known} and {where} group by 1), {', '.join(steps)},
+{name}_f as (select symbol, n, a_y - {' - '.join(f'{b[x]} * a_{x}' for x in xs)} as intercept, {', '.join(f'{b[x]} as b_{x}' for x in xs)} from {last})"""
+
+
+def _harx() -> str:
+    return f"{elimination(HARX, where='true')} select symbol, n, round(intercept, 4) as intercept, {', '.join(f'round(b_{x}, 4) as b_{x}' for x in HARX)} from m_f"
 
 
 def oracles(daily: str, target: str, signal: str, trend: str) -> dict[str, str]:

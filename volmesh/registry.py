@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import books, calendar, features
-from .plans import desk, forwards, life, market, options, periods, ranking, research, scores, stores, studies, trades, views
+from .plans import desk, forwards, life, market, options, periods, ranking, research, scores, stores, studies, trades, trips, views
 from .sources import adapters as a
 from .sources.adapters import derived
 
@@ -90,3 +90,5 @@ ORACLES |= {**forwards.ORACLES, **views.ORACLES, **stores.ORACLES, **life.oracle
 ORACLES |= periods.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"], ORACLES["trend_measures"])
 QUERIES |= ranking.QUERIES
 ORACLES |= ranking.oracles(trades.EXITS, ORACLES["daily_features"], ORACLES["forward_target"])
+QUERIES |= trips.QUERIES
+ORACLES |= trips.oracles(ORACLES["entry_log"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["trend_measures"])

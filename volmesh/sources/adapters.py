@@ -122,3 +122,7 @@ select lang as owner, case doc_id % 3 when 0 then concat('log March ', cast(1 +
        case doc_id % 5 when 0 then chr(10) when 1 then concat('done', chr(10), '### 2024-01-01', chr(10)) else concat('## 2023-0', cast(1 + doc_id % 9 as int), '-11', chr(10), 'text ## 2025-01-01', chr(10), case when doc_id % 2 = 0 then concat('## 2024-01-', cast(10 + doc_id % 20 as int), ' more') else '' end) end as text
 from documents
 """
+#: Bars as a vendor sends them: its names, instants for days, rows without a price.
+RAW_BARS = f"""
+select symbol, cast(date as timestamp) + interval '5' hour as Stamp, open as P_Open, case when day(date) % 29 > 0 then high end as P_High, low as P_Low, case when day(date) % 31 > 0 then close end as P_Close, cast(floor(close * 10) as int) as P_Volume from ({BARS}) v
+"""
