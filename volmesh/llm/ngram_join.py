@@ -311,8 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z is lower-cased; a set holds the distinct n-grams of `words` words, or the whole sequence where there are fewer words. Null and
     empty texts have no n-grams, link with nothing, and are their own component. Two rows link when 100 * common >= percent * all.
     Rows that share an id but not the text are told apart by th; wholly equal rows are one class. A null id counts only where a
-    component has no other (component_id is then null). An empty table gives an empty table; texts may be of any length, and one longer than group_bytes is a group
-    of its own. Other columns of docs are not read, whatever their names. n-grams and classes are told by 64-bit hashes.
+    component has no other (component_id is then null). An empty table gives an empty table; texts may be of any length. Rows go to groups by a hash of id and text, so a long
+    text shares its group with others, and wholly repeated rows share one, which grows with them. Other columns of docs are not read, whatever their names. n-grams and classes are told by 64-bit hashes.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_key, partitions, shared_dir, table
+from .shared import by_key, partitions, remove, shared_dir, table
 
 #: Bytes of a turn's id.
 WIDTH = 20
@@ -291,6 +291,7 @@ def trie(keys: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     keys.repartitionByRange(ranges, "key").sortWithinPartitions("key", "conv_id").mapInArrow(_grow, _NODE).write.parquet(f"{folder}/nodes")
     nodes = spark.read.schema(_NODE).parquet(f"{folder}/nodes")
     nodes.where("open").repartition(1).sortWithinPartitions("part", "seq").mapInArrow(_join_open, _NODE).write.parquet(f"{folder}/open")
+    remove(spark, f"{folder}/keys")
     opened = spark.read.schema(_NODE).parquet(f"{folder}/open")
     known = opened.select(F.col("id").alias("parent"), F.col("conv_id").alias("_of"))
     waiting = nodes.where("not open and parent is not null").unionByName(opened).join(known, "parent", "left").withColumn("parent_conv_id", F.col("_of")).drop("_of")

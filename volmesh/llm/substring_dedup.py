@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A window is `window` consecutive words of one row; it goes if its words also start earlier: at a smaller id, or before in the
     same row. All windows are judged on the input. Null and empty texts, and texts of fewer words, lose nothing; kept_text of a null is "". An empty table gives
-    an empty table. Texts may be of any length: one longer than group_bytes is a group of its own. A null id comes before all others. Rows
+    an empty table. Texts may be of any length; rows go to groups by a hash, so a long text shares its group with others, and wholly repeated rows share one, which grows with them. A null id comes before all others. Rows
     alike in id and text count as one document and get the same result; rows alike in id only are told apart by a hash of the text (ties
     between them go by that hash). Input columns named like an output are replaced; other names don't matter. Equal windows are told by 64-bit
     hashes: among N windows a wrong match has a chance of about N*N / 2**65.

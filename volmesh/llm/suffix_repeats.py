@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import partitions, shared_dir, table, whole
+from .shared import partitions, remove, shared_dir, table, whole
 
 LENGTH, GRAM = 200, 64
 #: Bits for the bytes of a stretch, beside its start.
@@ -295,6 +295,8 @@ def remove_repeated_bytes(docs: DataFrame, text_col: str = "text", length: int =
     size = F.col("at").bitwiseAND((1 << SIZE_BITS) - 1)
     whole_ = F.col("times") > 1
     known = kept(kinds.select("g", "x", "times").join(covered, ["g", "x"], "left").where(whole_ | F.col("hi").isNotNull()), "known")
+    for what in ("stretches", "again", "kinds", "counts", "covered"):  # what the result still reads stays: texts, places, known
+        remove(spark, f"{folder}/{what}")
     start = F.shiftright("at", SIZE_BITS)
     span = F.shiftleft(start + F.when(whole_, 0).otherwise(F.col("lo")), 32) + start + F.when(whole_, size).otherwise(F.col("hi"))
     spans = places.select("g", "x", "k1", "k2", "at").join(known, ["g", "x"]).groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
