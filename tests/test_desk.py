@@ -225,3 +225,18 @@ def test_windows_and_models_are_checked(spark, tmp_path):
     models.save_model(fit.limit(0), {"floor": 1}, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         models.load_model(spark, str(tmp_path / "none"))
+
+
+def test_a_scope_removes_what_it_wrote(spark, tmp_path):
+    import os
+
+    from volmesh.sources import store
+
+    outer = store.shared(spark)
+    before = set(os.listdir(outer))
+    with store.scope(spark):
+        rows = store.settle(spark.range(5))
+        folder = store.fresh(spark, "log")
+        rows.write.parquet(folder)
+        assert os.path.isdir(folder) and rows.count() == 5
+    assert set(os.listdir(outer)) == before and store.settle(spark.range(3)).count() == 3

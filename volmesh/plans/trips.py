@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalogue, features, forecasts, life as lives, models, series, signals, trips
 from ..sources import adapters as a
 from ..sources import store
 from ..sources.adapters import derived
-from . import life, options, periods, research, studies
+from . import life, market, options, periods, research, studies
 
 #: Weekdays after a stop that count as soon; first day of a hold-out; days that a fit of 22 days ahead may learn from end here; lowest volatility of a forecast.
+#: Days between the daily series and the option tape; the symbol whose days are the candidates' own.
+SHIFT, BOOK = 10_227, "1-URGENT"
 NEAR, HOLDOUT, LEARN, LOWEST = 3, "1996-06-01", "1996-12-01", 0.05
 
 
@@ -77,6 +79,18 @@ def stored_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("quote", F.round("fitted", 6).alias("fitted"))
 
 
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each snapshot with what was known of the day before (indices, variances, returns), the day's surface, its weekday and the days to the next event. Candidates are of 2024, days of 1996: they are SHIFT days apart."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    days = research._features(spark, sf_dir).where(F.col("symbol") == BOOK).withColumn("dvix_5", F.col("vix") - F.lag("vix", 5).over(w))
+    trend = features.trend_measures(research._features(spark, sf_dir)).where(F.col("symbol") == BOOK).select("date", F.col("ret5").alias("ret_5"), F.col("ret20").alias("ret_20"))
+    events = market.days_to_event(spark, sf_dir).select(F.date_add("date", SHIFT).alias("day"), F.col("days").alias("event_days"))
+    known = days.join(trend, "date").select(F.date_add("date", SHIFT + 1).alias("day"), "ret", "rv_d", "rv_w", "rv_m", "vix", "term", "vix_pct", "above50", "above200", F.round("dvix_5", 6).alias("dvix_5"), "ret_5", "ret_20")
+    surface = market.surface_features(spark, sf_dir).select("day", "skew", "wing", "slope")
+    rows = life.candidate_features(spark, sf_dir).withColumn("weekday", F.weekday("day"))
+    return rows.join(known, "day", "left").join(surface, "day", "left").join(events, "day", "left")
+
+
 def harx_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts of each later day by a fit of the days before, with and without the index's variance and the week's return; no lower than 5 %."""
     rows = features.trend_measures(research._features(spark, sf_dir)).select("symbol", "date", F.col("ret5").alias("ret_w"))
@@ -91,10 +105,10 @@ def harx_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (stop_stats, contract_trips, spread_costs, state_buckets, state_split, event_years, holdout_runs, normal_bars, stored_spread, harx_forecasts)}
+QUERIES = {f.__name__: f for f in (stop_stats, contract_trips, spread_costs, state_buckets, state_split, event_years, holdout_runs, normal_bars, stored_spread, candidate_rows, harx_forecasts)}
 
 
-def oracles(log: str, daily: str, target: str, trend: str) -> dict[str, str]:
+def oracles(log: str, daily: str, target: str, trend: str, candidates: str, surface: str, events: str) -> dict[str, str]:
     """SQL of the queries above, on the SQL of the entry log, daily features, forward targets and trends."""
     c = f"with {life._ctes()}, tr as (select cl.* exclude (side), en.call, en.side, en.day0, en.mid0, en.mid0 / en.fwd0 as state, (1 + entry % 3)::double as qty from cl join en using (entry)), lo as ({log})"
     week = "len(list_filter(range({0}::timestamp, {1}::timestamp, interval 1 day), lambda q: isodow(q) < 6))"
@@ -121,6 +135,9 @@ select side, count(*) filter (where state > c9) as top_n, round(avg(pnl_net) fil
         "holdout_runs": f"select split_part(name, '/', 1) as card, count(*) filter (where ran >= date '{HOLDOUT}') as runs, min(ran) filter (where ran >= date '{HOLDOUT}') as first, bool_or(ran >= date '{HOLDOUT}') as used from ({a.RUNS}) r group by 1",
         "normal_bars": f"""select symbol, cast(Stamp as date) as date, P_Volume as volume, round(P_Open, 4) as open, round(P_High, 4) as high, round(P_Low, 4) as low, round(P_Close, 4) as close from ({a.RAW_BARS}) r where P_Open is not null and P_High is not null and P_Low is not null and P_Close is not null and P_Volume is not null""",
         "stored_spread": f"""with {studies._SPREAD} select quote, round(greatest(0.02, a + b * mid), 6) as fitted from z join m using (tier, bucket)""",
+        "candidate_rows": f"""with f as (select *, round(vix - lag(vix, 5) over (order by date), 6) as dvix_5 from ({daily}) d where symbol = '{BOOK}'), tq as (select date, ret5 as ret_5, ret20 as ret_20 from ({trend}) t where symbol = '{BOOK}'), ca as ({candidates}), su as ({surface}), ev as ({events})
+select ca.*, (isodow(ca.day) - 1)::int as weekday, ret, rv_d, rv_w, rv_m, vix, term, vix_pct, above50, above200, dvix_5, ret_5, ret_20, skew, wing, slope, ev.days as event_days
+from ca left join (select * from f join tq using (date)) k on k.date + {SHIFT + 1} = ca.day left join su on su.day = ca.day left join ev on ev.date + {SHIFT} = ca.day""",
         "harx_forecasts": f"""with f as ({daily}), tq as ({trend}), k as ({target}), x as (select f.symbol, f.date, rv_d, rv_w, rv_m, pow(vix / 100, 2) / 252 * 1e4 as vix_var, ret5 as ret_w, pow(target, 2) / 252 * 1e4 as y from f join tq using (symbol, date) left join k using (symbol, date)),
 {fit('har_gk', periods.HARX[:3])}, {fit('harx', periods.HARX)} select g.symbol, g.date, round(g.vol, 6) as har_gk, round(h.vol, 6) as harx from har_gk g left join harx h on h.symbol = g.symbol and h.date = g.date""",
     }

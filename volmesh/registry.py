@@ -91,4 +91,4 @@ ORACLES |= periods.oracles(ORACLES["daily_features"], ORACLES["forward_target"],
 QUERIES |= ranking.QUERIES
 ORACLES |= ranking.oracles(trades.EXITS, ORACLES["daily_features"], ORACLES["forward_target"])
 QUERIES |= trips.QUERIES
-ORACLES |= trips.oracles(ORACLES["entry_log"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["trend_measures"])
+ORACLES |= trips.oracles(ORACLES["entry_log"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["trend_measures"], *[ORACLES[n] for n in ("candidate_features", "surface_features", "days_to_event")])

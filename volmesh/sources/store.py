@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,18 +14,38 @@ from ..operators.series import publishable
 
 
 def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the context's checkpoint folder; a temporary folder serves only a local master, where there is one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir, else the context's checkpoint folder of the first use; a temporary folder serves only a local master, where there is one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_volmesh_store", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = getattr(spark, "_volmesh_store", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark._volmesh_store = at
+        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark._volmesh_store = at
     return at
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name; an open scope deletes the folder when it ends."""
+    folder = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in spark.__dict__.get("_volmesh_scopes", [])[-1:]:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What the library writes inside (settled steps, snapshots, logs, models) is deleted at the end; results must be written elsewhere or read before. Stored tapes stay for the session."""
+    scopes = spark.__dict__.setdefault("_volmesh_scopes", [])
+    before = spark.sparkContext.getCheckpointDir()
+    scopes.append([])
+    spark.sparkContext.setCheckpointDir(fresh(spark, "settled"))
+    try:
+        yield
+    finally:
+        for folder in scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.sparkContext.setCheckpointDir(before or shared(spark))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -60,7 +81,7 @@ def stored_tape(spark: SparkSession, source: str, build: Callable[[], DataFrame]
     """The folder of a source's tape: written by the session's first use of it, scanned by all."""
     tapes = spark.__dict__.setdefault("_volmesh_tapes", {})
     if source not in tapes or not exists(spark, f"{tapes[source]}/_SUCCESS"):
-        folder = fresh(spark, "tape")
+        folder = f"{shared(spark)}/tape-{uuid.uuid4().hex}"
         save_tape(build(), folder)
         tapes[source] = folder
     return tapes[source]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-from operator import itemgetter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +46,8 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
 def paired_prints(prints: DataFrame, keys: list[str], within: float, late: str) -> DataFrame:
     """keys, event_id, other_id, gap: each print (keys, ts, event_id, call, price) with the latest opposite print of its keys that came at most `within` seconds before it; gap is call less put.
 
-    A key's state is its last call and its last put, and a print gives one row at most. Batches are taken in order of time; a print that comes after a later one of its key was
-    taken meets what is known by then, if that is not later than itself. A key that is silent for as long as the watermark allows is forgotten."""
+    A key's state is its last call and its last put, and a print gives one row at most. A batch's prints of a key are arrays, in order of time with the two of its state; a print that comes
+    after a later one of its key was taken meets what its own batch and the state know by its time. A key that is silent for as long as the watermark allows is forgotten."""
     out = StructType([prints.schema[k] for k in keys]).add("event_id", "long").add("other_id", "long").add("gap", "double")
     state_schema = "c_us long, c_id long, c_price double, p_us long, p_id long, p_price double"
 
@@ -57,22 +55,28 @@ def paired_prints(prints: DataFrame, keys: list[str], within: float, late: str)
         if state.hasTimedOut:
             state.remove()
             return
-        last = list(state.get) if state.exists else [None] * 6
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        made, prints_ = [], list(zip(*(rows[c].tolist() for c in ("us", "event_id", "call", "price"))))
-        for us, instant in groupby(prints_, key=itemgetter(0)):  # prints of one instant meet each other
-            instant = list(instant)
-            for _, event, call, price in instant:
-                at = 0 if call else 3
-                if last[at] is None or last[at] <= us:
-                    last[at : at + 3] = [us, event, price]
-            for _, event, call, price in instant:
-                at = 3 if call else 0
-                if last[at] is not None and 0 <= us - last[at] <= within * 1e6:
-                    made.append((*key, event, last[at + 1], price - last[at + 2] if call else last[at + 2] - price))
+        rows = pd.concat(list(frames))[["us", "event_id", "call", "price"]].assign(new=True)
+        if state.exists:
+            c_us, c_id, c_price, p_us, p_id, p_price = state.get
+            held = [(u, i, c, p, False) for u, i, c, p in ((c_us, c_id, True, c_price), (p_us, p_id, False, p_price)) if u is not None]
+            rows = pd.concat([rows, pd.DataFrame(held, columns=rows.columns)]) if held else rows
+        rows = rows.sort_values(["us", "event_id"])
+        us, event, call, price, new = (rows[c].to_numpy() for c in rows)
+        call, new = call.astype(bool), new.astype(bool)
+        # the last print of each side by the end of each instant: prints of one instant meet each other
+        at = np.arange(len(us))
+        end = np.searchsorted(us, us, side="right") - 1
+        calls, puts = (np.maximum.accumulate(np.where(side, at, -1)) for side in (call, ~call))
+        other = np.where(call, puts[end], calls[end])
+        meets = new & (other >= 0) & (us - us[other] <= within * 1e6)
+        one, two = at[meets], other[meets]
+        gap = np.where(call[one], 1, -1) * (price[one] - price[two])
+        last = []
+        for k in (calls[-1], puts[-1]):
+            last += [int(us[k]), int(event[k]), float(price[k])] if k >= 0 else [None] * 3
         state.update(tuple(last))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["us"].max() // 1000)) + int(within * 1000))
-        yield pd.DataFrame(made, columns=[f.name for f in out])
+        yield pd.DataFrame({**{k: [v] * len(one) for k, v in zip(keys, key)}, "event_id": event[one], "other_id": event[two], "gap": gap}, columns=[f.name for f in out])
 
     timed = prints.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
     return timed.groupBy(*keys).applyInPandasWithState(step, out, state_schema, "append", "EventTimeTimeout")
