@@ -18,7 +18,6 @@ MULTIPLES = [1.0, 2.0]
 #: What no variant may override.
 PINNED = ("start", "end", "holdout_start")
 BARS = [("pnl", "higher", 0.0), ("deviation", "less_severe", 0.0), ("worst", "not_below", 100.0), ("pnl", "within", 0.5), ("trips", "above", 100.0), ("deviation", "at_most", 4000.0)]
-STOPS = [500.0, 1000.0, 2000.0, 4000.0, 8000.0]
 TIERS = [(0.0, 0.05), (50.0, 0.03), (100.0, 0.02)]
 
 
@@ -40,12 +39,6 @@ def pass_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecards.checks(table, ["book", "multiple"], "variant", "plain", BARS)
 
 
-def stop_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _trips(spark, sf_dir).select("book", net().alias("net"), F.explode(F.array(*map(F.lit, STOPS))).alias("stop"))
-    stopped = F.when(F.col("net") < -F.col("stop"), -F.col("stop") - 1.5e6 / F.col("stop")).otherwise(F.col("net"))
-    return scorecards.curve(rows.groupBy("book", "stop").agg(F.sum(stopped).alias("pnl")), ["book"], "stop", "pnl")
-
-
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecards.exposure(_trips(spark, sf_dir))
 
@@ -130,7 +123,7 @@ def pick_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(bounds, "year").select("name", above.alias("grade"))
 
 
-QUERIES = {f.__name__: f for f in (variant_metrics, pass_bars, stop_curve, exposure, fee_plans, entry_weekdays, yearly_reasons, entry_state, gate_split, yearly_rates, profit_volatility, share_attribution, tail_gate, signal_directions, bias_bands, bad_ranges, pick_grades)}
+QUERIES = {f.__name__: f for f in (variant_metrics, pass_bars, exposure, fee_plans, entry_weekdays, yearly_reasons, entry_state, gate_split, yearly_rates, profit_volatility, share_attribution, tail_gate, signal_directions, bias_bands, bad_ranges, pick_grades)}
 
 
 def oracles(metrics: str, daily: str, target: str, signal: str) -> dict[str, str]:
@@ -141,13 +134,10 @@ def oracles(metrics: str, daily: str, target: str, signal: str) -> dict[str, str
     one = f"select * replace (book || '|' || variant || '|' || multiple::int as book) from ({variants}) w"
     rules = {"higher": "x.{0} > r.{0}", "less_severe": "abs(x.{0}) < abs(r.{0})", "within": "abs(x.{0} - r.{0}) <= {1} * abs(r.{0})", "not_below": "x.{0} >= r.{0} - {1}", "above": "x.{0} > {1}", "at_most": "x.{0} <= {1}"}
     bars = " union all ".join(f"select x.book, x.multiple, x.variant, '{m}' as metric, '{r}' as rule, {rules[r].format(m, b)} as ok from g x join g r on r.book = x.book and r.multiple = x.multiple and r.variant = 'plain' where x.variant != 'plain'" for m, r, b in BARS)
-    stops = ", ".join(f"({s}::double)" for s in STOPS)
     return {
         "variant_metrics": metrics.replace(a.TRIPS, one),
         "pass_bars": f"""with g as (select book, multiple, variant, sum(pnl - commission) as pnl, stddev_samp(pnl - commission) as deviation, min(pnl - commission) as worst, count(*) as trips from ({variants}) v group by 1, 2, 3), c as ({bars})
 select *, bool_and(ok) over (partition by book, multiple, variant) as verdict from c""",
-        "stop_curve": f"""with {trips}, g as (select book, stop, sum(case when pnl - commission < -stop then -stop - 1.5e6 / stop else pnl - commission end) as pnl from t cross join (values {stops}) s(stop) group by 1, 2),
-r as (select *, row_number() over (partition by book order by pnl desc, stop) as r from g) select book, stop as best, stop > 500 and stop < 8000 as interior from r where r = 1""",
         "exposure": f"""with {trips}, s as (select unnest(range(min(entry)::timestamp, max(exit)::timestamp + interval 1 day, interval 1 day))::date as date from t), y as (select year(date)::int as year, count(*) as days from s where isodow(date) < 6 group by 1),
 h as (select distinct book, date from s join t on t.entry <= s.date and t.exit >= s.date where isodow(date) < 6), k as (select book, year(date)::int as year, count(*) as held from h group by 1, 2) select book, year, held, days, round(held / days, 6) as share from k join y using (year)""",
         "fee_plans": f"""with {trips}, u as (select book, commission / 0.65 as q from t), p as (select book, q, 'flat' as plan, greatest(q * 0.035, 1) as fee from u

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, paths, reports
+from ..operators import matching, paths, reports, scorecards
 from ..sources import adapters as a
 from ..sources import store
 from ..sources.adapters import derived
 
 HOLD, STOP, TAKE, BAND, SLOT = 5, 0.5, 0.3, 10.0, 30
 KEYS = ["book", "side", "entry"]
+STOPS = [0.1, 0.25, 0.5, 1.0, 2.0]
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,16 @@ def trade_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closed(spark, sf_dir).select("entry", "reason", "exit_id", *[F.round(c, 4).alias(c) for c in ("pnl", "downside", "score")])
 
 
+def stop_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By right, the stop (as a multiple of the premium) with the highest sum of profit over trades that exit by it, and whether it lies inside the range tried."""
+    rows = store.settle(_rows(spark, sf_dir))
+    sums = None
+    for stop in STOPS:
+        one = paths.exits(rows, HOLD, stop, TAKE).groupBy("call").agg(F.round(F.sum("pnl"), 4).alias("pnl")).withColumn("stop", F.lit(stop))
+        sums = one if sums is None else sums.unionByName(one)
+    return scorecards.curve(sums, ["call"], "stop", "pnl")
+
+
 def hedge_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.hedged(_rows(spark, sf_dir), BAND).withColumn("hedge_pnl", F.round("hedge_pnl", 4))
 
@@ -82,7 +93,7 @@ def position_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.differences(held, held.where("recorded"), ["book", "side", "reason"])
 
 
-QUERIES = {f.__name__: f for f in (trade_exits, hedge_paths, taken_trades, book_days, matched_orders, matched_with_old, repeated_keys, compared_books, overlapping_entries, marginal_daily, position_differences)}
+QUERIES = {f.__name__: f for f in (trade_exits, stop_curve, hedge_paths, taken_trades, book_days, matched_orders, matched_with_old, repeated_keys, compared_books, overlapping_entries, marginal_daily, position_differences)}
 
 _PATH = f"""m as ({a.MARKS}), e as (select event_id as entry, expiry, strike, call, day as day0, ts as ts0, mid as mid0, case when event_id % 3 = 0 then 1 else -1 end as sign from m where hour(ts) < 12 and day <= expiry qualify row_number() over (partition by day, expiry, strike, call order by ts, event_id) = 1),
 ms as (select * from m qualify row_number() over (partition by day, expiry, strike, call, (hour(ts) * 60 + minute(ts)) // {SLOT} order by ts desc, event_id desc) = 1),
@@ -92,7 +103,10 @@ f as (select entry, min(ts) as at from w where why is not null group by 1), u as
 x as (select entry, any_value(call) as call, any_value(expiry) as expiry, any_value(strike) as strike, any_value(day0) as day0, coalesce(arg_max(coalesce(why, 'end'), ts), 'end') as reason, arg_max(event_id, ts) as exit_id, arg_max(day, ts) as exit_day, arg_max(pnl, ts) as pnl, sqrt(sum(fall * fall)) as downside from u group by 1)"""
 _TRIPS = f"t as ({a.TRIPS})"
 
+_CURVE = " union all ".join(f"(with {EXITS.replace(f'-{STOP} * mid0', f'-{s} * mid0')} select call, {s}::double as stop, round(sum(pnl), 4) as pnl from x group by 1)" for s in STOPS)
+
 ORACLES = {
+    "stop_curve": f"with r as (select *, row_number() over (partition by call order by pnl desc, stop) as i from ({_CURVE}) c) select call, stop as best, stop > {STOPS[0]} and stop < {STOPS[-1]} as interior from r where i = 1",
     "trade_exits": f"with {EXITS} select entry, reason, exit_id, round(pnl, 4) as pnl, round(downside, 4) as downside, round(case when downside > 0 then pnl / downside end, 4) as score from x",
     "hedge_paths": f"""with recursive {_PATH}, q as materialized (select entry, row_number() over (partition by entry order by ts) as i, round_even(-sign * 100 * delta, 0) as goal, fwd from p),
 s as (select entry, i, (abs(goal) >= {BAND})::int as moves, case when abs(goal) >= {BAND} then goal else 0 end::double as shares, fwd, 0::double as gain from q where i = 1
