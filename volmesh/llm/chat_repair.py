@@ -276,3 +276,33 @@ def damage(rows: DataFrame) -> DataFrame:
 
 def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_chats(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+#: The same rows in DuckDB: crc32 spelled out bit by bit, and the cheapest edits row by row, each state with its least audit after up to two inserts.
+ORACLE_SQL = r"""
+with recursive k as (select conv_id, turn, role, text, concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')) as named from conversations),
+c as (select *, xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, length(named) + 1), lambda i: list_concat([256 + ascii(substr(named, i, 1))::bigint], list_transform(range(8), lambda j: 0::bigint))))),
+  lambda a, x: case when x > 0 then xor(a, x - 256) else xor(a >> 1, case when a & 1 = 1 then 3988292384::bigint else 0::bigint end) end), 4294967295::bigint) % 20 as kind from k),
+d as (select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role, case kind when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text
+  from c, unnest(case when kind = 3 then [0, 1] else [0] end) as u(j) where kind <> 0),
+o as (select *, row_number() over w as i, substr(role, 1, 1) as l, lag(substr(role, 1, 1)) over w as before, 
+  not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as cut from d window w as (partition by conv_id order by turn nulls first, role, text)),
+g as (select *, i > min(i) over (partition by conv_id, role, text) as again from o),
+f as materialized (select *, blank or again as gone, cut and not blank and not again as late from g),
+n as materialized (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate, count(*) filter (where late) as truncated,
+  count(*) filter (where i > 1 and before || l not in ('su', 'ua', 'au')) as illegal from f group by 1),
+r as (select conv_id, 0::bigint as i, st, cost, audit from n, (values ('', 0, ''), ('u', 2, 'I'), ('a', 4, 'II')) v(st, cost, audit)
+  union all
+  select conv_id, i, st, cost, audit from (
+    select conv_id, i, case when j = 0 then st when (j = 1) = (st = 'u') then 'a' else 'u' end as st, cost + 2 * j as cost, audit || repeat('I', j) as audit from (
+      select r.conv_id, f.i, case e when 'D' then r.st when 'K' then f.l else case when r.st = 'u' then 'a' else 'u' end end as st, r.cost + case e when 'D' then 3 when 'R' then 2 + late::int else late::int end as cost, r.audit || e as audit
+      from r join f on f.conv_id is not distinct from r.conv_id and f.i = r.i + 1, unnest(['D', 'K', 'R']) q(e)
+      where e = 'D' or not gone and (e = 'R' or r.st || f.l in ('s', 'u', 'su', 'ua', 'au'))) x, unnest([0, 1, 2]) y(j)) z
+  qualify row_number() over (partition by conv_id, st order by cost, audit) = 1),
+b as (select n.*, r.cost, r.audit from n join r on r.conv_id is not distinct from n.conv_id and r.i = n.n where st in ('', 'a') qualify row_number() over (partition by n.conv_id order by r.cost, r.audit) = 1),
+p as (select conv_id, k, substr(audit, k, 1) as e, length(replace(substr(audit, 1, k), 'I', '')) as i, length(replace(substr(audit, 1, k), 'D', '')) as m from b, unnest(range(1, length(audit) + 1)) u(k)),
+s as (select p.*, f.role, f.text, max(case when m = 1 and e = 'K' and f.l = 's' then 1 else 0 end) over (partition by p.conv_id) as sys from p left join f on f.conv_id is not distinct from p.conv_id and f.i = p.i and p.e <> 'I'),
+t as (select conv_id, string_agg(case when e = 'K' then role when (m - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end, chr(10) order by k) as t from s where e <> 'D' group by 1)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join b on b.conv_id is not distinct from a.conv_id left join t on t.conv_id is not distinct from a.conv_id
+"""

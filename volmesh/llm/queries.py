@@ -25,6 +25,7 @@ ORACLES = {
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_chat_repair": chat_repair.op11_chat_repair,
+    "op11_chat_repair": chat_repair.ORACLE_SQL,
     "op12_suffix_repeats": suffix_repeats.ORACLE_SQL,
     "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
