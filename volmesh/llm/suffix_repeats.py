@@ -27,6 +27,8 @@ SIZE_BITS = 20
 SLICE = 1 << 20
 #: Bytes of stretches in one suffix array; a gram is not cut.
 BLOCK = 4 << 20
+#: Bytes of text in a bucket, and buckets at most (Spark takes 100,000).
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 #: A gram with more different stretches than this is answered by counting the hashes of its strings, so that no task holds them all.
 HOT = 1 << 15
 _U = np.uint64
@@ -278,8 +280,10 @@ def remove_repeated_bytes(docs: DataFrame, text_col: str = "text", length: int =
         return spark.read.schema(df.schema).parquet(f"{folder}/{what}")
 
     texts = docs.select(*_keys(text_col), F.coalesce(text_col, F.lit("")).alias("text")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.any_value("text").alias("text"))
-    # in buckets by key, so that the two joins below bring their rows to the texts and no text is shuffled again
-    texts.write.bucketBy(partitions(spark), "k1", "k2").format("parquet").option("path", f"{folder}/texts").saveAsTable(name)
+    # in buckets by key, a multiple of the shuffle partitions in number: the two joins below bring their rows to the texts, and no text is shuffled again
+    parts, total = partitions(spark), docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = min(parts * max(1, -(-total // (BUCKET_BYTES * parts))), MOST_BUCKETS // parts * parts or MOST_BUCKETS)
+    texts.write.bucketBy(buckets, "k1", "k2").format("parquet").option("path", f"{folder}/texts").saveAsTable(name)
     texts = spark.table(name)
     every = kept(texts.select("k1", "k2", "text").mapInArrow(_send(length, gram), "k1 long, k2 long, g long, x long, at long"), "stretches")
     # the small side of each join is written before it, so that Spark can split a gram or stretch with very many places
