@@ -50,6 +50,14 @@ def forward_target(bars: DataFrame, horizon: int) -> DataFrame:
     return rows.select("symbol", "date", F.round(F.when(F.count("ret").over(ahead) == horizon, value), 6).alias("target"))
 
 
+def moving_averages(bars: DataFrame, lengths: list[int]) -> DataFrame:
+    """symbol, date, and ma_n and above_n for each length: the mean of the last n closes, null under n, and whether the close is above it."""
+    w = by_day("symbol")
+    mean = lambda n: F.when(F.count("close").over(w.rowsBetween(1 - n, 0)) == n, F.avg("close").over(w.rowsBetween(1 - n, 0)))
+    rows = bars.select("symbol", "date", "close", *[mean(n).alias(f"ma_{n}") for n in lengths])
+    return rows.select("symbol", "date", *[c for n in lengths for c in (F.col(f"ma_{n}"), (F.col("close") > F.col(f"ma_{n}")).alias(f"above_{n}"))])
+
+
 def trend_measures(daily: DataFrame, k: float = 0.5) -> DataFrame:
     """From daily features: 5 and 20-day returns, 5-day index change, efficiency of the 10 days before, a year's beta of index changes on returns (0 under 21 pairs), and a size tilt by the index rank."""
     w = by_day("symbol")

@@ -91,6 +91,11 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(known, "day", "left").join(surface, "day", "left").join(events, "day", "left")
 
 
+def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.moving_averages(derived(spark, sf_dir, a.BARS), [50, 200])
+    return rows.withColumns({c: F.round(c, 4) for c in ("ma_50", "ma_200")})
+
+
 def harx_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts of each later day by a fit of the days before, with and without the index's variance and the week's return; no lower than 5 %."""
     rows = features.trend_measures(research._features(spark, sf_dir)).select("symbol", "date", F.col("ret5").alias("ret_w"))
@@ -105,7 +110,7 @@ def harx_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (stop_stats, contract_trips, spread_costs, state_buckets, state_split, event_years, holdout_runs, normal_bars, stored_spread, candidate_rows, harx_forecasts)}
+QUERIES = {f.__name__: f for f in (stop_stats, contract_trips, spread_costs, state_buckets, state_split, event_years, holdout_runs, normal_bars, stored_spread, candidate_rows, moving_averages, harx_forecasts)}
 
 
 def oracles(log: str, daily: str, target: str, trend: str, candidates: str, surface: str, events: str) -> dict[str, str]:
@@ -138,6 +143,8 @@ select side, count(*) filter (where state > c9) as top_n, round(avg(pnl_net) fil
         "candidate_rows": f"""with f as (select *, round(vix - lag(vix, 5) over (order by date), 6) as dvix_5 from ({daily}) d where symbol = '{BOOK}'), tq as (select date, ret5 as ret_5, ret20 as ret_20 from ({trend}) t where symbol = '{BOOK}'), ca as ({candidates}), su as ({surface}), ev as ({events})
 select ca.*, (isodow(ca.day) - 1)::int as weekday, ret, rv_d, rv_w, rv_m, vix, term, vix_pct, above50, above200, dvix_5, ret_5, ret_20, skew, wing, slope, ev.days as event_days
 from ca left join (select * from f join tq using (date)) k on k.date + {SHIFT + 1} = ca.day left join su on su.day = ca.day left join ev on ev.date + {SHIFT} = ca.day""",
+        "moving_averages": f"""select symbol, date, round(case when n50 = 50 then m50 end, 4) as ma_50, case when n50 = 50 then close > m50 end as above_50, round(case when n200 = 200 then m200 end, 4) as ma_200, case when n200 = 200 then close > m200 end as above_200
+from (select *, count(close) over w50 as n50, avg(close) over w50 as m50, count(close) over w200 as n200, avg(close) over w200 as m200 from ({a.BARS}) b window w50 as (partition by symbol order by date rows 49 preceding), w200 as (partition by symbol order by date rows 199 preceding)) z""",
         "harx_forecasts": f"""with f as ({daily}), tq as ({trend}), k as ({target}), x as (select f.symbol, f.date, rv_d, rv_w, rv_m, pow(vix / 100, 2) / 252 * 1e4 as vix_var, ret5 as ret_w, pow(target, 2) / 252 * 1e4 as y from f join tq using (symbol, date) left join k using (symbol, date)),
 {fit('har_gk', periods.HARX[:3])}, {fit('harx', periods.HARX)} select g.symbol, g.date, round(g.vol, 6) as har_gk, round(h.vol, 6) as harx from har_gk g left join harx h on h.symbol = g.symbol and h.date = g.date""",
     }
