@@ -99,6 +99,18 @@ def test_least_absolute_deviations(spark):
         assert loss(got[g]) <= loss(best) * (1 + 1e-6) and got[g] == pytest.approx(best, abs=1e-3)
 
 
+def test_least_absolute_broadcasts_lines_only(spark, monkeypatch):
+    plans = []
+    settle = desk.store.settle
+    monkeypatch.setattr(desk.store, "settle", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), settle(df))[1])
+    rows = spark.range(200).selectExpr("cast(id % 2 as int) as g", "cast(id as double) as x", "cast(id * 2 + id % 7 as double) as y")
+    desk.least_absolute(rows, ["g"], "y", "x", most=9, block=4)
+    assert len(plans) == 2
+    for plan in plans:  # a join a pass, each with the lines marked for broadcast
+        joins = [line for line in plan.splitlines() if "Join Inner" in line]
+        assert len(joins) == 4 and all("rightHint=(strategy=broadcast)" in j for j in joins)
+
+
 def likelihood(omega, alpha, beta, x, v):
     h, total = v, 0.0
     for r in x:

@@ -22,29 +22,30 @@ def hedge_ratio(premium: Column, low: float, high: float) -> Column:
 def least_absolute(rows: DataFrame, keys: list[str], y: str, x: str, most: int = 50, near: float = 1e-8, least: float = 1e-4, block: int = 10) -> DataFrame:
     """keys, a, b: the line of least absolute deviations by reweighted least squares, until no coefficient moves by more than `near`, or `most` passes.
 
-    A pass is one aggregation with map-side sums; only a row a key moves between passes. After a block of passes the lines are written (which cuts lineage), the keys that stand still leave with their rows, and the driver
-    learns whether any are left."""
+    A pass is one aggregation with map-side sums; the lines (a row a key) are what is broadcast, never the rows, whatever their size, and a pass carries the line it started from, so that a block of passes is a plan without branches.
+    After a block the lines are written (which cuts lineage), the keys that stand still leave with their rows, and the driver learns whether any are left."""
     w, u, v = F.col("_w"), F.col(x), F.col(y)
 
-    def line(part: DataFrame) -> DataFrame:
-        s = part.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * u).alias("u"), F.sum(w * v).alias("v"), F.sum(w * u * u).alias("uu"), F.sum(w * u * v).alias("uv"))
+    def line(part: DataFrame, *last: Column) -> DataFrame:
+        s = part.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * u).alias("u"), F.sum(w * v).alias("v"), F.sum(w * u * u).alias("uu"), F.sum(w * u * v).alias("uv"), *last)
         slope = (F.col("w") * F.col("uv") - F.col("u") * F.col("v")) / (F.col("w") * F.col("uu") - F.col("u") * F.col("u"))
-        return s.select(*keys, slope.alias("b"), F.col("u").alias("_u"), F.col("v").alias("_v"), F.col("w").alias("_t")).select(*keys, ((F.col("_v") - F.col("b") * F.col("_u")) / F.col("_t")).alias("a"), "b")
+        kept = ["_a", "_b"] if last else []
+        return s.select(*keys, slope.alias("b"), F.col("u").alias("_u"), F.col("v").alias("_v"), F.col("w").alias("_t"), *kept).select(*keys, ((F.col("_v") - F.col("b") * F.col("_u")) / F.col("_t")).alias("a"), "b", *kept)
 
     rows = rows.select(*keys, y, x).persist()
     model, done, live = line(rows.withColumn("_w", F.lit(1.0))), None, rows
     for at in range(1, most, block):
         for _ in range(min(block, most - at)):
-            last = model
-            model = line(live.join(last, keys).withColumn("_w", 1 / F.greatest(F.abs(v - F.col("a") - F.col("b") * u), F.lit(least))))
-        both = store.settle(model.join(last.select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b")), keys))
+            met = live.join(F.broadcast(model.select(*keys, "a", "b")), keys).withColumn("_w", 1 / F.greatest(F.abs(v - F.col("a") - F.col("b") * u), F.lit(least)))
+            model = line(met, F.max("a").alias("_a"), F.max("b").alias("_b"))  # one value a key
+        both = store.settle(model)
         still = F.greatest(F.abs(F.col("a") - F.col("_a")), F.abs(F.col("b") - F.col("_b"))) <= near
         stands = both.where(F.coalesce(still, F.lit(True))).select(*keys, "a", "b")
         done = stands if done is None else done.unionByName(stands)
         model = both.where(~still).select(*keys, "a", "b")
         if model.isEmpty():
             break
-        live = rows.join(model.select(*keys), keys, "left_semi")
+        live = rows.join(F.broadcast(model.select(*keys)), keys, "left_semi")
     out = model if done is None else done.unionByName(model)
     rows.unpersist()
     return out
