@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from volmesh.operators import catalogue, chains, desk, life, models, paths, scorecards, views
-from volmesh.plans import forwards
+from volmesh.plans import forwards, trades
 from volmesh.plans import views as plan
 from volmesh.sources import adapters as a
 from volmesh.sources.adapters import derived
@@ -252,3 +252,35 @@ def test_a_scope_removes_what_it_wrote(spark, tmp_path):
         rows.write.parquet(folder)
         assert os.path.isdir(folder) and rows.count() == 5
     assert set(os.listdir(outer)) == before and store.settle(spark.range(3)).count() == 3
+
+
+@pytest.fixture(scope="module")
+def walked_paths(spark):
+    """By entry: (right, sign, first mid, day, all later marks in order), by plain loops over all marks."""
+    marks = sorted(derived(spark, SF, a.MARKS).collect(), key=lambda m: (m.ts, m.event_id))
+    first, of = {}, {}
+    for m in marks:
+        of.setdefault((m.expiry, m.strike, m.call), []).append(m)
+        if m.ts.hour < 12 and m.day <= m.expiry:
+            first.setdefault((m.day, m.expiry, m.strike, m.call), m)
+    late = lambda e: [m for m in of[e.expiry, e.strike, e.call] if m.ts > e.ts and m.day <= e.expiry and (m.day - e.day).days <= 5]
+    return {e.event_id: (e.call, 1 if e.event_id % 3 == 0 else -1, e.mid, e.day, late(e)) for e in first.values() if late(e)}
+
+
+def exit_of(call, sign, mid, day, marks):
+    for m in marks:
+        pnl = sign * (m.mid - mid) * 100
+        why = "time" if (m.day - day).days >= 5 else "stop" if pnl <= -0.5 * mid * 100 else "profit" if pnl >= 0.3 * mid * 100 else None
+        if why or m is marks[-1]:
+            return why or "end", m, pnl
+
+
+def crowded(paths):
+    """Whether some path has two marks in one half hour, which a path over slots would drop."""
+    return any(len({(m.day, m.ts.hour, m.ts.minute // 30) for m in p[4]}) < len(p[4]) for p in paths.values())
+
+
+def test_trade_exits_see_all_marks(spark, walked_paths):
+    got = {x.entry: (x.reason, x.exit_id, x.pnl) for x in trades.trade_exits(spark, SF).collect()}
+    want = {e: (why, m.event_id, pytest.approx(pnl, abs=1e-3)) for e, p in walked_paths.items() for why, m, pnl in [exit_of(*p)]}
+    assert crowded(walked_paths) and got == want

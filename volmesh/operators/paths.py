@@ -1,4 +1,4 @@
-"""Paths of trades over marks: entries, profit along the path, exits, hedges, books. A trade lives for a few days, so its path is short."""
+"""Paths of trades over marks: entries, profit along the path, exits, hedges, books. A path has all marks of its contract while the trade may live."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def path(opened: DataFrame, marks: DataFrame, hold: int) -> DataFrame:
     A mark is sent to the hold + 1 days on which it could have been entered, and meets its entries by contract and day: an equal join whose fan-out is fixed.
     """
     sent = marks.where(F.col("day") <= F.col("expiry")).select(*CONTRACT, "event_id", "ts", "day", "fwd", "delta", "mid", F.explode(F.sequence(F.date_sub("day", hold), F.col("day"))).alias("day0"))
-    rows = opened.join(sent, [*CONTRACT, "day0"]).where(F.struct("ts", "event_id") > F.struct("ts0", "entry"))
+    rows = opened.join(sent, [*CONTRACT, "day0"]).where(F.col("ts") > F.col("ts0"))
     return rows.withColumn("pnl", F.col("sign") * (F.col("mid") - F.col("mid0")) * 100)
 
 

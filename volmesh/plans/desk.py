@@ -56,11 +56,11 @@ def pick_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return desk.delta_profit(trades._rows(spark, sf_dir)).withColumn("delta_pnl", F.round("delta_pnl", 4))
+    return desk.delta_profit(trades._slot_rows(spark, sf_dir)).withColumn("delta_pnl", F.round("delta_pnl", 4))
 
 
 def live_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = paths.book_days(trades._rows(spark, sf_dir), trades._closed(spark, sf_dir))
+    days = paths.book_days(trades._slot_rows(spark, sf_dir), trades._slot_closed(spark, sf_dir))
     return desk.live_book(days).select("call", "days", "up", F.round("last", 4).alias("last"), F.round("drawdown", 4).alias("drawdown"))
 
 
@@ -112,7 +112,7 @@ hf as (select symbol, arg_max(vol, date) as vol from ({har}) h group by 1), gp a
 select day, hour::int as hour, symbol as forecaster, dte, strike, round(atm, 6) as atm, premium, case when premium > 0.012 then 'short' when premium < 0.008 then 'long' else 'flat' end as signal from gp""",
         "label_panel": f"""with c as (select *, name % 4 = 0 as skip from ({a.CANDIDATES}) q), w as (select day from c group by 1 having bool_and(skip or name % 41 > 0)) select day, name, skip, case when skip then 0 else round(label, 2) end::double as label from c join w using (day)""",
         "pick_mix": f"""with p as (select * from ({a.CANDIDATES}) q qualify row_number() over (partition by day order by score desc, name) = 1), g as (select year(day)::int as year, name % 8 as kind, count(*) as n from p group by 1, 2) select year, kind, n, round(n / sum(n) over (partition by year), 6)::double as share from g""",
-        "delta_profit": f"with {trades._PATH}, l as (select *, sign * 100 * delta * (lead(fwd) over (partition by entry order by ts) - fwd) as gain from p) select entry, round(coalesce(sum(gain), 0), 4) as delta_pnl, count(*) as marks from l group by 1",
+        "delta_profit": f"with {trades._SLOT_PATH}, l as (select *, sign * 100 * delta * (lead(fwd) over (partition by entry order by ts) - fwd) as gain from p) select entry, round(coalesce(sum(gain), 0), 4) as delta_pnl, count(*) as marks from l group by 1",
         "live_book": f"""with k as ({days}), w as (select *, greatest(max(total) over (partition by call order by day rows unbounded preceding), 0) - total as down, total > lag(total, 1, 0) over (partition by call order by day) as up from k)
 select call, count(*) as days, count(*) filter (where up) as up, round(arg_max(total, day), 4) as last, round(max(down), 4) as drawdown from w group by 1""",
         "day_snapshots": f"with s as (select day, hour, avg((iv is not null)::int) >= 0.85 as usable from ({a.CHAIN}) c group by 1, 2) select day, hour::int as hour, usable from s qualify row_number() over (partition by day order by not usable, hour) = 1",

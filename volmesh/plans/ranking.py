@@ -85,7 +85,7 @@ def pick_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.round(F.coalesce("score", F.lit(0.0)), 4)
-    return trades._closed(spark, sf_dir).select("entry", "day0", "strike", F.col("call").cast("double").alias("right"), F.col("sign").cast("double").alias("sign"), F.round("mid0", 6).alias("mid0"), score.alias("score"))
+    return trades._slot_closed(spark, sf_dir).select("entry", "day0", "strike", F.col("call").cast("double").alias("right"), F.col("sign").cast("double").alias("sign"), F.round("mid0", 6).alias("mid0"), score.alias("score"))
 
 
 def boosted_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,6 @@ QUERIES |= {**forwards.QUERIES, **views.QUERIES, **stores.QUERIES, **life.QUERIE
 ORACLES |= {**forwards.ORACLES, **views.ORACLES, **stores.ORACLES, **life.oracles(ORACLES["book_metrics"], ORACLES["trend_measures"])}
 ORACLES |= periods.oracles(ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["daily_signal"], ORACLES["trend_measures"])
 QUERIES |= ranking.QUERIES
-ORACLES |= ranking.oracles(trades.EXITS, ORACLES["daily_features"], ORACLES["forward_target"])
+ORACLES |= ranking.oracles(trades.SLOT_EXITS, ORACLES["daily_features"], ORACLES["forward_target"])
 QUERIES |= trips.QUERIES
 ORACLES |= trips.oracles(ORACLES["entry_log"], ORACLES["daily_features"], ORACLES["forward_target"], ORACLES["trend_measures"], *[ORACLES[n] for n in ("candidate_features", "surface_features", "days_to_event")])
