@@ -284,3 +284,16 @@ def test_trade_exits_see_all_marks(spark, walked_paths):
     got = {x.entry: (x.reason, x.exit_id, x.pnl) for x in trades.trade_exits(spark, SF).collect()}
     want = {e: (why, m.event_id, pytest.approx(pnl, abs=1e-3)) for e, p in walked_paths.items() for why, m, pnl in [exit_of(*p)]}
     assert crowded(walked_paths) and got == want
+
+
+def test_hedge_paths_see_all_marks(spark, walked_paths):
+    got, want = {x.entry: (x.moves, x.shares, x.hedge_pnl) for x in trades.hedge_paths(spark, SF).collect()}, {}
+    for e, (_, sign, _, _, marks) in walked_paths.items():
+        moves, shares, spot, gain = 0, 0.0, marks[0].fwd, 0.0
+        for m in marks:
+            gain, spot = gain + shares * (m.fwd - spot), m.fwd
+            goal = round(-sign * 100 * m.delta)
+            if abs(goal - shares) >= 10:
+                moves, shares = moves + 1, goal
+        want[e] = moves, shares, pytest.approx(gain, abs=1e-3)
+    assert got == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +55,30 @@ def exits(rows: DataFrame, hold: int, stop: float, take: float) -> DataFrame:
 
 
 def hedged(rows: DataFrame, band: float) -> DataFrame:
-    """entry, moves, shares, hedge_pnl: shares follow -sign * 100 * delta, but only when the gap reaches the band; a fold over the path in order of time. Rows are marks by slot, so a trade's list is no longer than its days have slots."""
+    """entry, moves, shares, hedge_pnl: shares follow -sign * 100 * delta, but only when the gap reaches the band. Paths are sorted by trade and time and read as a stream of batches, which carries one trade's state: however long a path is, no
+    task holds it."""
     target = F.bround(-F.col("sign") * 100 * F.col("delta")).cast("double")
-    paths = rows.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", target.alias("goal"), "fwd"))).alias("_p"))
-    start = F.struct(F.lit(0).alias("moves"), F.lit(0.0).alias("shares"), F.lit(None).cast("double").alias("spot"), F.lit(0.0).alias("gain"))
 
-    def step(s: Column, x: Column) -> Column:
-        far = F.abs(x["goal"] - s["shares"]) >= band
-        return F.struct(
-            (s["moves"] + far.cast("int")).alias("moves"), F.when(far, x["goal"]).otherwise(s["shares"]).alias("shares"), x["fwd"].alias("spot"),
-            (s["gain"] + s["shares"] * F.coalesce(x["fwd"] - s["spot"], F.lit(0.0))).alias("gain"),
-        )
-
-    return paths.select("entry", F.aggregate("_p", start, step).alias("_s")).select("entry", "_s.moves", "_s.shares", F.col("_s.gain").alias("hedge_pnl"))
+    def fold(frames):
+        entry, moves, shares, spot, gain = None, 0, 0.0, None, 0.0
+        for f in frames:
+            out = []
+            for e, goal, fwd in zip(f["entry"].tolist(), f["goal"].tolist(), f["fwd"].tolist()):
+                if e != entry:
+                    if entry is not None:
+                        out.append((entry, moves, shares, gain))
+                    entry, moves, shares, spot, gain = e, 0, 0.0, fwd, 0.0
+                gain, spot = gain + shares * (fwd - spot), fwd
+                if abs(goal - shares) >= band:
+                    moves, shares = moves + 1, goal
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if entry is not None:
+            yield pd.DataFrame([(entry, moves, shares, gain)], columns=names)
+
+    names = ["entry", "moves", "shares", "hedge_pnl"]
+    paths = rows.select("entry", "ts", "event_id", target.alias("goal"), "fwd").repartition("entry").sortWithinPartitions("entry", "ts", "event_id")
+    return paths.select("entry", "goal", "fwd").mapInPandas(fold, "entry long, moves int, shares double, hedge_pnl double")
 
 
 def busy_periods(trips: DataFrame, book: list[str], key: str, start: str, end: str, places: int) -> DataFrame:
