@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from volmesh.operators import catalogue, chains, desk, life, models, paths, scorecards, views
 from volmesh.plans import forwards, trades
+from volmesh.plans import desk as plan_desk
 from volmesh.plans import views as plan
 from volmesh.sources import adapters as a
 from volmesh.sources.adapters import derived
@@ -297,3 +298,9 @@ def test_hedge_paths_see_all_marks(spark, walked_paths):
                 moves, shares = moves + 1, goal
         want[e] = moves, shares, pytest.approx(gain, abs=1e-3)
     assert got == want
+
+
+def test_delta_profit_sees_all_marks(spark, walked_paths):
+    got = {x.entry: (x.marks, x.delta_pnl) for x in plan_desk.delta_profit(spark, SF).collect()}
+    gain = lambda sign, ms: sum(sign * 100 * m.delta * (n.fwd - m.fwd) for m, n in zip(ms, ms[1:]))
+    assert got == {e: (len(p[4]), pytest.approx(gain(p[1], p[4]), abs=1e-3)) for e, p in walked_paths.items()}
