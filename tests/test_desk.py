@@ -286,7 +286,6 @@ def test_trade_exits_see_all_marks(spark, walked_paths):
     want = {e: (why, m.event_id, pytest.approx(pnl, abs=1e-3)) for e, p in walked_paths.items() for why, m, pnl in [exit_of(*p)]}
     assert crowded(walked_paths) and got == want
 
-
 def test_hedge_paths_see_all_marks(spark, walked_paths):
     got, want = {x.entry: (x.moves, x.shares, x.hedge_pnl) for x in trades.hedge_paths(spark, SF).collect()}, {}
     for e, (_, sign, _, _, marks) in walked_paths.items():
@@ -300,7 +299,28 @@ def test_hedge_paths_see_all_marks(spark, walked_paths):
     assert got == want
 
 
+def test_book_days_see_all_marks(spark, walked_paths):
+    realized, still = {}, {}
+    for p in walked_paths.values():
+        _, end, pnl = exit_of(*p)
+        realized[p[0], end.day] = realized.get((p[0], end.day), 0.0) + pnl
+        for day, mid in {m.day: m.mid for m in p[4] if m.day < end.day}.items():
+            still[p[0], day] = still.get((p[0], day), 0.0) + p[1] * (mid - p[2]) * 100
+    total, want = {}, {}
+    for k in sorted({*realized, *still}):
+        total[k[0]] = total.get(k[0], 0.0) + realized.get(k, 0.0)
+        want[k] = pytest.approx((total[k[0]], still.get(k, 0.0), total[k[0]] + still.get(k, 0.0)), abs=1e-2)
+    got = {(x.call, x.day): (x.realized, x.open, x.total) for x in trades.book_days(spark, SF).collect()}
+    assert got == want
+
+
 def test_delta_profit_sees_all_marks(spark, walked_paths):
     got = {x.entry: (x.marks, x.delta_pnl) for x in plan_desk.delta_profit(spark, SF).collect()}
     gain = lambda sign, ms: sum(sign * 100 * m.delta * (n.fwd - m.fwd) for m, n in zip(ms, ms[1:]))
     assert got == {e: (len(p[4]), pytest.approx(gain(p[1], p[4]), abs=1e-3)) for e, p in walked_paths.items()}
+
+
+def test_live_book_sees_all_marks(spark, walked_paths):
+    """Its last total is the profit of all exits."""
+    last = {call: sum(exit_of(*p)[2] for p in walked_paths.values() if p[0] == call) for call in (True, False)}
+    assert {x.call: x.last for x in plan_desk.live_book(spark, SF).collect()} == pytest.approx(last, abs=1e-2)
