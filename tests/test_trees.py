@@ -158,3 +158,20 @@ def test_picks_use_days_closed_before_their_window(spark):
 
     clean = picks(False)
     assert len(clean) > 300 and any(x[2] for x in clean) and picks(True) == clean
+
+
+def test_equal_candidates_are_one_row(spark, monkeypatch):
+    sizes, lambdas = [], trees.lambdas
+    monkeypatch.setattr(trees, "lambdas", lambda rows: (sizes.append(rows.count()), lambdas(rows))[1])
+    rows = [(0, d, i, 0, (i % 3 + d) % 3, d == 2, float(i % 3)) for d in range(3) for i in range(120)]
+    trees.rank_fit(spark.createDataFrame(rows, "e int, day int, name long, skip int, grade int, early boolean, x double"), ["x"], 1, 2, Growth(depth=1, least=5, damping=1.0))
+    assert sizes and max(sizes) <= 9  # three days of three kinds
+
+
+def test_one_row_for_many_has_their_sums(spark):
+    kinds = [(0, 5, 0, 2, 0.5, [1, 4, 6]), (0, 3, 0, 1, 0.9, [2, 7]), (0, 9, 0, 2, 0.9, [3, 8, 9]), (0, 0, 1, 0, 0.9, [0])]
+    schema = "e int, day int, name long, skip int, grade int, s double"
+    each = spark.createDataFrame([(e, 1, n, k, g, s) for e, _, k, g, s, names in kinds for n in names], schema)
+    one = spark.createDataFrame([(e, 1, min(names), k, g, s, len(names)) for e, _, k, g, s, names in kinds], schema + ", k int")
+    total = lambda rows: {(x.grade, x.s): (x["sum(g)"], x["sum(h)"]) for x in trees.lambdas(rows).groupBy("grade", "s").sum("g", "h").collect()}
+    assert total(each) == total(one)

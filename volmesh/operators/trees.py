@@ -47,6 +47,11 @@ def whole_number(x: Column) -> Column:
     return F.floor(x * SCALE + 0.5)
 
 
+def many(rows: DataFrame) -> Column:
+    """How many rows a row stands for."""
+    return F.col("k") if "k" in rows.columns else F.lit(1)
+
+
 def edges(rows: DataFrame, xs: list[str], bins: int) -> list[list[float]]:
     """Bounds between the bins of each feature: its quantiles over rows, bins - 1 numbers a feature."""
     long = rows.select(F.posexplode(F.array(*[F.col(x).cast("double") for x in xs])).alias("_f", "_x"))
@@ -85,14 +90,14 @@ def _cells(bounds: list) -> list[str]:
 
 
 def grow(rows: DataFrame, growth: Growth, bounds: list[list[float]], tree: int) -> list[Node]:
-    """The next tree of each ensemble, from rows (e, g, h, _b): whole gradients g and weights h, and bins. A split takes the highest gain (of equals the first feature, then bin)."""
+    """The next tree of each ensemble, from rows (e, g, h, _b, and k: how many rows it stands for, else 1): whole gradients g and weights h, and bins. A split takes the highest gain (of equals the first feature, then bin)."""
     splits: dict[tuple[int, int], tuple[int, int, float]] = {}
     leaves: dict[tuple[int, int], float] = {}
     damping = growth.damping * SCALE
     value = lambda g, h: growth.rate * float(g) / (float(h) + damping)
     for level in range(growth.depth):
-        at = rows.select("e", F.expr(_place({k: (f, b) for k, (f, b, _) in splits.items()}, _cells(bounds))).alias("n"), "g", "h", "_b").where(F.col("n") >= 1 << level)
-        cells = at.select("e", "n", "g", "h", F.posexplode("_b").alias("f", "b")).groupBy("e", "n", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("k"))
+        at = rows.select("e", F.expr(_place({k: (f, b) for k, (f, b, _) in splits.items()}, _cells(bounds))).alias("n"), "g", "h", "_b", many(rows).alias("k")).where(F.col("n") >= 1 << level)
+        cells = at.select("e", "n", "g", "h", "k", F.posexplode("_b").alias("f", "b")).groupBy("e", "n", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("k").alias("k"))
         by: dict[tuple[int, int], dict[int, list]] = {}
         for r in cells.collect():  # nodes x features x bins
             by.setdefault((r.e, r.n), {}).setdefault(r.f, []).append((r.b, r.g, r.h, r.k))
@@ -198,7 +203,7 @@ def forest_mean(nodes: list[Node], cells: list[str], trees: int) -> Column:
 
 def lambdas(rows: DataFrame) -> DataFrame:
     """rows (e, day, name, skip, grade, s) with g and h of the pairs of each day's top score with its other candidates, and first, gain and ideal: pairs without the top don't change who is first,
-    so a day has as many pairs as candidates. Of equal scores a skip comes last, then the smaller name first. A pair weighs what swapping it would change in the first place's share of the day's best gain (2 ** grade - 1).
+    so a day has as many pairs as candidates. A row may stand for k candidates of one score, grade and skip (name is then their smallest), and has the sums of their gradients. Of equal scores a skip comes last, then the smaller name first. A pair weighs what swapping it would change in the first place's share of the day's best gain (2 ** grade - 1).
     """
     w = Window.partitionBy("e", "day")
     gain = lambda grade: F.pow(F.lit(2.0), grade) - 1
@@ -209,15 +214,19 @@ def lambdas(rows: DataFrame) -> DataFrame:
     chance = 1 / (1 + F.exp(F.when(above, F.col("s") - F.col("_t.s")).otherwise(F.col("_t.s") - F.col("s"))))
     weight = F.when(F.col("first") | (F.col("grade") == F.col("_t.grade")), 0.0).otherwise(F.abs(F.col("gain") - gain(F.col("_t.grade"))) / F.col("ideal"))
     rows = rows.withColumns({"_g": F.when(above, 1).otherwise(-1) * whole_number(chance * weight), "_h": whole_number(chance * (1 - chance) * weight)})
-    return rows.withColumns({"g": F.when(F.col("first"), -F.sum("_g").over(w)).otherwise(F.col("_g")), "h": F.when(F.col("first"), F.sum("_h").over(w)).otherwise(F.col("_h"))}).drop("_t", "_g", "_h")
+    k = many(rows)  # pairs of the first with its equals weigh nothing
+    return rows.withColumns({"g": F.when(F.col("first"), -F.sum(F.col("_g") * k).over(w)).otherwise(F.col("_g") * k), "h": F.when(F.col("first"), F.sum(F.col("_h") * k).over(w)).otherwise(F.col("_h") * k)}).drop("_t", "_g", "_h")
 
 
 def rank_fit(rows: DataFrame, xs: list[str], rounds: int, patience: int, growth: Growth) -> tuple[list[Node], dict[int, int], list[list[float]]]:
     """(nodes of the best round, that round by window, bounds) of a ranker for each window e of rows (e, day, name, skip, grade, early, xs): it learns from the days that are not early, and is judged
     after each round by the mean share of the best gain in first place over its early days. A window's best round is the first with its highest share, before `patience` rounds went without a better one; all windows are grown together until the last one stops.
+
+    Candidates of a day with the same bins, grade and skip have the same score in every round, so they are counted first and go on as one row: a day has no more rows than bins allow, however many candidates. Days lie sorted, so a round sorts nothing.
     """
     bounds = edges(rows.where("not early"), xs, growth.bins)
-    base = rows.select("e", "day", "name", "skip", "grade", "early", binned(xs, bounds).alias("_b")).repartition("e", "day").persist()
+    base = rows.select("e", "day", "name", "skip", "grade", "early", binned(xs, bounds).alias("_b")).repartition("e", "day")
+    base = base.groupBy("e", "day", "skip", "grade", "early", "_b").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("k")).sortWithinPartitions("e", "day").persist()
     nodes: list[Node] = []
     best: dict[int, tuple[int, int]] = {}  # window: (highest share, round)
     live = True
@@ -230,7 +239,7 @@ def rank_fit(rows: DataFrame, xs: list[str], rounds: int, patience: int, growth:
                 best[e] = (s, r)
         live = not judged or any(r - best[e][1] < patience for e, _ in judged)
         if r < rounds and live:
-            nodes += grow(scored.where("not early").select("e", "g", "h", "_b"), growth, bounds, r)
+            nodes += grow(scored.where("not early").select("e", "g", "h", "_b", "k"), growth, bounds, r)
         scored.unpersist()
         if not live:
             break
@@ -243,9 +252,12 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, top, top_skip, top_pnl, gap, best of rows (keys, name, skip, pred, pnl): each group's first candidate, its lead over the second (0 without one), and the best that is no skip."""
     order = F.struct("pred", (-F.col("skip")).alias("skip"), (-F.col("name")).alias("name"))
     w = Window.partitionBy(*keys).orderBy(F.desc("pred"), "skip", "name")
-    two = rows.withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy(*keys).agg(
-        F.max_by(F.struct("name", "skip", "pnl"), order).alias("_t"), F.when(F.count(F.lit(1)) > 1, F.max("pred") - F.min("pred")).otherwise(0.0).alias("gap"))
-    best = rows.where("skip = 0").groupBy(*keys).agg(F.max_by("name", order).alias("best"))
+    # of candidates with one prediction and skip only the first by name can lead; they meet on the map side, and no group is sorted whole
+    level = rows.groupBy(*keys, "pred", "skip").agg(F.min("name").alias("name"), F.min_by("pnl", "name").alias("pnl"), F.count(F.lit(1)).alias("_n"))
+    first = F.max(F.when(F.col("_r") == 1, F.col("_n")))
+    two = level.withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy(*keys).agg(
+        F.max_by(F.struct("name", "skip", "pnl"), order).alias("_t"), F.when((first == 1) & (F.count(F.lit(1)) > 1), F.max("pred") - F.min("pred")).otherwise(0.0).alias("gap"))
+    best = level.where("skip = 0").groupBy(*keys).agg(F.max_by("name", order).alias("best"))
     return two.join(best, keys, "left").select(*keys, F.col("_t.name").alias("top"), F.col("_t.skip").alias("top_skip"), F.col("_t.pnl").alias("top_pnl"), "gap", "best")
 
 
