@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 NUMERATOR = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 DENOMINATOR = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 MIDDLE, FAR, ROOT_TWO_PI = 7.07106781186547, 37.0, 2.5066282746310002
-LOW, HIGH, STEPS = 0.001, 5.0, 60
+LOW, HIGH, STEPS, SETTLED = 0.001, 5.0, 60, 1e-14
 
 
 def normal_density(x: Column) -> Column:
@@ -67,9 +67,9 @@ def valued(rows: DataFrame, fwd: Column, strike: Column, years: Column, rate: fl
 
 @F.pandas_udf(DoubleType())
 def implied(value: pd.Series, fwd: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series) -> pd.Series:
-    """Volatility by 60 halvings of [0.001, 5]; null for nulls, for prices that no volatility in there gives, at or below intrinsic value, or at no time left.
+    """Volatility in [0.001, 5]; null for nulls, for prices that no volatility in there gives, at or below intrinsic value, or at no time left.
 
-    Halvings run over a whole Arrow batch at once: as 60 steps in a column they would not be compiled."""
+    Newton's steps inside a bracket that each step narrows; a step that leaves it is a halving. All run over a whole Arrow batch at once, prices that have settled drop out, and there are at most as many steps as halvings would take."""
     value, fwd, strike, years, rate = (x.to_numpy(float, na_value=np.nan) for x in (value, fwd, strike, years, rate))
     call = call.to_numpy(bool, na_value=False)
     with np.errstate(all="ignore"):
@@ -77,18 +77,26 @@ def implied(value: pd.Series, fwd: pd.Series, strike: pd.Series, years: pd.Serie
         goal = value * grown + np.where(call, 0.0, fwd - strike)  # as an undiscounted call
         log, root = np.log(fwd / strike), np.sqrt(years)
 
-        def worth(sigma):
-            spread = sigma * root
-            upper = log / spread + spread / 2
-            return fwd * cdf_of(upper) - strike * cdf_of(upper - spread)
+        def worth(sigma, at):
+            spread = sigma * root[at]
+            upper = log[at] / spread + spread / 2
+            return fwd[at] * cdf_of(upper) - strike[at] * cdf_of(upper - spread), fwd[at] * np.exp(-0.5 * upper * upper) * 0.3989422804014327 * root[at]
 
-        fine = (years > 0) & (value * grown > np.maximum(np.where(call, fwd - strike, strike - fwd), 0)) & (goal > worth(LOW)) & (goal < worth(HIGH))
-        low, high = np.full(len(goal), LOW), np.full(len(goal), HIGH)
+        fine = (years > 0) & (value * grown > np.maximum(np.where(call, fwd - strike, strike - fwd), 0)) & (goal > worth(LOW, slice(None))[0]) & (goal < worth(HIGH, slice(None))[0])
+        at = np.flatnonzero(fine)
+        out, low, high, sigma = np.full(len(goal), np.nan), np.full(len(at), LOW), np.full(len(at), HIGH), np.full(len(at), 0.2)
         for _ in range(STEPS):
-            mid = (low + high) / 2
-            above = worth(mid) > goal
-            low, high = np.where(above, low, mid), np.where(above, mid, high)
-    return pd.Series((low + high) / 2).where(fine)
+            price, slope = worth(sigma, at)
+            over = price - goal[at]
+            low, high = np.where(over > 0, low, sigma), np.where(over > 0, sigma, high)
+            step = sigma - over / slope
+            step = np.where((step > low) & (step < high), step, (low + high) / 2)
+            out[at] = step
+            open_ = np.abs(step - sigma) > SETTLED * sigma
+            at, low, high, sigma = at[open_], low[open_], high[open_], step[open_]
+            if not len(at):
+                break
+    return pd.Series(out)
 
 
 def price_floor(fwd: Column, strike: Column, years: Column, rate: Column, spot: Column, call: Column) -> Column:

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from . import asof
-from .surface import rolling_median
+from . import asof, rolling
 
 ROWS, LEAST, BAND = 20, 5, 0.02
 
@@ -48,10 +47,8 @@ def near_forward(prs: DataFrame, keys: list[str], need: int, least: int = LEAST)
 
 
 def medians(rows: DataFrame, keys: list[str], least: int | Column) -> DataFrame:
-    """keys, ts, event_id, call, fnear: running medians of 20 over pairs of one expiry, after those whose strike is more than 2 % off a first running median have left."""
-    w = Window.partitionBy(*keys).orderBy("ts", "call", "event_id")
-    rows = rows.withColumn("_rough", rolling_median("fwd", w, ROWS, 1)).where(F.abs(F.col("strike") / F.col("_rough") - 1) <= BAND)
-    return rows.select(*keys, "ts", "event_id", "call", rolling_median("fwd", w, ROWS, least).alias("fnear")).where("fnear is not null")
+    """keys, ts, call, event_id, fnear: running medians of 20 over pairs of one expiry, after those whose strike is more than 2 % off a first running median have left."""
+    return rolling.medians(rows, keys, ["ts", "call", "event_id"], "fwd", "fnear", ROWS, F.lit(least), ("strike", BAND))
 
 
 def with_dividends(rows: DataFrame, dividends: DataFrame) -> DataFrame:
@@ -81,8 +78,7 @@ def ratios(prs: DataFrame, near: DataFrame, keys: list[str], rate: float, divide
     rows = with_dividends(_last_near(prs, near, keys).where("expiry != near"), dividends)
     ref = F.col("fnear") * carry(F.col("fnear"), F.col("near"), F.col("ts"), F.col("expiry"), rate, dividends_between(F.col("near"), F.col("expiry")))
     rows = rows.where(F.abs(F.col("strike") / ref - 1) <= BAND).withColumn("_r", F.col("fwd") / F.col("fnear"))
-    w = Window.partitionBy(*keys, "expiry").orderBy("ts", "call", "event_id")
-    return rows.select(*keys, "expiry", "ts", "call", "event_id", rolling_median("_r", w, ROWS, least).alias("ratio")).where("ratio is not null")
+    return rolling.medians(rows, [*keys, "expiry"], ["ts", "call", "event_id"], "_r", "ratio", ROWS, F.lit(least))
 
 
 def forward_at(rows: DataFrame, near: DataFrame, ratio: DataFrame, keys: list[str], rate: float, dividends: DataFrame) -> DataFrame:

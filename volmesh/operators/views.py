@@ -30,7 +30,7 @@ def minutes(tape: DataFrame) -> DataFrame:
 
 def spans(tape: DataFrame, grid: list[int], window: int) -> DataFrame:
     """Prints of the day's series and of the short windows (slot, slot + window] that hold them."""
-    inside = F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: (F.col("_m") > g) & (F.col("_m") <= g + window))
+    inside = F.filter(F.array(*[F.lit(g) for g in grid]).cast("array<int>"), lambda g: (F.col("_m") > g) & (F.col("_m") <= g + window))
     return tape.select("*", F.explode(F.concat(F.array(F.lit(0)), inside)).alias("span"))
 
 
@@ -38,26 +38,30 @@ def cutoff(day: Column, slot: Column, view: Column, lag: int, window: int) -> Co
     return clock.at(day, F.when(view == "decide", slot - lag).otherwise(slot + window))
 
 
-def near_views(prs: DataFrame, medians: DataFrame, grid: list[int], lag: int, window: int, need: int, few: int) -> DataFrame:
-    """VIEW, span, base: the series and near expiry of each slot's decide and fill view that has a forward. The near expiry is the first with `need` pairs by the cutoff; a fill takes the short window's series where `few` pairs give it
-    a forward, else the day's by the window's end."""
-    ends = {("decide", g): g - lag for g in grid} | {("long", g): g + window for g in grid}
+def near_expiries(prs: DataFrame, grid: list[int], lag: int, window: int, need: int, few: int, fills: bool = True) -> DataFrame:
+    """VIEW, _end, base, span: the near expiry of each slot's decide and long view, the first with `need` pairs by the cutoff, and of its short window, the first with `few`."""
+    ends = {("decide", g): g - lag for g in grid} | {("long", g): g + window for g in grid if fills}
     by = prs.where("expiry >= day")
     counts = by.where("span = 0").groupBy("day", "expiry").agg(*[F.count(F.when(F.col("_m") <= m, 1)).alias(f"{v}_{g}") for (v, g), m in ends.items()])
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("slot"), F.lit(v).alias("view"), F.lit(m).alias("_end"), F.col(f"{v}_{g}").alias("_n")) for (v, g), m in ends.items()])).alias("_e")
     whole = counts.select("day", "expiry", each).select("day", "expiry", "_e.*").where(F.col("_n") >= need).groupBy(*VIEW, "_end").agg(F.min("expiry").alias("base")).withColumn("span", F.lit(0))
     short = by.where("span > 0").groupBy("day", "span", "expiry").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= few).groupBy("day", "span").agg(F.min("expiry").alias("base"))
     short = short.select("day", F.col("span").alias("slot"), F.lit("short").alias("view"), (F.col("span") + window).alias("_end"), "base", "span")
+    return whole.select(*short.columns).unionByName(short)
+
+
+def near_views(expiries: DataFrame, medians: DataFrame) -> DataFrame:
+    """VIEW, span, base: the series and near expiry of each slot's decide and fill view that has a forward. A fill takes the short window's series where that gives it a forward, else the day's by the window's end."""
     begun = minutes(medians).groupBy(*SERIES).agg(F.min("_m").alias("_from"))
-    found = whole.select(*short.columns).unionByName(short).join(begun, SERIES).where("_from <= _end").select(*VIEW, "span", "base")
+    found = expiries.join(begun, SERIES).where("_from <= _end").select(*VIEW, "span", "base")
     best = F.max_by(F.struct("span", "base"), F.when(F.col("view") == "short", 1).otherwise(0))
     return found.withColumn("_v", F.when(F.col("view") == "decide", "decide").otherwise("fill")).groupBy(*KEYS, "_v").agg(best.alias("_b")).select(*KEYS, F.col("_v").alias("view"), "_b.*")
 
 
-def series(prs: DataFrame, need: int, few: int) -> DataFrame:
-    """SERIES, near, ts, event_id, call, fnear: running medians of each span's pairs by expiry, as if it were the near one."""
+def series(prs: DataFrame, expiries: DataFrame, need: int, few: int) -> DataFrame:
+    """SERIES, near, ts, call, event_id, fnear: running medians of the pairs of each span's near expiries (expiries: a row a view)."""
     least = F.when(F.col("span") > 0, min(few, forwards.LEAST)).otherwise(min(need, forwards.LEAST))
-    rows = prs.where("expiry >= day").withColumn("base", F.col("expiry"))
+    rows = prs.withColumn("base", F.col("expiry")).join(F.broadcast(expiries.select(*SERIES).distinct()), SERIES, "left_semi")
     return forwards.medians(rows, SERIES, least).withColumn("near", F.col("base"))
 
 
@@ -82,14 +86,14 @@ def listed(cand: DataFrame, chosen: DataFrame, near: DataFrame, ratio: DataFrame
 def view_smiles(prints: DataFrame, chosen: DataFrame, near: DataFrame, ratio: DataFrame, rate: float, dividends: DataFrame, lag: int, window: int, lookback: int, **gates) -> DataFrame:
     """Smiles by view and expiry, of the prints of the lookback before a decide cutoff and of those in a fill window, at the forward of each print's own time. A print's volatility is found once for each series
     that a view takes it from."""
-    used = chosen.select(*SERIES).distinct()
+    used = F.broadcast(chosen.select(*SERIES).distinct())
     rows = forwards.forward_at(prints.join(used, SPAN), near, ratio, SERIES, rate, dividends)
     years = clock.years(F.col("ts"), F.col("expiry"))
-    rows = store.settle(rows.withColumn("iv", pricing.implied(F.col("price"), F.col("forward"), F.col("strike"), years, F.lit(rate), F.col("call"))).withColumn("k", F.log(F.col("strike") / F.col("forward"))))
+    rows = store.kept(rows.withColumn("iv", pricing.implied(F.col("price"), F.col("forward"), F.col("strike"), years, F.lit(rate), F.col("call"))).withColumn("k", F.log(F.col("strike") / F.col("forward"))).select("_m", *SERIES, "expiry", "strike", "call", "size", "iv", "k"), "ivs")
     decide = (F.col("view") == "decide") & (F.col("_m") > F.col("slot") - lag - lookback) & (F.col("_m") <= F.col("slot") - lag)
     fill = (F.col("view") == "fill") & (F.col("_m") > F.col("slot")) & (F.col("_m") <= F.col("slot") + window)
     views = chosen.groupBy(*SERIES).agg(F.collect_list(F.struct("slot", "view")).alias("_views"))  # two a slot at most
-    seen = rows.join(views, SERIES).select(*rows.columns, F.explode("_views").alias("_w")).select(*rows.columns, "_w.*").where(decide | fill)
+    seen = rows.join(F.broadcast(views), SERIES).select(*rows.columns, F.explode("_views").alias("_w")).select(*rows.columns, "_w.*").where(decide | fill)
     return surface.smiles(seen, [*VIEW, "expiry"], **gates)
 
 
@@ -120,17 +124,19 @@ def skip_log(tape: DataFrame, built: DataFrame, chosen: DataFrame, grid: list[in
     return rows.select(*KEYS, F.when(F.col("_traded").isNull(), "no_trades").when(F.col("_forward").isNull(), "no parity forward").otherwise("no smile").alias("why"))
 
 
-def build(tape: DataFrame, prints: DataFrame, contract: list[str], grid: list[int], rate: float, within: float, dividends: DataFrame, lag: int, window: int, lookback: int, need: int, few: int, low: int, high: int, reach: float, after: int) -> tuple[DataFrame, DataFrame]:
-    """(chain, log) of the clean prints of a tape (prints): every slot of every day is in the chain's decide rows or in the log, once."""
-    rows = store.settle(spans(minutes(prints), grid, window))
-    prs = store.settle(minutes(forwards.pairs(rows.drop("_m"), SPAN, rate, within)))
-    near = store.settle(series(prs, need, few))
-    chosen = store.settle(near_views(prs, near, grid, lag, window, need, few))
-    used = near.join(chosen.select(*SERIES).distinct(), SERIES, "left_semi")
+def build(tape: DataFrame, prints: DataFrame, contract: list[str], grid: list[int], rate: float, within: float, dividends: DataFrame, lag: int, window: int, lookback: int, need: int, few: int, low: int, high: int, reach: float, after: int, fills: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(chain, log) of the clean prints of a tape (prints): every slot of every day is in the chain's decide rows or in the log, once. Without fills the chain has its decide rows only; these and the log need no fill window."""
+    rows = store.kept(spans(minutes(prints), grid if fills else [], window).select("day", "span", "ts", "_m", "event_id", *contract, "price", "size"), "spans")
+    prs = store.kept(minutes(forwards.pairs(rows.drop("_m", "size"), SPAN, rate, within)), "pairs")
+    expiries = store.settle(near_expiries(prs, grid, lag, window, need, few, fills))
+    near = store.kept(series(prs, expiries, need, few), "near")
+    chosen = store.settle(near_views(expiries, near))
+    bases = F.broadcast(chosen.select(*SERIES).distinct())
+    used = near.join(bases, SERIES, "left_semi")
     least = F.when(F.col("span") > 0, min(few, forwards.LEAST)).otherwise(min(need, forwards.LEAST))
-    ratio = store.settle(forwards.ratios(prs.drop("_m").join(chosen.select(*SERIES).distinct(), SPAN), used, SERIES, rate, dividends, least))
+    ratio = store.kept(forwards.ratios(prs.drop("_m").join(bases, SPAN), used, SERIES, rate, dividends, least), "ratios")
     cand = candidates(rows.where("span = 0"), contract, grid, lag)
     contracts = listed(cand, chosen, used, ratio, rate, dividends, lag, window, low, high, reach)
-    fits = with_source(store.settle(view_smiles(rows, chosen, used, ratio, rate, dividends, lag, window, lookback)))
+    fits = with_source(store.settle(view_smiles(rows.drop("event_id"), chosen, used, ratio, rate, dividends, lag, window, lookback)))
     built = store.settle(chain(contracts, fits, rate, cutoff(F.col("day"), F.col("slot"), F.lit("decide"), 0, 0)))
     return built, skip_log(tape, built, chosen, grid, after)

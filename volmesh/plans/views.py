@@ -20,9 +20,9 @@ LOW_DTE, HIGH_DTE, REACH = 1, 60, 0.5
 AFTER, WHY = 3, {"no_trades": "no_trades", "no parity forward": "no_forward", "no smile": "no_smile"}
 
 
-def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _built(spark: SparkSession, sf_dir: str, fills: bool = True) -> tuple[DataFrame, DataFrame]:
     tape = forwards.tape(spark, sf_dir)
-    return views.build(tape, forwards.session(tape), CONTRACT, GRID, forwards.RATE, forwards.WITHIN, derived(spark, sf_dir, a.EX_DAYS), LAG, WINDOW, LOOKBACK, NEED, FEW, LOW_DTE, HIGH_DTE, REACH, AFTER)
+    return views.build(tape, forwards.session(tape), CONTRACT, GRID, forwards.RATE, forwards.WITHIN, derived(spark, sf_dir, a.EX_DAYS), LAG, WINDOW, LOOKBACK, NEED, FEW, LOW_DTE, HIGH_DTE, REACH, AFTER, fills)
 
 
 def slot_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,12 @@ def slot_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slots that the build skipped, and why."""
-    return _built(spark, sf_dir)[1]
+    return _built(spark, sf_dir, fills=False)[1]
 
 
 def skipped_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By year: slots, the share of each reason for a skip, and the share of days without any chain."""
-    built, log = _built(spark, sf_dir)
+    built, log = _built(spark, sf_dir, fills=False)
     days = built.where("view = 'decide'").select("day", "slot").distinct().withColumn("why", F.lit(None).cast("string")).unionByName(log)
     out = days.groupBy(F.year("day").alias("year"), "day").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("why") == w, 1)).alias(c) for w, c in WHY.items()])
     share = lambda c: F.round(F.sum(c) / F.sum("n"), 6).alias(c)

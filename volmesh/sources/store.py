@@ -56,6 +56,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: as settle, for large steps that later ones read some columns of."""
+    folder = fresh(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bundle(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
     """Raw sources by name; nothing is read before a source is used."""
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
@@ -67,9 +74,13 @@ def extract(rows: DataFrame, keep: Column, columns: list[str], order: list[str],
     return rows.sparkSession.read.parquet(folder)
 
 
+#: Bytes of a row group of a tape: a scan's tasks take whole groups, so that a file of one group would be one task's work.
+GROUP = 4 << 20
+
+
 def save_tape(rows: DataFrame, folder: str, ts: str = "ts") -> None:
     """A tape in partitions of months; a month is as many files as its size asks for."""
-    rows.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(folder)
+    rows.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "month").write.mode("overwrite").option("parquet.block.size", GROUP).partitionBy("month").parquet(folder)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
