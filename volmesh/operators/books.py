@@ -32,7 +32,7 @@ def by_reason(trips: DataFrame) -> DataFrame:
 
 def open_positions(trips: DataFrame) -> DataFrame:
     """How many trips of a book are open on each day on which that changes: [entry, exit)."""
-    steps = trips.select("book", F.col("entry").alias("date"), F.lit(1).alias("d")).union(trips.select("book", "exit", F.lit(-1)))
+    steps = trips.select("book", F.inline(F.array(F.struct(F.col("entry").alias("date"), F.lit(1).alias("d")), F.struct(F.col("exit").alias("date"), F.lit(-1).alias("d")))))
     net = steps.groupBy("book", "date").agg(F.sum("d").alias("d"))
     return net.select("book", "date", F.sum("d").over(Window.partitionBy("book").orderBy("date")).alias("open"))
 
