@@ -63,8 +63,10 @@ def terciles(trips: DataFrame, by: str) -> DataFrame:
 
 def stop_reentry(trips: DataFrame, days: int = 5) -> DataFrame:
     """By book and side: stops, and how many entries came within so many days after the latest stop at or before them."""
-    stops = trips.where("reason = 'stop'").select("book", "side", F.col("exit").alias("at"), F.lit(1).alias("stop"), F.lit(0).alias("entry"))
-    events = stops.unionByName(trips.select("book", "side", F.col("entry").alias("at"), F.lit(0).alias("stop"), F.lit(1).alias("entry")))
+    # one pass over the trips: the entry of each, and the exit of those that were stopped
+    entry = F.struct(F.col("entry").alias("at"), F.lit(0).alias("stop"), F.lit(1).alias("entry"))
+    stop = F.when(F.col("reason") == "stop", F.struct(F.col("exit").alias("at"), F.lit(1).alias("stop"), F.lit(0).alias("entry")))
+    events = trips.select("book", "side", F.inline(F.array_compact(F.array(entry, stop))))
     daily = events.groupBy("book", "side", "at").agg(F.sum("stop").alias("stop"), F.sum("entry").alias("entry"))  # a row a day
     w = Window.partitionBy("book", "side").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     seen = daily.withColumn("_last", F.max(F.when(F.col("stop") > 0, F.col("at"))).over(w))
