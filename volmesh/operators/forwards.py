@@ -15,9 +15,9 @@ from . import asof, rolling
 ROWS, LEAST, BAND = 20, 5, 0.02
 
 
-def clean(tape: DataFrame, start: Column, end: Column, codes: list[int], least: float) -> DataFrame:
-    """Prints in (start, end] with an allowed condition and at least the least price; an expiry on a Saturday is the Friday before."""
-    rows = tape.where((F.col("ts") > start) & (F.col("ts") <= end) & F.col("condition").isin(codes) & (F.col("price") >= least))
+def clean(tape: DataFrame, inside: Column, codes: list[int], least: float) -> DataFrame:
+    """Prints inside a span of time with an allowed condition and at least the least price; an expiry on a Saturday is the Friday before."""
+    rows = tape.where(F.col("condition").isin(codes) & (F.col("price") >= least) & inside)
     return rows.withColumn("expiry", F.when(F.dayofweek("expiry") == 7, F.date_sub("expiry", 1)).otherwise(F.col("expiry")))
 
 

@@ -37,7 +37,7 @@ def scanned_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session(rows: DataFrame, start: int = OPEN, end: int = CLOSE) -> DataFrame:
-    return forwards.clean(rows, clock.at(F.col("day"), start), clock.at(F.col("day"), end), CODES, LEAST)
+    return forwards.clean(rows, clock.within(F.col("ts"), F.col("day"), start, end), CODES, LEAST)
 
 
 def eastern_tape(spark: SparkSession, sf_dir: str) -> DataFrame:

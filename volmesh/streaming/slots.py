@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +20,11 @@ def slot_counts(prints: DataFrame, slot: str, late: str, least: float) -> DataFr
     return clean.withWatermark("ts", late).groupBy(F.window("ts", slot)).agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")).select(F.col("window.start").alias("slot"), "n", "total")
 
 
+def _order(at: Column, event: Column) -> Column:
+    """The order of (at, event) as one number, an event without an id first: with a struct in its buffer an aggregation sorts all its rows, which are eight for a print here; with numbers it hashes them."""
+    return F.unix_micros(at).cast("decimal(18,0)") * F.lit(Decimal(1 << 65)) + F.coalesce(event.cast("decimal(19,0)"), F.lit(Decimal(-(1 << 63) - 1)))
+
+
 def view_prints(prints: DataFrame, lag: int, lookback: int, window: int, grid: list[int], late: str = "2 hours") -> DataFrame:
     """day, slot, view, contract, n, size, last of a stream of prints (ts, event_id, day, contract, price, size): for each slot, the prints of the `lookback` minutes up to `lag` minutes before it (decide), and of the `window` minutes after it
     (fill), by contract, with the last price. Slots lie `step` apart on the clock, so each view is a sliding window of event time; its state is a sum and a last price a contract, kept until the watermark passes the window's
@@ -25,11 +32,12 @@ def view_prints(prints: DataFrame, lag: int, lookback: int, window: int, grid: l
     """
     step = grid[1] - grid[0]
     timed = prints.withColumn("_at", (F.col("ts") - F.expr("interval 1 microsecond")).cast("timestamp")).withWatermark("_at", late)
+    timed = timed.withColumn("_order", _order(F.col("_at"), F.col("event_id")))
     folders = {}
     for view, length, ends in (("decide", lookback, -lag), ("fill", window, window)):
         start = (grid[0] + ends - length) % step
         by = timed.groupBy(F.window("_at", f"{length} minutes", f"{step} minutes", f"{start} minutes").alias("_w"), "day", "expiry", "strike", "call")
-        sums = by.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max_by("price", F.struct("ts", "event_id")).alias("last"))
+        sums = by.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max_by("price", "_order").alias("last"))
         wall = clock.eastern(F.col("_w.end").cast("timestamp_ntz"))
         slot = (F.hour(wall) * 60 + F.minute(wall) - ends).alias("slot")
         folders[view] = run_available(prints.sparkSession, sums.select("day", slot, F.lit(view).alias("view"), "expiry", "strike", "call", "n", "size", "last"), f"views-{view}")
