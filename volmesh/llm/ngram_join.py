@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .shared import GROUP_BYTES, NULL_ID, by_key, cut, dealt, group_count, id_key, one_chunk, partitions, table, text_hash, whole, with_groups
+from .shared import GROUP_BYTES, NULL_ID, by_key, dealt, group_count, id_key, one_chunk, partitions, passing, step, table, text_hash, whole, with_groups
 
 WORDS = 5
 PERCENT = 80
@@ -270,8 +270,8 @@ def _sums(percent: int):
 
 def _links(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pivots' links to members with another label. members: cid, region, label, block; pivots: cid, region, label, chunk."""
-    blocks = cut(members.select("region", "block").distinct())
-    chunks = cut(pivots.select("region", "chunk").distinct())
+    blocks = step(members.select("region", "block").distinct())
+    chunks = step(pivots.select("region", "chunk").distinct())
     left = members.join(chunks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(False).alias("pivot"))
     right = pivots.join(blocks.hint("merge"), "region").select("cid", "region", "label", "block", "chunk", F.lit(True).alias("pivot"))
     rows = left.union(right).join(parts.hint("merge"), "cid").select("region", "block", "chunk", "v", "pivot", "cid", "n", "label", "part")
@@ -282,25 +282,25 @@ def _links(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: int
 
 def _regions(parts: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     """All links' components over classes, as edges. regions: node, label of the regions from step 3."""
-    who = cut(regions.select(F.col("node").alias("cid"), F.col("label").alias("region")))
+    who = step(regions.select(F.col("node").alias("cid"), F.col("label").alias("region")))
     # small sides of joins by region are written first: a join of two plain shuffles is one whose hot keys Spark splits at run time
-    count = cut(who.groupBy("region").agg(F.count(F.lit(1)).alias("members")))
-    state = cut(who.join(count.hint("merge"), "region").withColumn("label", F.col("cid")))
+    count = step(who.groupBy("region").agg(F.count(F.lit(1)).alias("members")))
+    state = step(who.join(count.hint("merge"), "region").withColumn("label", F.col("cid")))
     spread = F.xxhash64("cid")
     block = F.pmod(spread, F.ceil(F.col("members") / BLOCK)).cast("int")
     found = None
     big = state.where(f"members > {SMALL_REGION}")
     if not big.isEmpty():
         hashed = big.select("cid", "region", "label", F.xxhash64("cid").alias("h"), F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(PIVOTS)).alias("slot"))
-        pivots = cut(hashed.groupBy("region", "slot").agg(F.min_by(F.struct("cid", "label"), "h").alias("p")).select("p.cid", "region", "p.label", F.lit(0).alias("chunk")))
-        found = cut(_links(parts, big.select("cid", "region", "label", block.alias("block")), pivots, percent))
+        pivots = step(hashed.groupBy("region", "slot").agg(F.min_by(F.struct("cid", "label"), "h").alias("p")).select("p.cid", "region", "p.label", F.lit(0).alias("chunk")))
+        found = step(_links(parts, big.select("cid", "region", "label", block.alias("block")), pivots, percent))
         merged = components(found).withColumnRenamed("node", "cid").withColumnRenamed("label", "now")
-        state = cut(state.join(merged.hint("merge"), "cid", "left").select("cid", "region", "members", F.coalesce("now", "cid").alias("label")))
+        state = step(state.join(merged.hint("merge"), "cid", "left").select("cid", "region", "members", F.coalesce("now", "cid").alias("label")))
     sizes = state.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
-    top = cut(sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top")))
-    pivots = cut(state.join(top.hint("merge"), "region").where("label != top").select("cid", "region", "label", block.alias("chunk")))
-    open_ = cut(pivots.select("region").distinct())
-    members = cut(state.join(open_.hint("merge"), "region", "left_semi").select("cid", "region", "label", block.alias("block")))
+    top = step(sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top")))
+    pivots = step(state.join(top.hint("merge"), "region").where("label != top").select("cid", "region", "label", block.alias("chunk")))
+    open_ = step(pivots.select("region").distinct())
+    members = step(state.join(open_.hint("merge"), "region", "left_semi").select("cid", "region", "label", block.alias("block")))
     links = _links(parts, members, pivots, percent)
     return links if found is None else found.union(links)
 
@@ -318,39 +318,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     groups = group_count(slim, "text", group_bytes)
     rows = with_groups(slim, groups)
-    sets = cut(rows.mapInArrow(_sets(words, "text"), SETS))
-    g = F.pmod(F.xxhash64("key", "th"), F.lit(groups)).cast("int")
-    reps = sets.where("n > 0").groupBy("cid").agg(F.min_by(F.struct("key", "th"), F.struct("key", "th")).alias("r")).select(F.col("r.key").alias("key"), F.col("r.th").alias("th"), "cid")
-    reps = cut(reps.select(g.alias("_g"), "key", "th", "cid"))
-    buckets = max(partitions(spark), groups // 4)
-    args = ("text", words, percent, buckets)
-    entries = rows.groupBy("_g").cogroup(reps.groupBy("_g")).applyInArrow(_entries(*args), _ENTRIES)
-    reply = dealt(entries, buckets).mapInArrow(_count, _REPLY)
-    # three inputs meet by group: the classes travel as rows of the reply, told by a null count
-    told = reply.select("_g", "_b", "count", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("long").alias("cid"))
-    told = told.unionByName(reps.select("_g", F.lit(-1).alias("_b"), F.lit(None).cast("binary").alias("count"), "key", "th", "cid"))
-    rare = _found(*args)
-
-    def split_reply(t: pa.Table, r: pa.Table) -> pa.Table:
-        own = pc.less(r.column("_b"), 0)
-        return rare(t, r.filter(own), r.filter(pc.invert(own)))
-
-    found = cut(rows.groupBy("_g").cogroup(told.groupBy("_g")).applyInArrow(split_reply, _FOUND))
-    runs = dealt(found.where("_b >= 0"), buckets).mapInArrow(_runs(percent), "a long, b long")
-    regions = components(runs)
-    whole = found.where("_b < 0").select(F.col("own").alias("cid"), "n", "set")
-    parts = cut(whole.join(regions.select(F.col("node").alias("cid")), "cid", "left_semi").mapInPandas(_parts(fragments), "cid long, n long, v int, part binary"))
-    linked = components(_regions(parts, regions, percent)).withColumnRenamed("node", "cid").withColumnRenamed("label", "root")
-    return _with_component(sets, linked)
-
-
-def _with_component(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    sets = step(rows.mapInArrow(_sets(words, "text"), SETS))
+    with passing(spark):
+        g = F.pmod(F.xxhash64("key", "th"), F.lit(groups)).cast("int")
+        reps = sets.where("n > 0").groupBy("cid").agg(F.min_by(F.struct("key", "th"), F.struct("key", "th")).alias("r")).select(F.col("r.key").alias("key"), F.col("r.th").alias("th"), "cid")
+        reps = step(reps.select(g.alias("_g"), "key", "th", "cid"))
+        buckets = max(partitions(spark), groups // 4)
+        args = ("text", words, percent, buckets)
+        entries = rows.groupBy("_g").cogroup(reps.groupBy("_g")).applyInArrow(_entries(*args), _ENTRIES)
+        reply = dealt(entries, buckets).mapInArrow(_count, _REPLY)
+        # three inputs meet by group: the classes travel as rows of the reply, told by a null count
+        told = reply.select("_g", "_b", "count", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("long").alias("cid"))
+        told = told.unionByName(reps.select("_g", F.lit(-1).alias("_b"), F.lit(None).cast("binary").alias("count"), "key", "th", "cid"))
+        rare = _found(*args)
+
+        def split_reply(t: pa.Table, r: pa.Table) -> pa.Table:
+            own = pc.less(r.column("_b"), 0)
+            return rare(t, r.filter(own), r.filter(pc.invert(own)))
+
+        found = step(rows.groupBy("_g").cogroup(told.groupBy("_g")).applyInArrow(split_reply, _FOUND))
+        runs = dealt(found.where("_b >= 0"), buckets).mapInArrow(_runs(percent), "a long, b long")
+        regions = components(runs)
+        whole = found.where("_b < 0").select(F.col("own").alias("cid"), "n", "set")
+        parts = step(whole.join(regions.select(F.col("node").alias("cid")).hint("merge"), "cid", "left_semi").mapInPandas(_parts(fragments), "cid long, n long, v int, part binary"))
+        linked = components(_regions(parts, regions, percent)).withColumnRenamed("node", "cid").withColumnRenamed("label", "root")
+        best = step(_lowest(sets, linked), stays=True)
+    return _with_component(sets, best)
+
+
+def _lowest(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of each class its smallest id and its component's name."""
     low = F.min(F.when(F.col("key") != NULL_ID, F.col("key")))
-    best = sets.where("n > 0").groupBy("cid").agg(low.alias("low")).join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    best = cut(best)
-    of_root = cut(best.groupBy("root").agg(F.min("low").alias("component_id")))
-    of_class = best.join(of_root, "root").select("cid", "component_id", "root")
-    out = sets.join(of_class, "cid", "left")
+    best = sets.where("n > 0").groupBy("cid").agg(low.alias("low")).join(linked.hint("merge"), "cid", "left")
+    return best.withColumn("root", F.coalesce("root", "cid"))
+
+
+def _with_component(sets: DataFrame, best: DataFrame) -> DataFrame:
+    of_root = step(best.groupBy("root").agg(F.min("low").alias("component_id")))
+    of_class = best.join(of_root.hint("merge"), "root").select("cid", "component_id", "root")
+    out = sets.join(of_class.hint("merge"), "cid", "left")
     own = F.when(F.col("key") != NULL_ID, F.col("key"))
     return out.select("key", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
 

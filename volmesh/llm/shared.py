@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,10 @@ GROUP_BYTES = 2 << 20
 MOST_PARTITIONS = 4096
 #: Stands for a null id where an id takes part in an order: before every other.
 NULL_ID = -(1 << 63)
+#: Bytes of a row group of a step's table: a scan's tasks take whole groups.
+ROW_GROUP = 4 << 20
+#: Folders of the steps that passing() deletes.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +47,44 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The context's checkpoint folder, in the shared folder if none is set yet."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder: lineage ends here and a lost executor costs nothing before it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    """The rows, written to the shared folder, in the partitions that they had: lineage ends here and a lost executor costs nothing before it. For joins of joins, see step."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def step(df: DataFrame, stays: bool = False) -> DataFrame:
+    """As cut, but a Parquet table, whose size the planner takes from its files. A checkpoint keeps the estimate from before it, which for a join is the product of its sides': over rounds of joins
+    that number's digits multiply, until the driver's memory is full of them. In passing() the table is deleted at the end, unless it stays."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    made = _PASSING.get()
+    if made is not None and not stays:
+        made.append(folder)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that step writes inside are deleted at the end; what is read later must stay."""
+    made: list[str] = []
+    outer = _PASSING.set(made)
+    try:
+        yield
+    finally:
+        _PASSING.reset(outer)
+        for folder in made:
+            remove(spark, folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
